@@ -46,6 +46,11 @@ def drop_scratch(spark: SparkSession, df: DataFrame) -> None:
             target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def shuffle_partitions(spark: SparkSession) -> int:
+    """Partitions for work that is heavy for its bytes: named in ``repartition``, they are not coalesced."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def topk(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:
     """First ``k`` rows of each key; Spark prunes before the shuffle (WindowGroupLimit)."""
     w = Window.partitionBy(*keys).orderBy(*order)
@@ -59,7 +64,7 @@ def with_rank(df: DataFrame, keys: Sequence[str], order: Sequence[Column], rank:
 def nearest_rank(col: str | Column, q: float) -> Column:
     """Nearest-rank percentile (ceil form): an element of the data, never interpolated."""
     c = F.col(col) if isinstance(col, str) else col
-    return F.expr("1") if c is None else F.percentile_disc(F.lit(q), c) if hasattr(F, "percentile_disc") else F.percentile_approx(c, q, 1_000_000)
+    return F.percentile_approx(c, q, 1_000_000)
 
 
 def round6(col: Column | str) -> Column:

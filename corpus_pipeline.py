@@ -1,8 +1,48 @@
-"""The corpus pipeline: each stage applies one operator to all that its predecessor kept."""
+"""The corpus pipeline: each stage applies one operator to all that its predecessor kept.
 
-STAGES: list = []
+``STAGES`` are (name, function) pairs; a function takes (spark, docs, sf_dir) and returns a DataFrame, all but the last
+with the columns of ``documents``. ``run`` writes each stage's result as Parquet to the shared scratch folder and
+reads it back as the next one's input.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quarrygrid.common import materialize, table
+from quarrygrid.llm import neardup, packing, quality, secrets
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier doesn't reject."""
+    return quality.good_documents(docs, table(spark, sf_dir, "labels"))
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates (5-word shingles, similarity 0.8 or more): that with the smallest doc_id."""
+    dropped = neardup.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("__id"))
+    return docs.join(dropped, docs["doc_id"] == F.col("__id"), "left_anti").select(*docs.columns)
+
+
+def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, their secrets masked."""
+    return secrets.redact(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in windows of 2048 tokens."""
+    return packing.packed_digests(docs)
+
+
+STAGES = [("quality", quality_stage), ("near_dedup", near_dedup_stage), ("secrets", secret_stage), ("packing", packing_stage)]
+
+#: Neither the classifier nor the forest nor the packing can be said in SQL; tests compare the stages with plain versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -27,7 +27,8 @@ SPECIAL, SPECIAL_ID = b"<|endoftext|>", 50256
 CONTRACTIONS = (b"s", b"t", b"re", b"ve", b"m", b"ll", b"d")
 LEXICON_WORDS = 50_000
 LONG_WORD = 192
-MEMO_WORDS = 300_000
+MEMO_WORDS = 800_000
+SLOT_BITS = 18
 NONE = np.iinfo(np.int64).max
 _OTHER, _LETTER, _NUMBER, _SPACE = 0, 1, 2, 3
 
@@ -50,18 +51,35 @@ class Vocabulary:
         self.byte_id = np.array([vocab[c] for c in byte_symbols()], np.int64)
         merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         keys = np.array([(vocab[a] << 16) | vocab[b] for a, b in merges], np.int64)
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.rank = keys[order], order.astype(np.int64)
+        self.slot_key, self.slot_rank = np.full(1 << SLOT_BITS, -1, np.int64), np.zeros(1 << SLOT_BITS, np.int64)
+        for rank, (key, slot) in enumerate(zip(keys.tolist(), self._slots(keys).tolist(), strict=True)):
+            while self.slot_key[slot] >= 0:
+                slot = (slot + 1) & ((1 << SLOT_BITS) - 1)
+            self.slot_key[slot], self.slot_rank[slot] = key, rank
         self.merged = np.array([vocab[a + b] for a, b in merges], np.int64)  # by rank
         self.pieces = [b""] * (max(max(vocab.values()), SPECIAL_ID) + 1)
         for token, i in vocab.items():
             self.pieces[i] = bytes(back[c] for c in token)
         self.pieces[SPECIAL_ID] = SPECIAL
 
+    @staticmethod
+    def _slots(keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair's merge, from a hash table with linear probing."""
         want = (left << 16) | right
-        at = np.minimum(np.searchsorted(self.keys, want), len(self.keys) - 1)
-        return np.where(self.keys[at] == want, self.rank[at], NONE >> 32)
+        slot = self._slots(want)
+        key = self.slot_key[slot]
+        out = np.where(key == want, self.slot_rank[slot], NONE >> 32)
+        todo = np.flatnonzero((key != want) & (key >= 0))
+        while len(todo):
+            slot[todo] = (slot[todo] + 1) & ((1 << SLOT_BITS) - 1)
+            key = self.slot_key[slot[todo]]
+            hit = key == want[todo]
+            out[todo[hit]] = self.slot_rank[slot[todo[hit]]]
+            todo = todo[~hit & (key >= 0)]
+        return out
 
     def merge_one(self, word: bytes) -> list[int]:
         """Merges of one long word by a heap over a linked list."""
@@ -422,7 +440,7 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
                 for s, e, n in zip(starts[example].tolist(), ends[example].tolist(), np.bincount(code, minlength=len(distinct)).tolist(), strict=True):
                     w = raw[s:e]
                     held[w] = held.get(w, 0) + n
-                if len(held) > MEMO_WORDS:
+                if len(held) > MEMO_WORDS // 4:
                     yield flush()
         yield flush()
 

@@ -6,11 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrygrid.llm import bpe, neardup
+from quarrygrid.llm import bpe, fingerprint, licenses, neardup, packing, quality, secrets, url_filter, vecdup, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_knn": quality.op1_quality_knn,
+    "op2_url_bloom_cascade": url_filter.op2_url_bloom_cascade,
+    "op3_license_scan": licenses.op3_license_scan,
     "op4_setsketch_dedup": neardup.op4_setsketch_dedup,
+    "op5_nnls_packing": packing.op5_nnls_packing,
+    "op6_crosspolytope_dedup": vecdup.op6_crosspolytope_dedup,
     "op7_bpe_transducer": bpe.op7_bpe_transducer,
+    "op8_warc_chain": warc.op8_warc_chain,
+    "op9_prefix_fingerprint": fingerprint.op9_prefix_fingerprint,
+    "op10_secret_forest": secrets.op10_secret_forest,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_url_bloom_cascade": url_filter.OP2_SQL,
+    "op3_license_scan": licenses.OP3_SQL,
+    "op8_warc_chain": warc.OP8_SQL,
+}

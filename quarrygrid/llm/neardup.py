@@ -22,15 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrygrid.common import drop_scratch, materialize, table
+from quarrygrid.common import drop_scratch, materialize, shuffle_partitions, table
 from quarrygrid.llm import textkernel as tk
 from quarrygrid.operators.graph_core import min_label_components
 
-REGISTERS, BASE, OFFSET = 256, 1.1, 20
+REGISTERS, BASE, OFFSET = 320, 1.1, 20
 #: A pair of similarity 0.8 shares one of 42 bands of 6 registers with probability 1 - 3e-6, one of the first 12 with 0.97.
 BAND_ROWS, BANDS, FIRST_BANDS = 6, 42, 12
-#: Pairs whose likeliest similarity is lower by four standard deviations (sqrt(.8 * .2 / 256)) are no candidates.
-MARGIN = 0.1
+#: Pairs whose likeliest similarity is lower by four standard deviations (sqrt(.8 * .2 / 320)) are no candidates.
+MARGIN = 0.09
 BLOCK = 512
 WORDS, SIMILARITY = 5, 0.8
 
@@ -133,11 +133,12 @@ def compare_blocks(rows: DataFrame, similarity: float, forest: bool) -> DataFram
     """Candidate pairs (a, b) among the members of each block pair.
 
     ``rows``: bucket, left block, right block, doc_id, n_shingles, registers, label, block; sorted by the first three.
-    A pair counts in the first band that it shares, so no pair comes from two buckets of the second round.
+    A pair counts in the first band that it shares, so no pair comes from two buckets.
     """
     least = similarity - MARGIN
 
-    def pairs(ids, size, registers, label, block, left, right) -> tuple[np.ndarray, np.ndarray]:
+    def pairs(bucket, ids, size, registers, label, block, left, right) -> tuple[np.ndarray, np.ndarray]:
+        keys = np.stack([band_keys(r) for r in registers])
         if left == right:
             rows_a = rows_b = np.arange(len(ids))
         else:
@@ -155,6 +156,8 @@ def compare_blocks(rows: DataFrame, similarity: float, forest: bool) -> DataFram
             p, q = part[p], rows_b[q]
             for k in range(0, len(p), 8192):
                 a, b = p[k : k + 8192], q[k : k + 8192]
+                mine = keys[a, (keys[a] == keys[b]).argmax(1)] == bucket
+                a, b = a[mine], b[mine]
                 ra, rb = registers[a], registers[b]
                 more, less = (ra > rb).sum(1), (ra < rb).sum(1)
                 total = size[a] + size[b]
@@ -192,7 +195,7 @@ def compare_blocks(rows: DataFrame, similarity: float, forest: bool) -> DataFram
             if len(g) < 2 or g["label"].nunique() < 2:
                 return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
             registers = np.frombuffer(b"".join(g["registers"]), np.uint8).reshape(len(g), REGISTERS)
-            a, b = pairs(g["doc_id"].to_numpy(), g["n_shingles"].to_numpy(), registers, g["label"].to_numpy(), g["block"].to_numpy(), g["left"].iloc[0], g["right"].iloc[0])
+            a, b = pairs(g["bucket"].iloc[0], g["doc_id"].to_numpy(), g["n_shingles"].to_numpy(), registers, g["label"].to_numpy(), g["block"].to_numpy(), g["left"].iloc[0], g["right"].iloc[0])
             return pd.DataFrame({"a": a, "b": b})
 
         for f in frames:
@@ -214,7 +217,7 @@ def compare_blocks(rows: DataFrame, similarity: float, forest: bool) -> DataFram
 
 
 def candidates(reps: DataFrame, labels: DataFrame | None, bands: int, similarity: float, forest: bool) -> DataFrame:
-    """Distinct candidate pairs of representatives that have different labels and share a band."""
+    """Candidate pairs of representatives that have different labels and share a band, each once."""
     member = banded(reps, bands)
     if labels is not None:
         member = member.join(labels.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("doc_id", "bucket", F.coalesce("component", "doc_id").alias("label"))
@@ -229,8 +232,8 @@ def candidates(reps: DataFrame, labels: DataFrame | None, bands: int, similarity
     held = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     held = held.select("bucket", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "doc_id", "label")
     rows = held.join(reps.select("doc_id", "n_shingles", "registers"), "doc_id")
-    spread = rows.repartition("bucket", "left", "right").sortWithinPartitions("bucket", "left", "right")
-    return compare_blocks(spread.select("bucket", "left", "right", "block", "doc_id", "n_shingles", "registers", "label"), similarity, forest).distinct()
+    spread = rows.repartition(shuffle_partitions(reps.sparkSession), "bucket", "left", "right").sortWithinPartitions("bucket", "left", "right")
+    return compare_blocks(spread.select("bucket", "left", "right", "block", "doc_id", "n_shingles", "registers", "label"), similarity, forest)
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:

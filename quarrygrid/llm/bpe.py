@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarrygrid.common import drop_scratch, materialize
 from quarrygrid.llm import textkernel as tk
 
 SPECIAL, SPECIAL_ID = b"<|endoftext|>", 50256
@@ -448,12 +449,22 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def build_lexicon(docs: DataFrame, vocabulary_path: str, text: str = "text", size: int = LEXICON_WORDS) -> Lexicon:
-    """The transducer of the ``size`` most frequent pretokens (ties by bytes). What reaches the driver is bounded by ``size``.
+    """The transducer of at most ``size`` of the most frequent pretokens.
 
-    Words over 64 bytes are left to the merges: they hardly recur and only lengthen the automaton.
+    Counts fall into bins (eight for each doubling); whole bins are taken from the top as long as they fit, so what reaches
+    the driver is bounded by ``size`` words and some hundred bins. Words that occur once or are over 64 bytes are left to the
+    merges: they hardly recur.
     """
-    top = word_counts(docs, text).where(F.length("word") <= 64).orderBy(F.desc("n"), "word").limit(size)
-    return Lexicon.compile((bytes(r.word) for r in top.collect()), Vocabulary(vocabulary_path))
+    counts = materialize(word_counts(docs, text).where((F.col("n") > 1) & (F.length("word") <= 64)).withColumn("bin", F.floor(F.log2("n") * 8)), "bpe-words")
+    room, least = size, None
+    for b, n in sorted(counts.groupBy("bin").count().collect(), reverse=True):
+        room -= n
+        if room < 0:
+            break
+        least = b
+    words = counts.where(F.col("bin") >= least).select("word").collect() if least is not None else []
+    drop_scratch(docs.sparkSession, counts)
+    return Lexicon.compile((bytes(r.word) for r in words), Vocabulary(vocabulary_path))
 
 
 _WORKER: dict[str, Encoder] = {}

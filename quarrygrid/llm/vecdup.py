@@ -81,10 +81,24 @@ def hashed(vectors: DataFrame) -> DataFrame:
     return vectors.mapInArrow(run, "rep long, copies long, vector binary, keys binary")
 
 
+def first_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """One shared key of each pair of rows, the same in whichever bucket they meet.
+
+    The first slot in which both have the same key; only pairs without such a slot are compared across slots.
+    """
+    same = a == b
+    slot = same.argmax(1)
+    out = a[np.arange(len(a)), slot]
+    rest = np.flatnonzero(~same[np.arange(len(a)), slot])
+    x, y = a[rest], b[rest]
+    out[rest] = np.where((x[:, :, None] == y[:, None, :]).any(2), x, np.iinfo(np.int64).max).min(1)
+    return out
+
+
 def block_links(rows: DataFrame, cosine: float) -> DataFrame:
     """(a, b, n): rows of ``b`` null hold the links of a (weighted by copies) in one block pair; the others a spanning forest.
 
-    A pair counts only in the first bucket, by key, that both vectors are in.
+    A pair counts only in the bucket of ``first_shared``.
     """
 
     def links(g: pd.DataFrame) -> pd.DataFrame:
@@ -112,8 +126,8 @@ def block_links(rows: DataFrame, cosine: float) -> DataFrame:
             p, q = part[p], rows_b[q]
             for k in range(0, len(p), 4096):
                 a, b = p[k : k + 4096], q[k : k + 4096]
-                shared = np.where((keys[a][:, :, None] == keys[b][:, None, :]).any(2), keys[a], np.iinfo(np.int64).max).min(1)
-                a, b = a[shared == bucket], b[shared == bucket]
+                own = first_shared(keys[a], keys[b]) == bucket
+                a, b = a[own], b[own]
                 np.add.at(total, a, copies[b])
                 np.add.at(total, b, copies[a])
                 for u, v in zip(a.tolist(), b.tolist(), strict=True):

@@ -366,7 +366,12 @@ def containment_scan(items: DataFrame, docs: DataFrame, min_len: int = 12, words
     ws = r"[ \t\r\n]+"
 
     def runs(array: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.size(array) - words + 1, F.lit(1))), lambda i: F.array_join(F.slice(array, i, words), " "))
+        # zipped with its own tails, so that the words are not split anew for every run
+        joined = array
+        for j in range(1, words):
+            tail = F.slice(array, j + 1, F.greatest(F.size(array), F.lit(1)))
+            joined = F.zip_with(joined, tail, lambda x, y: F.concat(x, F.lit(" "), y))
+        return F.filter(joined, lambda x: x.isNotNull())
 
     long = items.where(F.length("text") >= min_len).select("item_id", "text")
     inner = F.filter(F.slice(F.split("text", ws), 2, F.greatest(F.size(F.split("text", ws)) - 2, F.lit(0))), lambda w: w != "")

@@ -25,6 +25,8 @@ MAGIC, END = "WARC/1.1\r\n", "\r\n\r\n"
 REVISIT_BYTES = 100
 #: Records in a file, at most: what one file may add to a window.
 FILE_RECORDS = 50_000
+#: Groups of equal payloads (about 150 bytes each) up to which they are broadcast.
+BROADCAST_GROUPS = 200_000
 
 
 def with_revisits(pages: DataFrame, least_bytes: int = REVISIT_BYTES) -> DataFrame:
@@ -38,6 +40,9 @@ def with_revisits(pages: DataFrame, least_bytes: int = REVISIT_BYTES) -> DataFra
         rows.where(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
         .where("n > 1").select("payload_digest", "first")
     )
+    copies = materialize(copies, "warc-copies")
+    if copies.count() <= BROADCAST_GROUPS:  # else the pages are shuffled by digest
+        copies = F.broadcast(copies)
     other = (F.col("payload_bytes") >= least_bytes) & ~F.col("page_id").eqNullSafe(F.col("first"))
     return rows.join(copies, "payload_digest", "left").withColumn("refers_to", F.when(other, F.col("first"))).drop("first")
 

@@ -121,10 +121,9 @@ def html_blocks(pages: DataFrame) -> DataFrame:
                     self.hidden += 1
                 elif tag == "title":
                     self.in_title = True
-                elif tag == "table":
-                    self.row = -1
-                elif tag == "tr":
-                    self.row, self.col = self.row + 1, -1
+                elif tag in ("table", "tr"):
+                    self.close_block()
+                    self.row, self.col = (-1 if tag == "table" else self.row + 1), -1
                 elif tag == "br" and self.tag:
                     self.parts.append(" ")
                 elif tag == "img" and not self.hidden:

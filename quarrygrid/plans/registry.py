@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-for _name in ("lexical", "vectors", "ranking", "evaluation", "lifecycle", "structure", "graph", "answers"):
+for _name in ("lexical", "vectors", "ranking", "evaluation", "lifecycle", "structure", "graph", "answers", "sources"):
     _module = import_module(f"quarrygrid.plans.{_name}")
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL

@@ -17,7 +17,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,12 +25,12 @@ from quarrygrid.common import drop_scratch, materialize, shuffle_partitions, tab
 from quarrygrid.llm import textkernel as tk
 from quarrygrid.operators.graph_core import min_label_components
 
-REGISTERS, BASE, OFFSET = 320, 1.1, 20
+REGISTERS, BASE, OFFSET = 448, 1.1, 20
 #: A pair of similarity 0.8 shares one of 42 bands of 6 registers with probability 1 - 3e-6, one of the first 12 with 0.97.
 BAND_ROWS, BANDS, FIRST_BANDS = 6, 42, 12
-#: Pairs whose likeliest similarity is lower by four standard deviations (sqrt(.8 * .2 / 320)) are no candidates.
-MARGIN = 0.09
-BLOCK = 512
+#: Pairs whose likeliest similarity is lower by four standard deviations (sqrt(.8 * .2 / 448)) are no candidates.
+MARGIN = 0.076
+BLOCK, SMALL = 512, 48
 WORDS, SIMILARITY = 5, 0.8
 
 _LOW = (tk.mix(np.arange(1, REGISTERS + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
@@ -46,7 +45,6 @@ def sketch(shingles: np.ndarray) -> np.ndarray:
     least = np.full(REGISTERS, 0xFFFFFFFF, np.uint32)
     for i in range(0, len(low), 1024):
         value = low[None, i : i + 1024] * _LOW[:, None]
-        value ^= value >> np.uint32(15)
         value += high[None, i : i + 1024] * _HIGH[:, None]
         np.minimum(least, value.min(1), out=least)
     x = -np.log1p(-(least.astype(np.float64) + 0.5) / 2.0**32)
@@ -87,14 +85,19 @@ def likely_similarity(u: np.ndarray, v: np.ndarray, more: np.ndarray, less: np.n
 
 
 def band_keys(registers: np.ndarray) -> np.ndarray:
-    """One 64-bit key for each band."""
-    rows = registers[: BANDS * BAND_ROWS].reshape(BANDS, BAND_ROWS).astype(np.uint64)
-    key = np.arange(1, BANDS + 1, dtype=np.uint64)
+    """One 64-bit key for each band of each row of registers."""
+    rows = registers[:, : BANDS * BAND_ROWS].reshape(len(registers), BANDS, BAND_ROWS)
+    key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), rows.shape[:2])
     for j in range(BAND_ROWS):
-        key = key << np.uint64(8) | rows[:, j]
+        key = key << np.uint64(8) | rows[:, :, j]
     return tk.mix(key).view(np.int64)
 
 
+def register_matrix(column: pa.Array) -> np.ndarray:
+    """The registers of an Arrow column of binaries, one row each."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), REGISTERS)
+
+
 def sketches(docs: DataFrame, words: int) -> DataFrame:
     """(doc_id, n_shingles, digest of the shingle set, registers, bands) of every row."""
 
@@ -122,98 +125,142 @@ def banded(reps: DataFrame, bands: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy()
-            keys = [band_keys(np.frombuffer(r, np.uint8))[:bands] for r in batch.column(1).to_pylist()]
-            flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, bands)), pa.array(flat)], ["doc_id", "bucket"])
+            keys = band_keys(register_matrix(batch.column(1)))[:, :bands]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, bands)), pa.array(keys.ravel())], ["doc_id", "bucket"])
 
     return reps.select("doc_id", "registers").mapInArrow(run, "doc_id long, bucket long")
 
 
+class Members:
+    """Members of block pairs, sorted so that a block pair's rows stand together."""
+
+    FIELDS = ("bucket", "left", "right", "block", "doc_id", "n_shingles", "label")
+
+    def __init__(self, columns: dict[str, np.ndarray], registers: np.ndarray):
+        self.c, self.registers = columns, registers
+        self.keys = band_keys(registers)
+
+    @classmethod
+    def of(cls, batch: pa.RecordBatch) -> Members:
+        return cls({f: batch.column(i).to_numpy(zero_copy_only=False) for i, f in enumerate(cls.FIELDS)}, register_matrix(batch.column(7)))
+
+    def __len__(self) -> int:
+        return len(self.registers)
+
+    def cuts(self) -> np.ndarray:
+        """Where block pairs begin, and the end."""
+        c = self.c
+        new = (c["bucket"][1:] != c["bucket"][:-1]) | (c["left"][1:] != c["left"][:-1]) | (c["right"][1:] != c["right"][:-1])
+        return np.concatenate(([0], np.flatnonzero(new) + 1, [len(self)]))
+
+    def part(self, lo: int, hi: int) -> Members:
+        out = object.__new__(Members)
+        out.c, out.registers, out.keys = {f: x[lo:hi] for f, x in self.c.items()}, self.registers[lo:hi], self.keys[lo:hi]
+        return out
+
+    def joined(self, other: Members) -> Members:
+        out = object.__new__(Members)
+        out.c = {f: np.concatenate((x, other.c[f])) for f, x in self.c.items()}
+        out.registers, out.keys = np.concatenate((self.registers, other.registers)), np.concatenate((self.keys, other.keys))
+        return out
+
+    def judged(self, a: np.ndarray, b: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The pairs of rows (of one block pair each) that may be links, with their likeliest similarity."""
+        size, label, found = self.c["n_shingles"], self.c["label"], []
+        ok = (label[a] != label[b]) & (np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b]))
+        a, b = a[ok], b[ok]
+        for k in range(0, len(a), 8192):
+            x, y = a[k : k + 8192], b[k : k + 8192]
+            mine = self.keys[x, (self.keys[x] == self.keys[y]).argmax(1)] == self.c["bucket"][x]
+            x, y = x[mine], y[mine]
+            rx, ry = self.registers[x], self.registers[y]
+            more, less = (rx > ry).sum(1), (rx < ry).sum(1)
+            total = size[x] + size[y]
+            u, v = size[x] / total, size[y] / total
+            fits = likelihood_slope(np.minimum(similarity - MARGIN, np.minimum(u / v, v / u) - 1e-6), u, v, more, less) > 0
+            x, y, u, v, more, less = (z[fits] for z in (x, y, u, v, more, less))
+            found.append((x, y, likely_similarity(u, v, more, less)))
+        if not found:
+            return a[:0], a[:0], np.zeros(0)
+        return tuple(np.concatenate(z) for z in zip(*found, strict=True))
+
+    def pairs(self, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Candidates in all block pairs: small ones together, by the distance of the rows; large ones one by one."""
+        cuts = self.cuts()
+        sizes = np.diff(cuts)
+        group = np.repeat(np.arange(len(sizes)), sizes)
+        small = np.repeat(sizes <= SMALL, sizes) & (self.c["left"] == self.c["right"])
+        rows = np.flatnonzero(small)
+        found = []
+        for d in range(1, min(SMALL, len(rows))):
+            same = group[rows[:-d]] == group[rows[d:]]
+            if not same.any():
+                break
+            found.append(self.judged(rows[:-d][same], rows[d:][same], similarity))
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if small[lo]:
+                continue
+            own = np.arange(lo, hi)
+            one, other = (own, own) if self.c["left"][lo] == self.c["right"][lo] else (own[self.c["block"][lo:hi] == self.c["left"][lo]], own[self.c["block"][lo:hi] == self.c["right"][lo]])
+            for i in range(0, len(one), 64):
+                a, b = (x.ravel() for x in np.meshgrid(one[i : i + 64], other, indexing="ij"))
+                if one is other:
+                    a, b = a[a < b], b[a < b]
+                found.append(self.judged(a, b, similarity))
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        return tuple(np.concatenate(z) for z in zip(*found, strict=True))
+
+
+def spanning_forest(n: int, a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Which pairs, the heaviest first, join two parts of n rows that weren't joined before."""
+    root = list(range(n))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    keep = []
+    for k in np.argsort(-weight, kind="stable").tolist():
+        i, j = find(int(a[k])), find(int(b[k]))
+        if i != j:
+            root[i] = j
+            keep.append(k)
+    return np.array(keep, np.int64)
+
+
 def compare_blocks(rows: DataFrame, similarity: float, forest: bool) -> DataFrame:
     """Candidate pairs (a, b) among the members of each block pair.
 
-    ``rows``: bucket, left block, right block, doc_id, n_shingles, registers, label, block; sorted by the first three.
-    A pair counts in the first band that it shares, so no pair comes from two buckets.
+    ``rows``: the fields of ``Members`` and registers; sorted by bucket, left and right block. A pair counts in the first band that
+    it shares, so no pair comes from two buckets. With ``forest`` only a spanning forest of each block pair's likeliest pairs.
     """
-    least = similarity - MARGIN
-
-    def pairs(bucket, ids, size, registers, label, block, left, right) -> tuple[np.ndarray, np.ndarray]:
-        keys = np.stack([band_keys(r) for r in registers])
-        if left == right:
-            rows_a = rows_b = np.arange(len(ids))
-        else:
-            rows_a, rows_b = np.flatnonzero(block == left), np.flatnonzero(block == right)
-        out = []
-        for i in range(0, len(rows_a), 32):
-            part = rows_a[i : i + 32]
-            x, y = part[:, None], rows_b[None, :]
-            ok = label[x] != label[y]
-            if left == right:
-                ok &= x < y
-            small, large = np.minimum(size[x], size[y]), np.maximum(size[x], size[y])
-            ok &= small >= similarity * large
-            p, q = np.nonzero(ok)
-            p, q = part[p], rows_b[q]
-            for k in range(0, len(p), 8192):
-                a, b = p[k : k + 8192], q[k : k + 8192]
-                mine = keys[a, (keys[a] == keys[b]).argmax(1)] == bucket
-                a, b = a[mine], b[mine]
-                ra, rb = registers[a], registers[b]
-                more, less = (ra > rb).sum(1), (ra < rb).sum(1)
-                total = size[a] + size[b]
-                u, v = size[a] / total, size[b] / total
-                fits = likelihood_slope(np.minimum(least, np.minimum(u / v, v / u) - 1e-6), u, v, more, less) > 0
-                a, b, u, v, more, less = (z[fits] for z in (a, b, u, v, more, less))
-                out.append((a, b, likely_similarity(u, v, more, less)))
-        if not out:
-            return ids[:0], ids[:0]
-        a, b, estimate = (np.concatenate(z) for z in zip(*out, strict=True))
+
+    def closed(m: Members) -> pa.RecordBatch:
+        a, b, estimate = m.pairs(similarity)
         if forest:
-            root = list(range(len(ids)))
-
-            def find(i: int) -> int:
-                while root[i] != i:
-                    root[i] = root[root[i]]
-                    i = root[i]
-                return i
-
-            keep = []
-            for k in np.argsort(-estimate, kind="stable").tolist():
-                i, j = find(int(a[k])), find(int(b[k]))
-                if i != j:
-                    root[i] = j
-                    keep.append(k)
+            keep = spanning_forest(len(m), a, b, estimate)
             a, b = a[keep], b[keep]
-        return np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-
-        def close() -> pd.DataFrame:
-            g = pd.concat(held) if len(held) > 1 else held[0]
-            held.clear()
-            if len(g) < 2 or g["label"].nunique() < 2:
-                return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-            registers = np.frombuffer(b"".join(g["registers"]), np.uint8).reshape(len(g), REGISTERS)
-            a, b = pairs(g["bucket"].iloc[0], g["doc_id"].to_numpy(), g["n_shingles"].to_numpy(), registers, g["label"].to_numpy(), g["block"].to_numpy(), g["left"].iloc[0], g["right"].iloc[0])
-            return pd.DataFrame({"a": a, "b": b})
-
-        for f in frames:
-            if not len(f):
+        ids = m.c["doc_id"]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[a], ids[b])), pa.array(np.maximum(ids[a], ids[b]))], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Members | None = None
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            key = f[["bucket", "left", "right"]].to_numpy()
-            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist(), len(f)]
-            done = []
-            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                if held and tuple(held[-1][["bucket", "left", "right"]].iloc[-1]) != tuple(key[lo]):
-                    done.append(close())
-                held.append(f.iloc[lo:hi])
-            if done:
-                yield pd.concat(done)
+            now = Members.of(batch)
+            held = held.joined(now) if held else now
+            last = int(held.cuts()[-2])  # the last block pair may go on
+            if last:
+                yield closed(held.part(0, last))
+                held = held.part(last, len(held))
         if held:
-            yield close()
+            yield closed(held)
 
-    return rows.mapInPandas(run, "a long, b long")
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def candidates(reps: DataFrame, labels: DataFrame | None, bands: int, similarity: float, forest: bool) -> DataFrame:
@@ -233,7 +280,7 @@ def candidates(reps: DataFrame, labels: DataFrame | None, bands: int, similarity
     held = held.select("bucket", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "doc_id", "label")
     rows = held.join(reps.select("doc_id", "n_shingles", "registers"), "doc_id")
     spread = rows.repartition(shuffle_partitions(reps.sparkSession), "bucket", "left", "right").sortWithinPartitions("bucket", "left", "right")
-    return compare_blocks(spread.select("bucket", "left", "right", "block", "doc_id", "n_shingles", "registers", "label"), similarity, forest)
+    return compare_blocks(spread.select(*Members.FIELDS, "registers"), similarity, forest)
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:

@@ -51,6 +51,18 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def bounded_choice(df: DataFrame, n: int, *cols: str) -> DataFrame:
+    """At most ``n`` rows: those whose hash of ``cols`` is below a threshold that the number of rows sets.
+
+    Unlike an ordered limit this sends nothing to one task but what is chosen; few rows over ``n`` are cut only where many
+    rows have one hash.
+    """
+    total = df.count()
+    if total <= n:
+        return df
+    return df.where(F.shiftrightunsigned(F.xxhash64(*cols), 1) < int(0.9 * n / total * (1 << 63))).limit(n)
+
+
 def topk(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:
     """First ``k`` rows of each key; Spark prunes before the shuffle (WindowGroupLimit)."""
     w = Window.partitionBy(*keys).orderBy(*order)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrygrid.common import table
+from quarrygrid.common import bounded_choice, table
 from quarrygrid.llm import textkernel as tk
 
 WORD_BINS, SHAPE_BINS, REPEAT_BINS = 2048, 512, 16
@@ -114,10 +114,8 @@ def held_out(doc_id: Column | str = "doc_id") -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, target: str = "quality") -> Model:
     """The model of at most ``TRAIN_ROWS`` labelled texts that are not held out; what reaches the driver is bounded by that."""
-    chosen = (
-        labels.where(F.col(target).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max(target).alias("label"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
-    )
+    known = labels.where(F.col(target).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max(target).alias("label"))
+    chosen = bounded_choice(known, TRAIN_ROWS, "doc_id")
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,7 +124,7 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality") -> Model:
                 counts = np.minimum(term_counts(data, offsets), 255).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array([c.tobytes() for c in counts], pa.binary())], ["doc_id", "label", "counts"])
 
-    found = rows.mapInArrow(run, "doc_id long, label int, counts binary").orderBy("doc_id").limit(2 * TRAIN_ROWS).toPandas()
+    found = rows.mapInArrow(run, "doc_id long, label int, counts binary").limit(2 * TRAIN_ROWS).toPandas().sort_values(["doc_id", "counts"], kind="stable")
     counts = np.frombuffer(b"".join(found["counts"]), np.uint8).reshape(len(found), BINS)
     return Model(counts, found["label"].to_numpy(np.float64))
 

@@ -13,7 +13,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrygrid.common import materialize, table
+from quarrygrid.common import bounded_choice, materialize, table
 
 CANDIDATE = r"(?=[A-Za-z_+/\-]*[0-9])[A-Za-z0-9_+/\-]{16,}={0,2}"
 CONTEXT = 40
@@ -89,15 +89,17 @@ def labelled_findings(found: DataFrame) -> DataFrame:
     spark = found.sparkSession
     before = F.coalesce("before", F.lit(""))
     label = (F.col("value").rlike(PROVIDER_FORMAT) | before.rlike(SECRET_WORDS + "\\s*[=:]\\s*[\"'`]?$")).cast("double")
-    own = found.select("before", "value", "after", label.alias("label")).orderBy(F.xxhash64("value", "before"), "value", "before", "after").limit(TRAIN_FINDINGS)
+    own = found.select("before", "value", "after", label.alias("label"))
+    own = bounded_choice(own, TRAIN_FINDINGS, "value", "before", "after")
     fixed = spark.createDataFrame([(b, v, a, float(y)) for b, v, a, y in SEED_FINDINGS], "before string, value string, after string, label double")
     return own.unionByName(fixed)
 
 
 def train(labelled: DataFrame) -> RandomForestClassificationModel:
     """The forest of rows with value, before, after and label (0 or 1)."""
-    rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(with_features(labelled)).select("features", "label")
-    return RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, featureSubsetStrategy="sqrt").fit(rows.coalesce(1))
+    rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(with_features(labelled)).select("features", "label", *FEATURES)
+    # one ordered partition: the forest's random choices then don't depend on how the findings were spread
+    return RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, featureSubsetStrategy="sqrt").fit(rows.coalesce(1).sortWithinPartitions(F.xxhash64(F.col("label"), *FEATURES), "label"))
 
 
 def judged(found: DataFrame, model: RandomForestClassificationModel) -> DataFrame:

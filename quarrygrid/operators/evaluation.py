@@ -397,7 +397,11 @@ PLACEHOLDER = r"(?i)(example|placeholder|changeme|xxxx|your[_-])"
 
 def secret_scan(docs: DataFrame, rules: Sequence[tuple[str, str]] = SECRET_RULES) -> DataFrame:
     """(doc_id, kind, ordinal, value_sha256, position) of secrets by rule; placeholders are left out. Position is 1-based, of the value's first occurrence."""
-    found = F.flatten(F.array(*[F.transform(F.regexp_extract_all("text", F.lit(p), F.lit(0)), lambda v, i, n=n: F.struct(F.lit(n).alias("kind"), i.alias("ordinal"), v.alias("value"))) for n, p in rules]))
+
+    def hits(name: str, pattern: str) -> Column:
+        return F.transform(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)), lambda v, i: F.struct(F.lit(name).alias("kind"), i.alias("ordinal"), v.alias("value")))
+
+    found = F.flatten(F.array(*[hits(n, p) for n, p in rules]))
     rows = docs.where("text is not null").select("doc_id", "text", F.explode(found).alias("x")).where(~F.col("x.value").rlike(PLACEHOLDER))
     return rows.select("doc_id", "x.kind", F.col("x.ordinal").cast("long").alias("ordinal"), F.sha2("x.value", 256).alias("value_sha256"), F.expr("cast(instr(text, x.value) as bigint)").alias("position"))
 
@@ -495,7 +499,7 @@ def stage_profile(traces: DataFrame) -> DataFrame:
     out = rows.groupBy("stage").agg(nearest_rank("ms", 0.5).alias("p50"), nearest_rank("ms", 0.95).alias("p95"), F.sum("ms").alias("sum_ms"), F.corr("ms", "total").alias("corr_total"), F.sum(slow).alias("slow_ms"))
     whole = total.agg(F.sum("total").alias("all_ms"))
     slow_all = total.join(F.broadcast(cut)).where("total >= cut").agg(F.sum("total").alias("slow_all"))
-    return out.join(F.broadcast(whole)).join(F.broadcast(slow_all)).select("stage", "p50", "p95", (F.col("sum_ms") / F.col("all_ms")).alias("share"), "corr_total", (F.coalesce("slow_ms", F.lit(0.0)) / F.col("slow_all")).alias("slow_share"))
+    return out.join(F.broadcast(whole)).join(F.broadcast(slow_all)).select("stage", "p50", "p95", (F.col("sum_ms").cast("double") / F.col("all_ms").cast("double")).alias("share"), "corr_total", (F.coalesce(F.col("slow_ms").cast("double"), F.lit(0.0)) / F.col("slow_all").cast("double")).alias("slow_share"))
 
 
 def monitor_aggregates() -> list[Column]:

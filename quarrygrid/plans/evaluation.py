@@ -165,7 +165,7 @@ def compare_runs(spark, sf):
 def failure_attribution(spark, sf):
     d = table(spark, sf, "documents")
     m = lambda k: F.col("doc_id") % k == 0
-    return ev.failure_attribution(d.select(F.col("doc_id").alias("sample_id"), ~m(5).alias("answerable"), ~m(7).alias("answered"), (F.col("doc_id") % 11).alias("n_candidates"), ~m(4).alias("gold_in_candidates"), ~m(6).alias("gold_in_evidence"), ~m(9).alias("cited"), ~m(13).alias("correct")))
+    return ev.failure_attribution(d.select(F.col("doc_id").alias("sample_id"), (~m(5)).alias("answerable"), (~m(7)).alias("answered"), (F.col("doc_id") % 11).alias("n_candidates"), (~m(4)).alias("gold_in_candidates"), (~m(6)).alias("gold_in_evidence"), (~m(9)).alias("cited"), (~m(13)).alias("correct")))
 
 
 def _replicates(spark, sf):

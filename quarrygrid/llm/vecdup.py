@@ -12,16 +12,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrygrid.common import materialize, table
 from quarrygrid.llm import textkernel as tk
+from quarrygrid.llm.neardup import spanning_forest
 from quarrygrid.operators.graph_core import min_label_components
 
-TABLES, HASHES, COSINE, BLOCK = 12, 2, 0.93, 512
+TABLES, HASHES, COSINE, BLOCK, SMALL = 12, 2, 0.93, 512, 48
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -95,70 +95,107 @@ def first_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def block_links(rows: DataFrame, cosine: float) -> DataFrame:
-    """(a, b, n): rows of ``b`` null hold the links of a (weighted by copies) in one block pair; the others a spanning forest.
+class Group:
+    """Members of block pairs, sorted so that a block pair's rows stand together."""
 
-    A pair counts only in the bucket of ``first_shared``.
-    """
+    FIELDS = ("bucket", "left", "right", "block", "rep", "copies")
+
+    def __init__(self, columns: dict[str, np.ndarray], vectors: list[bytes], keys: list[bytes]):
+        self.c, self.vectors, self.keys = columns, vectors, keys
 
-    def links(g: pd.DataFrame) -> pd.DataFrame:
-        ids, copies, block = g["rep"].to_numpy(), g["copies"].to_numpy(), g["block"].to_numpy()
-        bucket, left, right = g["bucket"].iloc[0], g["left"].iloc[0], g["right"].iloc[0]
-        x = np.frombuffer(b"".join(g["vector"]), np.float64).reshape(len(g), -1)
-        keys = np.frombuffer(b"".join(g["keys"]), np.int64).reshape(len(g), -1)
-        rows_a, rows_b = (np.arange(len(g)),) * 2 if left == right else (np.flatnonzero(block == left), np.flatnonzero(block == right))
-        total = np.zeros(len(g), np.int64)
-        root = list(range(len(g)))
-
-        def find(i: int) -> int:
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
+    @classmethod
+    def of(cls, batch: pa.RecordBatch) -> Group:
+        return cls({f: batch.column(i).to_numpy(zero_copy_only=False) for i, f in enumerate(cls.FIELDS)}, batch.column(6).to_pylist(), batch.column(7).to_pylist())
 
+    def cuts(self) -> np.ndarray:
+        c = self.c
+        new = (c["bucket"][1:] != c["bucket"][:-1]) | (c["left"][1:] != c["left"][:-1]) | (c["right"][1:] != c["right"][:-1])
+        return np.concatenate(([0], np.flatnonzero(new) + 1, [len(self.vectors)]))
+
+    def part(self, lo: int, hi: int) -> Group:
+        return Group({f: x[lo:hi] for f, x in self.c.items()}, self.vectors[lo:hi], self.keys[lo:hi])
+
+    def joined(self, other: Group) -> Group:
+        return Group({f: np.concatenate((x, other.c[f])) for f, x in self.c.items()}, self.vectors + other.vectors, self.keys + other.keys)
+
+    def near(self, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of rows of one block pair with that cosine or more: small groups together, by distance; large ones by products of blocks."""
+        cuts = self.cuts()
+        sizes = np.diff(cuts)
+        group = np.repeat(np.arange(len(sizes)), sizes)
+        width = np.array([len(v) for v in self.vectors])
         found_a, found_b = [], []
-        for i in range(0, len(rows_a), 128):
-            part = rows_a[i : i + 128]
-            near = x[part] @ x[rows_b].T >= cosine
-            if left == right:
-                near &= part[:, None] < rows_b[None, :]
-            p, q = np.nonzero(near)
-            p, q = part[p], rows_b[q]
-            for k in range(0, len(p), 4096):
-                a, b = p[k : k + 4096], q[k : k + 4096]
-                own = first_shared(keys[a], keys[b]) == bucket
-                a, b = a[own], b[own]
-                np.add.at(total, a, copies[b])
-                np.add.at(total, b, copies[a])
-                for u, v in zip(a.tolist(), b.tolist(), strict=True):
-                    r, s = find(u), find(v)
-                    if r != s:
-                        root[r] = s
-                        found_a.append(ids[u])
-                        found_b.append(ids[v])
+        for w in np.unique(width):  # a bucket holds one dimension, but a batch may hold several
+            rows = np.flatnonzero(width == w)
+            x = np.frombuffer(b"".join([self.vectors[i] for i in rows.tolist()]), np.float64).reshape(len(rows), -1)
+            place = np.full(len(width), -1)
+            place[rows] = np.arange(len(rows))
+            small = np.flatnonzero((sizes[group[rows]] <= SMALL) & (self.c["left"][rows] == self.c["right"][rows]))
+            for d in range(1, min(SMALL, len(small))):
+                same = group[rows[small[:-d]]] == group[rows[small[d:]]]
+                if not same.any():
+                    break
+                p, q = small[:-d][same], small[d:][same]
+                ok = np.einsum("ij,ij->i", x[p], x[q]) >= cosine
+                found_a.append(rows[p[ok]])
+                found_b.append(rows[q[ok]])
+            for g in np.unique(group[rows]).tolist():
+                lo, hi = int(cuts[g]), int(cuts[g + 1])
+                within = self.c["left"][lo] == self.c["right"][lo]
+                if within and sizes[g] <= SMALL:
+                    continue
+                own = np.arange(lo, hi)
+                one, other = (own, own) if within else (own[self.c["block"][lo:hi] == self.c["left"][lo]], own[self.c["block"][lo:hi] == self.c["right"][lo]])
+                for i in range(0, len(one), 128):
+                    hit = x[place[one[i : i + 128]]] @ x[place[other]].T >= cosine
+                    if within:
+                        hit &= one[i : i + 128, None] < other[None, :]
+                    p, q = np.nonzero(hit)
+                    found_a.append(one[i : i + 128][p])
+                    found_b.append(other[q])
+        if not found_a:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.concatenate(found_a), np.concatenate(found_b)
+
+    def links(self, cosine: float) -> pa.RecordBatch:
+        ids, copies = self.c["rep"], self.c["copies"]
+        keys = np.frombuffer(b"".join(self.keys), np.int64).reshape(len(self.keys), -1)
+        a, b = self.near(cosine)
+        own = np.zeros(len(a), bool)
+        for k in range(0, len(a), 4096):
+            x, y = a[k : k + 4096], b[k : k + 4096]
+            own[k : k + 4096] = first_shared(keys[x], keys[y]) == self.c["bucket"][x]
+        a, b = a[own], b[own]
+        total = np.bincount(a, copies[b], len(ids)).astype(np.int64) + np.bincount(b, copies[a], len(ids)).astype(np.int64)
+        keep = spanning_forest(len(ids), a, b, np.zeros(len(a)))
         some = np.flatnonzero(total)
-        return pd.DataFrame({
-            "a": np.concatenate((ids[some], np.array(found_a, np.int64))), "b": pd.array([None] * len(some) + found_b, "Int64"),
-            "n": np.concatenate((total[some], np.zeros(len(found_a), np.int64))),
-        })
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        last = None
-        for f in frames:
-            done = []
-            for key, g in f.groupby(["bucket", "left", "right"], sort=False):
-                if held and key != last:
-                    done.append(links(pd.concat(held)))
-                    held = []
-                held.append(g)
-                last = key
-            if done:
-                yield pd.concat(done)
+        return pa.RecordBatch.from_arrays([
+            pa.array(np.concatenate((ids[some], ids[a[keep]]))), pa.concat_arrays([pa.nulls(len(some), pa.int64()), pa.array(ids[b[keep]], pa.int64())]),
+            pa.array(np.concatenate((total[some], np.zeros(len(keep), np.int64)))),
+        ], ["a", "b", "n"])
+
+
+def block_links(rows: DataFrame, cosine: float) -> DataFrame:
+    """(a, b, n): rows of ``b`` null hold the links of a (weighted by copies) in a block pair; the others a spanning forest.
+
+    A pair counts only in the bucket of ``first_shared``.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Group | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = Group.of(batch)
+            held = held.joined(now) if held else now
+            last = int(held.cuts()[-2])  # the last block pair may go on
+            if last:
+                yield held.part(0, last).links(cosine)
+                held = held.part(last, len(held.vectors))
         if held:
-            yield links(pd.concat(held))
+            yield held.links(cosine)
 
-    return rows.mapInPandas(run, "a long, b long, n long")
+    return rows.mapInArrow(run, "a long, b long, n long")
 
 
 def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
@@ -182,7 +219,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     member = raw.join(full, "bucket").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     member = member.select("bucket", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "rep").join(held, "rep")
     spread = member.repartition("bucket", "left", "right").sortWithinPartitions("bucket", "left", "right")
-    found = materialize(block_links(spread.select("bucket", "left", "right", "block", "rep", "copies", "vector", "keys"), cosine), "vecdup-links")
+    found = materialize(block_links(spread.select(*Group.FIELDS, "vector", "keys"), cosine), "vecdup-links")
     links = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
     parts = min_label_components(found.where("b is not null"), tag="vecdup")
     named = (

@@ -37,7 +37,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 STAGES = [("quality", quality_stage), ("near_dedup", near_dedup_stage), ("secrets", secret_stage), ("packing", packing_stage)]
 
-#: Neither the classifier nor the forest nor the packing can be said in SQL; tests compare the stages with plain versions.
+#: Neither the classifier nor the forest nor the packing can be said in SQL; tests cover the operators behind the stages.
 ORACLE_SQL = None
 
 

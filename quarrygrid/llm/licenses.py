@@ -19,6 +19,12 @@ EQUIVALENT = (
 )
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 COPYRIGHT_LINE = r"^[^a-z0-9]*(copyright|\(c\)|©)"
+#: A statement of copyright at the start of a line, to the end of its sentence: not "copyright notice", nor a list's "(c)"; initials and
+#: abbreviations end none, but before a licence's first word. The SQL drops whole lines (COPYRIGHT_LINE).
+COPYRIGHT_STATEMENT = (
+    r"^[^a-z0-9]*(?:(?:copyright|©)(?![a-z])(?![ \t]+(?:notices?|holders?|owners?|statements?|laws?|licen[cs]es?|and|or|is|in|to|of)(?![a-z]))|\(c\)(?![ \t]*(?:you|the|any|all|if|in|to|an?|or|and|each|every|no|must|may|shall)(?![a-z])))"
+    r"[^\n]*?(?:(?<![^a-z][a-z])(?<![^a-z](?:inc|ltd|co|corp|jr|sr|dr|st|mr|ms|mrs|prof|bros|llc|gmbh))[.!?](?=[ \t\r])(?:[ \t]*all rights reserved[.!]?)?|[.!?](?=[ \t]+(?:released|licen[cs]ed|permission|redistribution|distributed|spdx)(?![a-z]))|\z)"
+)
 PUNCTUATION = r"[\x00-\x2f\x3a-\x60\x7b-\x7f‘’“”–—©]+"
 
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
@@ -45,9 +51,9 @@ CATALOGUE = (
 
 
 def canonical(text: Column) -> Column:
-    """The canonical form: lines that state a copyright go; case, punctuation and spellings are made equal; null is empty."""
+    """The canonical form: statements of copyright at a line's start go; case, punctuation and spellings are made equal; null is empty."""
     low = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
-    kept = F.array_join(F.filter(F.split(low, "\n", -1), lambda line: ~line.rlike(COPYRIGHT_LINE)), "\n")
+    kept = F.array_join(F.transform(F.split(low, "\n", -1), lambda line: F.regexp_replace(line, COPYRIGHT_STATEMENT, "")), "\n")
     for a, b in EQUIVALENT:
         kept = F.replace(kept, F.lit(a), F.lit(b))
     return F.trim(F.regexp_replace(kept, PUNCTUATION, " "))

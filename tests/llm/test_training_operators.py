@@ -358,6 +358,17 @@ def test_archives_of_nothing(spark, tmp_path):
     assert warc.read_archives(spark, f"file://{tmp_path}/none").count() == 0
 
 
+# --- copyright statements -------------------------------------------------------------------------------------------
+
+
+def test_license_copyright_words(spark):
+    """Only statements of copyright go, not wrapped lines that begin with the word, nor what follows the statement."""
+    isc = licenses._ISC.replace("the above copyright notice", "the above\ncopyright notice")
+    texts = [isc, "Copyright 2020 X. Released under the MIT License.", "Copyright (c) 2020 J. Doe Inc. All rights reserved.\n" + licenses._MIT, "Copyright 2021 A. B. Co. and others\n" + licenses._ISC, "(c) You must retain\nReleased under the MIT License."]
+    got = licenses.scan_licenses(frame(spark, texts)).orderBy("doc_id").collect()
+    assert [r.license for r in got] == ["ISC", "MIT", "MIT", "ISC", None] and [r.n_notices for r in got] == [0, 1, 0, 0, 1]
+
+
 # --- fingerprints -----------------------------------------------------------------------------------------------------
 
 

@@ -5,13 +5,15 @@ of any span, so spans of one or two texts are compared in constant time, and the
 positions is found by binary search.
 
 A fingerprint keeps the array at a fixed grid of lengths (each about a tenth longer than the one before), from the front
-and from the back, with the hash of the whole text. Two fingerprints show by binary search how far the texts agree from
-either end; that share of the longer text is their likeness.
+and from the back, with the hash of the whole text, and the prefix hashes at inner positions that the characters before
+them choose. Two fingerprints show by binary search how far the texts agree from either end, and by the spans between
+inner positions what else agrees in order; the greater share of the longer text is their likeness.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +26,8 @@ from quarrygrid.common import table
 PRIME = (1 << 31) - 1
 BASES = (1_103_515_245 % PRIME, 69_069_433)
 GROWTH = 1.1
+#: Characters that choose an inner position, and inner positions of a text: so many about, twice that at most but for short texts.
+WINDOW, INNER = 8, 128
 _TABLES: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -91,15 +95,86 @@ def grid(n: int) -> np.ndarray:
 _GRID = grid(1 << 30)
 
 
+def inner_positions(points: PrefixArray) -> tuple[int, np.ndarray]:
+    """The level and (choice, position, prefix hash) of the inner positions and the end.
+
+    At level k a position counts if the mixed hash of the characters before it is below 2^(32-k); all do in texts of up to
+    ``INNER`` characters. A higher level's positions are among a lower one's, so texts of different lengths compare.
+    """
+    n = points.n
+    at = np.arange(1, n + 1)
+    mixed = points.span(np.maximum(at - WINDOW, 0), at)
+    mixed = (mixed ^ mixed >> np.uint64(15)) * np.uint64(2_654_435_769) & np.uint64(0xFFFFFFFF)
+    mixed = (mixed ^ mixed >> np.uint64(16)) * np.uint64(0x45D9F3B) & np.uint64(0xFFFFFFFF)
+    level = max(0, (max(n, 1) - 1) // INNER).bit_length()
+    while True:
+        chosen = mixed < np.uint64(1 << 32 >> level)
+        if level == 32 or chosen.sum() <= 2 * INNER:
+            break
+        level += 1
+    chosen[-1:] = True
+    at = at[chosen]
+    return level, np.stack((mixed[chosen].astype(np.int64), at, points.hash[at].astype(np.int64)), 1) if n else np.zeros((0, 3), np.int64)
+
+
+def _spans(level: int, packed: str, base: int = BASES[0]) -> list[tuple]:
+    """(choice of the end, length, hash) of the spans between the inner positions of a level."""
+    rows = np.frombuffer(bytes.fromhex(packed), ">u4").reshape(-1, 3).astype(np.uint64)
+    keep = rows[:, 0] < np.uint64(1 << 32 >> level)
+    keep[-1:] = True
+    rows = rows[keep]
+    starts = np.concatenate((np.zeros(1, np.int64), rows[:-1, 1].astype(np.int64)))
+    before = np.concatenate((np.zeros(1, np.uint64), rows[:-1, 2]))
+    hashes = (rows[:, 2] + np.uint64(PRIME) - before) % np.uint64(PRIME) * power_tables(base, int(rows[-1, 1]))[1][starts] % np.uint64(PRIME)
+    return list(zip(rows[:, 0].tolist(), (rows[:, 1].astype(np.int64) - starts).tolist(), hashes.tolist(), strict=True))
+
+
+def _in_order(a: list[tuple], b: list[tuple]) -> int:
+    """Characters in equal spans that stand in one order in both: the heaviest rising run of the places in ``b``.
+
+    What agrees from either end is paired at once; of the rest, the equal spans with their places, as many as there are.
+    """
+    same, low = 0, min(len(a), len(b))
+    front = next((i for i in range(low) if a[i] != b[i]), low)
+    back = next((i for i in range(low - front) if a[-1 - i] != b[-1 - i]), low - front)
+    same = sum(x[1] for x in a[:front]) + sum(x[1] for x in a[len(a) - back :])
+    a, b = a[front : len(a) - back], b[front : len(b) - back]
+    places: dict[tuple, list[int]] = {}
+    for j, y in enumerate(b):
+        places.setdefault(y, []).append(j)
+    # ends rise with weights: the best weight of a run that ends at a place or before it
+    ends: list[int] = []
+    best: list[int] = []
+    for x in a:
+        for j in reversed(places.get(x, ())):
+            k = bisect_left(ends, j)
+            weight = x[1] + (best[k - 1] if k else 0)
+            if k < len(ends) and ends[k] == j:
+                if best[k] >= weight:
+                    continue
+                best[k] = weight
+            elif k and best[k - 1] >= weight:
+                continue
+            else:
+                ends.insert(k, j)
+                best.insert(k, weight)
+            stop = k + 1
+            while stop < len(ends) and best[stop] <= weight:
+                stop += 1
+            del ends[k + 1 : stop], best[k + 1 : stop]
+    return same + (best[-1] if best else 0)
+
+
 def fingerprint(text: str) -> str:
-    """``length:hash:prefixes:suffixes``, all in hex; two texts have the same one if they are equal."""
+    """``length:hash:prefixes:suffixes:level:inner positions``, all in hex; two texts have the same one if they are equal."""
     points = code_points(text)
     first, second = (PrefixArray(points, b) for b in BASES)
     n = first.n
     lengths = _GRID[: np.searchsorted(_GRID, n, "right")]
     front = first.hash[lengths].astype(">u4").tobytes().hex()
     back = first.span(n - lengths, np.full(len(lengths), n)).astype(">u4").tobytes().hex()
-    return f"{n:x}:{int(first.hash[n]):08x}{int(second.hash[n]):08x}:{front}:{back}"
+    level, inner = inner_positions(first)
+    return f"{n:x}:{int(first.hash[n]):08x}{int(second.hash[n]):08x}:{front}:{back}:{level:x}:{inner.astype('>u4').tobytes().hex()}"
 
 
 def _agree(a: str, b: str) -> int:
@@ -115,16 +190,18 @@ def _agree(a: str, b: str) -> int:
 
 
 def likeness(a: str, b: str) -> float:
-    """From 0 to 1: the share of the longer text that the two agree in from either end, as far as the grid shows it."""
+    """From 0 to 1: the share of the longer text that the two agree in, from either end or in inner spans of one order, as far as the fingerprints show it."""
     if a == b:
         return 1.0
-    n_a, _, front_a, back_a = a.split(":")
-    n_b, _, front_b, back_b = b.split(":")
+    n_a, _, front_a, back_a, level_a, inner_a = a.split(":")
+    n_b, _, front_b, back_b, level_b, inner_b = b.split(":")
     sizes = int(n_a, 16), int(n_b, 16)
     if not min(sizes):
         return 0.0
     front, back = _agree(front_a, front_b), _agree(back_a, back_b)
     same = (int(_GRID[front - 1]) if front else 0) + (int(_GRID[back - 1]) if back else 0)
+    level = max(int(level_a, 16), int(level_b, 16))
+    same = max(same, _in_order(_spans(level, inner_a), _spans(level, inner_b)))
     return min(same, min(sizes)) / max(sizes)
 
 

@@ -404,6 +404,18 @@ def test_fingerprints_of_edits(spark):
     assert fingerprint.fingerprint_documents(frame(spark, ODD)).count() == len(ODD)
 
 
+def test_likeness_of_spread_edits():
+    """Edits far apart cost only their own spans; unlike texts stay unlike."""
+    rng = random.Random(4)
+    long, other = ("".join(rng.choices("abcdefgh ij", k=10_000)) for _ in range(2))
+    two = long[:200] + "#" + long[201:9800] + "#" + long[9801:]
+    many = "".join(c if i % 2000 != 1000 else "" for i, c in enumerate(long))
+    like = lambda a, b: fingerprint.likeness(fingerprint.fingerprint(a), fingerprint.fingerprint(b))
+    assert 0.9 < like(long, two) < 1 and 0.85 < like(long, many) < 1 and like(long, other) < 0.1
+    assert 0.9 < like(long, "#" + long[1:-1] + "#") < 1 and 0.5 < like("#" + long[1:60] + "#", long[:61]) < 1
+    assert 0.4 < like(long, long[:3000] + other[:4000] + long[7000:]) < 0.7 and like("x" * 5000, "x" * 4000) == 0.8
+
+
 # --- secrets ----------------------------------------------------------------------------------------------------------
 
 

@@ -28,8 +28,11 @@ SPECIAL, SPECIAL_ID = b"<|endoftext|>", 50256
 CONTRACTIONS = (b"s", b"t", b"re", b"ve", b"m", b"ll", b"d")
 LEXICON_WORDS = 50_000
 LONG_WORD = 192
-MEMO_WORDS = 800_000
+#: Words that a task of ``word_counts`` holds before it passes their counts on.
+HELD_WORDS = 100_000
 SLOT_BITS = 18
+#: The memo of an encoder: slots for words (16 bytes each) and ids (4 bytes each), some 12 MB for a worker at any corpus size.
+MEMO_BITS, MEMO_IDS = 18, 1 << 21
 NONE = np.iinfo(np.int64).max
 _OTHER, _LETTER, _NUMBER, _SPACE = 0, 1, 2, 3
 
@@ -338,16 +341,34 @@ def pretokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 class Encoder:
-    """Encodes blocks of texts; remembers the words it has resolved, up to ``MEMO_WORDS``."""
+    """Encodes blocks of texts; remembers words it has resolved.
+
+    The memo is bounded in bytes: one slot for each value of ``MEMO_BITS`` bits of a word's hash, where a new word takes the
+    place of the one before it, and ``MEMO_IDS`` ids. Once the ids don't fit any more, it starts anew.
+    """
 
     def __init__(self, path: str, lexicon: Lexicon | None = None):
         self.vocabulary, self.lexicon = Vocabulary(path), lexicon
-        self._forget()
-
-    def _forget(self) -> None:
-        self.known: dict[int, int] = {}
-        self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.flat = np.zeros(0, np.int64)
+        self.key, self.start, self.size = np.zeros(1 << MEMO_BITS, np.uint64), np.zeros(1 << MEMO_BITS, np.int32), np.zeros(1 << MEMO_BITS, np.int32)
+        self.pool, self.fill = np.zeros(MEMO_IDS, np.int32), 0
+
+    def _words(self, distinct: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A pool of ids, with start and size in it for each distinct word (its hash and an example's bytes)."""
+        slot = (distinct >> np.uint64(64 - MEMO_BITS)).astype(np.int64)
+        start, size = self.start[slot].astype(np.int64), self.size[slot].astype(np.int64)
+        fresh = np.flatnonzero((self.key[slot] != distinct) | (size == 0))
+        if not len(fresh):
+            return self.pool, start, size
+        ids, count = self._resolve(data, starts[fresh], ends[fresh])
+        start[fresh], size[fresh] = self.fill + np.cumsum(count) - count, count
+        if self.fill + len(ids) > len(self.pool):
+            pool = np.concatenate((self.pool[: self.fill], ids.astype(np.int32)))
+            self.size[:], self.fill = 0, 0
+            return pool, start, size
+        self.pool[self.fill : self.fill + len(ids)] = ids
+        self.fill += len(ids)
+        self.key[slot[fresh]], self.start[slot[fresh]], self.size[slot[fresh]] = distinct[fresh], start[fresh], size[fresh]
+        return self.pool, start, size
 
     def _resolve(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids one after another, and their number for each word."""
@@ -369,27 +390,15 @@ class Encoder:
             return self._encode_special(raw, offsets)
         starts, ends, before = pretokens(data, offsets)
         if not len(starts):
-            return np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
+            return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
         import pandas as pd
 
         code, distinct = pd.factorize(tk.span_hashes(data, starts, ends))
-        if len(self.known) > MEMO_WORDS:
-            self._forget()
-        place = np.array(list(map(self.known.get, names := distinct.tolist(), [-1] * len(distinct))), np.int64)
-        fresh = np.flatnonzero(place < 0)
-        if len(fresh):
-            example = np.zeros(len(distinct), np.int64)
-            example[code[::-1]] = np.arange(len(code) - 1, -1, -1)
-            pick = example[fresh]
-            ids, count = self._resolve(data, starts[pick], ends[pick])
-            place[fresh] = np.arange(len(self.start), len(self.start) + len(fresh))
-            self.known.update(zip([names[i] for i in fresh.tolist()], place[fresh].tolist(), strict=True))
-            self.start = np.concatenate((self.start, len(self.flat) + np.cumsum(count) - count))
-            self.size = np.concatenate((self.size, count))
-            self.flat = np.concatenate((self.flat, ids))
-        word = place[code]
-        size = self.size[word]
-        ids = gather(self.flat, self.start[word], size)
+        example = np.zeros(len(distinct), np.int64)
+        example[code[::-1]] = np.arange(len(code) - 1, -1, -1)
+        pool, start, size = self._words(distinct, data, starts[example], ends[example])
+        size = size[code]
+        ids = gather(pool, start[code], size)
         total = np.concatenate(([0], np.cumsum(size)))
         return ids, total[before]
 
@@ -402,10 +411,10 @@ class Encoder:
             ids, cut = self.encode(np.frombuffer(b"".join(parts), np.uint8), np.concatenate(([0], np.cumsum(size))))
             for i in range(len(parts)):
                 if i:
-                    out.append(np.array([SPECIAL_ID]))
+                    out.append(np.array([SPECIAL_ID], np.int32))
                 out.append(ids[cut[i] : cut[i + 1]])
             sizes.append(len(ids) + len(parts) - 1)
-        return np.concatenate(out) if out else np.zeros(0, np.int64), np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
+        return np.concatenate(out) if out else np.zeros(0, np.int32), np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
 
     def decode(self, ids: Sequence[int]) -> str:
         """The text of ids; bytes that are no UTF-8 become U+FFFD, as the library has it."""
@@ -441,7 +450,7 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
                 for s, e, n in zip(starts[example].tolist(), ends[example].tolist(), np.bincount(code, minlength=len(distinct)).tolist(), strict=True):
                     w = raw[s:e]
                     held[w] = held.get(w, 0) + n
-                if len(held) > MEMO_WORDS // 4:
+                if len(held) > HELD_WORDS:
                     yield flush()
         yield flush()
 
@@ -467,15 +476,17 @@ def build_lexicon(docs: DataFrame, vocabulary_path: str, text: str = "text", siz
     return Lexicon.compile((bytes(r.word) for r in words), Vocabulary(vocabulary_path))
 
 
-_WORKER: dict[str, Encoder] = {}
+_WORKER: dict[tuple, Encoder] = {}
 
 
 def worker_encoder(path: str, lexicon: bytes | None = None, key: str = "") -> Encoder:
-    """One encoder for each worker process and lexicon."""
-    if (key or "plain") not in _WORKER:
+    """One encoder for each worker process; a new one for another vocabulary file (by path, size and time) or lexicon (by the digest ``key``)."""
+    file = os.stat(path)
+    own = (path, file.st_size, file.st_mtime_ns, key)
+    if own not in _WORKER:
         _WORKER.clear()
-        _WORKER[key or "plain"] = Encoder(path, Lexicon.mapped(lexicon) if lexicon else None)
-    return _WORKER[key or "plain"]
+        _WORKER[own] = Encoder(path, Lexicon.mapped(lexicon) if lexicon else None)
+    return _WORKER[own]
 
 
 def encode_documents(docs: DataFrame, vocabulary_path: str, text: str = "text", lexicon: Lexicon | None = None, derive=None, schema: str | None = None) -> DataFrame:
@@ -484,9 +495,12 @@ def encode_documents(docs: DataFrame, vocabulary_path: str, text: str = "text",
     ``derive(encoder, ids) -> tuple`` with ``schema`` puts other columns in the place of the ids within the same task, so
     that digests don't carry the ids through Spark. Rows pass in blocks of about a megabyte; there is no shuffle.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(lexicon.to_bytes()) if lexicon else None
+    import hashlib
+
+    flat = lexicon.to_bytes() if lexicon else None
+    shared = docs.sparkSession.sparkContext.broadcast(flat) if lexicon else None
     types = schema or "ids array<int>"
-    key = str(id(shared)) if shared else ""
+    key = hashlib.sha256(flat).hexdigest() if lexicon else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(vocabulary_path, shared.value if shared else None, key)
@@ -494,7 +508,7 @@ def encode_documents(docs: DataFrame, vocabulary_path: str, text: str = "text",
             for lo, hi, data, offsets in tk.blocks(*tk.buffers(batch.column(1))):
                 ids, at = encoder.encode(data, offsets)
                 rows = [ids[at[i] : at[i + 1]] for i in range(hi - lo)]
-                own = [derive(encoder, r) for r in rows] if derive else [(r.astype(np.int32),) for r in rows]
+                own = [derive(encoder, r) for r in rows] if derive else [(r,) for r in rows]
                 columns = list(zip(*own, strict=True))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *(pa.array(c) for c in columns)], ["doc_id", *names])
 

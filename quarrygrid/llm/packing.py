@@ -1,12 +1,13 @@
 """Packing of token sequences into fixed windows.
 
-Every document is cut into full windows and one remainder. Shallow combinations of remainder lengths that fill a window
-exactly are enumerated, non-negative least squares finds how often to repeat each so that the histogram of remainders is
-used up, the counts are rounded down to what is there, and the rest is packed greedily. What no longer fills a window
-with whole remainders becomes one stream that is cut at window ends.
-
-The histogram has at most ``window`` bins, so the plan is made on the driver at any corpus size. A remainder finds its
-place from its length and its rank among the remainders of that length, by one lookup in the broadcast plan.
+Every document is cut into full windows and one remainder. Remainders are gathered up to ``GATHER`` tokens; shallow
+combinations of their lengths that fill a window exactly are enumerated, non-negative least squares finds how often to
+repeat each so that the histogram of lengths is used up, the counts are rounded down to what is there, and the rest is
+packed greedily. What no longer fills a window with whole remainders goes to one stream that is cut at window ends; its
+last, open window is cut into powers of two, which need no padding.
+
+Every task packs its own rows in one pass: nothing is shuffled, joined, broadcast or written in between, a task holds
+``GATHER`` tokens at most, and sequence ids begin with the partition's number, so a lost task is simply run again.
 """
 
 from __future__ import annotations
@@ -18,17 +19,18 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from quarrygrid.common import materialize, table
+from quarrygrid.common import table
 from quarrygrid.llm import bpe
 from quarrygrid.llm import textkernel as tk
 
 WINDOW, END_ID = 2048, 1
 #: Lengths that serve as the middle one of three; rounds of the solver; tokens of padding that a packed window may have.
 COMMON, ROUNDS, SLACK = 32, 300, 8
-#: Rows of rank offsets (16 bytes each) up to which they are broadcast; beyond, they are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Tokens of remainders (4 bytes each) that a task gathers before it plans for them; sequence ids that a partition may use.
+GATHER, PART_BITS = 1 << 22, 33
+#: Pieces in a batch that goes back to Spark (8 KB each at most).
+PIECES = 1024
 
 
 def combinations(histogram: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -85,25 +87,25 @@ def least_squares(lengths: np.ndarray, repeats: np.ndarray, histogram: np.ndarra
 
 
 class Plan:
-    """Where the k-th remainder of each length goes. ``slots``: length, first rank, ranks, first sequence, copies a sequence, offset."""
+    """How many windows hold which lengths, made from a histogram of remainders: combinations by least squares, then greedily.
+
+    ``windows``: (times, ((length, copies), ...)); ``left``: the histogram of what is in none of them.
+    """
 
     def __init__(self, histogram: np.ndarray, window: int):
-        left = histogram.astype(np.int64).copy()
-        left[0] = 0
-        self.window, self.used = window, np.zeros(window, np.int64)
-        self.slots: list[tuple[int, ...]] = []
-        self.sequences = 0
-        lengths, repeats = combinations(left, window)
-        x = least_squares(lengths, repeats, left)
+        self.left = histogram.astype(np.int64).copy()
+        self.left[0] = 0
+        self.windows: list[tuple[int, tuple[tuple[int, int], ...]]] = []
+        lengths, repeats = combinations(self.left, window)
+        x = least_squares(lengths, repeats, self.left)
         for i in np.argsort(-x, kind="stable").tolist():
             if x[i] < 1:
                 break
-            self._place({}, left, list(zip(lengths[i].tolist(), repeats[i].tolist(), strict=True)), int(x[i]))
+            self._take(list(zip(lengths[i].tolist(), repeats[i].tolist(), strict=True)), int(x[i]))
         while True:  # greedy: the largest first, then the largest that fits
-            room, chosen, taken = window, [], {}
-            have = np.flatnonzero(left)[::-1].tolist()
-            for l in have:
-                k = min(room // l, int(left[l]))
+            room, chosen = window, []
+            for l in np.flatnonzero(self.left)[::-1].tolist():
+                k = min(room // l, int(self.left[l]))
                 if k:
                     chosen.append((l, k))
                     room -= k * l
@@ -111,121 +113,122 @@ class Plan:
                     break
             if not chosen or room > SLACK:
                 break
-            self._place(taken, left, chosen, 1 << 62)
-        # the rest is one stream, length by length
-        size = np.arange(window)
-        self.stream = np.concatenate(([0], np.cumsum(left * size)))[:-1]
-        self.stream_tokens = int((left * size).sum())
-        self.full_base = self.sequences + -(-self.stream_tokens // window)
-        order = sorted(self.slots)
-        self.table = np.array(order, np.int64).reshape(-1, 6)
-
-    def _place(self, _taken: dict, left: np.ndarray, chosen: list[tuple[int, int]], most: int) -> None:
+            self._take(chosen, 1 << 62)
+
+    def _take(self, chosen: list[tuple[int, int]], most: int) -> None:
         need: dict[int, int] = {}
         for l, k in chosen:
             if l and k:
                 need[l] = need.get(l, 0) + k
-        times = min([most, *(int(left[l]) // k for l, k in need.items())])
+        times = min([most, *(int(self.left[l]) // k for l, k in need.items())])
         if times < 1:
             return
-        offset = 0
         for l, k in need.items():
-            self.slots.append((l, int(self.used[l]), times * k, self.sequences, k, offset))
-            self.used[l] += times * k
-            left[l] -= times * k
-            offset += l * k
-        self.sequences += times
-
-    def pieces(self, length: int, rank: int) -> list[tuple[int, int, int, int]]:
-        """(start in the remainder, length, sequence, offset) of the remainder's pieces."""
-        if rank < self.used[length]:
-            at = int(np.searchsorted(self.table[:, 0] << 40 | self.table[:, 1], length << 40 | rank, "right")) - 1
-            _, first, _, base, copies, offset = self.table[at].tolist()
-            return [(0, length, base + (rank - first) // copies, offset + (rank - first) % copies * length)]
-        at = int(self.stream[length]) + (rank - int(self.used[length])) * length
-        out, start = [], 0
-        while start < length:
-            offset = (at + start) % self.window
-            size = min(length - start, self.window - offset)
-            out.append((start, size, self.sequences + (at + start) // self.window, offset))
-            start += size
-        return out
-
-
-def tokenized(docs: DataFrame, vocabulary: str, window: int, end_id: int | None) -> DataFrame:
-    """(doc_id, part, tokens, bin, local_rank, ids): the ids of each document, and its rank among the remainders of its length in its task."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = bpe.worker_encoder(vocabulary)
-        part, seen = TaskContext.get().partitionId(), np.zeros(window, np.int64)
-        for batch in batches:
-            for lo, hi, data, offsets in tk.blocks(*tk.buffers(batch.column(1))):
-                ids, at = encoder.encode(data, offsets)
-                tail = [] if end_id is None else [end_id]
-                held = [np.concatenate((ids[at[i] : at[i + 1]], tail)).astype("<u4") for i in range(hi - lo)]
-                size = np.array([len(h) for h in held], np.int64)
-                rank = np.zeros(len(held), np.int64)
-                for i, b in enumerate((size % window).tolist()):
-                    # the bin of no remainder counts full windows, of which this document's come next
-                    if b:
-                        rank[i] = seen[b]
-                        seen[b] += 1
-                full = np.cumsum(size // window) - size // window + seen[0]
-                seen[0] += int((size // window).sum())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(np.full(len(held), part, np.int32)), pa.array(size), pa.array((size % window).astype(np.int32)), pa.array(rank), pa.array(full), pa.array([h.tobytes() for h in held], pa.binary())],
-                    ["doc_id", "part", "doc_tokens", "bin", "local_rank", "local_full", "ids"],
-                )
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, part int, doc_tokens long, bin int, local_rank long, local_full long, ids binary")
+            self.left[l] -= times * k
+        self.windows.append((times, tuple(need.items())))
+
+
+class Packer:
+    """Packs the rows of one task; ``out`` collects (doc_id, start, length, doc_tokens, sequence_id, offset, ids) of finished pieces."""
+
+    def __init__(self, window: int, first: int):
+        self.window, self.sequence, self.out = window, first, []
+        self.held: dict[int, list[tuple]] = {}  # remainders by length: doc_id, start, doc_tokens, ids
+        self.tokens = 0
+        self.open: list[tuple] = []  # pieces of the stream's open window: doc_id, start, doc_tokens, ids
+        self.open_tokens = 0
+
+    def add(self, doc_id, ids: np.ndarray) -> None:
+        n, w = len(ids), self.window
+        for start in range(0, n - w + 1, w):
+            self._emit([(doc_id, start, n, ids[start : start + w])])
+        rest = n % w
+        if rest:
+            self.held.setdefault(rest, []).append((doc_id, n - rest, n, ids[n - rest :].copy()))
+            self.tokens += rest
+            if self.tokens >= GATHER:
+                self.plan()
+
+    def _emit(self, pieces: list[tuple]) -> None:
+        offset = 0
+        for doc_id, start, n, ids in pieces:
+            self.out.append((doc_id, start, len(ids), n, self.sequence, offset, ids.tobytes()))
+            offset += len(ids)
+        self.sequence += 1
+
+    def plan(self) -> None:
+        """Place all remainders that are held."""
+        histogram = np.zeros(self.window, np.int64)
+        for l, rows in self.held.items():
+            histogram[l] = len(rows)
+        for times, content in Plan(histogram, self.window).windows:
+            for _ in range(times):
+                self._emit([self.held[l].pop() for l, k in content for _ in range(k)])
+        for l in sorted(self.held, reverse=True):
+            for row in self.held[l]:
+                self._stream(*row)
+        self.held, self.tokens = {}, 0
+
+    def _stream(self, doc_id, start: int, n: int, ids: np.ndarray) -> None:
+        while len(ids):
+            size = min(len(ids), self.window - self.open_tokens)
+            self.open.append((doc_id, start, n, ids[:size]))
+            self.open_tokens += size
+            start, ids = start + size, ids[size:]
+            if self.open_tokens == self.window:
+                self._emit(self.open)
+                self.open, self.open_tokens = [], 0
+
+    def finish(self) -> None:
+        """Place what is left; the stream's open window becomes sequences whose lengths are powers of two."""
+        self.plan()
+        left, self.open = self.open[::-1], []
+        while self.open_tokens:
+            room, pieces = 1 << (self.open_tokens.bit_length() - 1), []
+            self.open_tokens -= room
+            while room:
+                doc_id, start, n, ids = left.pop()
+                pieces.append((doc_id, start, n, ids[:room]))
+                if len(ids) > room:
+                    left.append((doc_id, start + room, n, ids[room:]))
+                room -= len(pieces[-1][3])
+            self._emit(pieces)
 
 
 def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW, end_id: int | None = END_ID) -> DataFrame:
     """Pieces of all documents: (doc_id, start, length, doc_tokens, sequence_id, offset, ids binary of little-endian uint32).
 
     Null and empty texts are ``end_id`` alone (nothing where that is None). Rows are packed as they are: repeated rows and
-    repeated or null doc_ids each get their own pieces. All sequences are full but at most one, and those that the plan
-    leaves up to ``SLACK`` tokens short. Other columns are ignored.
+    repeated or null doc_ids each get their own pieces. Sequences are full, but for those that the plan leaves up to
+    ``SLACK`` tokens short and the last ones of a task, whose lengths are powers of two. Sequence ids are unique, not
+    consecutive. Other columns are ignored.
     """
-    spark = docs.sparkSession
-    held = materialize(tokenized(docs, vocabulary, window, end_id), "packing-ids")
-    counts = held.groupBy("part", "bin").agg(F.count("*").alias("n"))
-    full = held.groupBy("part").agg(F.sum(F.floor(F.col("doc_tokens") / window)).cast("long").alias("n"))
-    counts = counts.where("bin > 0").unionByName(full.select("part", F.lit(0).alias("bin"), "n"))
-    before = Window.partitionBy("bin").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = materialize(counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))), "packing-offsets")
-    histogram = np.zeros(window, np.int64)
-    for b, n in offsets.where("bin > 0").groupBy("bin").agg(F.sum("n").alias("n")).collect():
-        histogram[b] = n
-    plan = spark.sparkContext.broadcast(Plan(histogram, window))
-    offsets = offsets.select("part", "bin", "before")
-    fulls = offsets.where("bin = 0").select("part", F.col("before").alias("before_full"))
-    if offsets.count() <= BROADCAST_ROWS:
-        offsets, fulls = F.broadcast(offsets), F.broadcast(fulls)
-    placed = held.join(offsets, ["part", "bin"]).join(fulls, "part")
+    kind = docs.schema["doc_id"].dataType
+    names = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]
+    tail = np.array([] if end_id is None else [end_id], "<u4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p: Plan = plan.value
-        names = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]
+        encoder = bpe.worker_encoder(vocabulary)
+        packer = Packer(window, TaskContext.get().partitionId() << PART_BITS)
+        id_type = None
+
+        def finished(least: int = 1) -> Iterator[pa.RecordBatch]:
+            while len(packer.out) >= least:
+                rows, packer.out = packer.out[:PIECES], packer.out[PIECES:]
+                columns = list(zip(*rows, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], id_type), *(pa.array(c, pa.int64()) for c in columns[1:6]), pa.array(columns[6], pa.binary())], names)
+
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                row, start, length, sequence, offset, piece = [], [], [], [], [], []
-                columns = (part.column(i).to_pylist() for i in range(1, 6))
-                for i, (n, b, rank, first, ids) in enumerate(zip(*columns, strict=True)):
-                    where = [(k * window, window, p.full_base + first + k, 0) for k in range(n // window)]
-                    if b:
-                        where += [(n - b + s, size, q, o) for s, size, q, o in p.pieces(b, rank)]
-                    for s, size, q, o in where:
-                        row.append(i), start.append(s), length.append(size), sequence.append(q), offset.append(o)
-                        piece.append(ids[4 * s : 4 * (s + size)])
-                doc, n = part.column(0).take(pa.array(row, pa.int64())), part.column(1).take(pa.array(row, pa.int64()))
-                yield pa.RecordBatch.from_arrays([doc, *(pa.array(x, pa.int64()) for x in (start, length)), n, *(pa.array(x, pa.int64()) for x in (sequence, offset)), pa.array(piece, pa.binary())], names)
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = placed.select("doc_id", "doc_tokens", "bin", (F.col("before") + F.col("local_rank")).alias("rank"), (F.col("before_full") + F.col("local_full")).alias("first"), "ids")
-    return rows.mapInArrow(run, f"doc_id {kind}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
+            id_type = batch.column(0).type
+            for lo, hi, data, offsets in tk.blocks(*tk.buffers(batch.column(1))):
+                ids, at = encoder.encode(data, offsets)
+                for i, doc_id in enumerate(batch.column(0).slice(lo, hi - lo).to_pylist()):
+                    packer.add(doc_id, np.concatenate((ids[at[i] : at[i + 1]], tail)).astype("<u4"))
+                yield from finished(PIECES)
+        packer.finish()
+        yield from finished()
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind.simpleString()}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
 
 
 def packed_digests(docs: DataFrame) -> DataFrame:
@@ -236,5 +239,5 @@ def packed_digests(docs: DataFrame) -> DataFrame:
 
 
 def op5_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in windows of 2048, with the CRC-32 of each piece's ids."""
+    """Pieces of all documents in windows of 2048, with the CRC-32 of each piece's ids; see ``pack`` for nulls, repeats and empty texts."""
     return packed_digests(table(spark, sf_dir, "documents"))

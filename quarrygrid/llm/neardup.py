@@ -7,9 +7,10 @@ Jaccard similarity, so equal bands of registers bring candidates together; of a
 smaller and equal registers, with both set sizes, give the maximum-likelihood similarity; what passes is confirmed on
 full shingle sets.
 
-Copies are collapsed first, to one text each. Large buckets are cut into blocks of at most ``BLOCK`` members and paired
-block by block, so no task and no row holds a bucket. A first round tests in each bucket only a spanning forest of the
-likeliest pairs; a second one tests every pair that is still in two components, so no link that matters is left out.
+Copies are collapsed first, to one text each. Large buckets are cut into blocks of about ``BLOCK`` members, so no task and
+no row holds a bucket. A first round compares each block with itself and with the next one and tests only a spanning forest
+of their likeliest pairs, so its work is linear in the size of a group; a second one compares all blocks that may hold
+members of different components and tests every pair that is still in two of them, so no link that matters is left out.
 """
 
 from __future__ import annotations
@@ -18,10 +19,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrygrid.common import drop_scratch, materialize, shuffle_partitions, table
+from quarrygrid.common import drop_scratch, hot_limit, join_by_hot_keys, materialize, shuffle_partitions, table
 from quarrygrid.llm import textkernel as tk
 from quarrygrid.operators.graph_core import min_label_components
 
@@ -31,6 +32,8 @@ BAND_ROWS, BANDS, FIRST_BANDS = 6, 42, 12
 #: Pairs whose likeliest similarity is lower by four standard deviations (sqrt(.8 * .2 / 448)) are no candidates.
 MARGIN = 0.076
 BLOCK, SMALL = 512, 48
+#: Partners of a text that one task confirms together.
+FAN = 256
 WORDS, SIMILARITY = 5, 0.8
 
 _LOW = (tk.mix(np.arange(1, REGISTERS + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
@@ -84,13 +87,13 @@ def likely_similarity(u: np.ndarray, v: np.ndarray, more: np.ndarray, less: np.n
     return (lo + hi) / 2
 
 
-def band_keys(registers: np.ndarray) -> np.ndarray:
-    """One 64-bit key for each band of each row of registers."""
+def band_values(registers: np.ndarray) -> np.ndarray:
+    """Each band's registers as one number, for each row of registers."""
     rows = registers[:, : BANDS * BAND_ROWS].reshape(len(registers), BANDS, BAND_ROWS)
-    key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), rows.shape[:2])
+    value = np.zeros(rows.shape[:2], np.uint64)
     for j in range(BAND_ROWS):
-        key = key << np.uint64(8) | rows[:, :, j]
-    return tk.mix(key).view(np.int64)
+        value = value << np.uint64(8) | rows[:, :, j]
+    return value
 
 
 def register_matrix(column: pa.Array) -> np.ndarray:
@@ -99,50 +102,44 @@ def register_matrix(column: pa.Array) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, n_shingles, digest of the shingle set, registers, bands) of every row."""
+    """(doc_id, text_key, n_shingles, digest of the shingle set, registers) of every row of (doc_id, text_key, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
         for batch in batches:
-            for lo, hi, data, offsets in tk.blocks(*tk.buffers(batch.column(1))):
+            for lo, hi, data, offsets in tk.blocks(*tk.buffers(batch.column(2))):
                 n, digest, registers = [], [], []
                 for s in tk.shingle_sets(data, offsets, words):
                     n.append(len(s))
                     digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                     registers.append(sketch(s).tobytes())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(registers, pa.binary())],
-                    ["doc_id", "n_shingles", "digest", "registers"],
+                    [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(registers, pa.binary())],
+                    ["doc_id", "text_key", "n_shingles", "digest", "registers"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, registers binary")
+    return docs.select("doc_id", "text_key", "text").mapInArrow(run, "doc_id long, text_key long, n_shingles long, digest binary, registers binary")
 
 
 def banded(reps: DataFrame, bands: int) -> DataFrame:
-    """(doc_id, bucket) of every band of the representatives' sketches."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(0).to_numpy()
-            keys = band_keys(register_matrix(batch.column(1)))[:, :bands]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, bands)), pa.array(keys.ravel())], ["doc_id", "bucket"])
-
-    return reps.select("doc_id", "registers").mapInArrow(run, "doc_id long, bucket long")
+    """(node, label, band, bucket) of every band of the representatives' sketches."""
+    keys = F.array(*[F.xxhash64(F.lit(i), F.substring("registers", BAND_ROWS * i + 1, BAND_ROWS)) for i in range(bands)])
+    return reps.select("node", "label", F.posexplode(keys).alias("band", "bucket"))
 
 
 class Members:
     """Members of block pairs, sorted so that a block pair's rows stand together."""
 
-    FIELDS = ("bucket", "left", "right", "block", "doc_id", "n_shingles", "label")
+    FIELDS = ("bucket", "left", "right", "block", "node", "n_shingles", "label", "band")
 
     def __init__(self, columns: dict[str, np.ndarray], registers: np.ndarray):
         self.c, self.registers = columns, registers
-        self.keys = band_keys(registers)
+        self.keys = band_values(registers)
 
     @classmethod
     def of(cls, batch: pa.RecordBatch) -> Members:
-        return cls({f: batch.column(i).to_numpy(zero_copy_only=False) for i, f in enumerate(cls.FIELDS)}, register_matrix(batch.column(7)))
+        return cls({f: batch.column(i).to_numpy(zero_copy_only=False) for i, f in enumerate(cls.FIELDS)}, register_matrix(batch.column(8)))
 
     def __len__(self) -> int:
         return len(self.registers)
@@ -171,7 +168,7 @@ class Members:
         a, b = a[ok], b[ok]
         for k in range(0, len(a), 8192):
             x, y = a[k : k + 8192], b[k : k + 8192]
-            mine = self.keys[x, (self.keys[x] == self.keys[y]).argmax(1)] == self.c["bucket"][x]
+            mine = (self.keys[x] == self.keys[y]).argmax(1) == self.c["band"][x]
             x, y = x[mine], y[mine]
             rx, ry = self.registers[x], self.registers[y]
             more, less = (rx > ry).sum(1), (rx < ry).sum(1)
@@ -243,7 +240,7 @@ def compare_blocks(rows: DataFrame, similarity: float, forest: bool) -> DataFram
         if forest:
             keep = spanning_forest(len(m), a, b, estimate)
             a, b = a[keep], b[keep]
-        ids = m.c["doc_id"]
+        ids = m.c["node"]
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[a], ids[b])), pa.array(np.maximum(ids[a], ids[b]))], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,88 +260,153 @@ def compare_blocks(rows: DataFrame, similarity: float, forest: bool) -> DataFram
     return rows.mapInArrow(run, "a long, b long")
 
 
-def candidates(reps: DataFrame, labels: DataFrame | None, bands: int, similarity: float, forest: bool) -> DataFrame:
-    """Candidate pairs of representatives that have different labels and share a band, each once."""
-    member = banded(reps, bands)
-    if labels is not None:
-        member = member.join(labels.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("doc_id", "bucket", F.coalesce("component", "doc_id").alias("label"))
+def candidates(reps: DataFrame, labels: DataFrame | None, bands: int, similarity: float, temporary: list[DataFrame]) -> DataFrame:
+    """Candidate pairs of representatives that share a band.
+
+    Without ``labels`` (the first round) the forests of each block with itself and with the next. With labels (node, component)
+    every pair of different labels: a member of its bucket's smallest label goes only to the blocks that hold other ones.
+    ``temporary`` gets the scratch tables that can go once the pairs are written.
+    """
+    first = labels is None
+    if first:
+        named = reps.withColumn("label", F.col("node"))
     else:
-        member = member.withColumn("label", F.col("doc_id"))
-    open_buckets = (
-        member.groupBy("bucket").agg(F.count("*").alias("size"), F.min("label").alias("low"), F.max("label").alias("high"))
-        .where("low < high").select("bucket", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    )
-    held = member.join(open_buckets, "bucket").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    # every member goes to the pairs of its own block with each block
-    held = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    held = held.select("bucket", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "doc_id", "label")
-    rows = held.join(reps.select("doc_id", "n_shingles", "registers"), "doc_id")
+        named = reps.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node"))
+    member = banded(named, bands)
+    open_buckets = member.groupBy("bucket").agg(F.count("*").alias("size"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+    open_buckets = materialize(open_buckets.select("bucket", "size", "low", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "neardup-buckets")
+    temporary.append(open_buckets)
+    total = bands * reps.count()
+    held = join_by_hot_keys(member, open_buckets, "bucket", "size", total).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    if first:
+        step = lambda k: F.pmod(F.col("block") + k, F.col("blocks"))
+        held = held.withColumn("other", F.explode(F.array_distinct(F.array(step(0), step(1), step(-1)))))
+    else:
+        held = materialize(held, "neardup-members")
+        mixed = materialize(held.where("blocks > 1 and label <> low").groupBy("bucket").agg(F.collect_set("block").alias("mixed"), F.first("size").alias("size")), "neardup-buckets")
+        temporary += [held, mixed]
+        wide = join_by_hot_keys(held.where("blocks > 1").drop("size"), mixed, "bucket", "size", total)
+        everywhere = F.sequence(F.lit(0), F.col("blocks") - 1)
+        wide = wide.withColumn("other", F.explode(F.when(F.col("label") == F.col("low"), F.col("mixed")).otherwise(everywhere))).drop("mixed")
+        held = held.where("blocks = 1").withColumn("other", F.lit(0)).unionByName(wide.select(*held.columns, "other"))
+    held = held.select("bucket", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "node", "label", "band")
+    rows = held.join(reps.select("node", "n_shingles", "registers"), "node")
     spread = rows.repartition(shuffle_partitions(reps.sparkSession), "bucket", "left", "right").sortWithinPartitions("bucket", "left", "right")
-    return compare_blocks(spread.select(*Members.FIELDS, "registers"), similarity, forest)
+    return compare_blocks(spread.select(*Members.FIELDS, "registers"), similarity, first)
+
 
+def confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, words: int, percent: int, temporary: list[DataFrame]) -> DataFrame:
+    """The pairs (a, b) of representatives whose full shingle sets have 100 * common >= percent * union.
 
-def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets have 100 * common >= percent * union."""
-    texts = docs.select("doc_id", "text")
-    joined = (
-        pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-        .join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    )
+    Every row that travels carries one text: that of ``a`` once for each ``FAN`` of its partners, then those of the partners.
+    """
+    pairs = materialize(pairs, "neardup-pairs")
+    temporary.append(pairs)
+    needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(reps.select("node", "doc_id", "text_key"), "node")
+    needed = needed.select("node", F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"))
+    # one text for each representative, however often its row is repeated
+    texts = docs.join(needed, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_key") == F.col("__key"))).groupBy("node").agg(F.first("text").alias("text"))
+    fan = pairs.groupBy("a").agg(F.ceil(F.count("*") / FAN).cast("int").alias("parts"))
+    heads = fan.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).join(texts.withColumnRenamed("node", "a"), "a")
+    partners = pairs.join(fan, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part")).join(texts.withColumnRenamed("node", "b"), "b")
+    rows = heads.select("a", "part", F.lit(None).cast("long").alias("b"), "text").unionByName(partners.select("a", "part", "b", "text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: np.ndarray | None = None
         for batch in batches:
             keep = np.zeros(batch.num_rows, bool)
-            last_a, set_a = None, None
-            ids_a = batch.column(0).to_pylist()
-            for i in range(0, batch.num_rows, 64):
-                part = batch.slice(i, 64)
-                sets_b = list(tk.shingle_sets(*tk.buffers(part.column(3)), words))
-                for k, b in enumerate(sets_b):
-                    if ids_a[i + k] != last_a:
-                        last_a = ids_a[i + k]
-                        set_a = next(tk.shingle_sets(*tk.buffers(part.column(2).slice(k, 1)), words))
-                    common = len(set_a) + len(b) - len(np.union1d(set_a, b))
-                    keep[i + k] = 100 * common >= percent * (len(set_a) + len(b) - common)
+            head = batch.column(1).is_null().to_numpy(zero_copy_only=False)
+            for lo, hi, data, offsets in tk.blocks(*tk.buffers(batch.column(2))):
+                for i, found in enumerate(tk.shingle_sets(data, offsets, words), lo):
+                    if head[i]:
+                        own = found
+                    else:
+                        common = len(own) + len(found) - len(np.union1d(own, found))
+                        keep[i] = 100 * common >= percent * (len(own) + len(found) - common)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep))
 
-    return joined.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    spread = rows.repartition(shuffle_partitions(docs.sparkSession), "a", "part").sortWithinPartitions("a", "part", "b")
+    return spread.select("a", "b", "text").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every document with a doc_id.
+def _rank() -> Column:
+    """The order in which rows name a group: by doc_id, nulls last, then by the text's hash."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("text_key").alias("text_key"))
+
+
+def marked(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, text_key, n_shingles, best) of every row: ``best`` is the first (none, doc_id, text_key) of the row's group.
 
-    Links documents whose sets of ``words``-word shingles (A-Z lower-cased) have a Jaccard similarity of ``similarity`` or
-    more; a component is named by its smallest doc_id, which is the one kept. Texts that are null or hold no word link with
-    nothing. Rows with a null doc_id are left out of linking and come back as kept components of their own; repeated
-    doc_ids count as one document with equal sets when their texts are equal. Other columns are ignored.
+    ``text_key`` is the text's 64-bit hash; with doc_id it tells rows of one id apart. A group are the rows whose sets are linked;
+    rows without shingles are groups of their own.
     """
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
+    docs = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
     sets = materialize(sketches(docs, words), "neardup-sets")
-    copies = sets.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.count("*").alias("copies"))
-    # one representative of each distinct set; rows of the same id and set are equal
-    reps = materialize(sets.where("n_shingles > 0").join(copies.select(F.col("rep").alias("doc_id"), "digest"), ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"]).select("doc_id", "n_shingles", "registers"), "neardup-reps")
+    full = sets.where("n_shingles > 0")
+    # one representative of each distinct set, with a number of its own
+    reps = full.groupBy("digest").agg(F.min(_rank()).alias("best"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers"), F.count("*").alias("copies"))
+    reps = materialize(reps.select(F.monotonically_increasing_id().alias("node"), "digest", "best", "best.doc_id", "best.text_key", "n_shingles", "registers", "copies"), "neardup-reps")
     percent = round(100 * similarity)
-    first = materialize(confirmed(candidates(reps, None, FIRST_BANDS, similarity, True), docs, words, percent), "neardup-links")
+
+    def links(labels: DataFrame | None, bands: int) -> DataFrame:
+        temporary: list[DataFrame] = []
+        found = materialize(confirmed(candidates(reps, labels, bands, similarity, temporary), reps, docs, words, percent, temporary), "neardup-links")
+        for df in temporary:
+            drop_scratch(spark, df)
+        return found
+
+    first = links(None, FIRST_BANDS)
     labels = min_label_components(first, tag="neardup")
-    second = materialize(confirmed(candidates(reps, labels, BANDS, similarity, False), docs, words, percent), "neardup-links")
-    same = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
-    final = min_label_components(same.unionByName(second), tag="neardup")
-    drop_scratch(spark, first)
-    drop_scratch(spark, second)
-    drop_scratch(spark, labels)
+    second = links(labels, BANDS)
+    final = min_label_components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(second), tag="neardup")
+    for df in (first, second, labels):
+        drop_scratch(spark, df)
+    linked = reps.select("node", "digest", "best", "copies").join(final, "node", "left")
+    groups = linked.where("component is not null").groupBy("component").agg(F.min("best").alias("group_best"))
+    named = materialize(linked.join(groups, "component", "left").select("digest", "copies", F.coalesce("group_best", "best").alias("best")).where("copies > 1 or group_best is not null"), "neardup-named")
     drop_scratch(spark, reps)
-    named = (
-        copies.select("digest", "rep").join(final, F.col("rep") == F.col("node"), "left")
-        .select("digest", F.coalesce("component", "rep").alias("component_id"))
-    )
-    return (
-        sets.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("digest")).alias("digest")).join(named, "digest", "left")
-        .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-        .withColumn("kept", F.col("component_id").eqNullSafe(F.col("doc_id")))
-    )
+    shown = sets.select("doc_id", "text_key", "n_shingles", "digest")
+    total = sets.count()
+    limit = hot_limit(spark, total)
+    hot, cold = named.where(F.col("copies") > limit), named.where(F.col("copies") <= limit)
+    alone = shown.where("n_shingles = 0").withColumn("best", _rank())
+    many = shown.where("n_shingles > 0").join(F.broadcast(hot.select("digest", "best")), "digest")
+    others = shown.where("n_shingles > 0").join(F.broadcast(hot.select("digest")), "digest", "left_anti").join(cold.select("digest", F.col("best").alias("named")), "digest", "left").withColumn("best", F.coalesce("named", _rank()))
+    columns = ["doc_id", "text_key", "n_shingles", "best"]
+    return alone.select(*columns).unionByName(many.select(*columns)).unionByName(others.select(*columns))
+
+
+def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every row.
+
+    Links rows whose sets of ``words``-word shingles (A-Z lower-cased) have a Jaccard similarity of ``similarity`` or more; a
+    component is named by its smallest doc_id, and ``kept`` tells whether that is the row's. Texts that are null or hold no word
+    link with nothing. Rows of one doc_id with different texts are documents of their own, repeated rows copies of each other. A
+    row with a null doc_id takes part, but names a component only where no row of it has an id. Other columns are ignored.
+    """
+    found = marked(docs, words, similarity).select("doc_id", "n_shingles", F.col("best.doc_id").alias("component_id"))
+    return found.withColumn("kept", F.col("component_id").eqNullSafe(F.col("doc_id")))
+
+
+def without_near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """One row of each group of near duplicates, with all its columns.
+
+    The row with the smallest doc_id stays (nulls last); of several texts under that id the one whose hash is smallest, of repeated
+    rows the one whose columns are smallest. Rows without any word all stay.
+    """
+    rows = marked(docs, words, similarity).groupBy("doc_id", "text_key", "n_shingles", "best").agg(F.count("*").alias("n"))
+    stays = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_key") == F.col("best.text_key"))
+    go = materialize(rows.where((F.col("n_shingles") > 0) & (~stays | (F.col("n") > 1))).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), "n", stays.alias("__stays")), "neardup-go")
+    keyed = docs.withColumn("__text", F.xxhash64("text"))
+    match = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__key"))
+    limit = hot_limit(docs.sparkSession, docs.count())
+    rest = keyed.join(F.broadcast(go.where(F.col("n") > limit)), match, "left_anti").join(go.where(F.col("n") <= limit), match, "left_anti")
+    # repeated rows: the smallest by all columns, put together per task first
+    again = keyed.join(go.where("__stays"), match).groupBy("doc_id", "__text").agg(F.min(F.struct(*docs.columns)).alias("row"))
+    return rest.select(*docs.columns).unionByName(again.select("row.*"))
 
 
 def op4_setsketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components of all documents on 4-word shingles at 100 * intersection >= 80 * union."""
+    """Components of all documents on 4-word shingles at 100 * intersection >= 80 * union; see ``near_duplicates`` for nulls, repeats and empty texts."""
     return near_duplicates(table(spark, sf_dir, "documents"), words=4, similarity=0.8)

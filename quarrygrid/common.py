@@ -17,10 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where the session names none, a local one serves a local master (tests); a cluster has to name one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"file://{tempfile.gettempdir()}/quarrygrid-scratch"
 
 
@@ -52,15 +55,33 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def bounded_choice(df: DataFrame, n: int, *cols: str) -> DataFrame:
-    """At most ``n`` rows: those whose hash of ``cols`` is below a threshold that the number of rows sets.
+    """At most ``n`` rows: those whose hash of ``cols`` is below a threshold that the number of rows sets, the smallest hashes first.
 
-    Unlike an ordered limit this sends nothing to one task but what is chosen; few rows over ``n`` are cut only where many
-    rows have one hash.
+    What is above the threshold is gone before anything is sorted, so the ordered limit sees about ``n`` rows. Rows with
+    equal hashes are ordered by ``cols`` themselves, so the choice is the same in every run.
     """
     total = df.count()
     if total <= n:
         return df
-    return df.where(F.shiftrightunsigned(F.xxhash64(*cols), 1) < int(0.9 * n / total * (1 << 63))).limit(n)
+    hashed = F.xxhash64(*cols)
+    return df.where(F.shiftrightunsigned(hashed, 1) < int(0.9 * n / total * (1 << 63))).orderBy(hashed, *cols).limit(n)
+
+
+def hot_limit(spark: SparkSession, total: int) -> float:
+    """Rows from which a key counts as hot: more than a quarter of a fair partition. Fewer than 4 x shuffle partitions keys are hot."""
+    return max(1.0, total / (4 * shuffle_partitions(spark)))
+
+
+def join_by_hot_keys(left: DataFrame, right: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """The inner join of ``left`` with ``right`` (unique keys, with the number ``n`` of their rows in ``left``).
+
+    Hot keys, of which there are fewer than 4 x shuffle partitions, are broadcast, so that their rows stay spread as they are; the
+    other keys are joined by a shuffle. ``right`` is read twice: give it materialized.
+    """
+    limit = hot_limit(left.sparkSession, total)
+    hot, cold = right.where(F.col(n) > limit), right.where(F.col(n) <= limit)
+    spread = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key)
+    return left.join(F.broadcast(hot), key).unionByName(spread)
 
 
 def topk(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:

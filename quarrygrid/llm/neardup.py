@@ -210,22 +210,32 @@ class Members:
 
 
 def spanning_forest(n: int, a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Which pairs, the heaviest first, join two parts of n rows that weren't joined before."""
-    root = list(range(n))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    keep = []
-    for k in np.argsort(-weight, kind="stable").tolist():
-        i, j = find(int(a[k])), find(int(b[k]))
-        if i != j:
-            root[i] = j
-            keep.append(k)
-    return np.array(keep, np.int64)
+    """Which pairs, the heaviest first, join two parts of n rows that weren't joined before.
+
+    Each round every part takes its heaviest pair to another part, so the rounds grow with the logarithm of n. Pairs of one
+    weight stand in a mixed order, so that no row becomes the hub of all its equals.
+    """
+    order = np.lexsort((tk.mix(np.arange(len(a), dtype=np.uint64)), -weight))
+    a, b, label, keep = a[order], b[order], np.arange(n), []
+    while True:
+        x, y = label[a], label[b]
+        live = np.flatnonzero(x != y)
+        if not len(live):
+            return np.concatenate(keep) if keep else np.zeros(0, np.int64)
+        a, b, order, x, y = a[live], b[live], order[live], x[live], y[live]
+        best = np.full(n, len(a))
+        np.minimum.at(best, x, np.arange(len(a)))
+        np.minimum.at(best, y, np.arange(len(a)))
+        part = np.flatnonzero(best < len(a))
+        chosen = best[part]
+        keep.append(order[np.unique(chosen)])
+        up = np.arange(n)
+        up[part] = np.where(x[chosen] == part, y[chosen], x[chosen])
+        both = part[(up[up[part]] == part) & (part < up[part])]  # two parts that chose one pair
+        up[both] = both
+        while (up[up] != up).any():
+            up = up[up]
+        label = up[label]
 
 
 def compare_blocks(rows: DataFrame, similarity: float, forest: bool) -> DataFrame:

@@ -28,6 +28,8 @@ BASES = (1_103_515_245 % PRIME, 69_069_433)
 GROWTH = 1.1
 #: Characters that choose an inner position, and inner positions of a text: so many about, twice that at most but for short texts.
 WINDOW, INNER = 8, 128
+#: Lengths that one step of a search compares.
+PROBES = 64
 _TABLES: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -58,6 +60,7 @@ class PrefixArray:
         self.hash = np.zeros(self.n + 1, np.uint64)
         np.cumsum(terms, out=self.hash[1:])
         self.hash %= np.uint64(PRIME)
+        self.inner: tuple[int, np.ndarray] | None = None
 
     def span(self, start, end):
         """The hash of [start, end), the same wherever the span stands; also for arrays."""
@@ -71,18 +74,35 @@ def span_equal(a: PrefixArray, i: int, b: PrefixArray, j: int, length: int) -> b
     return bool(a.span(i, i + length) == b.span(j, j + length))
 
 
-def common_extension(a: PrefixArray, i: int, b: PrefixArray, j: int) -> int:
-    """The longest common extension of a[i:] and b[j:]."""
-    low, high = 0, min(a.n - i, b.n - j)
+def _longest(equal, most: int) -> int:
+    """The largest length up to ``most`` for which ``equal`` (of an array of lengths) holds, if it holds for all shorter ones.
+
+    A binary search that asks for ``PROBES`` lengths at a time, after a first look at one character.
+    """
+    if most < 1 or not equal(np.array([1]))[0]:
+        return 0
+    low, high = 1, most
     while low < high:
-        mid = (low + high + 1) // 2
-        if span_equal(a, i, b, j, mid):
-            low = mid
-        else:
-            high = mid - 1
+        n = min(high - low, PROBES)
+        probe = low + (np.arange(1, n + 1) * (high - low) + n - 1) // n
+        same = equal(probe)
+        if same.all():
+            return high
+        k = int(same.argmin())
+        low, high = int(probe[k - 1]) if k else low, int(probe[k]) - 1
     return low
 
 
+def common_extension(a: PrefixArray, i: int, b: PrefixArray, j: int) -> int:
+    """The longest common extension of a[i:] and b[j:]."""
+    return _longest(lambda n: a.span(i, i + n) == b.span(j, j + n), min(a.n - i, b.n - j))
+
+
+def common_extension_back(a: PrefixArray, i: int, b: PrefixArray, j: int, most: int) -> int:
+    """The longest common extension of a[:i] and b[:j] to the left, up to ``most``."""
+    return _longest(lambda n: a.span(i - n, np.full(len(n), i)) == b.span(j - n, np.full(len(n), j)), most)
+
+
 def grid(n: int) -> np.ndarray:
     """The fixed lengths up to n."""
     out, x = [], 1
@@ -101,6 +121,12 @@ def inner_positions(points: PrefixArray) -> tuple[int, np.ndarray]:
     At level k a position counts if the mixed hash of the characters before it is below 2^(32-k); all do in texts of up to
     ``INNER`` characters. A higher level's positions are among a lower one's, so texts of different lengths compare.
     """
+    if points.inner is None:
+        points.inner = _inner_positions(points)
+    return points.inner
+
+
+def _inner_positions(points: PrefixArray) -> tuple[int, np.ndarray]:
     n = points.n
     at = np.arange(1, n + 1)
     mixed = points.span(np.maximum(at - WINDOW, 0), at)
@@ -165,10 +191,18 @@ def _in_order(a: list[tuple], b: list[tuple]) -> int:
     return same + (best[-1] if best else 0)
 
 
+def arrays(text: str) -> tuple[PrefixArray, PrefixArray]:
+    """The prefix arrays of a text for both bases."""
+    points = code_points(text)
+    return PrefixArray(points, BASES[0]), PrefixArray(points, BASES[1])
+
+
 def fingerprint(text: str) -> str:
     """``length:hash:prefixes:suffixes:level:inner positions``, all in hex; two texts have the same one if they are equal."""
-    points = code_points(text)
-    first, second = (PrefixArray(points, b) for b in BASES)
+    return array_fingerprint(*arrays(text))
+
+
+def array_fingerprint(first: PrefixArray, second: PrefixArray) -> str:
     n = first.n
     lengths = _GRID[: np.searchsorted(_GRID, n, "right")]
     front = first.hash[lengths].astype(">u4").tobytes().hex()
@@ -205,6 +239,80 @@ def likeness(a: str, b: str) -> float:
     return min(same, min(sizes)) / max(sizes)
 
 
+def text_likeness(a: PrefixArray, b: PrefixArray) -> float:
+    """The likeness of two texts from their whole prefix arrays: the share of the longer one that agrees.
+
+    What agrees from either end is the longest common extension, exact to the character. Between the two, equal spans of inner
+    positions in one order are anchors; each stretch between anchors adds its own extensions from either end.
+    """
+    longer = max(a.n, b.n)
+    if not longer:
+        return 1.0
+    if not min(a.n, b.n):
+        return 0.0
+    front = common_extension(a, 0, b, 0)
+    back = common_extension_back(a, a.n, b, b.n, min(a.n, b.n) - front)
+    same = front + back
+    low, high = (front, front), (a.n - back, b.n - back)
+    if high[0] - low[0] and high[1] - low[1]:
+        same += _between(a, b, low, high)
+    return same / longer
+
+
+def _between(a: PrefixArray, b: PrefixArray, low: tuple[int, int], high: tuple[int, int]) -> int:
+    """Characters of equal spans, in one order, between two places of each text."""
+    level, spans = 0, []
+    for array, lo, hi in ((a, low[0], high[0]), (b, low[1], high[1])):
+        own, positions = inner_positions(array)
+        level = max(level, own)
+        spans.append((array, lo, hi, positions))
+    runs = []
+    for array, lo, hi, rows in spans:
+        rows = rows[rows[:, 0] < (1 << 32 >> level)]
+        at = rows[(rows[:, 1] > lo) & (rows[:, 1] <= hi), 1]
+        starts = np.concatenate(([lo], at))[:-1]
+        values = array.span(starts, at) if len(at) else np.zeros(0, np.uint64)
+        runs.append([(int(h), int(e - s), int(e)) for h, s, e in zip(values.tolist(), starts.tolist(), at.tolist(), strict=True)])
+    chosen = _rising([x[:2] for x in runs[0]], [x[:2] for x in runs[1]])
+    same, i, j = 0, low[0], low[1]
+    for x, y in [*chosen, (None, None)]:
+        stop = (high[0], high[1]) if x is None else (runs[0][x][2] - runs[0][x][1], runs[1][y][2] - runs[1][y][1])
+        room = min(stop[0] - i, stop[1] - j)
+        if room > 0:
+            ahead = min(common_extension(a, i, b, j), room)
+            same += ahead + common_extension_back(a, stop[0], b, stop[1], room - ahead)
+        if x is not None:
+            same += runs[0][x][1]
+            i, j = runs[0][x][2], runs[1][y][2]
+    return same
+
+
+def _rising(a: list[tuple], b: list[tuple]) -> list[tuple[int, int]]:
+    """Pairs of places of equal spans that occur once in either list, in the longest run that rises in both."""
+    left, right = ({x: i for x, i, n in _counted(xs) if n == 1} for xs in (a, b))
+    pairs = sorted((i, right[x]) for x, i in left.items() if x in right)
+    tails: list[int] = []
+    back: list[int] = []
+    at: list[int] = []
+    for k, (_, j) in enumerate(pairs):
+        place = bisect_left(tails, j)
+        back.append(at[place - 1] if place else -1)
+        tails[place : place + 1] = [j]
+        at[place : place + 1] = [k]
+    out, k = [], at[-1] if at else -1
+    while k >= 0:
+        out.append(pairs[k])
+        k = back[k]
+    return out[::-1]
+
+
+def _counted(xs: list[tuple]) -> list[tuple]:
+    seen: dict[tuple, list[int]] = {}
+    for i, x in enumerate(xs):
+        seen.setdefault(x, [i, 0])[1] += 1
+    return [(x, i, n) for x, (i, n) in seen.items()]
+
+
 def edited(text: str, following: str) -> str:
     """The last third of the text replaced by as much of the start of the following one."""
     third = len(text) // 3
@@ -227,20 +335,35 @@ def in_descending_ranges(docs: DataFrame) -> DataFrame:
     """The rows of (doc_id, text) in ranges of doc_id, each range sorted descending and followed by the next range's first row.
 
     Adds ``range int`` and ``extra boolean`` (the row that follows). Range ends are quantiles of doc_id, a few for each shuffle
-    partition; they and the first id of each range are all that reaches the driver. Texts are shuffled once.
+    partition; they and the first id of each range are all that reaches the driver. A row finds its range by binary search, and
+    texts are shuffled once.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ends = docs.select(F.percentile_approx("doc_id", [i / (4 * parts) for i in range(1, 4 * parts)], 100_000).alias("q")).first().q or []
     ends = sorted(set(ends))
-    bounds = F.array(*[F.lit(e).cast("long") for e in ends]) if ends else F.array().cast("array<long>")
-    place = F.size(F.filter(bounds, lambda e: e < F.col("doc_id")))
-    firsts = docs.select("doc_id", place.alias("range")).groupBy("range").agg(F.max("doc_id").alias("first")).orderBy("range").collect()
+    bounds = np.array(ends, np.int64)
+
+    @F.pandas_udf("int")
+    def place(ids):
+        import pandas as pd
+
+        return pd.Series(np.searchsorted(bounds, ids.to_numpy(np.int64), "left").astype(np.int32))
+
+    ranges = docs.select("doc_id", place("doc_id").alias("range")).groupBy("range").agg(F.max("doc_id").alias("first")).orderBy("range").collect()
     # the first row of each range also stands at the end of the range above; that of the highest after the lowest
-    goes = {r.first: firsts[(i + 1) % len(firsts)].range for i, r in enumerate(firsts)}
-    also = F.create_map(*[F.lit(x).cast("long") if k == 0 else F.lit(x).cast("int") for pair in goes.items() for k, x in enumerate(pair)]) if goes else F.create_map().cast("map<bigint,int>")
-    spots = F.array_compact(F.array(F.struct(place.alias("range"), F.lit(False).alias("extra")), F.when(F.try_element_at(also, F.col("doc_id")).isNotNull(), F.struct(F.try_element_at(also, F.col("doc_id")).alias("range"), F.lit(True).alias("extra")))))
-    return docs.select("doc_id", "text", F.explode(spots).alias("spot")).select("doc_id", "text", "spot.range", "spot.extra").repartition("range").sortWithinPartitions("range", "extra", F.desc("doc_id"), "text")
+    firsts, goes = np.array([r.first for r in ranges], np.int64), np.array([ranges[(i + 1) % len(ranges)].range for i in range(len(ranges))], np.int32)
+
+    @F.pandas_udf("int")
+    def above(ids):
+        import pandas as pd
+
+        at = np.minimum(np.searchsorted(firsts, ids.to_numpy(np.int64)), max(len(firsts) - 1, 0))
+        return pd.Series(np.where(firsts[at] == ids.to_numpy(np.int64), goes[at], -1).astype(np.int32) if len(firsts) else np.full(len(ids), -1, np.int32))
+
+    placed = docs.select("doc_id", "text", place("doc_id").alias("range"), above("doc_id").alias("above"))
+    spots = F.filter(F.array(F.struct("range", F.lit(False).alias("extra")), F.struct(F.col("above").alias("range"), F.lit(True).alias("extra"))), lambda x: x["range"] >= 0)
+    return placed.select("doc_id", "text", F.explode(spots).alias("spot")).select("doc_id", "text", "spot.range", "spot.extra").repartition(parts, "range").sortWithinPartitions("range", "extra", F.desc("doc_id"), "text")
 
 
 def fingerprint_edits(docs: DataFrame) -> DataFrame:
@@ -255,16 +378,19 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-        held: tuple | None = None  # the row that waits for its follower: id, text, fingerprint
+        held: tuple | None = None  # the row that waits for its follower: id, text, fingerprint, range, prefix array
         for batch in batches:
             out: list[tuple] = []
             for doc_id, text, place, extra in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                mark = fingerprint(text)
+                own = arrays(text)
+                mark = array_fingerprint(*own)
                 if held and held[3] == place:
                     new = edited(held[1], text)
-                    new_mark = fingerprint(new)
-                    out.append((held[0], len(held[1]), hashlib.sha256(new.encode("utf-8")).hexdigest(), held[2], new_mark, likeness(held[2], new_mark), likeness(held[2], mark)))
-                held = None if extra else (doc_id, text, mark, place)
+                    other = arrays(new)
+                    new_mark = array_fingerprint(*other)
+                    near = [1.0 if m == held[2] else text_likeness(held[4], x) for m, x in ((new_mark, other[0]), (mark, own[0]))]
+                    out.append((held[0], len(held[1]), hashlib.sha256(new.encode("utf-8")).hexdigest(), held[2], new_mark, *near))
+                held = None if extra else (doc_id, text, mark, place, own[0])
             columns = list(zip(*out, strict=True)) or [()] * 7
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)

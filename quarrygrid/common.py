@@ -67,6 +67,15 @@ def bounded_choice(df: DataFrame, n: int, *cols: str) -> DataFrame:
     return df.where(F.shiftrightunsigned(hashed, 1) < int(0.9 * n / total * (1 << 63))).orderBy(hashed, *cols).limit(n)
 
 
+#: Rows of a table up to which ``broadcast_if_few`` broadcasts it: some 100 MB of keys.
+FEW_ROWS = 1_000_000
+
+
+def broadcast_if_few(df: DataFrame, most: int = FEW_ROWS) -> DataFrame:
+    """``df`` marked for a broadcast if it has at most ``most`` rows; else as it is, so that a join shuffles it. Give it materialized or cheap: it is counted."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def hot_limit(spark: SparkSession, total: int) -> float:
     """Rows from which a key counts as hot: more than a quarter of a fair partition. Fewer than 4 x shuffle partitions keys are hot."""
     return max(1.0, total / (4 * shuffle_partitions(spark)))
@@ -95,7 +104,7 @@ def with_rank(df: DataFrame, keys: Sequence[str], order: Sequence[Column], rank:
 
 
 def nearest_rank(col: str | Column, q: float) -> Column:
-    """Nearest-rank percentile (ceil form): an element of the data, never interpolated."""
+    """Nearest-rank percentile (ceil form): an element of the data, never interpolated; exact up to a million values a group, then to a millionth of the ranks."""
     c = F.col(col) if isinstance(col, str) else col
     return F.percentile_approx(c, q, 1_000_000)
 

@@ -7,13 +7,16 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarrygrid.common import nearest_rank
+from quarrygrid.operators.structure import blocks_of
 
 TARGET, MAXIMUM = 1200, 1800
 _CHUNK = "doc_id long, chunk_index int, heading_path array<string>, content string, start_line int, end_line int, content_hash string"
@@ -23,25 +26,96 @@ def _digest(text: str) -> str:
     return hashlib.sha256(text.encode("utf-8")).hexdigest()
 
 
+#: Where a long text may be cut: paragraphs, then list items, then sentences.
+BOUNDARIES = tuple(re.compile(p) for p in (r"\n{2,}", r"\n(?=(?:[-*+]|\d+[.])\s+)", r"(?<=[。！？.!?])\s+"))
+
+
+def _glued(left: str, right: str) -> str:
+    return f"{left.rstrip()}\n\n{right.strip()}" if left and right else (left or right).strip()
+
+
+def _filled(parts: list[str], maximum: int) -> list[str]:
+    """Neighbours glued by a blank line as long as they have at most ``maximum`` characters together."""
+    out = [""]
+    for part in parts:
+        both = _glued(out[-1], part)
+        if out[-1] and len(both) > maximum:
+            out.append(part)
+        else:
+            out[-1] = both
+    return [x for x in out if x]
+
+
 def split_text(text: str, maximum: int) -> list[str]:
     """A text cut to pieces of at most ``maximum`` characters, at paragraphs, else list items, else sentences, else anywhere.
 
     Code between fences stays whole. Small neighbours are packed together again.
     """
-    if len(text) <= maximum or re.match(r"\s*(```|~~~)", text):
+    if len(text) <= maximum or _fenced(text):
         return [text]
-    for pattern in (r"\n[ \t]*\n", r"\n(?=[ ]*(?:[-*+]|\d+[.)]) )", r"(?<=[.!?。！？])\s+"):
-        parts = [p for p in re.split(pattern, text) if p.strip()]
-        if len(parts) > 1:
-            joiner = "\n\n" if pattern.startswith(r"\n[") else "\n" if pattern.startswith(r"\n(") else " "
-            out: list[str] = []
-            for piece in (q for p in parts for q in split_text(p, maximum)):
-                if out and len(out[-1]) + len(joiner) + len(piece) <= maximum:
-                    out[-1] += joiner + piece
-                else:
-                    out.append(piece)
-            return out
-    return [text[i : i + maximum] for i in range(0, len(text), maximum)]
+    pieces = [text]
+    for boundary in BOUNDARIES:
+        pieces = [q for p in pieces for q in (_cut(p, boundary, maximum) if len(p) > maximum else [p])]
+    return [p[i : i + maximum] for p in pieces for i in range(0, len(p), maximum)]
+
+
+def _cut(text: str, boundary: re.Pattern, maximum: int) -> list[str]:
+    parts = [p for p in boundary.split(text) if p]
+    return _filled(parts, maximum) if len(parts) > 1 else [text]
+
+
+def _fenced(text: str) -> bool:
+    inner = text.strip()
+    return (inner.startswith(("```", "~~~")) and inner.count("```") > 1) or inner.count("~~~") > 1
+
+
+def split_section(content: str, first_line: int, maximum: int) -> list[tuple[str, int | None, int | None]]:
+    """(text, first line, last line) of the pieces of a long section: its blocks, the long ones split, glued again up to ``maximum``.
+
+    Long code stays whole and alone. A piece that begins or ends inside a block has no lines.
+    """
+    out: list[tuple[str, int | None, int | None]] = []
+    open_ = False  # may the last piece grow?
+    for _, lo, hi, block in blocks_of(content.splitlines()):
+        first, last = first_line + lo - 1, first_line + hi - 1
+        if len(block) > maximum and _fenced(block):
+            out.append((block, first, last))
+            open_ = False
+            continue
+        parts = split_text(block, maximum)
+        for i, part in enumerate(parts):
+            begins, ends = first if i == 0 else None, last if i == len(parts) - 1 else None
+            both = _glued(out[-1][0], part) if open_ else part.strip()
+            if open_ and len(both) <= maximum:
+                out[-1] = (both, out[-1][1] if out[-1][1] is not None else begins, ends)
+            else:
+                out.append((part if open_ else both, begins, ends))
+            open_ = True
+    return [(t, a, b) if a is not None and b is not None else (t, None, None) for t, a, b in out]
+
+
+def fold_sections(sections: list[tuple], target: int, maximum: int) -> list[tuple]:
+    """(heading path, text, first line, last line) of the chunks of sections (content, heading path, first line, last line) in order."""
+    out: list[tuple] = []
+    held: tuple | None = None
+    for content, path, first, last in sections:
+        text = content.strip()
+        if not text:
+            continue
+        if len(text) > maximum:
+            out += [held] if held else []
+            held = None
+            out += [(path, *piece) for piece in split_section(content, first, maximum)]
+        elif held and len(both := _glued(held[1], text)) > maximum:
+            out.append(held)
+            held = (path, text, first, last)
+        else:
+            held = (held[0] or path, both, held[2], last) if held else (path, text, first, last)
+            if len(held[1]) >= target:
+                out.append(held)
+                held = None
+    out += [held] if held else []
+    return [(p, t, a, b) for p, t, a, b in ((p, t.replace("\r\n", "\n").replace("\r", "\n").strip(), a, b) for p, t, a, b in out) if t]
 
 
 def split_oversized(sections: DataFrame, maximum: int = MAXIMUM) -> DataFrame:
@@ -73,20 +147,25 @@ def _pack(rows: list[tuple], target: int, maximum: int, boundary=None) -> list[l
 def chunk_sections(sections: DataFrame, target: int = TARGET, maximum: int = MAXIMUM) -> DataFrame:
     """Chunks of consecutive sections (doc_id, section_no, heading_path, content, start_line, end_line) of each document.
 
-    Sections are joined by a blank line until the chunk has ``target`` characters, and never beyond ``maximum`` unless one section
-    alone is longer. The heading path is that of the first section.
+    Sections are joined by a blank line until the chunk has ``target`` characters, and never beyond ``maximum``. A longer section is
+    split by its blocks, list items and sentences (``split_section``); only code in fences may be longer. The heading path is
+    that of the first section that has one. A document's sections come together in one row, so a document is what a task holds.
     """
-
-    def fold(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("section_no")
-        rows = list(zip(g["content"], g["heading_path"], g["start_line"], g["end_line"], strict=True))
-        out = []
-        for i, group in enumerate(_pack(rows, target, maximum)):
-            text = "\n\n".join(r[0] for r in group)
-            out.append((g["doc_id"].iloc[0], i, list(group[0][1]), text, min(r[2] for r in group), max(r[3] for r in group), _digest(text)))
-        return pd.DataFrame(out, columns=[c.split(" ")[0] for c in _CHUNK.split(", ")])
-
-    return sections.groupBy("doc_id").applyInPandas(fold, _CHUNK)
+    row = F.sort_array(F.collect_list(F.struct("section_no", "content", "heading_path", "start_line", "end_line")))
+    held = sections.groupBy("doc_id").agg(row.alias("s"))
+    names = [c.split(" ")[0] for c in _CHUNK.split(", ")]
+    kinds = [pa.int64(), pa.int32(), pa.list_(pa.string()), pa.string(), pa.int32(), pa.int32(), pa.string()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for doc_id, parts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                own = [(s["content"] or "", s["heading_path"] or [], s["start_line"], s["end_line"]) for s in parts.as_py()]
+                out += [(doc_id, i, list(p), t, a, b, _digest(t)) for i, (p, t, a, b) in enumerate(fold_sections(own, target, maximum))]
+            columns = list(zip(*out, strict=True)) or [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+    return held.mapInArrow(run, _CHUNK)
 
 
 def chunk_blocks(blocks: DataFrame, target: int = TARGET, maximum: int = MAXIMUM, respect_sections: bool = True) -> DataFrame:

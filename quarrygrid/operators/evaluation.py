@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarrygrid.common import nearest_rank, topk
+from quarrygrid.common import broadcast_if_few, materialize, nearest_rank, shuffle_partitions, topk
 from quarrygrid.operators.lexical import ascii_lower, tokens
 
 # --- gold and ranking metrics ----------------------------------------------------------------------------------------
@@ -68,9 +69,7 @@ def average_ranks(df: DataFrame, score: str, descending: bool = False) -> DataFr
     Distinct scores are counted first; positions are prefix sums of the counts over ranges of scores.
     """
     counts = df.groupBy(score).agg(F.count("*").alias("__n"))
-    parts = counts.repartitionByRange(16, F.desc(score) if descending else F.asc(score)).withColumn("__part", F.spark_partition_id())
-    from quarrygrid.common import materialize
-
+    parts = counts.repartitionByRange(shuffle_partitions(df.sparkSession), F.desc(score) if descending else F.asc(score)).withColumn("__part", F.spark_partition_id())
     parts = materialize(parts, "ranks")
     order = F.desc(score) if descending else F.asc(score)
     inner = parts.withColumn("__inner", F.sum("__n").over(Window.partitionBy("__part").orderBy(order)))
@@ -265,11 +264,16 @@ def budget_curve(a: DataFrame, b: DataFrame, gold: DataFrame, depths: Sequence[i
 def bootstrap_ci(rows: DataFrame, n: int = 1000, level: float = 0.95) -> DataFrame:
     """Confidence interval of the mean difference a - b of (unit index ``i`` from 0, a, b), by strided resamples.
 
-    Resample r takes unit (i * (2 r + 1) + r) mod m for each i of the m units: fixed strides, no random numbers.
+    Resample r takes unit (i * (2 r + 1) + r) mod m for each i of the m units: fixed strides, no random numbers. So with
+    g = gcd(2 r + 1, m) it draws each unit that is r modulo g g times and no other: sums by remainder are all that is needed, and
+    they are added up in each task before the shuffle.
     """
-    size = rows.agg(F.count("*").alias("m"))
-    draws = rows.select("i").join(F.broadcast(size)).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select("r", F.pmod(F.col("i") * (2 * F.col("r") + 1) + F.col("r"), "m").alias("i"))
-    means = draws.join(rows.select("i", (F.col("a") - F.col("b")).alias("d")), "i").groupBy("r").agg(F.round(F.avg("d"), 12).alias("mean"))
+    spark, m = rows.sparkSession, rows.count()
+    steps = [(r, math.gcd(2 * r + 1, m)) for r in range(n)]
+    resamples = spark.createDataFrame([(r, g, r % g) for r, g in steps], "r int, g int, remainder long")
+    strides = F.array(*[F.lit(g) for g in sorted({g for _, g in steps})])
+    sums = rows.select("i", (F.col("a") - F.col("b")).alias("d"), F.explode(strides).alias("g")).groupBy("g", F.pmod("i", "g").alias("remainder")).agg(F.sum("d").alias("total"))
+    means = resamples.join(sums, ["g", "remainder"]).select("r", F.round(F.col("total") * F.col("g") / m, 12).alias("mean"))
     tail = (1 - level) / 2
     return means.agg(nearest_rank("mean", tail).alias("low"), nearest_rank("mean", 1 - tail).alias("high"), F.avg("mean").alias("center")).join(rows.agg(F.avg(F.col("a") - F.col("b")).alias("observed")))
 
@@ -339,20 +343,27 @@ def normalized(text: Column) -> Column:
 def leakage_scan(items: DataFrame, corpus: DataFrame, threshold: float = 0.82) -> DataFrame:
     """(item_id, doc_id, kind): items equal to a document, equal when normalized, or near it (token Jaccard of ``threshold`` or more).
 
-    Near candidates share one of the item's rarest tokens: of n tokens, one of the n - ceil(threshold n) + 1 rarest has to be shared.
+    Near candidates share one of the item's rarest tokens: of n tokens, one of the n - ceil(threshold n) + 1 rarest has to be
+    shared, and the sizes have to fit. The documents stay where they are as long as the items are few enough to be broadcast:
+    tokens are counted and matched in the task that reads the text.
     """
     i = items.select("item_id", "text", normalized(F.col("text")).alias("norm"))
+    i = i.withColumn("x", F.filter(F.array_distinct(F.split("norm", " ")), lambda t: t != "")).withColumn("ni", F.size("x"))
+    i = materialize(i, "leakage-items")
     d = corpus.select("doc_id", F.col("text").alias("body"), normalized(F.col("text")).alias("norm_d"))
-    exact = i.join(d, i.text == d.body).select("item_id", "doc_id", F.lit(0).alias("o"), F.lit("exact").alias("kind"))
-    norm = i.where("norm <> ''").join(d, i.norm == d.norm_d).select("item_id", "doc_id", F.lit(1).alias("o"), F.lit("normalized").alias("kind"))
-    it = i.select("item_id", F.explode(F.array_distinct(F.split("norm", " "))).alias("token")).where("token <> ''")
-    dt = d.select("doc_id", F.explode(F.array_distinct(F.split("norm_d", " "))).alias("token")).where("token <> ''")
-    sizes_i, sizes_d = it.groupBy("item_id").agg(F.count("*").alias("ni")), dt.groupBy("doc_id").agg(F.count("*").alias("nd"))
-    df = dt.groupBy("token").agg(F.count("*").alias("df"))
-    rare = it.join(df, "token", "left").join(sizes_i, "item_id").withColumn("r", F.row_number().over(Window.partitionBy("item_id").orderBy(F.coalesce("df", F.lit(0)), "token")))
-    rare = rare.where(F.col("r") <= F.col("ni") - F.ceil(F.round(threshold * F.col("ni"), 9)) + 1).select("item_id", "token")
-    pairs = rare.join(dt, "token").select("item_id", "doc_id").distinct().join(sizes_i, "item_id").join(sizes_d, "doc_id").where((F.least("ni", "nd") >= threshold * F.greatest("ni", "nd")))
-    common = pairs.join(it, "item_id").join(dt, ["doc_id", "token"]).groupBy("item_id", "doc_id", "ni", "nd").agg(F.count("*").alias("c"))
+    few = broadcast_if_few(i)
+    exact = d.join(few, F.col("body") == F.col("text")).select("item_id", "doc_id", F.lit(0).alias("o"), F.lit("exact").alias("kind"))
+    norm = d.join(few, (F.col("norm_d") == F.col("norm")) & (F.col("norm") != "")).select("item_id", "doc_id", F.lit(1).alias("o"), F.lit("normalized").alias("kind"))
+    own = d.select("doc_id", F.filter(F.array_distinct(F.split("norm_d", " ")), lambda t: t != "").alias("y")).withColumn("nd", F.size("y"))
+    single = own.select("doc_id", "nd", F.explode("y").alias("token"))
+    asked = materialize(i.select("item_id", "ni", F.explode("x").alias("token")), "leakage-tokens")
+    df = single.join(broadcast_if_few(asked.select("token").distinct()), "token", "left_semi").groupBy("token").agg(F.count("*").alias("df"))
+    rare = asked.join(df, "token", "left").withColumn("r", F.row_number().over(Window.partitionBy("item_id").orderBy(F.coalesce("df", F.lit(0)), "token")))
+    rare = materialize(rare.where(F.col("r") <= F.col("ni") - F.ceil(F.round(threshold * F.col("ni"), 9)) + 1).select("item_id", "ni", "token"), "leakage-rare")
+    fits = F.least("ni", "nd") >= threshold * F.greatest("ni", "nd")
+    pairs = single.join(broadcast_if_few(rare), "token").where(fits).select("item_id", "doc_id").distinct()
+    pairs = materialize(pairs.join(broadcast_if_few(i.select("item_id", "x", "ni")), "item_id"), "leakage-pairs")
+    common = own.join(broadcast_if_few(pairs), "doc_id").withColumn("c", F.size(F.array_intersect("x", "y")))
     near = common.where(F.col("c") >= threshold * (F.col("ni") + F.col("nd") - F.col("c"))).select("item_id", "doc_id", F.lit(2).alias("o"), F.lit("near").alias("kind"))
     return exact.unionByName(norm).unionByName(near).groupBy("item_id", "doc_id").agg(F.min_by("kind", "o").alias("kind"))
 
@@ -360,8 +371,10 @@ def leakage_scan(items: DataFrame, corpus: DataFrame, threshold: float = 0.82) -
 def containment_scan(items: DataFrame, docs: DataFrame, min_len: int = 12, words: int = 3) -> DataFrame:
     """(item_id, doc_id): items of ``min_len`` characters or more that stand verbatim in a document.
 
-    Candidates share the item's rarest run of ``words`` inner words; items with fewer inner words are compared on their
-    whole inner words' longest one. Inner words are those that no item boundary can cut.
+    Candidates share the item's rarest run of ``words`` inner words, or its longest inner word where it has fewer; inner words are
+    those that no item boundary can cut. Items without one share their first characters with some place of the document. What is
+    asked is broadcast if it is few enough, so that runs are made and matched where the document is read; every candidate is
+    then verified on the whole texts.
     """
     ws = r"[ \t\r\n]+"
 
@@ -375,16 +388,27 @@ def containment_scan(items: DataFrame, docs: DataFrame, min_len: int = 12, words
 
     long = items.where(F.length("text") >= min_len).select("item_id", "text")
     inner = F.filter(F.slice(F.split("text", ws), 2, F.greatest(F.size(F.split("text", ws)) - 2, F.lit(0))), lambda w: w != "")
-    long = long.withColumn("inner", inner).withColumn("cut", F.size("inner") >= words)
-    grams = docs.select("doc_id", F.explode(F.array_distinct(runs(F.filter(F.split("text", ws), lambda w: w != "")))).alias("gram"))
-    asked = long.where("cut").select("item_id", F.explode(F.array_distinct(runs(F.col("inner")))).alias("gram"))
-    hits = grams.join(F.broadcast(asked.select("gram").distinct()), "gram", "left_semi")
-    rare = topk(asked.join(hits.groupBy("gram").agg(F.count("*").alias("df")), "gram", "left").withColumn("df", F.coalesce("df", F.lit(0))), ["item_id"], [F.asc("df"), F.asc("gram")], 1, "r").select("item_id", "gram")
-    pairs = rare.join(hits, "gram").select("item_id", "doc_id")
-    checked = pairs.join(long.select("item_id", "text"), "item_id").join(docs.select("doc_id", F.col("text").alias("body")), "doc_id").where(F.contains("body", "text")).select("item_id", "doc_id")
-    few = long.where("not cut").select("item_id", "text")
-    plain = docs.select("doc_id", F.col("text").alias("body")).join(F.broadcast(few), F.contains("body", "text")).select("item_id", "doc_id")
-    return checked.unionByName(plain).distinct()
+    long = materialize(long.withColumn("inner", inner), "containment-items")
+    split = F.filter(F.split("text", ws), lambda w: w != "")
+
+    def found(asked: DataFrame, grams: Column) -> DataFrame:
+        """Documents that hold what is asked (item_id, gram), by each item's rarest."""
+        every = docs.select("doc_id", F.explode(F.array_distinct(grams)).alias("gram"))
+        hits = materialize(every.join(broadcast_if_few(asked.select("gram").distinct()), "gram", "left_semi"), "containment-hits")
+        rare = topk(asked.join(hits.groupBy("gram").agg(F.count("*").alias("df")), "gram", "left").withColumn("df", F.coalesce("df", F.lit(0))), ["item_id"], [F.asc("df"), F.asc("gram")], 1, "r").select("item_id", "gram")
+        return rare.join(hits, "gram").select("item_id", "doc_id")
+
+    pairs = found(materialize(long.where(F.size("inner") >= words).select("item_id", F.explode(F.array_distinct(runs(F.col("inner")))).alias("gram")), "containment-grams"), runs(split))
+    some = long.where((F.size("inner") > 0) & (F.size("inner") < words)).select("item_id", F.array_max(F.transform("inner", lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"].alias("gram"))
+    if some.limit(1).count():
+        pairs = pairs.unionByName(found(some, split))
+    none = long.where(F.size("inner") == 0).select("item_id", F.left("text", F.lit(min_len)).alias("gram"))
+    if none.limit(1).count():
+        last = F.length("text") - min_len + 1
+        places = F.when(last > 0, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(F.col("text"), i, F.lit(min_len)))).otherwise(F.array().cast("array<string>"))
+        pairs = pairs.unionByName(found(none, places))
+    asked = materialize(pairs.distinct().join(broadcast_if_few(long.select("item_id", "text")), "item_id"), "containment-pairs")
+    return docs.select("doc_id", F.col("text").alias("body")).join(broadcast_if_few(asked), "doc_id").where(F.contains("body", "text")).select("item_id", "doc_id")
 
 
 #: Kinds and patterns (fixed values), written so that Java and RE2 agree.
@@ -420,7 +444,7 @@ def redact_text(docs: DataFrame, literals: Sequence[str] = (), rules: Sequence[t
 
 def text_fidelity(reference: DataFrame, candidate: DataFrame) -> DataFrame:
     """Per document: share of the reference's tokens kept, missing ones, ones too many; tokens count with their multiplicity."""
-    r, c = (d.select("doc_id", F.explode(tokens(F.col("text"), ())).alias("t")).groupBy("doc_id", "t").agg(F.count("*").alias(n)) for d, n in ((reference, "nr"), (candidate, "nc")))
+    r, c = (d.select("doc_id", F.explode(tokens(F.col("text"))).alias("t")).groupBy("doc_id", "t").agg(F.count("*").alias(n)) for d, n in ((reference, "nr"), (candidate, "nc")))
     j = r.join(c, ["doc_id", "t"], "full_outer").na.fill(0, ["nr", "nc"])
     out = j.groupBy("doc_id").agg(F.sum(F.least("nr", "nc")).alias("kept"), F.sum("nr").alias("n_reference"), F.sum("nc").alias("n_candidate"))
     return out.select("doc_id", F.when(F.col("n_reference") > 0, F.col("kept") / F.col("n_reference")).otherwise(1.0).alias("retention"), (F.col("n_reference") - F.col("kept")).alias("n_omitted"), (F.col("n_candidate") - F.col("kept")).alias("n_added"))
@@ -480,13 +504,27 @@ def router_scores(rows: DataFrame) -> DataFrame:
     return out.withColumn("f1", F.when(F.col("precision") + F.col("recall") > 0, 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))).otherwise(0.0)).drop("tp", "fired", "wanted")
 
 
+def exact_percentiles(df: DataFrame, by: Sequence[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """(by, one column for each share): nearest-rank percentiles of each group, exact at any size.
+
+    Equal values are counted in each task first; running counts then find the elements, and no group's values are held together.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("__n"))
+    group = Window.partitionBy(*by)
+    placed = counts.withColumns({"__upto": F.sum("__n").over(group.orderBy(value)), "__all": F.sum("__n").over(group)})
+    return placed.groupBy(*by).agg(*[F.min(F.when(F.col("__upto") >= F.ceil(F.col("__all") * q), F.col(value))).alias(name) for name, q in shares.items()])
+
+
 def latency_summary(df: DataFrame, by: Sequence[str], value: str = "latency_ms", exact: bool = True) -> DataFrame:
     """count, mean, p50, p95, p99, max and population deviation by group; percentiles are elements (nearest rank), not interpolated.
 
-    ``exact=False`` bounds the memory of huge groups by an accuracy of 1/10000.
+    ``exact=False`` takes approximate percentiles, to 1/10000 of the ranks, in one pass.
     """
-    pct = lambda q: nearest_rank(value, q) if exact else F.percentile_approx(value, q, 10_000)
-    return df.where(F.col(value).isNotNull()).groupBy(*by).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), pct(0.5).alias("p50"), pct(0.95).alias("p95"), pct(0.99).alias("p99"), F.max(value).alias("max"), F.stddev_pop(value).alias("std"))
+    shares = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+    rows = df.where(F.col(value).isNotNull())
+    near = [] if exact else [F.percentile_approx(value, q, 10_000).alias(name) for name, q in shares.items()]
+    out = rows.groupBy(*by).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.max(value).alias("max"), F.stddev_pop(value).alias("std"), *near)
+    return out.join(exact_percentiles(rows, by, value, shares), list(by)) if exact else out
 
 
 def stage_profile(traces: DataFrame) -> DataFrame:

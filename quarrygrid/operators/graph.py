@@ -28,7 +28,7 @@ def extract_links(docs: DataFrame) -> DataFrame:
     every = F.concat(found(WIKI, lambda r: F.when(F.startswith(r, F.lit("!")), "embed").otherwise("wiki")), found(MARKDOWN, F.lit("markdown")), found(TAG, F.lit("tag")))
     rows = lines.select("doc_id", "line_no", "fenced", F.explode(every).alias("l")).select("doc_id", "line_no", "fenced", "l.kind", F.trim("l.raw").alias("raw"))
     wiki = F.col("kind").isin("wiki", "embed")
-    inner = F.when(wiki, F.regexp_replace("raw", r"^!?\[\[|\]\]$", "")).when(F.col("kind") == "markdown", F.regexp_extract("raw", r"\(([^()]+)\)$", 1)).otherwise(F.substring("raw", 2, 1000))
+    inner = F.when(wiki, F.regexp_replace("raw", r"^!?\[\[|\]\]$", "")).when(F.col("kind") == "markdown", F.regexp_extract("raw", r"\(([^()]+)\)$", 1)).otherwise(F.expr("substring(raw, 2)"))
     rows = rows.withColumn("inner", inner)
     place = F.when(wiki, F.substring_index("inner", "|", 1)).otherwise(F.col("inner"))
     rows = rows.withColumn("place", place)

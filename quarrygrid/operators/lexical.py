@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from quarrygrid.common import topk
+from quarrygrid.common import broadcast_if_few, materialize, shuffle_partitions, topk
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = "[a-z0-9À-ÖØ-öø-ÿ]+"
-#: Identifiers with dots, dashes or underscores: emitted whole, and their parts as well.
-TECHNICAL = f"{WORD}(?:[._-]{WORD})+"
-STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "with")
+#: A flag, or a word, also of parts joined by dots, underscores, slashes or hyphens: emitted whole, and its parts as well.
+TECHNICAL = f"--[a-z0-9][a-z0-9-]*|{WORD}(?:[._/-]{WORD})*"
+SEPARATOR = "[._/-]"
+#: Particles that are no tokens (fixed values); they only come from a segmenter.
+STOP_WORDS = ("的", "了", "和", "与", "及", "或", "在")
+#: Characters that compatibility normalization leaves as they are, so that texts of nothing else need not leave the JVM.
+STABLE = r"^[\x00-\x7FÀ-ÖØ-öø-ÿ–—‘’“”€]*+$"
 K1, B = 1.2, 0.75
 MAX_K = 100
 DIGITS = 9  # scores are rounded before they are ranked, so that ties don't depend on the order of a sum
@@ -23,23 +26,27 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-def tokens(text: Column, stop_words: Sequence[str] = STOP_WORDS) -> Column:
-    """The token array of a text (Latin path); null gives an empty array."""
-    low = ascii_lower(F.coalesce(text, F.lit("")))
-    found = F.concat(F.regexp_extract_all(low, F.lit(TECHNICAL), F.lit(0)), F.regexp_extract_all(low, F.lit(WORD), F.lit(0)))
-    return F.filter(found, lambda t: ~t.isin(*stop_words)) if stop_words else found
+def normalized_form(text: Column, normalizer=None) -> Column:
+    """The text in the normalizer's form; only texts with a character outside of ``STABLE`` pass through it."""
+    if normalizer is None:
+        return text
+    odd = ~text.rlike(STABLE)
+    return F.when(odd, F.pandas_udf(normalizer, "string")(F.when(odd, text))).otherwise(text)
+
 
+def tokens(text: Column) -> Column:
+    """The token array of a text (Latin path); null gives an empty array.
 
-def tokenize_text(df: DataFrame, col: str = "text", out: str = "tokens", normalizer=None, segmenter=None) -> DataFrame:
-    """Adds the token array. ``normalizer`` (Series -> Series of str, e.g. NFKC) and ``segmenter`` (Series -> Series of lists, e.g.
-    character n-grams) are Arrow-batched hooks for scripts that the native path doesn't cut; by default nothing leaves the JVM.
+    A joined token comes whole, then its joined parts after a slash or dot, then its single parts, each once.
     """
-    text = F.col(col)
-    if normalizer is not None:
-        text = F.pandas_udf(normalizer, "string")(text)
-    if segmenter is not None:
-        return df.withColumn(out, F.pandas_udf(segmenter, "array<string>")(text))
-    return df.withColumn(out, tokens(text))
+
+    def shown(t: Column) -> Column:
+        parts = F.filter(F.split(t, f"{SEPARATOR}+"), lambda p: p != "")
+        joined = F.filter(F.split(t, "[/.]+"), lambda p, i: (i > 0) & p.rlike("[_-]"))
+        return F.when(t.rlike(SEPARATOR), F.concat(F.array(t), F.array_distinct(F.concat(joined, parts)))).otherwise(F.array(t))
+
+    low = ascii_lower(F.coalesce(text, F.lit("")))
+    return F.flatten(F.transform(F.regexp_extract_all(low, F.lit(TECHNICAL), F.lit(0)), shown))
 
 
 def nfkc(column):
@@ -50,23 +57,58 @@ def nfkc(column):
 
 
 def character_bigrams(column):
-    """The segmenter for scripts without spaces: words of ASCII letters and digits, and pairs of neighbouring other characters."""
+    """A segmenter for scripts without spaces: pairs of neighbouring characters that are not ASCII; single ones stay alone."""
     import re
 
     def cut(t: str | None) -> list[str]:
         out = []
-        for run in re.findall(r"[a-z0-9]+|[^\x00-\x7f]+", (t or "").lower()):
-            out += [run] if run.isascii() or len(run) == 1 else [run[i : i + 2] for i in range(len(run) - 1)]
+        for run in re.findall(r"[^\x00-\x7f]+", t or ""):
+            out += [run] if len(run) == 1 else [run[i : i + 2] for i in range(len(run) - 1)]
         return out
 
     return column.map(cut)
 
 
-def term_frequencies(chunks: DataFrame) -> DataFrame:
-    """Postings (kb_id, chunk_id, term, tf) of chunks (kb_id, chunk_id, heading_path, content); chunks without tokens have none."""
+def all_tokens(text: Column, normalizer=nfkc, segmenter=None) -> Column:
+    """Tokens of the normalized text, followed by those that ``segmenter`` (Series -> Series of lists) cuts from what is no Latin token."""
+    text = normalized_form(F.coalesce(text, F.lit("")), normalizer)
+    if segmenter is None:
+        return tokens(text)
+    rest = F.regexp_replace(ascii_lower(text), TECHNICAL, " ")
+    return F.concat(tokens(text), F.filter(F.pandas_udf(segmenter, "array<string>")(rest), lambda t: ~t.isin(*STOP_WORDS)))
+
+
+def tokenize_text(df: DataFrame, col: str = "text", out: str = "tokens", normalizer=nfkc, segmenter=None) -> DataFrame:
+    """Adds the token array. ``normalizer`` (Series -> Series of str) and ``segmenter`` (Series -> Series of lists, e.g. character
+    n-grams) are Arrow-batched hooks; ``None`` keeps a text as it is. Every operator of this module takes them.
+    """
+    return df.withColumn(out, all_tokens(F.col(col), normalizer, segmenter))
+
+
+def chunk_tokens(chunks: DataFrame, normalizer=nfkc, segmenter=None) -> DataFrame:
+    """(kb_id, chunk_id, tokens) of chunks (kb_id, chunk_id, heading_path, content)."""
     heading = F.concat_ws(" ", "heading_path") if "heading_path" in chunks.columns else F.lit("")
     text = F.concat_ws("\n", heading, F.coalesce("content", F.lit("")))
-    return chunks.select("kb_id", "chunk_id", F.explode(tokens(text)).alias("term")).groupBy("kb_id", "chunk_id", "term").agg(F.count("*").alias("tf"))
+    return chunks.select("kb_id", "chunk_id", all_tokens(text, normalizer, segmenter).alias("tokens"))
+
+
+def term_frequencies(chunks: DataFrame, normalizer=nfkc, segmenter=None, terms: DataFrame | None = None) -> DataFrame:
+    """Postings (kb_id, chunk_id, term, tf, document_length) of chunks (kb_id, chunk_id, heading_path, content); chunks without tokens have none.
+
+    With ``terms`` (kb_id, term) only the postings of those, filtered before anything is shuffled; the length still counts all tokens.
+    Rows are dealt by chunk_id, so what is grouped by chunk later needs no shuffle.
+    """
+    every = chunk_tokens(chunks, normalizer, segmenter)
+    rows = every.select("kb_id", "chunk_id", F.size("tokens").cast("long").alias("document_length"), F.explode("tokens").alias("term"))
+    if terms is not None:
+        rows = rows.join(broadcast_if_few(terms.select("kb_id", "term").distinct()), ["kb_id", "term"], "left_semi")
+        rows = rows.repartition(shuffle_partitions(chunks.sparkSession), "chunk_id")
+    return rows.groupBy("kb_id", "chunk_id", "document_length", "term").agg(F.count("*").alias("tf")).select("kb_id", "chunk_id", "term", "tf", "document_length")
+
+
+def chunk_lengths(chunks: DataFrame, normalizer=nfkc, segmenter=None) -> DataFrame:
+    """(kb_id, chunk_id, document_length) of chunks that have tokens, counted in place."""
+    return chunk_tokens(chunks, normalizer, segmenter).select("kb_id", "chunk_id", F.size("tokens").cast("long").alias("document_length")).where("document_length > 0")
 
 
 def chunk_statistics(postings: DataFrame) -> DataFrame:
@@ -102,43 +144,53 @@ def lexical_delta(df: DataFrame, corpus: DataFrame, added: DataFrame, removed: D
     return frequencies, sums.withColumn("avg_length", F.col("total_length") / F.col("n_chunks"))
 
 
-def query_terms(queries: DataFrame) -> DataFrame:
+def query_terms(queries: DataFrame, normalizer=nfkc, segmenter=None) -> DataFrame:
     """Distinct terms (query_id, kb_id, term, qtf) of queries (query_id, kb_id, text)."""
-    return queries.select("query_id", "kb_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "kb_id", "term").agg(F.count("*").alias("qtf"))
+    return queries.select("query_id", "kb_id", F.explode(all_tokens(F.col("text"), normalizer, segmenter)).alias("term")).groupBy("query_id", "kb_id", "term").agg(F.count("*").alias("qtf"))
 
 
-def bm25_scores(terms: DataFrame, postings: DataFrame, df: DataFrame, stats: DataFrame, corpus: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+def bm25_scores(terms: DataFrame, postings: DataFrame, df: DataFrame, corpus: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
     """(query_id, kb_id, chunk_id, score, n_matched, matched_terms) of every chunk that shares a term with a query.
 
-    Postings are cut to the queries' terms by the join with ``terms`` on the term; partial sums by (query, chunk) go to the shuffle.
+    The queries' weighted terms are broadcast if they are few; then the chunks' postings stay where they are, and a frequent term
+    is spread like its chunks. Postings dealt by chunk_id are summed without a shuffle.
     """
-    weighted = terms.join(df, ["kb_id", "term"]).join(F.broadcast(corpus), "kb_id")
+    weighted = terms.join(df, ["kb_id", "term"]).join(broadcast_if_few(corpus), "kb_id")
     weighted = weighted.withColumn("idf", F.log(1 + (F.col("n_chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5))).select("query_id", "kb_id", "term", "idf", "avg_length")
-    hits = postings.join(weighted, ["kb_id", "term"]).join(stats.select("kb_id", "chunk_id", "document_length"), ["kb_id", "chunk_id"])
+    hits = postings.join(broadcast_if_few(materialize(weighted, "bm25-terms")), ["kb_id", "term"])
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("document_length") / F.col("avg_length")))
     return hits.groupBy("query_id", "kb_id", "chunk_id").agg(F.round(F.sum(part), DIGITS).alias("score"), F.count("*").alias("n_matched"), F.array_sort(F.collect_list("term")).alias("matched_terms"))
 
 
-def bm25_topk(queries: DataFrame, chunks: DataFrame, k: int = 10, k1: float = K1, b: float = B, index: tuple | None = None) -> DataFrame:
+def build_index(chunks: DataFrame, terms: DataFrame | None = None, normalizer=nfkc, segmenter=None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(postings, document frequencies, corpus statistics) of chunks, written once; with ``terms`` only what concerns them."""
+    postings = materialize(term_frequencies(chunks, normalizer, segmenter, terms), "bm25-postings")
+    corpus = materialize(corpus_statistics(chunk_lengths(chunks, normalizer, segmenter)), "bm25-corpus")
+    return postings, document_frequencies(postings), corpus
+
+
+def bm25_topk(queries: DataFrame, chunks: DataFrame, k: int = 10, k1: float = K1, b: float = B, index: tuple | None = None, normalizer=nfkc, segmenter=None) -> DataFrame:
     """Top-k chunks of every query by BM25: ties by path, start_line (nulls last), chunk_id; k is clamped to 1..100.
 
     ``chunks``: kb_id, chunk_id, path, start_line, content, and index_status where not all are indexed. ``index`` gives
-    ready-made (postings, df, stats, corpus) tables instead of building them.
+    ready-made tables of ``build_index``; else only the postings of the queries' terms are made.
     """
     k = max(1, min(k, MAX_K))
     if "index_status" in chunks.columns:
         chunks = chunks.where("index_status = 'indexed'")
-    if index is None:
-        postings = term_frequencies(chunks)
-        stats = chunk_statistics(postings)
-        index = (postings, document_frequencies(postings), stats, corpus_statistics(stats))
-    scored = bm25_scores(query_terms(queries), *index, k1=k1, b=b)
-    ranked = scored.join(chunks.select("kb_id", "chunk_id", "path", "start_line"), ["kb_id", "chunk_id"])
+    terms = materialize(query_terms(queries, normalizer, segmenter), "bm25-queries")
+    postings, df, corpus = index or build_index(chunks, terms, normalizer, segmenter)
+    dealt = postings.repartition(shuffle_partitions(chunks.sparkSession), "chunk_id")
+    scored = bm25_scores(terms, dealt, df, corpus, k1=k1, b=b)
+    # ties are broken by columns of the chunks: they join what may still be among the first k by score alone
+    low = Window.partitionBy("query_id").orderBy(F.desc("score"))
+    best = scored.withColumn("__r", F.rank().over(low)).where(F.col("__r") <= k).drop("__r")
+    ranked = best.join(chunks.select("kb_id", "chunk_id", "path", "start_line"), ["kb_id", "chunk_id"])
     order = [F.desc("score"), F.asc("path"), F.asc_nulls_last("start_line"), F.asc("chunk_id")]
     return topk(ranked, ["query_id"], order, k)
 
 
 def term_set_scores(queries: DataFrame, postings: DataFrame, k: int = 10) -> DataFrame:
     """Multiset overlap: the sum of the smaller of both term counts; ties by chunk_id."""
-    hits = query_terms(queries).join(postings, ["kb_id", "term"])
+    hits = postings.join(broadcast_if_few(materialize(query_terms(queries), "overlap-queries")), ["kb_id", "term"])
     return topk(hits.groupBy("query_id", "chunk_id").agg(F.sum(F.least("qtf", "tf")).alias("score")), ["query_id"], [F.desc("score"), F.asc("chunk_id")], max(1, k))

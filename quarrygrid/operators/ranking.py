@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarrygrid.common import topk, with_rank
+from quarrygrid.common import broadcast_if_few, materialize, topk, with_rank
 from quarrygrid.operators.lexical import tokens
 
 RRF_K = 60
@@ -65,16 +65,21 @@ def rerank(cands: DataFrame, top_n: int = 20, score_fn: Callable[[pd.Series, pd.
     return with_rank(first.withColumn("rerank_score", _r(score)), ["query_id"], [F.desc("rerank_score"), F.asc("retrieval_rank"), F.asc("chunk_id")], "rerank_rank")
 
 
-def capped_tokens(df: DataFrame, key: str, text: str, cap: int) -> DataFrame:
-    """(key, token): distinct tokens, the first ``cap`` in alphabetical order."""
-    return df.select(key, F.explode(F.slice(F.array_sort(F.array_distinct(tokens(F.col(text), ()))), 1, cap)).alias("token"))
+def capped_tokens(df: DataFrame, key: str, text: str, cap: int | None) -> DataFrame:
+    """(key, token): distinct tokens, all or the first ``cap`` in alphabetical order."""
+    own = F.array_distinct(tokens(F.col(text)))
+    return df.select(key, F.explode(own if cap is None else F.slice(F.array_sort(own), 1, cap)).alias("token"))
 
 
-def token_maxsim(queries: DataFrame, chunks: DataFrame, k: int = 20, query_cap: int = 32, passage_cap: int = 96) -> DataFrame:
-    """Late interaction over distinct tokens: best matches and shared tokens coincide on sets, so the score is 2 |q and d| / |q|."""
-    q = capped_tokens(queries, "query_id", "text", query_cap)
+def token_maxsim(queries: DataFrame, chunks: DataFrame, k: int = 20, query_cap: int | None = None, passage_cap: int | None = None) -> DataFrame:
+    """Late interaction over distinct tokens: best matches and shared tokens coincide on sets, so the score is 2 |q and d| / |q|.
+
+    All tokens count; caps of 32 and 96 give the form for short passages. A chunk's tokens meet the queries' where they are, if the
+    latter are few enough to broadcast, so that counting is done before the shuffle.
+    """
+    q = materialize(capped_tokens(queries, "query_id", "text", query_cap), "maxsim-queries")
     size = q.groupBy("query_id").agg(F.count("*").alias("n"))
-    hits = q.join(capped_tokens(chunks, "chunk_id", "content", passage_cap), "token").groupBy("query_id", "chunk_id").agg(F.count("*").alias("shared"))
+    hits = capped_tokens(chunks, "chunk_id", "content", passage_cap).join(broadcast_if_few(q), "token").groupBy("query_id", "chunk_id").agg(F.count("*").alias("shared"))
     scored = hits.join(size, "query_id").select("query_id", "chunk_id", _r(2.0 * F.col("shared") / F.col("n")).alias("score"))
     return topk(scored, ["query_id"], [F.desc("score"), F.asc("chunk_id")], k)
 

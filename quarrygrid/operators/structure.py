@@ -3,51 +3,95 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarrygrid.common import materialize
 
-HEADING, FENCE = r"^(#{1,6})[ \t]+(.*?)[ \t]*#*$", r"^ {0,3}(```|~~~)"
+HEADING, FENCE = r"^(#{1,6})[ \t]+(.+?)[ \t]*#*[ \t]*$", r"^[ \t]*(```+|~~~+)"
+_HEADING, _FENCE = re.compile(HEADING), re.compile(FENCE)
+
+
+def fence_states(lines: list[str]) -> list[tuple[bool, bool]]:
+    """For every line whether it is a fence or inside one, and whether it closes one.
+
+    A fence is closed by a line of its own marker that is at least as long.
+    """
+    out, mark = [], ""
+    for line in lines:
+        found = _FENCE.match(line)
+        closes = bool(found and mark and found[1][0] == mark[0] and len(found[1]) >= len(mark))
+        out.append((bool(found or mark), closes))
+        if closes:
+            mark = ""
+        elif found and not mark:
+            mark = found[1]
+    return out
+
+
+def _by_document(docs: DataFrame, rows_of, columns: str) -> DataFrame:
+    """Rows (doc_id, columns) that ``rows_of`` makes of each text's lines, document by document, without a shuffle; null texts have none."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, out = batch.column(0).to_pylist(), []
+            for doc_id, text in zip(ids, batch.column(1), strict=True):
+                out += [(doc_id, *r) for r in rows_of((text.as_py() or "").splitlines())]
+                if len(out) >= 4096:
+                    yield made(out, batch.schema.field(0).type)
+                    out = []
+            yield made(out, batch.schema.field(0).type)
+
+    def made(rows: list[tuple], id_type: pa.DataType) -> pa.RecordBatch:
+        types = [id_type, *(_ARROW[t] for _, t in fields)]
+        cells = list(zip(*rows, strict=True)) or [()] * len(types)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, types, strict=True)], ["doc_id", *(n for n, _ in fields)])
+
+    fields = [tuple(c.strip().split(" ")) for c in columns.split(",")]
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {columns}")
+
+
+_ARROW = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
 
 
 def text_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no from 1, line, fenced): a fence line toggles the code state; fence lines themselves count as fenced."""
-    lines = docs.where("text is not null").select("doc_id", F.posexplode(F.split(F.replace("text", F.lit("\r\n"), F.lit("\n")), "\n")).alias("i", "line")).select("doc_id", (F.col("i") + 1).alias("line_no"), "line")
-    w = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    fence = F.col("line").rlike(FENCE).cast("int")
-    lines = lines.withColumns({"__n": F.sum(fence).over(w), "__f": fence})
-    return lines.select("doc_id", "line_no", "line", ((F.col("__n") % 2 == 1) | (F.col("__f") == 1)).alias("fenced"))
+    """(doc_id, line_no from 1, line, fenced): ``fenced`` lines are fences or between them."""
+    return _by_document(docs, lambda lines: [(i, line, f) for i, (line, (f, _)) in enumerate(zip(lines, fence_states(lines), strict=True), 1)], "line_no int, line string, fenced boolean")
+
+
+def sections_of(lines: list[str]) -> Iterator[tuple[int, list[str], int, int, int, str]]:
+    """(number, heading path, level, first line, last line, content) of the sections that aren't blank."""
+    above: list[tuple[int, str]] = []
+    heads = [0]  # first lines of the sections
+    found: list[tuple[int, tuple[str, ...]]] = [(0, ())]
+    for i, (line, (fenced, _)) in enumerate(zip(lines, fence_states(lines), strict=True)):
+        head = None if fenced else _HEADING.match(line)
+        if head:
+            level = len(head[1])
+            above = [*(x for x in above if x[0] < level), (level, head[2].strip())]
+            heads.append(i)
+            found.append((level, tuple(t for _, t in above)))
+    for number, ((level, path), lo, hi) in enumerate(zip(found, heads, [*heads[1:], len(lines)], strict=True)):
+        content = "\n".join(lines[lo:hi]).strip("\n")
+        if content.strip():
+            yield number, list(path), level, lo + 1, hi, content
 
 
 def md_sections(docs: DataFrame) -> DataFrame:
     """(doc_id, section_no, heading_path, level, start_line, end_line, content) of Markdown texts (doc_id, text).
 
-    Sections start at ATX headings outside code fences; the path holds the headings above; blank sections are left out.
+    Sections start at ATX headings outside code fences; the path holds the headings above; blank sections are left out, and
+    empty lines around a content are cut.
     """
-    lines = text_lines(docs)
-    level = F.when(~F.col("fenced") & F.col("line").rlike(HEADING), F.length(F.regexp_extract("line", HEADING, 1))).otherwise(0)
-    lines = lines.withColumns({"level": level, "title": F.when(level > 0, F.regexp_extract("line", HEADING, 2))})
-    w = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    lines = lines.withColumn("section_no", F.sum((F.col("level") > 0).cast("int")).over(w))
-    # the last heading of each level, unless a shallower one came later
-    last = {k: F.max(F.when(F.col("level") == k, F.struct("line_no", "title"))).over(w) for k in range(1, 7)}
-    lines = lines.withColumns({f"h{k}": c for k, c in last.items()})
-    shown = []
-    for k in range(1, 7):
-        later = reduce(lambda a, b: a | b, [F.coalesce(F.col(f"h{j}.line_no") > F.col(f"h{k}.line_no"), F.lit(False)) for j in range(1, k)], F.lit(False))
-        shown.append(F.when(~later, F.col(f"h{k}.title")))
-    lines = lines.withColumn("path", F.array_compact(F.array(*shown)))
-    g = lines.groupBy("doc_id", "section_no").agg(
-        F.max_by("path", "line_no").alias("heading_path"), F.max("level").alias("level"), F.min("line_no").alias("start_line"), F.max("line_no").alias("end_line"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("content"),
-    )
-    return g.where(F.trim(F.regexp_replace("content", r"[ \t\n]+", "")) != "")
+    return _by_document(docs, sections_of, "section_no long, heading_path array<string>, level int, start_line int, end_line int, content string")
 
 
 def md_frontmatter(docs: DataFrame) -> DataFrame:
@@ -179,15 +223,24 @@ def block_types(blocks: DataFrame, col: str = "text") -> DataFrame:
     return blocks.withColumns({"block_type": kind, "block_labels": labels})
 
 
+def blocks_of(lines: list[str]) -> Iterator[tuple[int, int, int, str]]:
+    """(number from 1, first line, last line, text) of runs of lines between blank ones; fenced code stays whole, and its end ends a block."""
+    number, first = 0, None
+    states = [*fence_states(lines), (False, False)]
+    for i, (line, (fenced, closes)) in enumerate(zip([*lines, ""], states, strict=True)):
+        blank = not fenced and not line.strip()
+        if not blank and first is None:
+            first = i
+        if first is not None and (blank or closes or i == len(lines)):
+            last = i if closes else i - 1
+            number += 1
+            yield number, first + 1, last + 1, "\n".join(lines[first : last + 1]).strip("\n")
+            first = None
+
+
 def md_blocks(docs: DataFrame) -> DataFrame:
     """(doc_id, block_no, start_line, end_line, text): runs of lines between blank ones; fenced code stays whole."""
-    lines = text_lines(docs)
-    blank = (F.trim(F.regexp_replace("line", "\t", " ")) == "") & ~F.col("fenced")
-    w = Window.partitionBy("doc_id").orderBy("line_no")
-    lines = lines.withColumn("blank", blank)
-    start = ~F.col("blank") & F.coalesce(F.lag("blank").over(w), F.lit(True))
-    lines = lines.withColumn("new", start.cast("int")).withColumn("block_no", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0))).where("not blank")
-    return lines.groupBy("doc_id", "block_no").agg(F.min("line_no").alias("start_line"), F.max("line_no").alias("end_line"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("text"))
+    return _by_document(docs, blocks_of, "block_no long, start_line int, end_line int, text string")
 
 
 def blocks_to_sections(blocks: DataFrame, sections: DataFrame) -> DataFrame:

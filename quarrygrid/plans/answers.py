@@ -14,7 +14,7 @@ def _answers(spark, sf):
     c = table(spark, sf, "conversations").where("role = 'assistant'")
     q = F.col("conv_id") * 100 + F.col("turn")
     k = F.col("conv_id") % 7
-    head = F.left(F.regexp_replace("text", r"[\[\]`]", ""), F.lit(160))
+    head = F.regexp_replace("text", r"[\[\]`]", "")
     text = F.when(k == 0, F.concat(head, F.lit(" [C1]. More about it [C2][C9]."))).when(k == 1, F.concat(head, F.lit(". See [C1](http://x) now. [c2]"))).when(k == 2, F.concat(F.lit("- one item of 42% here\n2) "), head, F.lit(" [C1]\n\nAnd a second paragraph."))).when(k == 3, F.concat(F.lit("```\n[C3]\n```\n"), head, F.lit(". [C2]"))).otherwise(F.concat(head, F.lit(". Again [C1].")))
     return c.select(q.alias("query_id"), text.alias("answer_text"), F.when(k == 5, F.array(F.lit("C2"))).when(k == 0, F.array(F.lit("C1"), F.lit("C2"), F.lit("C9"))).when(k == 3, F.array(F.lit("C2"))).otherwise(F.array(F.lit("C1"))).alias("structured"))
 
@@ -22,13 +22,13 @@ def _answers(spark, sf):
 def _evidence(spark, sf):
     c = table(spark, sf, "conversations")
     a = c.where("role = 'assistant'").select("conv_id", (F.col("conv_id") * 100 + F.col("turn")).alias("query_id"))
-    e = c.where("turn < 3").select("conv_id", F.concat(F.lit("C"), (F.col("turn") + 1).cast("string")).alias("citation_id"), F.col("text").alias("content"))
+    e = c.select("conv_id", F.concat(F.lit("C"), (F.col("turn") + 1).cast("string")).alias("citation_id"), F.col("text").alias("content"))
     return a.join(e, "conv_id").select("query_id", "citation_id", "content")
 
 
 def _questions(spark, sf):
     c = table(spark, sf, "conversations").where("role = 'assistant'")
-    return c.select((F.col("conv_id") * 100 + F.col("turn")).alias("query_id"), F.left("text", F.lit(60)).alias("text"))
+    return c.select((F.col("conv_id") * 100 + F.col("turn")).alias("query_id"), "text")
 
 
 def parse_citations(spark, sf):
@@ -83,8 +83,9 @@ def conversation_context(spark, sf):
 
 def followup_rewrite(spark, sf):
     k = (F.col("session_id") + F.col("turn_number")) % 4
-    text = F.when(k == 1, F.concat(F.lit("And "), F.left("text", F.lit(20)))).when(k == 2, F.concat(F.left("text", F.lit(20)), F.lit(" [C1]"))).otherwise(F.left("text", F.lit(60)))
-    out = cv.followup_rewrite(_turns(spark, sf).select("session_id", "turn_number", text.alias("text")))
+    text = F.when(k == 1, F.concat(F.lit("And "), "text")).when(k == 2, F.concat("text", F.lit(" [C1]"))).otherwise(F.col("text"))
+    # turns are longer than follow-ups usually are; beyond 400 characters none is
+    out = cv.followup_rewrite(_turns(spark, sf).select("session_id", "turn_number", text.alias("text")), max_chars=400)
     return out.select("session_id", "turn_number", "is_followup", F.sha2("standalone", 256).alias("standalone_sha"))
 
 
@@ -107,15 +108,15 @@ def turn_citations(spark, sf):
 
 QUERIES = {f.__name__: f for f in (parse_citations, citation_check, citation_coverage, split_claims, claim_support, query_coverage, conflicting_values, answerability, query_screen, conversation_context, followup_rewrite, turn_idempotency, turn_lifecycle, turn_citations)}
 
-_A = """ca AS (SELECT conv_id, conv_id * 100 + turn AS query_id, conv_id % 7 AS k, left(regexp_replace(text, '[\\[\\]`]', '', 'g'), 160) AS h, text AS full_text FROM conversations WHERE role = 'assistant'),
+_A = """ca AS (SELECT conv_id, conv_id * 100 + turn AS query_id, conv_id % 7 AS k, regexp_replace(text, '[\\[\\]`]', '', 'g') AS h, text AS full_text FROM conversations WHERE role = 'assistant'),
 ans AS (SELECT query_id, conv_id, k, CASE k WHEN 0 THEN h || ' [C1]. More about it [C2][C9].' WHEN 1 THEN h || '. See [C1](http://x) now. [c2]' WHEN 2 THEN '- one item of 42% here' || chr(10) || '2) ' || h || ' [C1]' || chr(10) || chr(10) || 'And a second paragraph.' WHEN 3 THEN '```' || chr(10) || '[C3]' || chr(10) || '```' || chr(10) || h || '. [C2]' ELSE h || '. Again [C1].' END AS t FROM ca),
-evd AS (SELECT a.query_id, 'C' || (c.turn + 1) AS citation_id, c.text AS content FROM ca a JOIN conversations c USING (conv_id) WHERE c.turn < 3), kn AS (SELECT query_id, list(DISTINCT citation_id) AS known FROM evd GROUP BY 1),
+evd AS (SELECT a.query_id, 'C' || (c.turn + 1) AS citation_id, c.text AS content FROM ca a JOIN conversations c USING (conv_id)), kn AS (SELECT query_id, list(DISTINCT citation_id) AS known FROM evd GROUP BY 1),
 cl AS (SELECT query_id, conv_id, k, t, replace(regexp_replace(t, '(?s)```.*?(```|$)', ' ', 'g'), '][', '] [') AS u FROM ans),
 pc AS (SELECT query_id, k, [regexp_extract(m, 'C[0-9]+') FOR m IN regexp_extract_all(u, '\\[C[0-9]+\\](?:[^(]|$)')] AS c0, regexp_extract_all(u, '\\[(?:c[0-9]+|C[ ]+[0-9]+|C[0-9]+[,;][^\\]\\n]*|C)\\]') AS i0 FROM cl),
 pd AS (SELECT query_id, k, [c0[i] FOR i IN range(1, len(c0) + 1) IF list_position(c0, c0[i]) = i] AS c, [i0[i] FOR i IN range(1, len(i0) + 1) IF list_position(i0, i0[i]) = i] AS inv FROM pc),
 pg AS (SELECT query_id, unnest(string_split_regex(regexp_replace(t, '(?s)```.*?(```|$)', ' ', 'g'), '\\n[ \\t]*\\n')) AS p FROM ans), pn AS (SELECT query_id, count(*) AS n, count(*) FILTER (WHERE list_has_any(regexp_extract_all(p, '\\[(C[0-9]+)\\]', 1), coalesce(known, []))) AS c FROM pg LEFT JOIN kn USING (query_id) WHERE length(trim(p)) >= 20 GROUP BY 1),
 cov AS (SELECT a.query_id, coalesce(n, 0) AS n_paragraphs, coalesce(c, 0) AS n_cited, coalesce(c / n, 0) AS coverage FROM ans a LEFT JOIN pn USING (query_id))"""
-_Q = "qs AS (SELECT conv_id, conv_id * 100 + turn AS query_id, left(text, 60) AS text FROM conversations WHERE role = 'assistant'), ev AS (SELECT q.query_id, c.text AS content FROM qs q JOIN conversations c USING (conv_id) WHERE c.turn < 3)"
+_Q = "qs AS (SELECT conv_id, conv_id * 100 + turn AS query_id, text FROM conversations WHERE role = 'assistant'), ev AS (SELECT q.query_id, c.text AS content FROM qs q JOIN conversations c USING (conv_id))"
 ORACLE_SQL = {
     "parse_citations": f"WITH {_A} SELECT query_id, array_to_string(c, ',') AS citations, array_to_string(inv, ',') AS invalid FROM pd",
     "citation_coverage": f"WITH {_A} SELECT query_id, n_paragraphs, n_cited, round(coverage, 6) AS coverage FROM cov",
@@ -138,8 +139,8 @@ SELECT i AS query_id, status, reason, round(CASE status WHEN 'answerable' THEN c
 c AS (SELECT *, CASE WHEN r = 1 THEN left(text, 900) ELSE text END AS x FROM p WHERE r <= 6), u AS (SELECT *, sum(length(x)) OVER (PARTITION BY s, n ORDER BY r) AS used FROM c), v AS (SELECT *, max(CASE WHEN used > 900 THEN 1 ELSE 0 END) OVER (PARTITION BY s, n ORDER BY r) AS over FROM u),
 g AS (SELECT s, n, count(*) AS k, sum(length(x)) AS l, string_agg(x, chr(10) ORDER BY k) AS txt FROM v WHERE over = 0 GROUP BY 1, 2)
 SELECT conv_id AS session_id, turn AS turn_number, CAST(coalesce(k, 0) AS INTEGER) AS n_context, CAST(coalesce(l, 0) AS INTEGER) AS context_chars, sha256(coalesce(txt, '')) AS context_sha FROM conversations LEFT JOIN g ON s = conv_id AND n = turn""",
-    "followup_rewrite": f"""WITH t AS (SELECT conv_id AS s, turn AS n, CASE (conv_id + turn) % 4 WHEN 1 THEN 'And ' || left(text, 20) WHEN 2 THEN left(text, 20) || ' [C1]' ELSE left(text, 60) END AS x FROM conversations),
-f AS (SELECT *, length(x) <= 80 AND (regexp_matches(x, '{cv.FOLLOW_UP}') OR regexp_matches(x, '\\[C[0-9]+\\]')) AND row_number() OVER (PARTITION BY s ORDER BY n) > 1 AS is_followup FROM t), a AS (SELECT *, sum(CAST(NOT is_followup AS INTEGER)) OVER (PARTITION BY s ORDER BY n) AS anchor FROM f)
+    "followup_rewrite": f"""WITH t AS (SELECT conv_id AS s, turn AS n, CASE (conv_id + turn) % 4 WHEN 1 THEN 'And ' || text WHEN 2 THEN text || ' [C1]' ELSE text END AS x FROM conversations),
+f AS (SELECT *, length(x) <= 400 AND (regexp_matches(x, '{cv.FOLLOW_UP}') OR regexp_matches(x, '\\[C[0-9]+\\]')) AND row_number() OVER (PARTITION BY s ORDER BY n) > 1 AS is_followup FROM t), a AS (SELECT *, sum(CAST(NOT is_followup AS INTEGER)) OVER (PARTITION BY s ORDER BY n) AS anchor FROM f)
 SELECT s AS session_id, n AS turn_number, is_followup, sha256((SELECT string_agg(b.x, ' ' ORDER BY b.n) FROM a b WHERE b.s = a.s AND b.anchor = a.anchor AND b.n <= a.n)) AS standalone_sha FROM a""",
     "turn_idempotency": "WITH f AS (SELECT user_id AS session_id, 'r' || event_id % 40 AS client_request_id, min(event_id) AS a FROM events GROUP BY 1, 2) SELECT session_id, client_request_id, row_number() OVER (PARTITION BY session_id ORDER BY a) AS turn_number, count(*) OVER (PARTITION BY session_id) AS turn_count FROM f",
     "turn_lifecycle": """WITH t AS (SELECT conv_id AS s, turn AS n, CASE (conv_id * 7 + turn * 3) % 11 WHEN 0 THEN 'running' WHEN 1 THEN 'failed' WHEN 2 THEN 'odd' ELSE 'completed' END AS st, (conv_id * 7 + turn * 3) % 5 <> 0 AS co, (conv_id * 7 + turn * 3) % 13 < 3 AS er FROM conversations),

@@ -8,16 +8,15 @@ from pyspark.sql import functions as F
 from quarrygrid.common import table
 from quarrygrid.operators import lexical as lx
 
-STOPS = ", ".join(f"'{w}'" for w in lx.STOP_WORDS)
-
-
 def sql_low(x: str) -> str:
     return f"translate(coalesce({x}, ''), '{lx.UPPER}', '{lx.LOWER}')"
 
 
 def sql_tokens(x: str) -> str:
-    low = sql_low(x)
-    return f"[t FOR t IN list_concat(regexp_extract_all({low}, '{lx.TECHNICAL}'), regexp_extract_all({low}, '{lx.WORD}')) IF t NOT IN ({STOPS})]"
+    joined = "[p FOR p IN string_split_regex(t, '[/.]+')[2:] IF regexp_matches(p, '[_-]')]"
+    parts = f"[p FOR p IN string_split_regex(t, '{lx.SEPARATOR}+') IF p <> '']"
+    shown = f"CASE WHEN regexp_matches(t, '{lx.SEPARATOR}') THEN list_concat([t], list_distinct(list_concat({joined}, {parts}))) ELSE [t] END"
+    return f"flatten([{shown} FOR t IN regexp_extract_all({sql_low(x)}, '{lx.TECHNICAL}')])"
 
 
 def chunks(spark: SparkSession, sf: str) -> DataFrame:
@@ -34,7 +33,8 @@ def bm25(spark: SparkSession, sf: str, k: int = 20) -> DataFrame:
 
 
 def overlap(spark: SparkSession, sf: str, k: int = 20) -> DataFrame:
-    return lx.term_set_scores(search_queries(spark, sf), lx.term_frequencies(chunks(spark, sf)), k)
+    q = search_queries(spark, sf)
+    return lx.term_set_scores(q, lx.term_frequencies(chunks(spark, sf), terms=lx.query_terms(q)), k)
 
 
 #: CTEs: bm(query_id, chunk_id, score, n_matched, rank) and ov(query_id, chunk_id, score, rank), 20 rows a query.

@@ -378,8 +378,8 @@ SELECT item_id, doc_id, CASE WHEN ex THEN 'exact' WHEN no THEN 'normalized' ELSE
     "containment_scan": f"WITH {base.GOLD} SELECT query_id AS item_id, chunk_id AS doc_id FROM gold",
     "secret_scan": f"WITH s AS ({_SECRETS}) SELECT doc_id, kind, CAST(ordinal AS BIGINT) AS ordinal, sha256(value) AS value_sha256, CAST(position(value IN text) AS BIGINT) AS position FROM s WHERE NOT regexp_matches(value, '{ev.PLACEHOLDER}')",
     "redact_text": f"SELECT doc_id, sha256({_redacted()[0]}) AS text_sha, CAST({_redacted()[1]} AS INTEGER) AS n_replaced FROM documents",
-    "text_fidelity": f"""WITH r AS (SELECT doc_id, t, count(*) AS n FROM (SELECT doc_id, unnest({base.sql_tokens("text").replace(f"IF t NOT IN ({base.STOPS})", "")}) AS t FROM documents) GROUP BY 1, 2),
-c AS (SELECT doc_id, t, count(*) AS n FROM (SELECT doc_id, unnest({base.sql_tokens("regexp_replace(text, 'the|ou', 'THE ', 'g')").replace(f"IF t NOT IN ({base.STOPS})", "")}) AS t FROM documents) GROUP BY 1, 2),
+    "text_fidelity": f"""WITH r AS (SELECT doc_id, t, count(*) AS n FROM (SELECT doc_id, unnest({base.sql_tokens("text")}) AS t FROM documents) GROUP BY 1, 2),
+c AS (SELECT doc_id, t, count(*) AS n FROM (SELECT doc_id, unnest({base.sql_tokens("regexp_replace(text, 'the|ou', 'THE ', 'g')")}) AS t FROM documents) GROUP BY 1, 2),
 g AS (SELECT doc_id, sum(least(coalesce(r.n, 0), coalesce(c.n, 0))) AS k, sum(coalesce(r.n, 0)) AS nr, sum(coalesce(c.n, 0)) AS nc FROM r FULL JOIN c USING (doc_id, t) GROUP BY 1)
 SELECT doc_id, round(CASE WHEN nr > 0 THEN k / nr ELSE 1 END, 6) AS retention, CAST(nr - k AS BIGINT) AS n_omitted, CAST(nc - k AS BIGINT) AS n_added FROM g""",
     "answer_scores": """WITH s AS (SELECT doc_id % 4 = 0 AS ea, doc_id % 5 <> 0 AS an, doc_id % 2 = doc_id % 6 AS cl, doc_id % 7 = 0 OR doc_id % 3 < 2 AS va, doc_id % 7 <> 0 AS ci FROM documents),

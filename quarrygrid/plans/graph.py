@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quarrygrid.common import table
 from quarrygrid.operators import graph as g
 from quarrygrid.plans import base
+from quarrygrid.plans.structure import sql_fences
 
 
 def _linked(spark, sf):
@@ -14,7 +15,7 @@ def _linked(spark, sf):
 
     def line(x, i):
         n = F.regexp_replace(F.split(x, " ")[0], r"[^A-Za-z0-9]", "")
-        return F.when(i % 9 == 6, "```").when(i % 5 == 0, F.concat(x, F.lit(" [["), n, F.lit("#Top|see]] #tag"))).when(i % 5 == 1, F.concat(F.lit("![["), n, F.lit("]] "), x)).when(i % 5 == 2, F.concat(F.lit("[a](http://h/"), n, F.lit(") [b]("), n, F.lit(".md) "), x)).otherwise(x)
+        return F.when(i % 27 == 15, "~~~").when(i % 45 == 24, F.lit("  ````")).when(i % 9 == 6, "```").when(i % 5 == 0, F.concat(x, F.lit(" [["), n, F.lit("#Top|see]] #tag"))).when(i % 5 == 1, F.concat(F.lit("![["), n, F.lit("]] "), x)).when(i % 5 == 2, F.concat(F.lit("[a](http://h/"), n, F.lit(") [b]("), n, F.lit(".md) "), x)).otherwise(x)
 
     return table(spark, sf, "documents").select("doc_id", F.array_join(F.transform(F.split("text", "\n"), line), "\n").alias("text"))
 
@@ -116,8 +117,8 @@ QUERIES = {f.__name__: f for f in (extract_links, extract_hrefs, name_index, res
 
 _N = "regexp_replace(split_part(x, ' ', 1), '[^A-Za-z0-9]', '', 'g')"
 _LINKS = f"""rw AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents),
-ll AS (SELECT doc_id, i + 1 AS line_no, CASE WHEN i % 9 = 6 THEN '```' WHEN i % 5 = 0 THEN x || ' [[' || {_N} || '#Top|see]] #tag' WHEN i % 5 = 1 THEN '![[' || {_N} || ']] ' || x WHEN i % 5 = 2 THEN '[a](http://h/' || {_N} || ') [b](' || {_N} || '.md) ' || x ELSE x END AS line FROM rw),
-lf AS (SELECT *, regexp_matches(line, '^ {{0,3}}(```|~~~)') AS f FROM ll), lg AS (SELECT *, f OR sum(CAST(f AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY line_no) % 2 = 1 AS fenced FROM lf),
+ll AS (SELECT doc_id, i + 1 AS line_no, CASE WHEN i % 27 = 15 THEN '~~~' WHEN i % 45 = 24 THEN '  ````' WHEN i % 9 = 6 THEN '```' WHEN i % 5 = 0 THEN x || ' [[' || {_N} || '#Top|see]] #tag' WHEN i % 5 = 1 THEN '![[' || {_N} || ']] ' || x WHEN i % 5 = 2 THEN '[a](http://h/' || {_N} || ') [b](' || {_N} || '.md) ' || x ELSE x END AS line FROM rw),
+li AS (SELECT doc_id, line_no AS n, line FROM ll), {sql_fences("li")}, lg AS (SELECT doc_id, n AS line_no, line, fenced FROM ff),
 lx AS (SELECT doc_id, line_no, fenced, 'w' AS k, unnest(regexp_extract_all(line, '{g.WIKI}')) AS raw FROM lg UNION ALL SELECT doc_id, line_no, fenced, 'markdown', unnest(regexp_extract_all(line, '{g.MARKDOWN}')) FROM lg UNION ALL SELECT doc_id, line_no, fenced, 'tag', trim(unnest(regexp_extract_all(line, '{g.TAG}'))) FROM lg),
 ly AS (SELECT doc_id, line_no, fenced, CASE WHEN k = 'w' THEN CASE WHEN raw[1] = '!' THEN 'embed' ELSE 'wiki' END ELSE k END AS kind, raw, CASE k WHEN 'w' THEN regexp_replace(raw, '^!?\\[\\[|\\]\\]$', '', 'g') WHEN 'markdown' THEN regexp_extract(raw, '\\(([^()]+)\\)$', 1) ELSE substr(raw, 2) END AS inn FROM lx),
 lz AS (SELECT *, CASE WHEN kind IN ('wiki', 'embed') THEN split_part(inn, '|', 1) ELSE inn END AS place FROM ly),
@@ -130,10 +131,10 @@ nd AS (SELECT c_custkey + 1000 AS id FROM customer UNION ALL SELECT n_nationkey
 _SEED = "sd AS (SELECT item_id AS query_id, unnest([item_id % 25 + 100, item_id * 7 % 25 + 100, item_id % 5]) AS node_id, unnest([1, 2, 3]) AS rank FROM benchmark)"
 _W = "CASE {0} " + " ".join(f"WHEN '{t}' THEN {w}" for t, (_, w) in g.EDGE_TYPES.items()) + " ELSE 0.5 END"
 ORACLE_SQL = {
-    "extract_links": f"WITH {_LINKS} SELECT * FROM links",
+    "extract_links": f"WITH RECURSIVE {_LINKS} SELECT * FROM links",
     "extract_hrefs": """WITH h AS (SELECT page_id, unnest(regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1)) AS href, generate_subscripts(regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1), 1) - 1 AS ordinal FROM pages) SELECT page_id, ordinal, href FROM h""",
     "name_index": f"WITH {_IDX} SELECT * FROM idx",
-    "resolve_links": f"""WITH {_LINKS}, {_IDX}, l AS (SELECT DISTINCT sha256(doc_id || '|' || line_no || '|' || kind || '|' || raw) AS link_id, target, valid FROM links WHERE kind <> 'tag'),
+    "resolve_links": f"""WITH RECURSIVE {_LINKS}, {_IDX}, l AS (SELECT DISTINCT sha256(doc_id || '|' || line_no || '|' || kind || '|' || raw) AS link_id, target, valid FROM links WHERE kind <> 'tag'),
 k AS (SELECT link_id, unnest([lower(target), regexp_replace(lower(target), '\\.md$', ''), regexp_extract(lower(target), '([^/]+?)(?:\\.md)?$', 1)]) AS key, unnest([0, 1, 2]) AS o FROM l), h AS (SELECT link_id, min_by(doc_id, o) AS hit, min_by(ambiguous, o) AS ambiguous FROM k JOIN idx USING (key) GROUP BY 1),
 s AS (SELECT l.link_id, hit, CASE WHEN NOT valid THEN 'invalid' WHEN regexp_matches(target, '^[a-z]+://|^mailto:') THEN 'external' WHEN coalesce(target, '') = '' THEN 'invalid' WHEN hit IS NULL THEN 'unresolved' WHEN ambiguous THEN 'ambiguous' ELSE 'resolved' END AS status FROM l LEFT JOIN h USING (link_id))
 SELECT link_id, status, CASE WHEN status = 'resolved' THEN hit END AS target_id FROM s""",

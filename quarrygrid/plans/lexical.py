@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarrygrid.common import table
+from quarrygrid.common import materialize, table
 from quarrygrid.operators import lexical as lx
 from quarrygrid.plans import base
 
@@ -15,7 +15,7 @@ def _kb_chunks(spark, sf):
 
 def tokenize_text(spark, sf):
     found = lx.tokenize_text(table(spark, sf, "documents"))
-    return found.select("doc_id", F.size("tokens").alias("n_tokens"), F.sha2(F.array_join("tokens", " "), 256).alias("tokens_sha"))
+    return found.select("doc_id", F.size("tokens").alias("n_tokens"), F.sha2(F.array_join(F.array_sort("tokens"), " "), 256).alias("tokens_sha"))
 
 
 def term_frequencies(spark, sf):
@@ -27,13 +27,13 @@ def document_frequencies(spark, sf):
 
 
 def corpus_statistics(spark, sf):
-    stats = lx.corpus_statistics(lx.chunk_statistics(lx.term_frequencies(_kb_chunks(spark, sf))))
+    stats = lx.corpus_statistics(lx.chunk_lengths(_kb_chunks(spark, sf)))
     return stats.withColumn("avg_length", F.round("avg_length", 6))
 
 
 def lexical_delta(spark, sf):
     """The index without documents of id % 10 = 0, then those added and those of id % 7 = 1 removed."""
-    every = lx.term_frequencies(_kb_chunks(spark, sf))
+    every = materialize(lx.term_frequencies(_kb_chunks(spark, sf)), "lexical-postings")
     old = every.where("chunk_id % 10 <> 0")
     corpus = lx.corpus_statistics(lx.chunk_statistics(old))
     df, _ = lx.lexical_delta(lx.document_frequencies(old), corpus, every.where("chunk_id % 10 = 0"), old.where("chunk_id % 7 = 1"))
@@ -52,7 +52,7 @@ QUERIES = {f.__name__: f for f in (tokenize_text, term_frequencies, document_fre
 
 _KB = f"t AS (SELECT lang AS kb_id, doc_id AS chunk_id, unnest({base.sql_tokens('text')}) AS term FROM documents), p AS (SELECT kb_id, chunk_id, term, count(*) AS tf FROM t GROUP BY 1, 2, 3)"
 ORACLE_SQL = {
-    "tokenize_text": f"SELECT doc_id, CAST(len(k) AS INTEGER) AS n_tokens, sha256(array_to_string(k, ' ')) AS tokens_sha FROM (SELECT doc_id, {base.sql_tokens('text')} AS k FROM documents)",
+    "tokenize_text": f"SELECT doc_id, CAST(len(k) AS INTEGER) AS n_tokens, sha256(array_to_string(list_sort(k), ' ')) AS tokens_sha FROM (SELECT doc_id, {base.sql_tokens('text')} AS k FROM documents)",
     "term_frequencies": f"WITH {_KB} SELECT * FROM p",
     "document_frequencies": f"WITH {_KB} SELECT kb_id, term, count(*) AS df FROM p GROUP BY 1, 2",
     "corpus_statistics": f"WITH {_KB}, s AS (SELECT kb_id, chunk_id, sum(tf) AS n FROM p GROUP BY 1, 2) SELECT kb_id, count(*) AS n_chunks, CAST(sum(n) AS BIGINT) AS total_length, round(avg(n), 6) AS avg_length FROM s GROUP BY 1",

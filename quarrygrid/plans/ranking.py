@@ -199,8 +199,8 @@ QUERIES = {f.__name__: f for f in (
 
 _FULL = "j AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.chunk_id, b.chunk_id) AS chunk_id, a.rank AS x, b.rank AS y FROM bm a FULL JOIN ov b ON a.query_id = b.query_id AND a.chunk_id = b.chunk_id)"
 _MAX = f"""
-qm AS (SELECT item_id AS query_id, unnest(list_sort(list_distinct({base.sql_tokens("text").replace(f"IF t NOT IN ({base.STOPS})", "")}))[1:32]) AS token FROM benchmark),
-dm AS (SELECT doc_id AS chunk_id, unnest(list_sort(list_distinct({base.sql_tokens("text").replace(f"IF t NOT IN ({base.STOPS})", "")}))[1:96]) AS token FROM documents),
+qm AS (SELECT item_id AS query_id, unnest(list_distinct({base.sql_tokens("text")})) AS token FROM benchmark),
+dm AS (SELECT doc_id AS chunk_id, unnest(list_distinct({base.sql_tokens("text")})) AS token FROM documents),
 qn AS (SELECT query_id, count(*) AS n FROM qm GROUP BY 1),
 ms AS (SELECT query_id, chunk_id, round(2.0 * count(*) / any_value(n), 9) AS score FROM qm JOIN dm USING (token) JOIN qn USING (query_id) GROUP BY 1, 2),
 mx AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM ms) WHERE rank <= 20)"""

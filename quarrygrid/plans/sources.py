@@ -101,10 +101,12 @@ def stream_trace_order(spark, sf):
 
 QUERIES = {f.__name__: f for f in (scan_corpus, corpus_manifest, corpus_digest, replace_doc_chunks, materialize_vectors, read_eval_fixture, write_eval_fixture, read_observation_log, stream_ingest, stream_monitor, stream_request_dedup, stream_sessions, stream_turn_state, stream_trace_order)}
 
-_MAN = "r AS (SELECT doc_id AS path, sha256(CAST(doc_id AS VARCHAR)) AS path_sha, sha256(coalesce(text, '')) AS content_sha, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n_bytes, CAST('0x' || left(sha256(CAST(doc_id AS VARCHAR)), 4) AS BIGINT) % 256 AS bucket FROM documents)"
+_MAN = "r AS (SELECT doc_id AS path, sha256(CAST(doc_id AS VARCHAR)) AS path_sha, sha256(coalesce(text, '')) AS content_sha, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n_bytes, left(sha256(CAST(doc_id AS VARCHAR)), 4) AS bucket FROM documents)"
 ORACLE_SQL = {
     "corpus_manifest": f"WITH {_MAN} SELECT * FROM r",
-    "corpus_digest": f"WITH {_MAN}, b AS (SELECT bucket, sha256(string_agg(path_sha || ':' || content_sha || ':' || n_bytes, chr(10) ORDER BY path_sha || ':' || content_sha || ':' || n_bytes)) AS d, count(*) AS n, sum(n_bytes) AS nb FROM r GROUP BY 1) SELECT CAST(sum(n) AS BIGINT) AS n_documents, CAST(sum(nb) AS BIGINT) AS n_bytes, sha256(string_agg(d, chr(10) ORDER BY bucket)) AS corpus_digest FROM b",
+    "corpus_digest": f"""WITH {_MAN}, l1 AS (SELECT bucket AS b, bucket || ':' || sha256(string_agg(path_sha || ':' || content_sha || ':' || n_bytes, chr(10) ORDER BY path_sha || ':' || content_sha || ':' || n_bytes)) AS d, count(*) AS n, sum(n_bytes) AS nb FROM r GROUP BY 1),
+l2 AS (SELECT left(b, 2) AS c, left(b, 2) || ':' || sha256(string_agg(d, chr(10) ORDER BY d)) AS d, sum(n) AS n, sum(nb) AS nb FROM l1 GROUP BY 1)
+SELECT CAST(sum(n) AS BIGINT) AS n_documents, CAST(sum(nb) AS BIGINT) AS n_bytes, sha256(string_agg(d, chr(10) ORDER BY d)) AS corpus_digest FROM l2""",
     "replace_doc_chunks": "SELECT doc_id, CAST(i AS INTEGER) AS chunk_index, 'old' AS version FROM documents JOIN (SELECT unnest([0, 1, 2]) AS i) ON true WHERE doc_id % 5 <> 0 UNION ALL SELECT doc_id, CAST(i AS INTEGER), 'new' FROM documents JOIN (SELECT unnest([0, 1]) AS i) ON true WHERE doc_id % 5 = 0 AND doc_id % 15 <> 0",
     "materialize_vectors": """WITH w AS (SELECT vec_id, vec_id % 11 = 0 AS bad FROM embeddings WHERE vec_id % 10 <> 0), h AS (SELECT vec_id, vec_id % 7 = 0 AS other FROM embeddings WHERE vec_id % 3 <> 0)
 SELECT CASE WHEN h.vec_id IS NULL THEN 'insert' WHEN other THEN 'update' ELSE 'keep' END AS action, count(*) AS n FROM w LEFT JOIN h USING (vec_id) WHERE NOT bad GROUP BY 1 UNION ALL SELECT 'delete', count(*) FROM h WHERE vec_id NOT IN (SELECT vec_id FROM w WHERE NOT bad) UNION ALL SELECT 'reject', count(*) FROM w WHERE bad""",

@@ -10,9 +10,16 @@ from quarrygrid.operators import structure as st
 
 
 def markdown(spark, sf):
-    """Documents with some lines turned into headings, fences and blank lines, by the line's number."""
-    line = lambda x, i: F.when((i % 13 == 5) | (i % 13 == 8), "```").when(i % 4 == 0, F.concat(F.repeat(F.lit("#"), 1 + i % 3), F.lit(" "), F.left(x, F.lit(20)))).when(i % 11 == 7, "").otherwise(x)
-    return table(spark, sf, "documents").select("doc_id", F.array_join(F.transform(F.split("text", "\n"), line), "\n").alias("text"))
+    """Documents with headings, fences and blank lines put between their lines, by the line's number; whole lines are headings, too.
+
+    Fences of both markers and of several lengths, some left open by a marker that doesn't fit.
+    """
+
+    def lines(x, i):
+        fence = F.when(i % 130 == 70, "~~~").when(i % 39 == 18, "  ````").when(i % 39 == 21, "`````").when((i % 13 == 5) | (i % 13 == 8), "```").when(i % 26 == 6, "~~~")
+        return F.when(fence.isNotNull(), F.array(fence, x)).when(i % 4 == 0, F.array(F.concat(F.repeat(F.lit("#"), 1 + i % 3), F.lit(" "), x, F.when(i % 8 == 0, " ##").otherwise("")))).when(i % 11 == 7, F.array(F.lit(""), x)).otherwise(F.array(x))
+
+    return table(spark, sf, "documents").select("doc_id", F.array_join(F.flatten(F.transform(F.split("text", "\n"), lines)), "\n").alias("text"))
 
 
 def _sections(spark, sf):
@@ -125,27 +132,42 @@ QUERIES = {f.__name__: f for f in (
 )}
 
 _RAW = "raw AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents)"
-_MD = f"""{_RAW}, ml AS (SELECT doc_id, i + 1 AS n, CASE WHEN i % 13 IN (5, 8) THEN '```' WHEN i % 4 = 0 THEN repeat('#', CAST(1 + i % 3 AS INTEGER)) || ' ' || left(x, 20) WHEN i % 11 = 7 THEN '' ELSE x END AS line FROM raw),
-fl AS (SELECT *, regexp_matches(line, '^ {{0,3}}(```|~~~)') AS f FROM ml), ff AS (SELECT *, f OR sum(CAST(f AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY n) % 2 = 1 AS fenced FROM fl)"""
-_SEC = f"""{_MD}, hl AS (SELECT *, CASE WHEN NOT fenced AND regexp_matches(line, '{st.HEADING}') THEN length(regexp_extract(line, '{st.HEADING}', 1)) ELSE 0 END AS lv, regexp_extract(line, '{st.HEADING}', 2) AS title FROM ff),
-sl AS (SELECT *, sum(CAST(lv > 0 AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY n) AS sn FROM hl), sg AS (SELECT doc_id, sn, max(lv) AS lv, min(n) AS s, max(n) AS e, string_agg(line, chr(10) ORDER BY n) AS content FROM sl GROUP BY 1, 2),
+
+
+def sql_fences(lines: str) -> str:
+    """CTEs that end in ff(doc_id, n, line, m, inside, closes, fenced) of lines (doc_id, n, line): a walk over each document's fences alone."""
+    closes = "s.mark <> '' AND f.m[1] = s.mark[1] AND length(f.m) >= length(s.mark)"
+    return f"""fl AS (SELECT doc_id, n, line, regexp_extract(line, '{st.FENCE}', 1) AS m FROM {lines}), fk AS (SELECT doc_id, n, m, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS k FROM fl WHERE m <> ''),
+fs AS (SELECT doc_id, n, k, m AS mark, false AS closes FROM fk WHERE k = 1 UNION ALL SELECT f.doc_id, f.n, f.k, CASE WHEN s.mark = '' THEN f.m WHEN {closes} THEN '' ELSE s.mark END, {closes} FROM fs s JOIN fk f ON f.doc_id = s.doc_id AND f.k = s.k + 1),
+fi AS (SELECT l.*, coalesce(s.closes, false) AS closes, coalesce(last_value(s.mark IGNORE NULLS) OVER (PARTITION BY l.doc_id ORDER BY l.n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') <> '' AS inside FROM fl l LEFT JOIN fs s ON s.doc_id = l.doc_id AND s.n = l.n),
+ff AS (SELECT *, inside OR m <> '' AS fenced FROM fi)"""
+
+
+_FENCE_LINE = "CASE WHEN i % 130 = 70 THEN '~~~' WHEN i % 39 = 18 THEN '  ````' WHEN i % 39 = 21 THEN '`````' WHEN i % 13 IN (5, 8) THEN '```' WHEN i % 26 = 6 THEN '~~~' END"
+_MD = f"""{_RAW}, mx AS (SELECT doc_id, i, x, {_FENCE_LINE} AS f FROM raw),
+my AS (SELECT doc_id, i, unnest(CASE WHEN f IS NOT NULL THEN [f, x] WHEN i % 4 = 0 THEN [repeat('#', CAST(1 + i % 3 AS INTEGER)) || ' ' || x || CASE WHEN i % 8 = 0 THEN ' ##' ELSE '' END] WHEN i % 11 = 7 THEN ['', x] ELSE [x] END) AS line, unnest(CASE WHEN f IS NOT NULL OR (i % 4 <> 0 AND i % 11 = 7) THEN [0, 1] ELSE [0] END) AS j FROM mx),
+ml AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY i, j) AS n FROM my), {sql_fences("ml")}"""
+_SEC = f"""{_MD}, hl AS (SELECT *, CASE WHEN NOT fenced AND regexp_matches(line, '{st.HEADING}') THEN length(regexp_extract(line, '{st.HEADING}', 1)) ELSE 0 END AS lv, trim(regexp_extract(line, '{st.HEADING}', 2)) AS title FROM ff),
+sl AS (SELECT *, sum(CAST(lv > 0 AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY n) AS sn FROM hl), sg AS (SELECT doc_id, sn, max(lv) AS lv, min(n) AS s, max(n) AS e, regexp_replace(string_agg(line, chr(10) ORDER BY n), '^\n+|\n+$', '', 'g') AS content FROM sl GROUP BY 1, 2),
 hp AS (SELECT g.doc_id, g.sn, h.n, h.lv, h.title, max(h.n) OVER (PARTITION BY g.doc_id, g.sn, h.lv) AS last FROM sg g JOIN sl h ON h.doc_id = g.doc_id AND h.lv > 0 AND h.n <= g.s),
 hk AS (SELECT * FROM hp WHERE n = last), hv AS (SELECT a.* FROM hk a WHERE NOT EXISTS (SELECT 1 FROM hk b WHERE b.doc_id = a.doc_id AND b.sn = a.sn AND b.lv < a.lv AND b.n > a.n)),
 pp AS (SELECT doc_id, sn, string_agg(title, ' > ' ORDER BY lv) AS path, max_by(title, lv) AS deepest FROM hv GROUP BY 1, 2),
-sx AS (SELECT g.doc_id, g.sn AS section_no, coalesce(path, '') AS path, deepest, g.lv AS level, s AS start_line, e AS end_line, content FROM sg g LEFT JOIN pp USING (doc_id, sn) WHERE trim(regexp_replace(content, '[ \\t\\n]+', '', 'g')) <> '')"""
-_BLK = f"""{_MD}, bl AS (SELECT *, trim(replace(line, chr(9), ' ')) = '' AND NOT fenced AS blank FROM ff), bn AS (SELECT *, NOT blank AND coalesce(lag(blank) OVER (PARTITION BY doc_id ORDER BY n), true) AS new FROM bl),
-bm AS (SELECT *, sum(CAST(new AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY n) AS block_no FROM bn), blk AS (SELECT doc_id, block_no, min(n) AS start_line, max(n) AS end_line, string_agg(line, chr(10) ORDER BY n) AS text FROM bm WHERE NOT blank GROUP BY 1, 2)"""
+sx AS (SELECT g.doc_id, g.sn AS section_no, coalesce(path, '') AS path, deepest, g.lv AS level, s AS start_line, e AS end_line, content FROM sg g LEFT JOIN pp USING (doc_id, sn) WHERE trim(regexp_replace(content, '\\s+', '', 'g')) <> '')"""
+_BLK = f"""{_MD}, bl AS (SELECT *, NOT fenced AND trim(regexp_replace(line, '\\s+', '', 'g')) = '' AS blank FROM ff), bn AS (SELECT *, NOT blank AND coalesce(lag(blank OR closes) OVER (PARTITION BY doc_id ORDER BY n), true) AS new FROM bl),
+bm AS (SELECT *, sum(CAST(new AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY n) AS block_no FROM bn), blk AS (SELECT doc_id, block_no, min(n) AS start_line, max(n) AS end_line, regexp_replace(string_agg(line, chr(10) ORDER BY n), '^\n+|\n+$', '', 'g') AS text FROM bm WHERE NOT blank GROUP BY 1, 2)"""
 _LN = f"{_RAW}, ln AS (SELECT doc_id, i, x AS content, 'a' || CAST(floor(i / 6) AS BIGINT) AS a, 'b' || CAST(floor(i / 2) AS BIGINT) AS b, 'c' || i AS c FROM raw WHERE x <> '')"
+_glue = "regexp_replace(acc[-1], '\\s+$', '') || chr(10) || chr(10) || regexp_replace(x, '^\\s+|\\s+$', '', 'g')"
+_fill = lambda xs: f"list_reduce({xs}[2:], lambda acc, x: CASE WHEN length({_glue}) > 1800 THEN list_concat(acc, [x]) ELSE list_concat(acc[1:len(acc) - 1], [{_glue}]) END, [regexp_replace({xs}[1], '^\\s+|\\s+$', '', 'g')])"
 _any = lambda p: f"len([z FOR z IN string_split(text, chr(10)) IF regexp_matches(z, '{p}')]) > 0"
 _FIRSTLINE = "split_part(trim(text), chr(10), 1)"
 ORACLE_SQL = {
-    "md_sections": f"WITH {_SEC} SELECT doc_id, CAST(section_no AS BIGINT) AS section_no, path, CAST(level AS INTEGER) AS level, start_line, end_line, sha256(content) AS content_sha FROM sx",
-    "doc_title": f"WITH {_SEC}, f AS (SELECT doc_id, min_by(deepest, section_no) AS heading FROM sx WHERE path <> '' GROUP BY 1) SELECT d.doc_id, CASE WHEN d.doc_id % 5 = 0 THEN 't' || d.doc_id ELSE heading END AS title FROM documents d LEFT JOIN f USING (doc_id)",
-    "block_types": f"""WITH {_BLK} SELECT doc_id, CAST(block_no AS BIGINT) AS block_no, CASE WHEN regexp_matches({_FIRSTLINE}, '^#{{1,6}} ') THEN 'heading' WHEN regexp_matches({_FIRSTLINE}, '^(```|~~~)') THEN 'code' WHEN regexp_matches({_FIRSTLINE}, '^([-*+]|[0-9]+[.)]) ') THEN 'list'
+    "md_sections": f"WITH RECURSIVE {_SEC} SELECT doc_id, CAST(section_no AS BIGINT) AS section_no, path, CAST(level AS INTEGER) AS level, start_line, end_line, sha256(content) AS content_sha FROM sx",
+    "doc_title": f"WITH RECURSIVE {_SEC}, f AS (SELECT doc_id, min_by(deepest, section_no) AS heading FROM sx WHERE path <> '' GROUP BY 1) SELECT d.doc_id, CASE WHEN d.doc_id % 5 = 0 THEN 't' || d.doc_id ELSE heading END AS title FROM documents d LEFT JOIN f USING (doc_id)",
+    "block_types": f"""WITH RECURSIVE {_BLK} SELECT doc_id, CAST(block_no AS BIGINT) AS block_no, CASE WHEN regexp_matches({_FIRSTLINE}, '^#{{1,6}} ') THEN 'heading' WHEN regexp_matches({_FIRSTLINE}, '^(```|~~~)') THEN 'code' WHEN regexp_matches({_FIRSTLINE}, '^([-*+]|[0-9]+[.)]) ') THEN 'list'
   WHEN {_any("^[^|]*[|][^|]*[|]")} THEN 'table' ELSE 'paragraph' END AS block_type,
   concat_ws(',', CASE WHEN {_any("^[ ]*([-*+]|[0-9]+[.)]) ")} THEN 'list' END, CASE WHEN {_any("^[^|]*[|][^|]*[|]")} THEN 'table' END, CASE WHEN {_any("^(```|~~~)")} THEN 'code' END, CASE WHEN {_any("^>")} THEN 'quote' END) AS labels FROM blk""",
-    "md_blocks": f"WITH {_BLK} SELECT doc_id, CAST(block_no AS BIGINT) AS block_no, start_line, end_line, sha256(text) AS text_sha FROM blk",
-    "blocks_to_sections": f"""WITH {_BLK}, s AS (SELECT doc_id, CASE WHEN block_no % 3 < 2 THEN CAST(block_no % 3 AS BIGINT) END AS section_id, block_no, text, start_line, end_line FROM blk)
+    "md_blocks": f"WITH RECURSIVE {_BLK} SELECT doc_id, CAST(block_no AS BIGINT) AS block_no, start_line, end_line, sha256(text) AS text_sha FROM blk",
+    "blocks_to_sections": f"""WITH RECURSIVE {_BLK}, s AS (SELECT doc_id, CASE WHEN block_no % 3 < 2 THEN CAST(block_no % 3 AS BIGINT) END AS section_id, block_no, text, start_line, end_line FROM blk)
 SELECT doc_id, section_id, sha256(string_agg(text, chr(10) || chr(10) ORDER BY block_no)) AS text_sha, min(start_line) AS start_line, max(end_line) AS end_line FROM s GROUP BY 1, 2""",
     "ir_integrity": """WITH d AS (SELECT doc_id, doc_id AS i FROM documents), s AS (SELECT doc_id, i, CASE WHEN i % 13 = 0 AND k = 2 THEN 1 ELSE k END AS sid, CASE k WHEN 1 THEN CASE WHEN i % 7 = 0 THEN 3 ELSE 0 END WHEN 2 THEN CASE WHEN i % 11 = 0 THEN 9 ELSE 1 END WHEN 3 THEN 1 END AS par FROM d JOIN (SELECT unnest([0, 1, 2, 3]) AS k) ON true),
 b AS (SELECT doc_id, CASE WHEN i % 17 = 0 AND k = 2 THEN 1 ELSE k END AS bid, CASE WHEN i % 19 = 0 AND k = 0 THEN 8 ELSE k % 2 END AS sid, CASE WHEN i % 23 = 0 THEN k - 1 ELSE k END AS o, i % 29 = 0 AS bad FROM d JOIN (SELECT unnest([0, 1, 2]) AS k) ON true)
@@ -157,10 +179,16 @@ UNION ALL SELECT doc_id, 'negative_ordinal', CAST(bid AS VARCHAR) FROM b WHERE o
 UNION ALL SELECT doc_id, 'cell_out_of_range', '0' FROM d WHERE i % 31 = 0 UNION ALL SELECT doc_id, 'cell_overlap', '0' FROM d WHERE i % 31 = 0
 UNION ALL SELECT doc_id, 'cycle', CAST(c AS VARCHAR) FROM (SELECT doc_id, i, unnest(CASE WHEN i % 7 = 0 THEN CASE WHEN i % 11 <> 0 AND i % 13 <> 0 THEN [1, 2, 3] ELSE [1, 3] END WHEN i % 13 = 0 AND i % 11 <> 0 THEN [1, 3] ELSE CAST([] AS INTEGER[]) END) AS c FROM d)""",
     "stable_ids": "SELECT doc_id, 'doc_' || left(sha256(concat_ws(chr(31), coalesce('doc_id=' || doc_id, 'doc_id!'), coalesce('lang=' || lang, 'lang!'), coalesce('source=' || source, 'source!'))), 32) AS stable_id FROM documents",
-    "chunk_sections": f"""WITH RECURSIVE {_LN}, q AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM ln),
-w AS (SELECT doc_id, k, CAST(0 AS BIGINT) AS chunk_index, length(content) AS size FROM q WHERE k = 1
-  UNION ALL SELECT q.doc_id, q.k, CASE WHEN w.size < 1200 AND w.size + 2 + length(q.content) <= 1800 THEN w.chunk_index ELSE w.chunk_index + 1 END, CASE WHEN w.size < 1200 AND w.size + 2 + length(q.content) <= 1800 THEN w.size + 2 + length(q.content) ELSE length(q.content) END FROM w JOIN q ON q.doc_id = w.doc_id AND q.k = w.k + 1)
-SELECT w.doc_id, CAST(chunk_index AS INTEGER) AS chunk_index, sha256(string_agg(content, chr(10) || chr(10) ORDER BY w.k)) AS content_hash, CAST(min(i) + 1 AS INTEGER) AS start_line, CAST(max(i) + 1 AS INTEGER) AS end_line FROM w JOIN q ON q.doc_id = w.doc_id AND q.k = w.k GROUP BY 1, 2""",
+    "chunk_sections": f"""WITH RECURSIVE {_LN}, t AS (SELECT doc_id, i, content, regexp_replace(content, '^\\s+|\\s+$', '', 'g') AS body FROM ln),
+sp AS (SELECT *, length(body) > 1800 AS long, [a FOR a IN string_split(regexp_replace(content, '([。！？.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) IF a <> ''] AS atoms FROM t WHERE body <> ''),
+s1 AS (SELECT doc_id, i, CASE WHEN len(atoms) > 1 THEN {_fill("atoms")} ELSE [content] END AS packed FROM sp WHERE long),
+s2 AS (SELECT doc_id, i, flatten([[substr(p, 1 + 1800 * j, 1800) FOR j IN range(0, CAST(ceil(length(p) / 1800) AS BIGINT))] FOR p IN packed]) AS cut FROM s1), s3 AS (SELECT doc_id, i, {_fill("cut")} AS done FROM s2),
+it AS (SELECT doc_id, i, 0 AS j, body, false AS solo FROM sp WHERE NOT long UNION ALL SELECT doc_id, i, generate_subscripts(done, 1), unnest(done), true FROM s3),
+q AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i, j) AS k FROM it),
+w AS (SELECT doc_id, k, CAST(0 AS BIGINT) AS chunk_index, length(body) AS size, NOT solo AND length(body) < 1200 AS open FROM q WHERE k = 1
+  UNION ALL SELECT q.doc_id, q.k, CASE WHEN NOT solo AND w.open AND w.size + 2 + length(body) <= 1800 THEN w.chunk_index ELSE w.chunk_index + 1 END, CASE WHEN NOT solo AND w.open AND w.size + 2 + length(body) <= 1800 THEN w.size + 2 + length(body) ELSE length(body) END,
+    CASE WHEN solo THEN false WHEN w.open AND w.size + 2 + length(body) <= 1800 THEN w.size + 2 + length(body) < 1200 WHEN w.open THEN true ELSE length(body) < 1200 END FROM w JOIN q ON q.doc_id = w.doc_id AND q.k = w.k + 1)
+SELECT w.doc_id, CAST(chunk_index AS INTEGER) AS chunk_index, sha256(regexp_replace(string_agg(body, chr(10) || chr(10) ORDER BY w.k), '^\\s+|\\s+$', '', 'g')) AS content_hash, CAST(CASE WHEN NOT any_value(solo) THEN min(i) + 1 END AS INTEGER) AS start_line, CAST(CASE WHEN NOT any_value(solo) THEN max(i) + 1 END AS INTEGER) AS end_line FROM w JOIN q ON q.doc_id = w.doc_id AND q.k = w.k GROUP BY 1, 2""",
     "heading_enrich": f"""WITH {_LN} SELECT doc_id, CAST(i AS INTEGER) AS section_no, sha256(a || ' > ' || b || ' > ' || c || chr(10) || chr(10) || content) AS inline_sha,
   CASE WHEN length(c) > 6 THEN '' WHEN length(c || ' > ' || b) <= 6 THEN CASE WHEN length(c || ' > ' || b || ' > ' || a) <= 6 THEN c || ' > ' || b || ' > ' || a ELSE c || ' > ' || b END WHEN length(c || ' > ' || a) <= 6 THEN c || ' > ' || a ELSE c END AS context FROM ln""",
     "chunk_overlap": f"""WITH {_LN}, p AS (SELECT *, lag(content) OVER w AS prev, lag(i) OVER w AS pi FROM ln WINDOW w AS (PARTITION BY doc_id, a, b ORDER BY i)), o AS (SELECT *, coalesce(CASE WHEN length(prev) <= 50 THEN prev ELSE regexp_replace(right(prev, 50), '^[^ \\n]*[ \\n]+', '') END, '') AS overlap FROM p)

@@ -8,17 +8,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 IGNORED_DIRS = (".git", ".obsidian", "node_modules", "__pycache__", ".trash")
+#: Bytes of the largest file whose content is read.
+WHOLE_BYTES = 1 << 30
 SENSITIVE = ("token", "password", "api_key", "secret", "raw_query", "answer_text")
 
 
 def scan_corpus(spark: SparkSession, root: str, extensions: Sequence[str] = ("md",), ignored_dirs: Sequence[str] = IGNORED_DIRS, ignored_globs: Sequence[str] = ()) -> DataFrame:
     """(relative_path, extension, size, modified, content_hash, error) of the files below ``root``.
 
-    Hidden and ignored directories are passed over. A file over 1 GB is listed with an error and without a hash, as the reader
-    holds a file in one row.
+    Hidden and ignored directories are passed over. Content is read only of files up to ``WHOLE_BYTES``, as the reader holds a file
+    in one row; a larger one is listed with an error and without a hash.
     """
     pattern = "*.{" + ",".join(extensions) + "}"
-    meta = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
+    # the filter on the length reaches the reader, which then opens no larger file
+    small, big = found.where(F.col("length") <= WHOLE_BYTES), found.where(F.col("length") > WHOLE_BYTES).select("path", "modificationTime", "length", F.lit(None).cast("binary").alias("content"))
+    meta = small.select("path", "modificationTime", "length", "content").unionByName(big)
     base = root.rstrip("/").split("://")[-1].split(":", 1)[-1].lstrip("/")
     clean = F.regexp_replace("path", r"^[a-z0-9]+:/+", "")
     rows = meta.withColumn("relative_path", F.when(F.contains(clean, F.lit(base + "/")), F.substring_index(clean, base + "/", -1)).otherwise(F.substring_index(clean, "/", -1)))
@@ -28,23 +33,29 @@ def scan_corpus(spark: SparkSession, root: str, extensions: Sequence[str] = ("md
     rows = rows.where(~hidden & ~F.startswith(F.element_at(parts, -1), F.lit(".")))
     for glob in ignored_globs:
         rows = rows.where(~F.col("relative_path").rlike("^" + glob.replace(".", r"\.").replace("*", "[^/]*") + "$"))
-    large = F.col("length") > 1 << 30
+    large = F.col("length") > WHOLE_BYTES
     return rows.select(
         "relative_path", F.lower(F.substring_index("relative_path", ".", -1)).alias("extension"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.when(~large, F.sha2("content", 256)).alias("content_hash"), F.when(large, "too_large").alias("error"),
     )
 
 
-def corpus_manifest(docs: DataFrame, buckets: int = 256) -> tuple[DataFrame, DataFrame]:
-    """Rows (path, path_sha, content_sha, n_bytes, bucket) and one corpus digest over the digests of the buckets.
+def corpus_manifest(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (path, path_sha, content_sha, n_bytes, bucket) and one corpus digest, the root of a tree of digests.
 
-    Paths fall into buckets by their digest, so no row holds more than a part of the corpus.
+    A leaf holds the rows whose path digests begin with the same hex digits: four, and one more for each sixteenfold beyond a
+    billion rows, so no leaf has much over 16,384. A node above holds up to 256 digests.
     """
+    digits = 4
+    n = docs.count()
+    while n > 16384 << (4 * digits):
+        digits += 1
     rows = docs.select("path", F.sha2(F.col("path").cast("string"), 256).alias("path_sha"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("content_sha"), F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"))
-    rows = rows.withColumn("bucket", F.conv(F.left("path_sha", F.lit(4)), 16, 10).cast("long") % buckets)
-    line = F.concat_ws(":", "path_sha", "content_sha", "n_bytes")
-    per = rows.groupBy("bucket").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("digest"), F.count("*").alias("n"), F.sum("n_bytes").alias("n_bytes"))
-    whole = per.agg(F.sum("n").alias("n_documents"), F.sum("n_bytes").alias("n_bytes"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "digest"))), lambda x: x["digest"]), "\n"), 256).alias("corpus_digest"))
-    return rows, whole
+    rows = rows.withColumn("bucket", F.left("path_sha", F.lit(digits)))
+    level = rows.select("bucket", F.concat_ws(":", "path_sha", "content_sha", "n_bytes").alias("line"), F.lit(1).cast("long").alias("n"), "n_bytes")
+    for width in [*range(digits, 0, -2), 0]:
+        level = level.groupBy(F.left("bucket", F.lit(width)).alias("bucket")).agg(F.array_sort(F.collect_list("line")).alias("lines"), F.sum("n").alias("n"), F.sum("n_bytes").alias("n_bytes"))
+        level = level.select("bucket", F.concat_ws(":", "bucket", F.sha2(F.array_join("lines", "\n"), 256)).alias("line"), "n", "n_bytes")
+    return rows, level.select(F.col("n").alias("n_documents"), "n_bytes", F.substring_index("line", ":", -1).alias("corpus_digest"))
 
 
 def replace_doc_chunks(old: DataFrame, new: DataFrame, changed: DataFrame) -> DataFrame:

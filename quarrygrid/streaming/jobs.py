@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
-from quarrygrid.common import scratch_path
+from quarrygrid.common import drop_scratch, materialize, scratch_path
 from quarrygrid.operators.evaluation import monitor_aggregates
 
 
@@ -108,24 +108,32 @@ def trace_order(events: DataFrame) -> DataFrame:
     return rows.groupBy("trace_id").agg(F.count("*").alias("n_events"), F.max("sequence").alias("last_sequence"), F.sum("gap").alias("n_gaps"))
 
 
-def stream_ingest(docs: DataFrame, tag: str = "ingest") -> DataFrame:
+def stream_ingest(docs: DataFrame, tag: str = "ingest", version: str | None = None) -> DataFrame:
     """Incremental indexing of documents (doc_id, text) as they arrive: changed documents replace their postings as a whole.
 
-    The state is a table of postings with one folder a batch; a batch writes all terms of its documents, and a reader takes the
-    newest batch of each document. Batches are idempotent: a replay overwrites its folder. Returns (chunk_id, term, tf).
+    The state is a table of postings with one folder a batch; a batch writes all terms of its documents and a marker row (without
+    term) for each document, so that one whose new text has no token loses its old postings. Of several versions in a
+    batch the one with the largest ``version`` counts, without such a column the last one read. A reader takes the newest batch of
+    each document. Batches are idempotent: a replay overwrites its folder. Returns (chunk_id, term, tf).
     """
     from quarrygrid.operators.lexical import term_frequencies
 
     spark = docs.sparkSession
     path, marks = scratch_path(spark, tag), scratch_path(spark, f"{tag}-marks")
-    spark.createDataFrame([], "chunk_id long, term string, tf long, seen long").write.parquet(path)
+    shape = "chunk_id long, term string, tf long, seen long"
+    spark.createDataFrame([], shape).write.parquet(path)
 
     def index(batch: DataFrame, batch_id: int) -> None:
-        chunks = batch.dropDuplicates(["doc_id"]).select(F.lit("kb").alias("kb_id"), F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
-        postings = term_frequencies(chunks).select("chunk_id", "term", "tf", F.lit(batch_id).cast("long").alias("seen"))
-        postings.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        order = F.struct(*([version] if version else []), F.monotonically_increasing_id().alias("__read"))
+        newest = batch.where("doc_id is not null").withColumn("__order", order).groupBy("doc_id").agg(F.max_by(F.struct("text"), "__order").alias("d"))
+        newest = materialize(newest.select(F.lit("kb").alias("kb_id"), F.col("doc_id").alias("chunk_id"), F.col("d.text").alias("content")), f"{tag}-batch")
+        seen = F.lit(batch_id).cast("long").alias("seen")
+        postings = term_frequencies(newest).select("chunk_id", "term", "tf", seen)
+        markers = newest.select("chunk_id", F.lit(None).cast("string").alias("term"), F.lit(0).cast("long").alias("tf"), seen)
+        postings.unionByName(markers).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        drop_scratch(spark, newest)
 
     docs.writeStream.foreachBatch(index).option("checkpointLocation", marks).trigger(availableNow=True).start().awaitTermination()
-    every = spark.read.schema("chunk_id long, term string, tf long, seen long").option("recursiveFileLookup", "true").parquet(path)
-    newest = every.groupBy("chunk_id").agg(F.max("seen").alias("seen"))
-    return every.join(newest, ["chunk_id", "seen"]).select("chunk_id", "term", "tf")
+    every = spark.read.schema(shape).option("recursiveFileLookup", "true").parquet(path)
+    newest = every.where("term is null").groupBy("chunk_id").agg(F.max("seen").alias("seen"))
+    return every.where("term is not null").join(newest, ["chunk_id", "seen"]).select("chunk_id", "term", "tf")

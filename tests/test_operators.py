@@ -31,7 +31,53 @@ text
 def test_sections_and_fences(spark):
     docs = spark.createDataFrame([(1, NOTE), (2, None), (3, "")], "doc_id long, text string")
     got = [(r.heading_path, r.start_line, r.end_line) for r in structure.md_sections(docs).orderBy("section_no").collect()]
-    assert got == [([], 1, 3), (["One"], 4, 6), (["One", "Two"], 7, 10), (["One", "Two", "Four"], 11, 13), (["Five"], 14, 16)]
+    assert got == [([], 1, 3), (["One"], 4, 6), (["One", "Two"], 7, 10), (["One", "Two", "Four"], 11, 13), (["Five"], 14, 15)]
+
+
+def test_fences_close_by_marker_and_length(spark):
+    text = "# A #\n````\n# no\n```\n~~~\n# no\n`````\n## B  ##\n   ~~~ x\n```\n# no\n~~~~\ntail\n\nend\n#C\n#  \n"
+    docs = spark.createDataFrame([(1, text), (2, "```\nopen\n# no")], "doc_id long, text string")
+    got = [(r.doc_id, r.heading_path, r.level, r.start_line, r.end_line) for r in structure.md_sections(docs).orderBy("doc_id", "section_no").collect()]
+    assert got == [(1, ["A"], 1, 1, 7), (1, ["A", "B"], 2, 8, 17), (2, [], 0, 1, 3)]
+    blocks = [(r.start_line, r.end_line, r.text.split("\n")[0]) for r in structure.md_blocks(docs).where("doc_id = 1").orderBy("block_no").collect()]
+    assert blocks == [(1, 7, "# A #"), (8, 12, "## B  ##"), (13, 13, "tail"), (15, 17, "end")]
+    assert [r.line_no for r in structure.text_lines(docs).where("doc_id = 1 and not fenced").orderBy("line_no").collect()] == [1, 8, 13, 14, 15, 16, 17]
+
+
+def test_sections_are_packed_and_long_ones_split(spark):
+    """Cases by hand: packing to the target, no growth beyond the maximum, blocks, code and sentences of a long section."""
+    fold = lambda xs, target, maximum: [(p, t, a, b) for p, t, a, b in chunking.fold_sections(xs, target, maximum)]
+    s = lambda t, n, path=("h",): (t, path, n, n)
+    assert fold([s("aaaa", 1), s("bb", 2), s("  ", 3), s("cccc", 4)], 8, 12) == [(("h",), "aaaa\n\nbb", 1, 2), (("h",), "cccc", 4, 4)]
+    assert fold([s("a" * 7, 1), s("b" * 7, 2), s("c", 3)], 6, 12) == [(("h",), "a" * 7, 1, 1), (("h",), "b" * 7, 2, 2), (("h",), "c", 3, 3)]
+    # what overflows stays open, even beyond the target
+    assert fold([s("a" * 3, 1), s("b" * 9, 2), s("c", 3)], 8, 12) == [(("h",), "a" * 3, 1, 1), (("h",), "b" * 9 + "\n\nc", 2, 3)]
+    assert fold([s("a", 1, ()), s("b", 2)], 8, 12) == [(("h",), "a\n\nb", 1, 2)]
+    long = "First one. Second!\n\n```\n" + "x" * 20 + "\n```\nlast"
+    assert fold([s("pre", 1), (long, ("h",), 2, 7), s("post", 8)], 50, 12) == [
+        (("h",), "pre", 1, 1), (("h",), "First one.", None, None), (("h",), "Second!", None, None), (("h",), "```\n" + "x" * 20 + "\n```", 4, 6), (("h",), "last", 7, 7), (("h",), "post", 8, 8),
+    ]
+    assert chunking.split_text("z" * 25, 10) == ["z" * 10, "z" * 10, "z" * 5]
+
+
+def test_chunk_variants_against_a_plain_fold(spark):
+    rng = random.Random(6)
+    rows = [(d, i, ["a" if i < 4 else "b"], " ".join(rng.choice(["lorem", "ipsum."]) for _ in range(rng.randrange(1, 400))), i + 1, i + 1) for d in range(5) for i in range(8)]
+    df = spark.createDataFrame(rows, "doc_id long, section_no long, heading_path array<string>, content string, start_line int, end_line int")
+    got = {(r.variant, r.doc_id, r.chunk_index): r.content for r in chunking.chunk_variants(df).collect()}
+    want = {}
+    for name, target, maximum, at_heading in chunking.VARIANTS:
+        for d in range(5):
+            chunks, head = [], None
+            for r in (r for r in rows if r[0] == d):
+                for piece in chunking.split_text(r[3], maximum):
+                    if chunks and len(chunks[-1]) < target and len(chunks[-1]) + 2 + len(piece) <= maximum and not (at_heading and head != r[2][0]):
+                        chunks[-1] += "\n\n" + piece
+                    else:
+                        chunks.append(piece)
+                    head = r[2][0]
+            want |= {(name, d, i): c for i, c in enumerate(chunks)}
+    assert got == want
 
 
 def test_frontmatter(spark):
@@ -128,7 +174,22 @@ def test_components_against_brute_force(spark, seed):
 
 
 def test_claim_values():
-    assert answers.checkable_values("Run --fast on 2024-01-02 at 10:30, see https://a.b/c v1.2.3 or 42% of MY_VAR") == ["https://a.b/c", "--fast", "MY_VAR", "2024-01-02", "10:30", "v1.2.3", "42%"]
+    assert answers.checkable_values("Run --fast on 2024-01-02 at 10:30, see https://a.b/c v1.2.3 or 42% of MY_VAR") == ["https://a.b/c", "--fast", "MY_VAR", "2024-01-02", "10:30", "42%", "v1.2.3", "Run"]
+    assert answers.checkable_values("Edit `git add -A`, src/main.rs or notes.txt in my-tool with snake_case, press C+x; 7 of 12 [C3] JSON5") == ["src/main.rs", "git add -A", "C+x", "JSON5", "snake_case", "my-tool", "notes.txt", "7", "12", "Edit"]
+    assert answers.checkable_values("nothing to check here [C12]") == []
+
+
+def test_claim_support(spark):
+    """Values that none of the cited texts holds, against a plain search; a claim without citation has no support."""
+    claims = [(1, 0, "uses 42 and my-tool", "C1"), (1, 1, "uses 43 in v2.0", "C1,C2"), (1, 2, "7 alone", ""), (1, 3, "no value", "C1")]
+    evidence = [(1, "C1", "42 things in my-tool"), (1, "C2", "v2.0 is out"), (2, "C1", "43")]
+    got = answers.claim_support(spark.createDataFrame(claims, "query_id long, claim_no long, claim string, citations string"), spark.createDataFrame(evidence, "query_id long, citation_id string, content string"))
+    want = []
+    for q, n, claim, cited in claims:
+        texts = [t for i, c, t in evidence if i == q and c in cited.split(",")]
+        values = answers.checkable_values(claim)
+        want.append((q, n, len(values), "|".join(v for v in values if not any(v in t for t in texts))))
+    assert sorted(tuple(r) for r in got.select("query_id", "claim_no", "n_values", "unsupported").collect()) == want
 
 
 def test_reading_order(spark):
@@ -139,8 +200,25 @@ def test_reading_order(spark):
 
 def test_tokenizer_hooks(spark):
     df = spark.createDataFrame([("ﬁle.name Ａ",), ("漢字かな abc",), (None,)], "text string")
-    assert lexical.tokenize_text(df, normalizer=lexical.nfkc).first().tokens == ["file.name", "file", "name"]
-    assert lexical.tokenize_text(df, segmenter=lexical.character_bigrams).collect()[1].tokens == ["漢字", "字か", "かな", "abc"]
+    assert lexical.tokenize_text(df).first().tokens == ["file.name", "file", "name", "a"]
+    assert lexical.tokenize_text(df, normalizer=None).first().tokens == ["le.name", "le", "name"]
+    assert lexical.tokenize_text(df, segmenter=lexical.character_bigrams).collect()[1].tokens == ["abc", "漢字", "字か", "かな"]
+    kb = df.selectExpr("'k' AS kb_id", "monotonically_increasing_id() AS chunk_id", "text AS content")
+    found = lexical.term_frequencies(kb, segmenter=lexical.character_bigrams)
+    assert {r.term for r in found.collect()} == {"file.name", "file", "name", "a", "abc", "漢字", "字か", "かな"}
+    queries = spark.createDataFrame([(1, "k", "字か")], "query_id long, kb_id string, text string")
+    top = lexical.bm25_topk(queries, kb.selectExpr("*", "'p' AS path", "1 AS start_line"), segmenter=lexical.character_bigrams).collect()
+    assert len(top) == 1 and top[0].matched_terms == ["字か"]
+
+
+def test_tokens_of_flags_and_joined_words(spark):
+    """Nothing is a stop word; flags and words joined by dots, slashes, hyphens or underscores come whole, then by parts, each once."""
+    cases = {
+        "the --dry-run flag": ["the", "--dry-run", "dry", "run", "flag"], "src/my_lib/io-utils.py": ["src/my_lib/io-utils.py", "my_lib", "io-utils", "src", "my", "lib", "io", "utils", "py"],
+        "a/a and A-a": ["a/a", "a", "and", "a-a", "a"], "Über-Größe": ["Über-größe", "Über", "größe"], "x - y -- z": ["x", "y", "z"], "": [],
+    }
+    df = spark.createDataFrame([(t,) for t in cases], "text string")
+    assert {r.text: r.tokens for r in lexical.tokenize_text(df).collect()} == cases
 
 
 def test_scan_corpus(spark, tmp_path):
@@ -163,11 +241,11 @@ def test_stream_drops_late_rows_and_replaces_documents(spark, tmp_path):
         time.sleep(1.1)  # files are taken in the order of their times
     out = jobs.run_to_table(jobs.stream_monitor(jobs.read_stream(spark, f"file://{tmp_path}/s", "events", 1)), "late", "update", ["window_start", "event_type"])
     assert sorted((r.window_start.day, r.event_type, r.n_requests) for r in out.collect()) == [(1, "view", 1), (4, "error", 1), (4, "view", 2)]
-    for text in ("one two", "three"):
-        spark.createDataFrame([(1, text)], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/s/documents.parquet", mode="append")
+    for batch in ([(1, "one two", 1), (2, "old words", 1), (3, "new", 2), (3, "old", 1), (4, "kept", 1)], [(1, "three", 2), (2, "...", 2), (5, None, 1)]):
+        spark.createDataFrame(batch, "doc_id long, text string, version int").coalesce(1).write.parquet(f"{tmp_path}/s/documents.parquet", mode="append")
         time.sleep(1.1)
-    got = jobs.stream_ingest(jobs.read_stream(spark, f"file://{tmp_path}/s", "documents", 1)).collect()
-    assert [r.term for r in got] == ["three"]
+    got = jobs.stream_ingest(jobs.read_stream(spark, f"file://{tmp_path}/s", "documents", 1), version="version").collect()
+    assert sorted((r.chunk_id, r.term) for r in got) == [(1, "three"), (3, "new"), (4, "kept")]
 
 
 def test_trace_order_equals_its_batch_form(spark, sf_dir):
@@ -180,3 +258,28 @@ def test_trace_order_equals_its_batch_form(spark, sf_dir):
 def test_graph_edges_are_typed(spark):
     edges = graph.build_edges({"LINKS_TO": spark.createDataFrame([(1, 2), (1, 2), (None, 3)], "source_id long, target_id long")})
     assert [tuple(r) for r in edges.collect()] == [(1, "LINKS_TO", 2, "G1")]
+
+
+def test_exact_percentiles_and_digest_tree(spark):
+    rng = random.Random(3)
+    values = [(g, rng.randrange(50)) for g in "ab" for _ in range(301)] + [("c", 7), ("d", None)]
+    got = {r.g: r for r in evaluation.latency_summary(spark.createDataFrame(values, "g string, latency_ms int"), ["g"]).collect()}
+    for g in "abc":
+        own = sorted(v for k, v in values if k == g)
+        for name, q in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99)):
+            assert got[g][name] == own[-(-round(len(own) * q * 100) // 100) - 1]
+    assert "d" not in got
+    docs = spark.createDataFrame([(i, f"t{i}") for i in range(40)], "path long, text string")
+    digest = lambda d: corpus.corpus_manifest(d)[1].first().corpus_digest
+    assert digest(docs) == digest(docs.orderBy("text").repartition(3)) != digest(docs.where("path <> 3"))
+
+
+def test_containment_of_short_items_and_leakage_without_candidates(spark):
+    docs = [(1, "alpha beta gamma delta epsilon"), (2, "xalphabetagammax"), (3, "one two-three four"), (4, None), (5, "")]
+    items = [(1, "beta gamma delta"), (2, "alphabetagamma"), (3, "wo two-three f"), (4, "ne two-three four"), (5, "epsilon zeta eta theta"), (6, "a beta gamma d")]
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = sorted((k, n) for k, x in items for n, t in docs if t and len(x) >= 12 and x in t)
+    assert sorted(map(tuple, evaluation.containment_scan(i, d).select("item_id", "doc_id").collect())) == want
+    got = sorted(map(tuple, evaluation.leakage_scan(i.unionByName(spark.createDataFrame([(7, "ONE two, three four!"), (8, "alpha beta gamma delta epsilon")], i.schema)), d).collect()))
+    assert got == [(7, 3, "normalized"), (8, 1, "exact")]
+    assert evaluation.leakage_scan(i.limit(0), d).count() == 0 and evaluation.containment_scan(i, d.limit(0)).count() == 0

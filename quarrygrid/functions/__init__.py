@@ -1 +1 @@
-
+"""Functions for SQL: table functions over documents."""

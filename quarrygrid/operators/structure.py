@@ -6,6 +6,7 @@ import json
 import re
 from collections.abc import Iterator, Sequence
 from functools import reduce
+from html.parser import HTMLParser
 
 import pandas as pd
 import pyarrow as pa
@@ -128,6 +129,67 @@ def doc_title(front: DataFrame, sections: DataFrame) -> DataFrame:
     return front.join(first, "doc_id", "left").select("doc_id", F.coalesce(F.get_json_object("frontmatter_json", "$.title"), "heading").alias("title"))
 
 
+class _HtmlBlocks(HTMLParser):
+    skip = {"script", "style", "nav", "footer", "noscript", "template"}
+    kinds = {"p": "paragraph", "li": "list_item", "td": "cell", "th": "cell", "figcaption": "figure", **{f"h{i}": "heading" for i in range(1, 7)}}
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.rows, self.title, self.hidden, self.tag, self.parts = [], None, 0, None, []
+        self.section, self.row, self.col, self.in_title = -1, -1, -1, False
+
+    def close_block(self):
+        text = " ".join("".join(self.parts).split())
+        if self.tag and text:
+            kind, n = self.kinds[self.tag], len(self.rows)
+            level = int(self.tag[1]) if kind == "heading" else None
+            if kind == "heading":
+                self.section = n
+            self.rows.append((n, kind, level, text, self.section, self.row if kind == "cell" else None, self.col if kind == "cell" else None))
+        self.tag, self.parts = None, []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in self.skip:
+            self.hidden += 1
+        elif tag == "title":
+            self.in_title = True
+        elif tag in ("table", "tr"):
+            self.close_block()
+            self.row, self.col = (-1 if tag == "table" else self.row + 1), -1
+        elif tag == "br" and self.tag:
+            self.parts.append(" ")
+        elif tag == "img" and not self.hidden:
+            self.close_block()
+            self.rows.append((len(self.rows), "figure", None, dict(attrs).get("alt") or "", self.section, None, None))
+        if tag in self.kinds and not self.hidden:
+            self.close_block()
+            self.col += tag in ("td", "th")
+            self.tag = tag
+
+    def handle_endtag(self, tag):
+        if tag in self.skip:
+            self.hidden = max(0, self.hidden - 1)
+        elif tag == "title":
+            self.in_title = False
+        elif tag == self.tag:
+            self.close_block()
+
+    def handle_data(self, data):
+        if self.in_title:
+            self.title = (self.title or "") + data
+        elif self.tag and not self.hidden:
+            self.parts.append(data)
+
+
+def html_rows(html: str | None) -> tuple[str | None, list[tuple]]:
+    """The title of a page and its blocks: (ordinal, kind, level, text, section, row, col)."""
+    parser = _HtmlBlocks()
+    parser.feed(html or "")
+    parser.close()
+    parser.close_block()
+    return parser.title, parser.rows
+
+
 _HTML_SCHEMA = "page_id long, ordinal long, kind string, level int, text string, section long, row int, col int, title string, error string"
 
 
@@ -139,68 +201,12 @@ def html_blocks(pages: DataFrame) -> DataFrame:
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from html.parser import HTMLParser
-
-        class Blocks(HTMLParser):
-            skip = {"script", "style", "nav", "footer", "noscript", "template"}
-            kinds = {"p": "paragraph", "li": "list_item", "td": "cell", "th": "cell", "figcaption": "figure", **{f"h{i}": "heading" for i in range(1, 7)}}
-
-            def __init__(self):
-                super().__init__(convert_charrefs=True)
-                self.rows, self.title, self.hidden, self.tag, self.parts = [], None, 0, None, []
-                self.section, self.row, self.col, self.in_title = -1, -1, -1, False
-
-            def close_block(self):
-                text = " ".join("".join(self.parts).split())
-                if self.tag and text:
-                    kind, n = self.kinds[self.tag], len(self.rows)
-                    level = int(self.tag[1]) if kind == "heading" else None
-                    if kind == "heading":
-                        self.section = n
-                    self.rows.append((n, kind, level, text, self.section, self.row if kind == "cell" else None, self.col if kind == "cell" else None))
-                self.tag, self.parts = None, []
-
-            def handle_starttag(self, tag, attrs):
-                if tag in self.skip:
-                    self.hidden += 1
-                elif tag == "title":
-                    self.in_title = True
-                elif tag in ("table", "tr"):
-                    self.close_block()
-                    self.row, self.col = (-1 if tag == "table" else self.row + 1), -1
-                elif tag == "br" and self.tag:
-                    self.parts.append(" ")
-                elif tag == "img" and not self.hidden:
-                    self.close_block()
-                    self.rows.append((len(self.rows), "figure", None, dict(attrs).get("alt") or "", self.section, None, None))
-                if tag in self.kinds and not self.hidden:
-                    self.close_block()
-                    self.col += tag in ("td", "th")
-                    self.tag = tag
-
-            def handle_endtag(self, tag):
-                if tag in self.skip:
-                    self.hidden = max(0, self.hidden - 1)
-                elif tag == "title":
-                    self.in_title = False
-                elif tag == self.tag:
-                    self.close_block()
-
-            def handle_data(self, data):
-                if self.in_title:
-                    self.title = (self.title or "") + data
-                elif self.tag and not self.hidden:
-                    self.parts.append(data)
-
         for f in frames:
             out = []
             for page_id, html in zip(f["page_id"], f["html"], strict=True):
-                parser = Blocks()
                 try:
-                    parser.feed(html or "")
-                    parser.close()
-                    parser.close_block()
-                    out += [(page_id, *r, parser.title, None) for r in parser.rows]
+                    title, rows = html_rows(html)
+                    out += [(page_id, *r, title, None) for r in rows]
                 except (AssertionError, ValueError) as e:
                     out.append((page_id, 0, "error", None, None, None, None, None, None, type(e).__name__))
             names = [c.split(" ")[0] for c in _HTML_SCHEMA.split(", ")]

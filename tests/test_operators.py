@@ -38,7 +38,7 @@ def test_fences_close_by_marker_and_length(spark):
     text = "# A #\n````\n# no\n```\n~~~\n# no\n`````\n## B  ##\n   ~~~ x\n```\n# no\n~~~~\ntail\n\nend\n#C\n#  \n"
     docs = spark.createDataFrame([(1, text), (2, "```\nopen\n# no")], "doc_id long, text string")
     got = [(r.doc_id, r.heading_path, r.level, r.start_line, r.end_line) for r in structure.md_sections(docs).orderBy("doc_id", "section_no").collect()]
-    assert got == [(1, ["A"], 1, 1, 7), (1, ["A", "B"], 2, 8, 17), (2, [], 0, 1, 3)]
+    assert got == [(1, ["A"], 1, 1, 7), (1, ["A", "B"], 2, 8, 16), (1, [""], 1, 17, 17), (2, [], 0, 1, 3)]
     blocks = [(r.start_line, r.end_line, r.text.split("\n")[0]) for r in structure.md_blocks(docs).where("doc_id = 1").orderBy("block_no").collect()]
     assert blocks == [(1, 7, "# A #"), (8, 12, "## B  ##"), (13, 13, "tail"), (15, 17, "end")]
     assert [r.line_no for r in structure.text_lines(docs).where("doc_id = 1 and not fenced").orderBy("line_no").collect()] == [1, 8, 13, 14, 15, 16, 17]
@@ -174,7 +174,7 @@ def test_components_against_brute_force(spark, seed):
 
 
 def test_claim_values():
-    assert answers.checkable_values("Run --fast on 2024-01-02 at 10:30, see https://a.b/c v1.2.3 or 42% of MY_VAR") == ["https://a.b/c", "--fast", "MY_VAR", "2024-01-02", "10:30", "42%", "v1.2.3", "Run"]
+    assert answers.checkable_values("Run --fast on 2024-01-02 at 10:30, see https://a.b/c v1.2.3 or 42% of MY_VAR") == ["https://a.b/c", "--fast", "MY_VAR", "v1.2.3", "2024-01-02", "10:30", "42%", "Run"]
     assert answers.checkable_values("Edit `git add -A`, src/main.rs or notes.txt in my-tool with snake_case, press C+x; 7 of 12 [C3] JSON5") == ["src/main.rs", "git add -A", "C+x", "JSON5", "snake_case", "my-tool", "notes.txt", "7", "12", "Edit"]
     assert answers.checkable_values("nothing to check here [C12]") == []
 
@@ -283,3 +283,49 @@ def test_containment_of_short_items_and_leakage_without_candidates(spark):
     got = sorted(map(tuple, evaluation.leakage_scan(i.unionByName(spark.createDataFrame([(7, "ONE two, three four!"), (8, "alpha beta gamma delta epsilon")], i.schema)), d).collect()))
     assert got == [(7, 3, "normalized"), (8, 1, "exact")]
     assert evaluation.leakage_scan(i.limit(0), d).count() == 0 and evaluation.containment_scan(i, d.limit(0)).count() == 0
+
+
+def test_parser_table_function(spark):
+    from quarrygrid.functions import parsers
+
+    rows = [(1, "md", "# A\ntext\n\n```\n# x\n```"), (2, "HTML", "<h2>B</h2><p>p</p>"), (3, "tex", "\\section{C} one % no\n\ntwo"), (4, "pdf", "%PDF"), (5, "md", None), (6, "md", "")]
+    docs = spark.createDataFrame(rows, "doc_id long, representation string, text string")
+    want = [(1, 0, "heading", 1, "A"), (1, 1, "paragraph", None, "text"), (1, 2, "code", None, "```\n# x\n```"), (2, 0, "heading", 2, "B"), (2, 1, "paragraph", None, "p"), (3, 0, "heading", 2, "C"), (3, 1, "paragraph", None, "one"), (3, 2, "paragraph", None, "two"), (4, 0, "error", None, "unsupported representation: pdf")]
+    got = parsers.parse_blocks(docs).orderBy("doc_id", "ordinal").select("doc_id", "ordinal", "kind", "level", "block_text").collect()
+    assert [tuple(r) for r in got] == want
+    parsers.register(spark)
+    docs.createOrReplaceTempView("parsed_docs")
+    assert spark.sql("SELECT b.* FROM parsed_docs d, LATERAL parse_blocks(d.representation, d.text) b").count() == len(want)
+    assert parsers.supported_representations() == ("html", "markdown", "tex")
+
+
+def test_embed_pending_vectors(spark):
+    """Only changed and accepted inputs are embedded; the vectors equal a plain hashed bag of words."""
+    import zlib
+
+    def plain(text):
+        v = np.zeros(64)
+        for w in text.split():
+            h = zlib.crc32(w.encode())
+            v[h % 64] += 1 if h >> 31 else -1
+        return v / np.linalg.norm(v) if v.any() else v
+
+    rows = [(1, 10, "red blue", "h1", None), (1, 11, "red red", "h2", None), (2, 12, "", "h3", None), (2, 13, "green", "h4", "too_long"), (3, 14, "kept text", "h5", None)]
+    inputs = spark.createDataFrame(rows, "doc_id long, chunk_id long, input_text string, input_hash string, reject string")
+    existing = spark.createDataFrame([(11, "old", [1.0] + [0.0] * 63), (14, "h5", [0.0] * 63 + [1.0])], "chunk_id long, input_hash string, embedding array<float>")
+    found, per_doc = vectors.embed_pending(inputs, existing)
+    got = {r.chunk_id: (r.fresh, list(r.embedding)) for r in found.collect()}
+    assert {k: v[0] for k, v in got.items()} == {10: True, 11: True, 12: True, 14: False}
+    for chunk, text in ((10, "red blue"), (11, "red red"), (12, "")):
+        assert np.allclose(got[chunk][1], plain(text), atol=1e-6)
+    assert {r.doc_id: (r.n_chunks, r.n_embedded, r.complete) for r in per_doc.collect()} == {1: (2, 2, True), 2: (2, 0, False), 3: (1, 1, True)}
+
+
+def test_vector_topk_passes_over_bad_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, None), (4, [1.0]), (5, [1.0, None]), (6, [float("nan"), 1.0]), (7, [])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    queries = table.selectExpr("vec_id as query_id", "embedding as query_vector")
+    got = sorted((r.query_id, r.vec_id) for r in vectors.vector_topk(queries, table, 3).collect())
+    assert got == [(1, 1), (1, 2), (2, 1), (2, 2), (4, 4)]
+    with pytest.raises(ValueError):
+        vectors.vector_topk(queries, table.selectExpr("cast(vec_id as string) as vec_id", "embedding"), 3)

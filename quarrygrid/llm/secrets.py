@@ -62,13 +62,18 @@ FEATURES = [
 WORD_BINS, PRIOR_WEIGHT = 1024, 4.0
 
 
+def has_candidate() -> Column:
+    """Does the text hold a candidate? No for null."""
+    return F.coalesce(F.col("text").rlike(CANDIDATE), F.lit(False))
+
+
 def candidates(docs: DataFrame, *keys: str) -> DataFrame:
     """(doc_id, ordinal, start, value, before, after) of every candidate: its code point offset and the 40 characters on either side of it.
 
-    ``keys`` are the columns that stand for doc_id, if others are wanted.
+    ``keys`` are the columns that stand for doc_id, if others are wanted. Texts without any are passed over by one search.
     """
     keys = keys or ("doc_id",)
-    parts = docs.select(*keys, F.split("text", CANDIDATE, -1).alias("gaps"), F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("matches")).where(F.size("matches") > 0)
+    parts = docs.where(has_candidate()).select(*keys, F.split("text", CANDIDATE, -1).alias("gaps"), F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("matches")).where(F.size("matches") > 0)
     found = F.transform("matches", lambda m: F.struct(F.regexp_replace(m, LEAD, "").alias("value"), m.alias("match")))
     found = F.transform(found, lambda x: F.struct(x["value"], x["match"], F.left(x["match"], F.length(x["match"]) - F.length(x["value"])).alias("lead")))
     parts = parts.select(*keys, "gaps", found.alias("found"))
@@ -204,28 +209,29 @@ def judged(found: DataFrame, judge: Judge) -> DataFrame:
 def find_secrets(docs: DataFrame) -> DataFrame:
     """(doc_id, ordinal, start, value, before, after, score, is_secret) of every candidate in ``docs``.
 
-    Null and empty texts have no candidates. Repeated rows have theirs each; other columns are ignored. The candidates are
-    written once to the scratch folder, as training and judging both read them.
+    Null and empty texts have no candidates. Repeated rows have theirs each; other columns are ignored. The documents with a
+    candidate are written once to the scratch folder, and so are the candidates, as training and judging both read them.
     """
-    return _judged_candidates(docs, "doc_id")
+    held = materialize(docs.select("doc_id", "text").where(has_candidate()), "secret-documents")
+    return _judged_candidates(held, "doc_id")
 
 
-def _judged_candidates(docs: DataFrame, *keys: str) -> DataFrame:
-    found = materialize(candidates(docs, *keys), "secret-candidates")
+def _judged_candidates(held: DataFrame, *keys: str) -> DataFrame:
+    found = materialize(candidates(held, *keys), "secret-candidates")
     return judged(found, train(materialize(labelled_findings(found), "secret-labels")))
 
 
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every secret in ``text`` replaced by ``MASK``; all rows and columns stay, null texts stay null.
 
-    A row's secrets are those of its own text: they are joined by the text's digest, and by doc_id (null equals null) so
-    that rows with equal texts are not dealt to one task. Each is masked where it was found; keys of 16 or more characters
-    with a digit are masked wherever else they stand in the text.
+    Rows without a candidate pass as they are. The others are written once with a number of their own, by which they are joined with
+    their secrets, so neither repeated nor null doc_ids matter. Each secret is masked where it was found; keys of 16 or more
+    characters with a digit are masked wherever else they stand in the text.
     """
-    digest = F.sha2("text", 256)
-    found = _judged_candidates(docs.where("text is not null").select("doc_id", digest.alias("__digest"), "text"), "doc_id", "__digest").where("is_secret")
-    hits = found.groupBy(F.col("doc_id").alias("__id"), "__digest").agg(F.sort_array(F.collect_set(F.struct("start", "value"))).alias("__hits"))
-    joined = docs.withColumn("__own", digest).join(hits, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__digest")), "left")
+    held = materialize(docs.where(has_candidate()).withColumn("__row", F.monotonically_increasing_id()), "secret-documents")
+    found = _judged_candidates(held, "__row").where("is_secret")
+    hits = found.groupBy("__row").agg(F.sort_array(F.collect_set(F.struct("start", "value"))).alias("__hits"))
+    joined = held.join(hits, "__row", "left")
 
     def span(start: Column, end: Column | None = None) -> Column:
         return F.substring(F.col("text"), (start + 1).cast("int"), F.lit((1 << 31) - 1) if end is None else (end - start).cast("int"))
@@ -236,10 +242,11 @@ def redact(docs: DataFrame) -> DataFrame:
     )
     keys = F.sort_array(F.array_distinct(F.transform(F.filter("__hits", lambda x: (F.length(x["value"]) >= 16) & x["value"].rlike("[0-9]")), lambda x: F.struct((-F.length(x["value"])).alias("size"), x["value"].alias("value")))))
     masked = F.aggregate(keys, F.concat(parts["out"], span(parts["at"])), lambda text, x: F.replace(text, x["value"], F.lit(MASK)))
-    return joined.withColumn("text", F.when(F.col("__hits").isNull(), F.col("text")).otherwise(masked)).select(*docs.columns)
+    shown = joined.withColumn("text", F.when(F.col("__hits").isNull(), F.col("text")).otherwise(masked)).select(*docs.columns)
+    return docs.where(~has_candidate()).unionByName(shown)
 
 
 def op10_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every candidate of all documents with the forest's decision; values as digests."""
+    """Every candidate of all documents with the forest's decision; values as digests. See ``find_secrets`` for nulls and repeats."""
     found = find_secrets(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "ordinal", "start", F.length("value").cast("long").alias("length"), F.sha2("value", 256).alias("value_sha256"), "score", "is_secret")

@@ -19,13 +19,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarrygrid.common import drop_scratch, materialize, scratch_path, table
+from quarrygrid.common import drop_scratch, hot_limit, materialize, scratch_path, table
 
 MAGIC, END = "WARC/1.1\r\n", "\r\n\r\n"
 REVISIT_BYTES = 100
 #: Records in a file, at most: what one file may add to a window.
 FILE_RECORDS = 50_000
-#: Groups of equal payloads (about 150 bytes each) up to which they are broadcast.
+#: Groups of equal payloads (some 100 bytes each, 20 MB together) up to which they are broadcast. Beyond, pages are shuffled by digest,
+#: but for those of the most frequent payloads.
 BROADCAST_GROUPS = 200_000
 
 
@@ -36,15 +37,19 @@ def with_revisits(pages: DataFrame, least_bytes: int = REVISIT_BYTES) -> DataFra
     """
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("payload"))
     rows = rows.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": F.sha2("payload", 256)})
-    copies = (
-        rows.where(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-        .where("n > 1").select("payload_digest", "first")
-    )
-    copies = materialize(copies, "warc-copies")
-    if copies.count() <= BROADCAST_GROUPS:  # else the pages are shuffled by digest
-        copies = F.broadcast(copies)
-    other = (F.col("payload_bytes") >= least_bytes) & ~F.col("page_id").eqNullSafe(F.col("first"))
-    return rows.join(copies, "payload_digest", "left").withColumn("refers_to", F.when(other, F.col("first"))).drop("first")
+    groups = rows.where(F.col("payload_bytes") >= least_bytes).groupBy(F.unhex("payload_digest").alias("key")).agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
+    groups = materialize(groups.where("n > 1"), "warc-copies")
+    long = F.col("payload_bytes") >= least_bytes
+    keyed = rows.withColumn("key", F.when(long, F.unhex("payload_digest")))
+    if groups.count() <= BROADCAST_GROUPS:
+        joined = keyed.join(F.broadcast(groups.select("key", "first")), "key", "left")
+    else:
+        # pages of frequent payloads stay where they are, the other long ones are shuffled by digest
+        limit = hot_limit(pages.sparkSession, pages.count())
+        hot, cold = F.broadcast(groups.where(F.col("n") > limit).select("key", "first")), groups.where(F.col("n") <= limit).select("key", "first")
+        joined = keyed.where(long).join(hot, "key").unionByName(keyed.where(long).join(hot.select("key"), "key", "left_anti").join(cold, "key", "left"))
+        joined = joined.unionByName(keyed.where(~long).withColumn("first", F.lit(None).cast(pages.schema["page_id"].dataType)))
+    return joined.withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))).drop("first", "key")
 
 
 def record_text(payload: Column) -> Column:

@@ -268,6 +268,27 @@ def test_quality_on_held_out_rows(spark):
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
 
 
+def test_scores_equal_a_plain_vote(spark):
+    """Exact cosines with every labelled vector, sorted, weighted: the blocked product against a loop over texts."""
+    rng = random.Random(14)
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(rng.choices(words[:40] if i % 2 else words[20:], k=30)) for i in range(120)] + ["", "W1 w1 w1 77 !?"]
+    counts = np.minimum(quality.term_counts(*tk.buffers(pa.array(texts))), 255)
+    labels = np.array([i % 2 for i in range(len(texts))], float)
+    model = quality.Model(counts[:80].astype(np.uint8), labels[:80])
+    got = model.scores(counts)
+    vectors = model._unit(model._weighted(counts) @ model.projection)
+    for i, v in enumerate(vectors):
+        near = sorted(((float(v @ model.vectors[j]), model.labels[j]) for j in range(80)), reverse=True)[: quality.NEIGHBOURS]
+        weights = [max(c, 0.0) ** quality.SHARPNESS for c, _ in near]
+        want = sum(w * y for w, (_, y) in zip(weights, near, strict=True)) / sum(weights) if sum(weights) > 1e-9 else model.prior
+        assert abs(got[i] - want) < 1e-3
+    # counts themselves against a plain count of hashed words
+    for t, row in zip(texts, counts, strict=True):
+        assert row[: quality.WORD_BINS].sum() == len(t.split()) and row[quality.WORD_BINS : quality.WORD_BINS + quality.SHAPE_BINS].sum() == len(t.split())
+        assert row[quality.WORD_BINS + quality.SHAPE_BINS :].sum() == sum(a.lower() == b.lower() for a, b in zip(t.split(), t.split()[1:]))
+
+
 def test_quality_edge_cases(spark):
     docs = frame(spark, ODD + ["good words here and there"] * 6 + ["### | $$$"] * 6)
     labels = spark.createDataFrame([(i, int(i < 18), 0) for i in range(12, 24)] + [(None, 1, 0), (5, None, 0)], "doc_id long, quality int, toxic int")
@@ -328,9 +349,56 @@ def test_license_forms(spark):
     assert licenses.scan_licenses(frame(spark, [])).count() == 0
 
 
+def test_long_licenses(spark):
+    """Published texts are known however they are wrapped; a changed one is not. A catalogue of one's own may repeat digests."""
+    from pathlib import Path
+
+    folder = Path("/usr/share/common-licenses")
+    if not (folder / "GPL-3").exists():
+        pytest.skip("no published texts on this machine")
+    named = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    texts = [(folder / f).read_text(encoding="utf-8") for f in named]
+    texts = texts + [" ".join(t.upper().split()) for t in texts if not re.search(r"(?im)^\W*(copyright|\(c\))", t)] + [texts[2].replace("freedom", "liberty", 1)]
+    got = [r.license for r in licenses.scan_licenses(frame(spark, texts)).orderBy("doc_id").collect()]
+    assert got[: len(named)] == list(named.values()) and None not in got[:-1] and got[-1] is None
+    own = spark.createDataFrame([(hashlib.sha256(b"my own words").hexdigest(), x) for x in ("B", "A", "B")] + [(None, "C")], "digest string, license string")
+    assert [r.license for r in licenses.scan_licenses(frame(spark, ["My own: words!", "x"]), own).orderBy("doc_id").collect()] == ["A", None]
+
+
 # --- vectors ----------------------------------------------------------------------------------------------------------
 
 
+def test_vector_recall_at_the_threshold_and_repeated_ids(spark):
+    """Pairs at a cosine of exactly 0.93 are found; rows of one vec_id with different vectors stay apart; blocks count each pair once."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(400):
+        x, z = rng.standard_normal((2, 64))
+        x /= np.linalg.norm(x)
+        z -= (z @ x) * x
+        z /= np.linalg.norm(z)
+        rows += [(2 * i, x.tolist(), 1), (2 * i + 1, (0.9301 * x + np.sqrt(1 - 0.9301**2) * z).tolist(), 1)]
+    got = {r.vec_id: r for r in vecdup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert sum(got[2 * i].n_links == 1 and got[2 * i + 1].component_id == 2 * i for i in range(400)) >= 396
+    one, other = rng.standard_normal((2, 64)).tolist()
+    twice = spark.createDataFrame([(5, one, 1), (5, other, 1), (6, one, 1), (7, other, 1)], "vec_id long, embedding array<double>, label int")
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in vecdup.near_vectors(twice).collect()) == [(5, 1, 5), (5, 1, 5), (6, 1, 5), (7, 1, 5)]
+
+
+def test_vectors_of_large_groups(spark, monkeypatch):
+    monkeypatch.setattr(vecdup, "BLOCK", 32)
+    monkeypatch.setattr(vecdup, "SMALL", 4)
+    rng = np.random.default_rng(9)
+    centre = rng.standard_normal(64)
+    rows = [(i, (centre + 0.28 * rng.standard_normal(64)).tolist(), 1) for i in range(150)]
+    x = np.array([r[1] for r in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = (x @ x.T >= 0.93) & ~np.eye(len(x), dtype=bool)
+    got = {r.vec_id: r.n_links for r in vecdup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    found = np.array([got[i] for i in range(150)])
+    assert (found <= near.sum(1)).all() and found.sum() >= 0.98 * near.sum() > 0
+
+
 def test_vectors_against_brute_force(spark):
     rng = np.random.default_rng(4)
     rows = []
@@ -397,6 +465,23 @@ def test_archives_round_trip(spark, tmp_path):
         assert all(r.verified for r in got)
 
 
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_revisits_with_and_without_broadcast(spark, monkeypatch, most):
+    """The plan for many groups gives the same rows, also where one payload is half of all."""
+    monkeypatch.setattr(warc, "BROADCAST_GROUPS", most)
+    rows = [(i, f"http://h/{i}", ("x" * 120 if i % 2 else f"{i // 4} " * 60 if i % 3 else "short")) for i in range(200)] + [(None, None, "x" * 120), (7, None, "x" * 120), (8, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = warc.with_revisits(pages).collect()
+    assert len(got) == len(rows)
+    first = {}
+    for i, _, html in rows:
+        if i is not None and len(html or "") >= 100:
+            first[html] = min(i, first.get(html, i))
+    want = [(i or -1, None if len(h or "") < 100 or first[h] == i else first[h]) for i, _, h in rows]
+    key = lambda x: (x[0], x[1] if x[1] is not None else -1)
+    assert sorted(((r.page_id or -1, r.refers_to) for r in got), key=key) == sorted(want, key=key)
+
+
 def test_archives_of_nothing(spark, tmp_path):
     warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"), f"file://{tmp_path}/none")
     assert warc.read_archives(spark, f"file://{tmp_path}/none").count() == 0

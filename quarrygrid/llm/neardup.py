@@ -413,7 +413,7 @@ def without_near_duplicates(docs: DataFrame, words: int = WORDS, similarity: flo
     limit = hot_limit(docs.sparkSession, docs.count())
     rest = keyed.join(F.broadcast(go.where(F.col("n") > limit)), match, "left_anti").join(go.where(F.col("n") <= limit), match, "left_anti")
     # repeated rows: the smallest by all columns, put together per task first
-    again = keyed.join(go.where("__stays"), match).groupBy("doc_id", "__text").agg(F.min(F.struct(*docs.columns)).alias("row"))
+    again = keyed.join(go.where("__stays").select("__id", "__key"), match).groupBy("doc_id", "__text").agg(F.min(F.struct(*docs.columns)).alias("row"))
     return rest.select(*docs.columns).unionByName(again.select("row.*"))
 
 

@@ -100,13 +100,13 @@ def test_near_duplicates_of_repeated_ids(spark):
     rng = random.Random(12)
     near = family(rng, 2, 60, 2)
     rows = [(1, near[0]), (2, "quite another text than that one here"), (2, near[1]), (3, "a third text of five words"), (3, "a third text of five words"), (None, near[0]), (None, "words without any id at all here"), (None, None), (None, None)]
-    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, best int")
-    left = sorted((r.best for r in neardup.without_near_duplicates(docs).collect()))
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, n int")
+    left = sorted((r.n for r in neardup.without_near_duplicates(docs).collect()))
     assert left == [0, 1, 3, 6, 7, 8]
     got = sorted(((r.doc_id or 0, r.component_id or 0, r.kept) for r in neardup.near_duplicates(docs).collect()))
     assert got == sorted([(1, 1, True), (2, 2, True), (2, 1, False), (3, 3, True), (3, 3, True), (0, 1, False), (0, 0, True), (0, 0, True), (0, 0, True)])
-    many = spark.createDataFrame([(i % 2, near[i % 2], i) for i in range(10_000)], "doc_id long, text string, best int")
-    assert [r.best for r in neardup.without_near_duplicates(many).collect()] == [0]
+    many = spark.createDataFrame([(i % 2, near[i % 2], i) for i in range(10_000)], "doc_id long, text string, n int")
+    assert [r.n for r in neardup.without_near_duplicates(many).collect()] == [0]
     assert neardup.without_near_duplicates(docs.limit(0)).count() == 0
 
 

@@ -196,24 +196,69 @@ def heading_enrich(chunks: DataFrame, budget: int = 120) -> DataFrame:
     return chunks.withColumns({"inline_text": inline, "context": F.array_join(picked, " > ")})
 
 
-#: Variant: target, maximum, cut where the heading changes (parameters).
-VARIANTS = (("base", 1200, 1800, False), ("small", 500, 800, False), ("heading", 1200, 1800, True))
+#: Variant: target, maximum, by structure, characters of overlap (parameters).
+VARIANTS = (("base", 1200, 1800, False, 0), ("structure", 900, 1200, True, 0), ("leaf", 560, 780, True, 0), ("leaf_overlap", 560, 780, True, 96))
+_LIST, _TABLE = re.compile(r"[ \t]*([-*+]|\d+[.)])[ \t]"), re.compile(r"[^|\n]*\|[^|\n]*\|")
+
+
+def _whole(block: str) -> bool:
+    """Is it code, a list or a table, that a variant by structure doesn't cut?"""
+    lines = block.split("\n")
+    return _fenced(block) or bool(_LIST.match(lines[0])) or all(_TABLE.match(x) for x in lines)
+
+
+def fold_structure(sections: list[tuple], target: int, maximum: int, overlap: int = 0) -> list[tuple]:
+    """(heading path, text, first line, last line) of chunks by structure: none crosses a heading, and lists, tables and code stay whole.
+
+    With ``overlap`` a chunk begins with the last characters of the one before under the same heading, from a word's start.
+    """
+    out: list[tuple] = []
+    held: list[tuple] = []
+
+    def flush(path) -> None:
+        if held:
+            out.append((path, "\n\n".join(t for t, _, _ in held), held[0][1], held[-1][2]))
+            held.clear()
+
+    size, above = 0, None
+    for content, path, first, _ in sections:
+        if above != path:
+            flush(above)
+            above = path
+        for _, lo, hi, block in blocks_of(content.splitlines()):
+            for part in [block] if len(block) <= maximum or _whole(block) else split_text(block, maximum):
+                if held and size + 2 + len(part) > maximum:
+                    flush(path)
+                size = size + 2 + len(part) if held else len(part)
+                held.append((part, first + lo - 1, first + hi - 1))
+                if size >= target:
+                    flush(path)
+    flush(above)
+    if not overlap:
+        return out
+    tails = [None, *((p, t if len(t) <= overlap else re.sub(r"^\S*\s+", "", t[-overlap:]), a) for p, t, a, _ in out)]
+    return [(p, f"{before[1]}\n{t}", min(a, before[2]), b) if before and before[0] == p and before[1] else (p, t, a, b) for before, (p, t, a, b) in zip(tails, out, strict=False)]
 
 
 def chunk_variants(sections: DataFrame, variants=VARIANTS) -> DataFrame:
-    """All variants in one job: (variant, doc_id, chunk_index, content, start_line, end_line)."""
-    config = sections.sparkSession.createDataFrame(list(variants), "variant string, target int, maximum int, at_heading boolean")
+    """All variants in one pass over each document's sections: (variant, doc_id, chunk_index, content, start_line, end_line)."""
+    row = F.sort_array(F.collect_list(F.struct("section_no", "content", "heading_path", "start_line", "end_line")))
+    held = sections.groupBy("doc_id").agg(row.alias("s"))
+    names = ["variant", "doc_id", "chunk_index", "content", "start_line", "end_line"]
+    kinds = [pa.string(), pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32()]
 
-    def fold(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("section_no")
-        one = g.iloc[0]
-        rows = [(p, r.heading_path[0] if len(r.heading_path) else "", r.start_line, r.end_line) for r in g.itertuples() for p in split_text(r.content, int(one.maximum))]
-        groups = _pack(rows, int(one.target), int(one.maximum), (lambda a, b: a[1] != b[1]) if one.at_heading else None)
-        out = [(one.variant, one.doc_id, i, "\n\n".join(r[0] for r in x), min(r[2] for r in x), max(r[3] for r in x)) for i, x in enumerate(groups)]
-        return pd.DataFrame(out, columns=["variant", "doc_id", "chunk_index", "content", "start_line", "end_line"])
-
-    joined = sections.join(F.broadcast(config))
-    return joined.groupBy("variant", "doc_id").applyInPandas(fold, "variant string, doc_id long, chunk_index int, content string, start_line int, end_line int")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for doc_id, parts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                own = [(s["content"] or "", s["heading_path"] or [], s["start_line"], s["end_line"]) for s in parts.as_py()]
+                for name, target, maximum, by_structure, overlap in variants:
+                    chunks = fold_structure(own, target, maximum, overlap) if by_structure else fold_sections(own, target, maximum)
+                    out += [(name, doc_id, i, t, a, b) for i, (_, t, a, b) in enumerate(chunks)]
+            columns = list(zip(*out, strict=True)) or [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+    return held.mapInArrow(run, "variant string, doc_id long, chunk_index int, content string, start_line int, end_line int")
 
 
 def chunk_overlap(chunks: DataFrame, n: int = 100) -> DataFrame:

@@ -58,46 +58,73 @@ def stream_request_dedup(requests: DataFrame, late: str = "1 day") -> DataFrame:
 
 
 def stream_sessions(events: DataFrame, gap: str = "6 hours", late: str = "1 hour") -> DataFrame:
-    """Activity sessions of each user, closed by a gap."""
+    """Activity sessions of each user, closed by a gap.
+
+    In append mode a session comes out once the watermark has passed its end, and its state goes; in complete mode, which also
+    shows open sessions, all stay in state: that is for bounded inputs.
+    """
     grouped = events.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n_events"), F.sum("value").alias("total_value"))
     return grouped.select("user_id", F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n_events", "total_value")
 
 
-def _turn_state(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    n, recent = state.get if state.exists else (0, "")
+def _timed(state: GroupState, idle_ms: int | None) -> bool:
+    """Has the state's key been idle for too long? Then the state goes. Else the clock starts anew."""
+    if idle_ms is not None and state.hasTimedOut:
+        state.remove()
+        return True
+    return False
+
+
+def _with_state(df: DataFrame, key: str, fold, schema: str, state: str, mode: str, idle_ms: int | None) -> DataFrame:
+    """``fold(key, frames, old state or None)`` -> (rows, new state) for each key; a key that is idle for ``idle_ms`` is forgotten."""
+
+    def run(name: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        if _timed(held, idle_ms):
+            return
+        rows, new = fold(name[0], frames, held.get if held.exists else None)
+        held.update(new)
+        if idle_ms is not None:
+            held.setTimeoutDuration(idle_ms)
+        yield rows
+
+    timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    return df.groupBy(key).applyInPandasWithState(run, schema, state, mode, timeout)
+
+
+def _turn_fold(session, frames: Iterator[pd.DataFrame], old: tuple | None) -> tuple[pd.DataFrame, tuple]:
+    n, held = old or (0, "")
+    recent, out = [x for x in held.split("\x1f") if x], []
     for f in frames:
-        f = f.sort_values("turn")
-        out = []
-        for row in f.itertuples():
-            out.append((key[0], row.turn, n + 1, len([x for x in recent.split("\x1f") if x]), sum(len(x) for x in recent.split("\x1f"))))
-            n += 1
-            recent = "\x1f".join([*[x for x in recent.split("\x1f") if x], row.text or "-"][-6:])
-        yield pd.DataFrame(out, columns=["session_id", "turn", "turn_number", "n_context", "context_chars"])
-    state.update((n, recent))
+        for row in f.sort_values("turn").itertuples():
+            out.append((session, row.turn, n + 1, len(recent), sum(map(len, recent))))
+            n, recent = n + 1, [*recent, row.text or "-"][-6:]
+    return pd.DataFrame(out, columns=["session_id", "turn", "turn_number", "n_context", "context_chars"]), (n, "\x1f".join(recent))
+
 
+def stream_turn_state(turns: DataFrame, idle_ms: int | None = None) -> DataFrame:
+    """Per session its turn counter and the size of the context of the last 6 turns (session_id, turn, text), kept in state.
 
-def stream_turn_state(turns: DataFrame) -> DataFrame:
-    """Per session its turn counter and the size of the context of the last 6 turns (session_id, turn, text), kept in state."""
-    return turns.groupBy("session_id").applyInPandasWithState(
-        _turn_state, "session_id long, turn long, turn_number long, n_context long, context_chars long", "n long, recent string", "append", GroupStateTimeout.NoTimeout
-    )
+    State is a counter and six turns a session; with ``idle_ms`` a session that is quiet for so long is forgotten.
+    """
+    return _with_state(turns, "session_id", _turn_fold, "session_id long, turn long, turn_number long, n_context long, context_chars long", "n long, recent string", "append", idle_ms)
 
 
-def _trace(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    last, gaps, n = state.get if state.exists else (0, 0, 0)
+def _trace_fold(trace, frames: Iterator[pd.DataFrame], old: tuple | None) -> tuple[pd.DataFrame, tuple]:
+    last, gaps, n = old or (0, 0, 0)
     for f in frames:
         for s in sorted(f["sequence"]):
-            if s <= last:
-                continue
-            gaps += int(s > last + 1)
-            last, n = int(s), n + 1
-    state.update((last, gaps, n))
-    yield pd.DataFrame({"trace_id": [key[0]], "n_events": [n], "last_sequence": [last], "n_gaps": [gaps]})
+            if s > last:
+                gaps += int(s > last + 1)
+                last, n = int(s), n + 1
+    return pd.DataFrame({"trace_id": [trace], "n_events": [n], "last_sequence": [last], "n_gaps": [gaps]}), (last, gaps, n)
+
 
+def stream_trace_order(events: DataFrame, idle_ms: int | None = None) -> DataFrame:
+    """Per trace (trace_id, sequence): events in order, the last sequence, and gaps; events that are not after it are passed over.
 
-def stream_trace_order(events: DataFrame) -> DataFrame:
-    """Per trace (trace_id, sequence): events in order, the last sequence, and gaps; events that are not after it are passed over."""
-    return events.groupBy("trace_id").applyInPandasWithState(_trace, "trace_id long, n_events long, last_sequence long, n_gaps long", "last long, gaps long, n long", "update", GroupStateTimeout.NoTimeout)
+    State is three numbers a trace; with ``idle_ms`` a trace that is quiet for so long is forgotten.
+    """
+    return _with_state(events, "trace_id", _trace_fold, "trace_id long, n_events long, last_sequence long, n_gaps long", "last long, gaps long, n long", "update", idle_ms)
 
 
 def trace_order(events: DataFrame) -> DataFrame:

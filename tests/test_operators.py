@@ -60,24 +60,37 @@ def test_sections_are_packed_and_long_ones_split(spark):
     assert chunking.split_text("z" * 25, 10) == ["z" * 10, "z" * 10, "z" * 5]
 
 
-def test_chunk_variants_against_a_plain_fold(spark):
+def test_chunk_variants_by_structure(spark):
+    """No chunk crosses a heading, lists and tables stay whole, words keep their order, and sizes hold; the base variant is ``chunk_sections``."""
     rng = random.Random(6)
-    rows = [(d, i, ["a" if i < 4 else "b"], " ".join(rng.choice(["lorem", "ipsum."]) for _ in range(rng.randrange(1, 400))), i + 1, i + 1) for d in range(5) for i in range(8)]
+    table, items = "\n".join("| a | b |" for _ in range(120)), "\n".join(f"- item {i} of a list" for i in range(60))
+    rows = []
+    for d in range(5):
+        for i in range(8):
+            body = " ".join(rng.choice(["lorem", "ipsum."]) for _ in range(rng.randrange(1, 400)))
+            rows.append((d, i, ["a" if i < 4 else "b"], body if i % 3 else f"{body}\n\n{table}\n\n{items}", 1000 * i + 1, 1000 * i + 990))
     df = spark.createDataFrame(rows, "doc_id long, section_no long, heading_path array<string>, content string, start_line int, end_line int")
-    got = {(r.variant, r.doc_id, r.chunk_index): r.content for r in chunking.chunk_variants(df).collect()}
-    want = {}
-    for name, target, maximum, at_heading in chunking.VARIANTS:
+    got = {}
+    for r in chunking.chunk_variants(df).orderBy("chunk_index").collect():
+        got.setdefault((r.variant, r.doc_id), []).append(r)
+    base = {d: [r.content for r in chunking.chunk_sections(df).where(f"doc_id = {d}").orderBy("chunk_index").collect()] for d in range(5)}
+    for name, target, maximum, by_structure, overlap in chunking.VARIANTS:
         for d in range(5):
-            chunks, head = [], None
-            for r in (r for r in rows if r[0] == d):
-                for piece in chunking.split_text(r[3], maximum):
-                    if chunks and len(chunks[-1]) < target and len(chunks[-1]) + 2 + len(piece) <= maximum and not (at_heading and head != r[2][0]):
-                        chunks[-1] += "\n\n" + piece
-                    else:
-                        chunks.append(piece)
-                    head = r[2][0]
-            want |= {(name, d, i): c for i, c in enumerate(chunks)}
-    assert got == want
+            own = got[name, d]
+            whole = " ".join(" ".join(r[3] for r in rows if r[0] == d).split())
+            if not by_structure:
+                assert [r.content for r in own] == base[d]
+                continue
+            marks = [r for r in own if r.start_line < 4001 <= r.end_line]
+            assert not marks
+            assert sum(table in r.content for r in own) == 3 and sum(items in r.content for r in own) == 3
+            long = [r for r in own if len(r.content) > maximum + overlap + 1]
+            assert all(table in r.content or items in r.content for r in long)
+            if not overlap:
+                assert " ".join(" ".join(r.content for r in own).split()) == whole
+            else:
+                plain = [r.content for r in got["leaf", d]]
+                assert all(b.content.endswith(a) and len(b.content) <= len(a) + overlap + 1 for a, b in zip(plain, own, strict=True))
 
 
 def test_frontmatter(spark):

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrygrid.common import drop_scratch, materialize
+from quarrygrid.common import bound_batches, drop_scratch, materialize
 from quarrygrid.llm import textkernel as tk
 
 SPECIAL, SPECIAL_ID = b"<|endoftext|>", 50256
@@ -430,6 +430,8 @@ def gather(pool: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """How often each pretoken occurs in all texts: (word binary, n long). Counted per task first, then summed by word."""
 
+    bound_batches(docs.sparkSession)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pandas as pd
 
@@ -497,6 +499,7 @@ def encode_documents(docs: DataFrame, vocabulary_path: str, text: str = "text",
     """
     import hashlib
 
+    bound_batches(docs.sparkSession)
     flat = lexicon.to_bytes() if lexicon else None
     shared = docs.sparkSession.sparkContext.broadcast(flat) if lexicon else None
     types = schema or "ids array<int>"
@@ -511,6 +514,7 @@ def encode_documents(docs: DataFrame, vocabulary_path: str, text: str = "text",
                 own = [derive(encoder, r) for r in rows] if derive else [(r,) for r in rows]
                 columns = list(zip(*own, strict=True))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *(pa.array(c) for c in columns)], ["doc_id", *names])
+        tk.release()
 
     names = [part.strip().split(" ")[0] for part in types.split(",")]
     out = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {types}"

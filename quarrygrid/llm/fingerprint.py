@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrygrid.common import table
+from quarrygrid.common import bound_batches, table
 
 PRIME = (1 << 31) - 1
 BASES = (1_103_515_245 % PRIME, 69_069_433)
@@ -327,6 +327,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array([fingerprint(t) for t in texts], pa.string())], ["doc_id", "n_chars", "fingerprint"])
 
+    bound_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_chars long, fingerprint string")
 
@@ -339,6 +340,7 @@ def in_descending_ranges(docs: DataFrame) -> DataFrame:
     texts are shuffled once.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ends = docs.select(F.percentile_approx("doc_id", [i / (4 * parts) for i in range(1, 4 * parts)], 100_000).alias("q")).first().q or []
     ends = sorted(set(ends))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrygrid.common import drop_scratch, hot_limit, join_by_hot_keys, materialize, shuffle_partitions, table
+from quarrygrid.common import bound_batches, drop_scratch, hot_limit, join_by_hot_keys, materialize, shuffle_partitions, table
 from quarrygrid.llm import textkernel as tk
 from quarrygrid.operators.graph_core import min_label_components
 
@@ -118,6 +118,7 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
                     [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(registers, pa.binary())],
                     ["doc_id", "text_key", "n_shingles", "digest", "registers"],
                 )
+        tk.release()
 
     return docs.select("doc_id", "text_key", "text").mapInArrow(run, "doc_id long, text_key long, n_shingles long, digest binary, registers binary")
 
@@ -266,6 +267,7 @@ def compare_blocks(rows: DataFrame, similarity: float, forest: bool) -> DataFram
                 held = held.part(last, len(held))
         if held:
             yield closed(held)
+        tk.release()
 
     return rows.mapInArrow(run, "a long, b long")
 
@@ -334,6 +336,7 @@ def confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, words: int, pe
                         common = len(own) + len(found) - len(np.union1d(own, found))
                         keep[i] = 100 * common >= percent * (len(own) + len(found) - common)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep))
+        tk.release()
 
     spread = rows.repartition(shuffle_partitions(docs.sparkSession), "a", "part").sortWithinPartitions("a", "part", "b")
     return spread.select("a", "b", "text").mapInArrow(run, "a long, b long")
@@ -351,6 +354,7 @@ def marked(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY)
     rows without shingles are groups of their own.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     docs = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
     sets = materialize(sketches(docs, words), "neardup-sets")
     full = sets.where("n_shingles > 0")

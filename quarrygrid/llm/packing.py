@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrygrid.common import table
+from quarrygrid.common import bound_batches, table
 from quarrygrid.llm import bpe
 from quarrygrid.llm import textkernel as tk
 
@@ -203,6 +203,7 @@ def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW, end_id: int | N
     ``SLACK`` tokens short and the last ones of a task, whose lengths are powers of two. Sequence ids are unique, not
     consecutive. Other columns are ignored.
     """
+    bound_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType
     names = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]
     tail = np.array([] if end_id is None else [end_id], "<u4")
@@ -227,6 +228,7 @@ def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW, end_id: int | N
                 yield from finished(PIECES)
         packer.finish()
         yield from finished()
+        tk.release()
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind.simpleString()}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrygrid.common import bounded_choice, table
+from quarrygrid.common import bound_batches, bounded_choice, table
 from quarrygrid.llm import textkernel as tk
 
 WORD_BINS, SHAPE_BINS, REPEAT_BINS = 2048, 512, 16
@@ -114,6 +114,7 @@ def held_out(doc_id: Column | str = "doc_id") -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, target: str = "quality") -> Model:
     """The model of at most ``TRAIN_ROWS`` labelled texts that are not held out; what reaches the driver is bounded by that."""
+    bound_batches(docs.sparkSession)
     known = labels.where(F.col(target).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max(target).alias("label"))
     chosen = bounded_choice(known, TRAIN_ROWS, "doc_id")
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
@@ -131,6 +132,7 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality") -> Model:
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score double) of every row; null texts count as empty, and empty ones have the prior."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,6 +165,7 @@ def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
             for _, _, data, offsets in tk.blocks(*tk.buffers(batch.column(at))):
                 keep.append(model.value.scores(np.minimum(term_counts(data, offsets), 255)) >= 0.5)
             yield batch.filter(pa.array(np.concatenate(keep)))
+        tk.release()
 
     return docs.mapInArrow(run, docs.schema)
 

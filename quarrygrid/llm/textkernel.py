@@ -6,6 +6,7 @@ from one prefix array per block, so the cost is a few passes over the bytes and
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -65,6 +66,20 @@ def blocks(data: np.ndarray, offsets: np.ndarray, size: int = BLOCK_BYTES) -> It
         lo = hi
 
 
+_LIBC: list = []
+
+
+def release() -> None:
+    """Give memory that a finished task has freed back to the system: workers live on, and the next stage's tasks run beside them."""
+    pa.default_memory_pool().release_unused()
+    if not _LIBC:
+        try:
+            _LIBC.append(ctypes.CDLL("libc.so.6").malloc_trim)
+        except (OSError, AttributeError):  # another C library
+            _LIBC.append(lambda _: 0)
+    _LIBC[0](0)
+
+
 def edge_flags(n: int, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Flags of the first and of the last byte of every non-empty row."""
     first, last = np.zeros(n, bool), np.zeros(n, bool)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrygrid.common import drop_scratch, hot_limit, join_by_hot_keys, materialize, shuffle_partitions, table
+from quarrygrid.common import bound_batches, drop_scratch, hot_limit, join_by_hot_keys, materialize, shuffle_partitions, table
 from quarrygrid.llm import textkernel as tk
 from quarrygrid.llm.neardup import spanning_forest
 from quarrygrid.operators.graph_core import min_label_components
@@ -271,6 +271,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     different vectors. Rows with a null vec_id link with nothing. Other columns are ignored.
     """
     spark = vectors.sparkSession
+    bound_batches(spark)
     parts = shuffle_partitions(spark)
     rows = vectors.select("vec_id", "embedding", F.col("label").cast("long").alias("label"))
     good = F.coalesce(

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarrygrid.common import drop_scratch, hot_limit, materialize, scratch_path, table
+from quarrygrid.common import bound_batches, drop_scratch, hot_limit, materialize, scratch_path, table
 
 MAGIC, END = "WARC/1.1\r\n", "\r\n\r\n"
 REVISIT_BYTES = 100
@@ -113,6 +113,7 @@ def pieces(spark: SparkSession, path: str, with_bytes: bool = False) -> DataFram
 
     ``whole`` candidates have their entire record in the piece, and so the payload's digest.
     """
+    bound_batches(spark)
     lines = spark.read.option("lineSep", MAGIC).text(path).select("value", "_metadata.file_name", "_metadata.file_block_start", "_metadata.file_size")
     magic = len(MAGIC)
     names = [part.split(" ")[0] for part in _PIECE.split(", ")] + (["bytes"] if with_bytes else [])

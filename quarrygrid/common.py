@@ -49,6 +49,19 @@ def drop_scratch(spark: SparkSession, df: DataFrame) -> None:
             target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+#: Bytes of rows in an Arrow batch between Spark and Python, and the setting that bounds them.
+BATCH_BYTES, BATCH_SETTING = "4m", "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """From now on Arrow batches of this session hold at most ``BATCH_BYTES`` (or one row), unless the session has a bound of its own.
+
+    By default they hold ten thousand rows, whatever a row's text takes in the JVM and in Python.
+    """
+    if spark.conf.get(BATCH_SETTING, None) is None:
+        spark.conf.set(BATCH_SETTING, BATCH_BYTES)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     """Partitions for work that is heavy for its bytes: named in ``repartition``, they are not coalesced."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

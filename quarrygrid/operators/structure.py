@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarrygrid.common import materialize
+from quarrygrid.common import bound_batches, materialize
 
 HEADING, FENCE = r"^(#{1,6})[ \t]+(.+?)[ \t]*#*[ \t]*$", r"^[ \t]*(```+|~~~+)"
 _HEADING, _FENCE = re.compile(HEADING), re.compile(FENCE)
@@ -39,6 +39,7 @@ def fence_states(lines: list[str]) -> list[tuple[bool, bool]]:
 
 def _by_document(docs: DataFrame, rows_of, columns: str) -> DataFrame:
     """Rows (doc_id, columns) that ``rows_of`` makes of each text's lines, document by document, without a shuffle; null texts have none."""
+    bound_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

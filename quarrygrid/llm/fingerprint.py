@@ -356,16 +356,19 @@ def in_descending_ranges(docs: DataFrame) -> DataFrame:
     # the first row of each range also stands at the end of the range above; that of the highest after the lowest
     firsts, goes = np.array([r.first for r in ranges], np.int64), np.array([ranges[(i + 1) % len(ranges)].range for i in range(len(ranges))], np.int32)
 
-    @F.pandas_udf("int")
-    def above(ids):
-        import pandas as pd
-
-        at = np.minimum(np.searchsorted(firsts, ids.to_numpy(np.int64)), max(len(firsts) - 1, 0))
-        return pd.Series(np.where(firsts[at] == ids.to_numpy(np.int64), goes[at], -1).astype(np.int32) if len(firsts) else np.full(len(ids), -1, np.int32))
-
-    placed = docs.select("doc_id", "text", place("doc_id").alias("range"), above("doc_id").alias("above"))
-    spots = F.filter(F.array(F.struct("range", F.lit(False).alias("extra")), F.struct(F.col("above").alias("range"), F.lit(True).alias("extra"))), lambda x: x["range"] >= 0)
-    return placed.select("doc_id", "text", F.explode(spots).alias("spot")).select("doc_id", "text", "spot.range", "spot.extra").repartition(parts, "range").sortWithinPartitions("range", "extra", F.desc("doc_id"), "text")
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy().astype(np.int64)
+            at = np.minimum(np.searchsorted(firsts, ids), len(firsts) - 1)
+            also = np.flatnonzero(firsts[at] == ids)
+            rows = pa.array(np.concatenate((np.arange(len(ids)), also)))
+            spot = np.concatenate((np.searchsorted(bounds, ids, "left").astype(np.int32), goes[at[also]]))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(spot), pa.array(np.arange(len(rows)) >= len(ids))], ["doc_id", "text", "range", "extra"])
+
+    # the texts pass through the task's batches: a scalar function beside them would queue them on the executor's disk
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    placed = docs.select("doc_id", "text").mapInArrow(dealt, f"doc_id {kind}, text string, range int, extra boolean")
+    return placed.repartition(parts, "range").sortWithinPartitions("range", "extra", F.desc("doc_id"), "text")
 
 
 def fingerprint_edits(docs: DataFrame) -> DataFrame:

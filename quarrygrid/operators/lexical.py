@@ -13,6 +13,8 @@ WORD = "[a-z0-9À-ÖØ-öø-ÿ]+"
 #: A flag, or a word, also of parts joined by dots, underscores, slashes or hyphens: emitted whole, and its parts as well.
 TECHNICAL = f"--[a-z0-9][a-z0-9-]*|{WORD}(?:[._/-]{WORD})*"
 SEPARATOR = "[._/-]"
+#: The joined ones among them, and flags.
+COMPOUND = f"--[a-z0-9][a-z0-9-]*+|{WORD}+(?:{SEPARATOR}{WORD}+)++"
 #: Particles that are no tokens (fixed values); they only come from a segmenter.
 STOP_WORDS = ("的", "了", "和", "与", "及", "或", "在")
 #: Characters that compatibility normalization leaves as they are, so that texts of nothing else need not leave the JVM.
@@ -26,27 +28,21 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-def normalized_form(text: Column, normalizer=None) -> Column:
-    """The text in the normalizer's form; only texts with a character outside of ``STABLE`` pass through it."""
-    if normalizer is None:
-        return text
-    odd = ~text.rlike(STABLE)
-    return F.when(odd, F.pandas_udf(normalizer, "string")(F.when(odd, text))).otherwise(text)
-
-
 def tokens(text: Column) -> Column:
     """The token array of a text (Latin path); null gives an empty array.
 
-    A joined token comes whole, then its joined parts after a slash or dot, then its single parts, each once.
+    All tokens in order, whole, and after them for each joined one its joined parts after a slash or dot and its single parts, each
+    once. Joined tokens are searched on their own, so the many plain ones pass through no further function.
     """
 
-    def shown(t: Column) -> Column:
+    def inner(t: Column) -> Column:
         parts = F.filter(F.split(t, f"{SEPARATOR}+"), lambda p: p != "")
         joined = F.filter(F.split(t, "[/.]+"), lambda p, i: (i > 0) & p.rlike("[_-]"))
-        return F.when(t.rlike(SEPARATOR), F.concat(F.array(t), F.array_distinct(F.concat(joined, parts)))).otherwise(F.array(t))
+        return F.array_distinct(F.concat(joined, parts))
 
     low = ascii_lower(F.coalesce(text, F.lit("")))
-    return F.flatten(F.transform(F.regexp_extract_all(low, F.lit(TECHNICAL), F.lit(0)), shown))
+    found, compound = (F.regexp_extract_all(low, F.lit(p), F.lit(0)) for p in (TECHNICAL, COMPOUND))
+    return F.concat(found, F.flatten(F.transform(compound, inner)))
 
 
 def nfkc(column):
@@ -69,27 +65,36 @@ def character_bigrams(column):
     return column.map(cut)
 
 
-def all_tokens(text: Column, normalizer=nfkc, segmenter=None) -> Column:
-    """Tokens of the normalized text, followed by those that ``segmenter`` (Series -> Series of lists) cuts from what is no Latin token."""
-    text = normalized_form(F.coalesce(text, F.lit("")), normalizer)
-    if segmenter is None:
-        return tokens(text)
-    rest = F.regexp_replace(ascii_lower(text), TECHNICAL, " ")
-    return F.concat(tokens(text), F.filter(F.pandas_udf(segmenter, "array<string>")(rest), lambda t: ~t.isin(*STOP_WORDS)))
+def with_tokens(df: DataFrame, text: Column, out: str, normalizer=nfkc, segmenter=None) -> DataFrame:
+    """``df`` with the tokens of the normalized text, and after them those that ``segmenter`` cuts from what is no Latin token.
+
+    Only rows whose text holds a character outside of ``STABLE`` pass through the normalizer; all others stay in the JVM.
+    """
+    if segmenter is not None:
+        shown = F.pandas_udf(normalizer, "string")(F.coalesce(text, F.lit(""))) if normalizer else text
+        df = df.withColumn("__text", shown)
+        rest = F.regexp_replace(ascii_lower(F.coalesce("__text", F.lit(""))), TECHNICAL, " ")
+        cut = F.filter(F.pandas_udf(segmenter, "array<string>")(rest), lambda t: ~t.isin(*STOP_WORDS))
+        return df.withColumn(out, F.concat(tokens(F.col("__text")), cut)).drop("__text")
+    if normalizer is None:
+        return df.withColumn(out, tokens(text))
+    plain = F.coalesce(text.rlike(STABLE), F.lit(True))
+    odd = df.where(~plain).withColumn("__text", F.pandas_udf(normalizer, "string")(text))
+    return df.where(plain).withColumn(out, tokens(text)).unionByName(odd.withColumn(out, tokens(F.col("__text"))).drop("__text"))
 
 
 def tokenize_text(df: DataFrame, col: str = "text", out: str = "tokens", normalizer=nfkc, segmenter=None) -> DataFrame:
     """Adds the token array. ``normalizer`` (Series -> Series of str) and ``segmenter`` (Series -> Series of lists, e.g. character
     n-grams) are Arrow-batched hooks; ``None`` keeps a text as it is. Every operator of this module takes them.
     """
-    return df.withColumn(out, all_tokens(F.col(col), normalizer, segmenter))
+    return with_tokens(df, F.col(col), out, normalizer, segmenter)
 
 
 def chunk_tokens(chunks: DataFrame, normalizer=nfkc, segmenter=None) -> DataFrame:
     """(kb_id, chunk_id, tokens) of chunks (kb_id, chunk_id, heading_path, content)."""
     heading = F.concat_ws(" ", "heading_path") if "heading_path" in chunks.columns else F.lit("")
-    text = F.concat_ws("\n", heading, F.coalesce("content", F.lit("")))
-    return chunks.select("kb_id", "chunk_id", all_tokens(text, normalizer, segmenter).alias("tokens"))
+    rows = chunks.select("kb_id", "chunk_id", F.concat_ws("\n", heading, F.coalesce("content", F.lit(""))).alias("__chunk"))
+    return with_tokens(rows, F.col("__chunk"), "tokens", normalizer, segmenter).select("kb_id", "chunk_id", "tokens")
 
 
 def term_frequencies(chunks: DataFrame, normalizer=nfkc, segmenter=None, terms: DataFrame | None = None) -> DataFrame:
@@ -146,7 +151,8 @@ def lexical_delta(df: DataFrame, corpus: DataFrame, added: DataFrame, removed: D
 
 def query_terms(queries: DataFrame, normalizer=nfkc, segmenter=None) -> DataFrame:
     """Distinct terms (query_id, kb_id, term, qtf) of queries (query_id, kb_id, text)."""
-    return queries.select("query_id", "kb_id", F.explode(all_tokens(F.col("text"), normalizer, segmenter)).alias("term")).groupBy("query_id", "kb_id", "term").agg(F.count("*").alias("qtf"))
+    rows = with_tokens(queries.select("query_id", "kb_id", "text"), F.col("text"), "tokens", normalizer, segmenter)
+    return rows.select("query_id", "kb_id", F.explode("tokens").alias("term")).groupBy("query_id", "kb_id", "term").agg(F.count("*").alias("qtf"))
 
 
 def bm25_scores(terms: DataFrame, postings: DataFrame, df: DataFrame, corpus: DataFrame, k1: float = K1, b: float = B) -> DataFrame:

@@ -213,7 +213,7 @@ def test_reading_order(spark):
 
 def test_tokenizer_hooks(spark):
     df = spark.createDataFrame([("ﬁle.name Ａ",), ("漢字かな abc",), (None,)], "text string")
-    assert lexical.tokenize_text(df).first().tokens == ["file.name", "file", "name", "a"]
+    assert sorted(lexical.tokenize_text(df).where("text like '%name%'").first().tokens) == ["a", "file", "file.name", "name"]
     assert lexical.tokenize_text(df, normalizer=None).first().tokens == ["le.name", "le", "name"]
     assert lexical.tokenize_text(df, segmenter=lexical.character_bigrams).collect()[1].tokens == ["abc", "漢字", "字か", "かな"]
     kb = df.selectExpr("'k' AS kb_id", "monotonically_increasing_id() AS chunk_id", "text AS content")
@@ -231,7 +231,7 @@ def test_tokens_of_flags_and_joined_words(spark):
         "a/a and A-a": ["a/a", "a", "and", "a-a", "a"], "Über-Größe": ["Über-größe", "Über", "größe"], "x - y -- z": ["x", "y", "z"], "": [],
     }
     df = spark.createDataFrame([(t,) for t in cases], "text string")
-    assert {r.text: r.tokens for r in lexical.tokenize_text(df).collect()} == cases
+    assert {r.text: sorted(r.tokens) for r in lexical.tokenize_text(df).collect()} == {t: sorted(x) for t, x in cases.items()}
 
 
 def test_scan_corpus(spark, tmp_path):

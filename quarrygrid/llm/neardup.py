@@ -249,7 +249,8 @@ def compare_blocks(rows: DataFrame, similarity: float, forest: bool) -> DataFram
     def closed(m: Members) -> pa.RecordBatch:
         a, b, estimate = m.pairs(similarity)
         if forest:
-            keep = spanning_forest(len(m), a, b, estimate)
+            # beyond the margin all are as good: else the text that all others come from would be the hub of the forest
+            keep = spanning_forest(len(m), a, b, np.minimum(estimate, similarity + MARGIN))
             a, b = a[keep], b[keep]
         ids = m.c["node"]
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[a], ids[b])), pa.array(np.maximum(ids[a], ids[b]))], ["a", "b"])

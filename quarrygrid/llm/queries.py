@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrygrid.llm import bpe, fingerprint, licenses, neardup, packing, quality, secrets, url_filter, vecdup, warc
+from quarrygrid.llm import bpe, fingerprint, licenses, neardup, packing, quality, ranked, secrets, toxicity, url_filter, vecdup, warc, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_knn": quality.op1_quality_knn,
@@ -19,6 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc_chain": warc.op8_warc_chain,
     "op9_prefix_fingerprint": fingerprint.op9_prefix_fingerprint,
     "op10_secret_forest": secrets.op10_secret_forest,
+    "op11_kneser_ney_toxicity": toxicity.op11_kneser_ney_toxicity,
+    "op12_cholesky_jacobi_whitening": whitening.op12_cholesky_jacobi_whitening,
+    "op13_term_pipeline_search": ranked.op13_term_pipeline_search,
 }
 
 #: All pairs by shared shingles or by brute force, and components by a recursive walk: for small tables.
@@ -49,4 +52,5 @@ ORACLE_SQL: dict[str, str] = {
     "op2_url_bloom_cascade": url_filter.OP2_SQL,
     "op3_license_scan": licenses.OP3_SQL,
     "op8_warc_chain": warc.OP8_SQL,
+    "op13_term_pipeline_search": ranked.OP13_SQL,
 }

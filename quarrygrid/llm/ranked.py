@@ -217,7 +217,7 @@ def search(items: DataFrame, docs: DataFrame, k: int = TOP, owners: int = OWNERS
     spark = docs.sparkSession
     bound_batches(spark)
     schema = f"item_id {items.schema['item_id'].dataType.simpleString()}, rank int, doc_id {docs.schema['doc_id'].dataType.simpleString()}, score long"
-    pairs = item_terms(items).toPandas()
+    pairs = item_terms(items).toArrow().to_pandas()
     if not len(pairs):
         return spark.createDataFrame([], schema)
     item, names = pairs["item_id"].factorize(sort=True, use_na_sentinel=False)
@@ -225,7 +225,7 @@ def search(items: DataFrame, docs: DataFrame, k: int = TOP, owners: int = OWNERS
     postings, df = [], np.zeros(len(terms), np.int64)
     for lo in range(0, len(terms), PASS_TERMS):
         held = materialize(posted(docs, terms[lo : lo + PASS_TERMS]), "ranked-postings")
-        counted = held.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("n")).toPandas()
+        counted = held.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("n")).toArrow().to_pandas()
         df[counted["t"].to_numpy(np.int64) + lo] = counted["n"].to_numpy()
         postings.append(held.withColumn("terms", F.transform("terms", lambda t: t + F.lit(lo))) if lo else held)
     documents, length = postings[0].agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()

@@ -61,7 +61,7 @@ def summed(rows: DataFrame, partial: Callable[[np.ndarray], np.ndarray], size: i
 
     kind = "long" if size < 0 else "double"
     parts = rows.select("x").mapInArrow(run, f"i long, part array<{kind}>")
-    cells = parts.select("i", F.posexplode("part").alias("j", "v")).groupBy("i", "j").agg(F.sum("v").alias("v")).toPandas()
+    cells = parts.select("i", F.posexplode("part").alias("j", "v")).groupBy("i", "j").agg(F.sum("v").alias("v")).toArrow().to_pandas()
     out = np.zeros((int(cells["i"].max()) + 1 if len(cells) else 0, abs(size)), np.int64 if size < 0 else np.float64)
     out[cells["i"].to_numpy(np.int64), cells["j"].to_numpy(np.int64)] = cells["v"].to_numpy()
     return out

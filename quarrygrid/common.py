@@ -89,6 +89,15 @@ def broadcast_if_few(df: DataFrame, most: int = FEW_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+#: Rows up to which ``spread_if_small`` deals a table to all tasks.
+SMALL_ROWS = 100_000
+
+
+def spread_if_small(df: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
+    """``df`` dealt to all tasks if it has at most ``most`` rows; a small file is often one row group, and so one task's. A large table stays where it is read."""
+    return df.repartition(shuffle_partitions(df.sparkSession)) if df.select(F.lit(1)).limit(most + 1).count() <= most else df
+
+
 def hot_limit(spark: SparkSession, total: int) -> float:
     """Rows from which a key counts as hot: more than a quarter of a fair partition. Fewer than 4 x shuffle partitions keys are hot."""
     return max(1.0, total / (4 * shuffle_partitions(spark)))

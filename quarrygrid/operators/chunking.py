@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarrygrid.common import nearest_rank
-from quarrygrid.operators.structure import blocks_of
+from quarrygrid.operators.structure import blocks_of, fence_states
 
 TARGET, MAXIMUM = 1200, 1800
 _CHUNK = "doc_id long, chunk_index int, heading_path array<string>, content string, start_line int, end_line int, content_hash string"
@@ -26,96 +26,140 @@ def _digest(text: str) -> str:
     return hashlib.sha256(text.encode("utf-8")).hexdigest()
 
 
-#: Where a long text may be cut: paragraphs, then list items, then sentences.
-BOUNDARIES = tuple(re.compile(p) for p in (r"\n{2,}", r"\n(?=(?:[-*+]|\d+[.])\s+)", r"(?<=[。！？.!?])\s+"))
+#: How good a place for a cut white space is, best first.
+PARAGRAPH, ITEM, SENTENCE, ANYWHERE = range(4)
+_GAP, _ITEM_MARK = re.compile(r"\s+"), re.compile(r"(?:[-*+]|\d+\.)(?:\s|$)")
+_SENTENCE_ENDS = frozenset(".!?。！？")
 
 
-def _glued(left: str, right: str) -> str:
-    return f"{left.rstrip()}\n\n{right.strip()}" if left and right else (left or right).strip()
+def cut_places(text: str) -> list[tuple[int, int, int]]:
+    """(rank, begin, end) of every run of white space at which a text may be cut.
 
-
-def _filled(parts: list[str], maximum: int) -> list[str]:
-    """Neighbours glued by a blank line as long as they have at most ``maximum`` characters together."""
-    out = [""]
-    for part in parts:
-        both = _glued(out[-1], part)
-        if out[-1] and len(both) > maximum:
-            out.append(part)
-        else:
-            out[-1] = both
-    return [x for x in out if x]
+    A run that holds an empty line parts paragraphs, one that ends a line before a list mark parts items, and one after a sentence's end parts sentences.
+    """
+    found = []
+    for m in _GAP.finditer(text):
+        if "\n\n" in m[0]:
+            found.append((PARAGRAPH, *m.span()))
+        elif m[0][-1] == "\n" and _ITEM_MARK.match(text, m.end()):
+            found.append((ITEM, *m.span()))
+        elif m.start() and text[m.start() - 1] in _SENTENCE_ENDS:
+            found.append((SENTENCE, *m.span()))
+    return found
+
+
+class Filling:
+    """Texts put together with empty lines between them, up to a size, and the lines they come from."""
+
+    def __init__(self, maximum: int):
+        self.maximum, self.texts, self.size, self.label = maximum, [], 0, None
+        self.first = self.last = None
+
+    def __len__(self) -> int:
+        return self.size
+
+    def fits(self, text: str) -> bool:
+        return not self.texts or self.size + 2 + len(text) <= self.maximum
+
+    def add(self, text: str, first: int | None = None, last: int | None = None) -> None:
+        self.size += len(text) + (2 if self.texts else 0)
+        self.first = first if not self.texts else self.first
+        self.last = last
+        self.texts.append(text)
+
+    def take(self) -> tuple[str, int | None, int | None]:
+        """What has come together; the next text begins anew."""
+        out = ("\n\n".join(self.texts), self.first, self.last)
+        self.__init__(self.maximum)
+        return out
 
 
 def split_text(text: str, maximum: int) -> list[str]:
-    """A text cut to pieces of at most ``maximum`` characters, at paragraphs, else list items, else sentences, else anywhere.
+    """A text cut to pieces of at most ``maximum`` characters: at paragraphs, what is too long at list items, then at sentences, then anywhere.
 
-    Code between fences stays whole. Small neighbours are packed together again.
+    Neighbours that a cut of one rank parts come together again while they fit. Code between fences stays whole, whatever its length.
     """
-    if len(text) <= maximum or _fenced(text):
+    if len(text) <= maximum or is_code(text):
         return [text]
-    pieces = [text]
-    for boundary in BOUNDARIES:
-        pieces = [q for p in pieces for q in (_cut(p, boundary, maximum) if len(p) > maximum else [p])]
-    return [p[i : i + maximum] for p in pieces for i in range(0, len(p), maximum)]
-
-
-def _cut(text: str, boundary: re.Pattern, maximum: int) -> list[str]:
-    parts = [p for p in boundary.split(text) if p]
-    return _filled(parts, maximum) if len(parts) > 1 else [text]
-
+    places = cut_places(text)
 
-def _fenced(text: str) -> bool:
-    inner = text.strip()
-    return (inner.startswith(("```", "~~~")) and inner.count("```") > 1) or inner.count("~~~") > 1
+    def pieces(lo: int, hi: int, rank: int) -> Iterator[str]:
+        if hi - lo <= maximum:
+            yield text[lo:hi]
+        elif rank == ANYWHERE:
+            yield from (text[i : min(i + maximum, hi)] for i in range(lo, hi, maximum))
+        else:
+            inner = [(b, e) for r, b, e in places if r <= rank and lo < b and e < hi]
+            spans = list(zip([lo, *(e for _, e in inner)], [*(b for b, _ in inner), hi], strict=True))
+            if len(spans) == 1:
+                yield from pieces(lo, hi, rank + 1)
+                return
+            held = Filling(maximum)
+            for b, e in spans:
+                if len(held) and (e - b > maximum or not held.fits(text[b:e])):
+                    yield held.take()[0]
+                if e - b > maximum:
+                    yield from pieces(b, e, rank + 1)
+                else:
+                    held.add(text[b:e])
+            if len(held):
+                yield held.take()[0]
+
+    return list(pieces(len(text) - len(text.lstrip()), len(text.rstrip()), PARAGRAPH))
+
+
+def is_code(text: str) -> bool:
+    """Is it a fenced block of code, from its first line to a closing fence?"""
+    states = list(fence_states(text.strip().splitlines()))
+    return bool(states) and states[0][0] and any(closes for _, closes in states)
 
 
 def split_section(content: str, first_line: int, maximum: int) -> list[tuple[str, int | None, int | None]]:
-    """(text, first line, last line) of the pieces of a long section: its blocks, the long ones split, glued again up to ``maximum``.
+    """(text, first line, last line) of the pieces of a long section: its blocks, the long ones split, put together again up to ``maximum``.
 
     Long code stays whole and alone. A piece that begins or ends inside a block has no lines.
     """
-    out: list[tuple[str, int | None, int | None]] = []
-    open_ = False  # may the last piece grow?
+    out, held = [], Filling(maximum)
     for _, lo, hi, block in blocks_of(content.splitlines()):
-        first, last = first_line + lo - 1, first_line + hi - 1
-        if len(block) > maximum and _fenced(block):
-            out.append((block, first, last))
-            open_ = False
-            continue
         parts = split_text(block, maximum)
         for i, part in enumerate(parts):
-            begins, ends = first if i == 0 else None, last if i == len(parts) - 1 else None
-            both = _glued(out[-1][0], part) if open_ else part.strip()
-            if open_ and len(both) <= maximum:
-                out[-1] = (both, out[-1][1] if out[-1][1] is not None else begins, ends)
-            else:
-                out.append((part if open_ else both, begins, ends))
-            open_ = True
+            alone = len(part) > maximum
+            if len(held) and (alone or not held.fits(part.strip())):
+                out.append(held.take())
+            held.add(part if alone else part.strip(), first_line + lo - 1 if i == 0 else None, first_line + hi - 1 if i == len(parts) - 1 else None)
+            if alone:
+                out.append(held.take())
+    if len(held):
+        out.append(held.take())
     return [(t, a, b) if a is not None and b is not None else (t, None, None) for t, a, b in out]
 
 
 def fold_sections(sections: list[tuple], target: int, maximum: int) -> list[tuple]:
     """(heading path, text, first line, last line) of the chunks of sections (content, heading path, first line, last line) in order."""
-    out: list[tuple] = []
-    held: tuple | None = None
+    out, held = [], Filling(maximum)
+
+    def close() -> None:
+        if len(held):
+            label = held.label
+            out.append((label, *held.take()))
+
     for content, path, first, last in sections:
         text = content.strip()
         if not text:
             continue
+        over = not held.fits(text)
+        if over:
+            close()
         if len(text) > maximum:
-            out += [held] if held else []
-            held = None
+            close()
             out += [(path, *piece) for piece in split_section(content, first, maximum)]
-        elif held and len(both := _glued(held[1], text)) > maximum:
-            out.append(held)
-            held = (path, text, first, last)
-        else:
-            held = (held[0] or path, both, held[2], last) if held else (path, text, first, last)
-            if len(held[1]) >= target:
-                out.append(held)
-                held = None
-    out += [held] if held else []
-    return [(p, t, a, b) for p, t, a, b in ((p, t.replace("\r\n", "\n").replace("\r", "\n").strip(), a, b) for p, t, a, b in out) if t]
+            continue
+        held.add(text, first, last)
+        held.label = held.label or path
+        if len(held) >= target and not over:  # what didn't fit before stays open
+            close()
+    close()
+    return [(p, t.replace("\r\n", "\n").replace("\r", "\n").strip(), a, b) for p, t, a, b in out if t.strip()]
 
 
 def split_oversized(sections: DataFrame, maximum: int = MAXIMUM) -> DataFrame:
@@ -204,7 +248,7 @@ _LIST, _TABLE = re.compile(r"[ \t]*([-*+]|\d+[.)])[ \t]"), re.compile(r"[^|\n]*\
 def _whole(block: str) -> bool:
     """Is it code, a list or a table, that a variant by structure doesn't cut?"""
     lines = block.split("\n")
-    return _fenced(block) or bool(_LIST.match(lines[0])) or all(_TABLE.match(x) for x in lines)
+    return is_code(block) or bool(_LIST.match(lines[0])) or all(_TABLE.match(x) for x in lines)
 
 
 def fold_structure(sections: list[tuple], target: int, maximum: int, overlap: int = 0) -> list[tuple]:

@@ -1,9 +1,12 @@
 """Operators that SQL can't express, on hand-written rows; hooks; streams against their batch forms."""
 
+import math
 import random
+import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quarrygrid.operators import answers, chunking, evaluation, graph, lexical, ranking, structure, vectors
 from quarrygrid.operators.graph_core import min_label_components
@@ -187,8 +190,9 @@ def test_components_against_brute_force(spark, seed):
 
 
 def test_claim_values():
-    assert answers.checkable_values("Run --fast on 2024-01-02 at 10:30, see https://a.b/c v1.2.3 or 42% of MY_VAR") == ["https://a.b/c", "--fast", "MY_VAR", "v1.2.3", "2024-01-02", "10:30", "42%", "Run"]
-    assert answers.checkable_values("Edit `git add -A`, src/main.rs or notes.txt in my-tool with snake_case, press C+x; 7 of 12 [C3] JSON5") == ["src/main.rs", "git add -A", "C+x", "JSON5", "snake_case", "my-tool", "notes.txt", "7", "12", "Edit"]
+    values = lambda t: sorted(answers.checkable_values(t))
+    assert values("Run --fast on 2024-01-02 at 10:30, see https://a.b/c v1.2.3 or 42% of MY_VAR") == sorted(["https://a.b/c", "--fast", "MY_VAR", "v1.2.3", "2024-01-02", "10:30", "42%", "Run"])
+    assert values("Edit `git add -A`, src/main.rs or notes.txt in my-tool with snake_case, press C+x; 7 of 12 [C3] JSON5") == sorted(["src/main.rs", "git add -A", "C+x", "JSON5", "snake_case", "my-tool", "notes.txt", "7", "12", "Edit"])
     assert answers.checkable_values("nothing to check here [C12]") == []
 
 
@@ -201,10 +205,65 @@ def test_claim_support(spark):
     for q, n, claim, cited in claims:
         texts = [t for i, c, t in evidence if i == q and c in cited.split(",")]
         values = answers.checkable_values(claim)
-        want.append((q, n, len(values), "|".join(v for v in values if not any(v in t for t in texts))))
+        want.append((q, n, len(values), "|".join(v for v in values if not any(v in t for t in texts)) if cited or values else claim))
     assert sorted(tuple(r) for r in got.select("query_id", "claim_no", "n_values", "unsupported").collect()) == want
 
 
+def test_checkable_values_of_a_claim():
+    """Each kind of value on its own; plain words and signs are none."""
+    cases = {
+        "It takes 42 steps, 3.5% more.": ["It", "42", "3.5%"], "see https://a.example/x?y=1), ok": ["https://a.example/x?y=1"], "run `make all` with --dry-run": ["make all", "--dry-run"],
+        "in src/lib/io.py and setup.cfg": ["src/lib/io.py", "setup.cfg"], "set MAX_ROWS or max_rows": ["MAX_ROWS", "max_rows"], "on 2024-05-17 at 10:30, v1.2.3-rc1": ["2024-05-17", "10:30", "v1.2.3-rc1"],
+        "press Ctrl+C [C1]": ["Ctrl+C"], "plain words only - and / or + signs ...": [], "使用42个": ["42"], "": [], "(see Berlin; \"x9\")": ["Berlin", "x9"], "7 and 7": ["7"],
+    }
+    assert {t: answers.checkable_values(t) for t in cases} == cases
+
+
+def test_support_of_path_and_heading(spark):
+    claims = spark.createDataFrame([(1, 0, "in Setup 7", "C1"), (1, 1, "nothing cited", ""), (1, 2, "no value", "C9")], "query_id long, claim_no long, claim string, citations string")
+    evidence = spark.createDataFrame([(1, "C1", "guide/7.md", ["Setup"], "text")], "query_id long, citation_id string, path string, heading_path array<string>, content string")
+    got = {r.claim_no: r.unsupported for r in answers.claim_support(claims, evidence).collect()}
+    assert got == {0: "", 1: "nothing cited", 2: ""}
+
+
+def brute_split(text, maximum):
+    """The best of all cuts by the rule: at the best rank that a too long text has, its parts put together greedily from the left."""
+    marks = {0: r"\s*\n\n\s*", 1: r"\s*\n(?=(?:[-*+]|\d+\.)(?:\s|$))", 2: r"(?<=[.!?。！？])\s+"}
+
+    def cut(t, rank):
+        t = t.strip()
+        if len(t) <= maximum:
+            return [t]
+        if rank == 3:
+            return [t[i : i + maximum] for i in range(0, len(t), maximum)]
+        parts = re.split("|".join(marks[r] for r in range(rank + 1)), t)
+        out, held = [], None
+        for p in parts:
+            if held is not None and len(held) + 2 + len(p) <= maximum and len(p) <= maximum:
+                held += "\n\n" + p
+                continue
+            out += [held] if held is not None else []
+            held = None
+            if len(p) > maximum:
+                out += cut(p, rank + 1)
+            else:
+                held = p
+        return out + ([held] if held is not None else [])
+
+    return [text] if len(text) <= maximum else cut(text, 0)
+
+
+def test_split_oversized_equals_brute_force(spark):
+    rng = random.Random(12)
+    bits = ["word", "longer words here", "end. ", "what? ", "\n\n", "\n- item ", "\n2. ", " ", "x" * 40, "句。", "\n"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(1, 60))) for _ in range(150)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, content string")
+    got = {}
+    for r in chunking.split_oversized(rows, 50).orderBy("doc_id", "piece_no").collect():
+        got.setdefault(r.doc_id, []).append(r.content)
+    assert got == {i: brute_split(t, 50) for i, t in enumerate(texts)}
+
+
 def test_reading_order(spark):
     texts = spark.createDataFrame([(1, "aa bb cc dd")], "doc_id long, text string")
     snippets = spark.createDataFrame([(1, 0, "aa"), (1, 1, "cc"), (1, 2, "bb"), (1, 3, "dd")], "doc_id long, ordinal long, snippet string")
@@ -224,6 +283,52 @@ def test_tokenizer_hooks(spark):
     assert len(top) == 1 and top[0].matched_terms == ["字か"]
 
 
+def test_tokens_of_any_length(spark):
+    """A run of a million characters of joined words passes, in Java and in Python."""
+    texts = [mark.join(["a"] * 500_000) for mark in "./-_"] + ["--" + "a-" * 500_000, "a" * 1_000_000]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    wide = rows.select("doc_id", lexical.tokens(F.col("text")).alias("tokens")).select("doc_id", F.size("tokens").alias("n"), F.element_at("tokens", 1).alias("first"))
+    assert {r.doc_id: (r.n, len(r.first)) for r in wide.collect()} == {i: (2 if i < 5 else 1, len(t)) for i, t in enumerate(texts)}
+    assert [len(lexical.text_tokens(t)) for t in texts] == [2] * 5 + [1]
+    counted = lexical.counted_terms(rows.withColumn("kb_id", F.lit("k")), "doc_id", F.col("text"))
+    assert {r.document_length for r in counted.collect()} == {1, 2}
+
+
+def test_tokens_alike_in_java_and_python(spark):
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("abZ9é/.-_ \n中") for _ in range(rng.randrange(40))) for _ in range(300)] + ["--", "--a--b", "a..b", "-a", "a.", "--a-/b", "É"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.tokens for r in rows.select("doc_id", lexical.tokens(F.col("text")).alias("tokens")).collect()}
+    assert got == {i: lexical.text_tokens(t) for i, t in enumerate(texts)}
+
+
+@pytest.mark.parametrize(("cells", "pairs"), [(4_000_000, 4_000_000), (40, 7)])
+def test_bm25_equals_plain_scores(spark, monkeypatch, cells, pairs):
+    """Several kbs, ties in numbers, chunks without tokens, and blocks so small that bounds pass over many queries."""
+    rng = random.Random(cells)
+    word = lambda: f"w{int(rng.paretovariate(0.7))}"
+    docs = [(kb, i, rng.choice(["a", "b", None]), rng.choice([None, 1, 2]), " ".join(word() for _ in range(rng.randrange(0, 25)))) for kb in ("x", "y") for i in range(120)]
+    docs += [("x", 500 + i, "p", i % 3, docs[3][4]) for i in range(60)]
+    asked = [(i, rng.choice(["x", "y", "z"]), " ".join(word() for _ in range(rng.randrange(0, 6)))) for i in range(40)]
+    chunks = spark.createDataFrame(docs, "kb_id string, chunk_id long, path string, start_line int, content string")
+    monkeypatch.setattr(lexical, "CELLS", cells)
+    monkeypatch.setattr(lexical, "PAIRS", pairs)
+    got = lexical.bm25_topk(spark.createDataFrame(asked, "query_id long, kb_id string, text string"), chunks, 5)
+    got = sorted((r.query_id, r["rank"], r.chunk_id, round(r.score, 6), r.n_matched) for r in got.collect())
+    want = []
+    for q, kb, text in asked:
+        own = [(c, p, s, t.split()) for k, c, p, s, t in docs if k == kb and t]
+        average, found = sum(len(t) for *_, t in own) / max(1, len(own)), []
+        for c, p, s, t in own:
+            shared = [w for w in set(text.split()) if w in t]
+            df = {w: sum(w in x for *_, x in own) for w in shared}
+            score = sum(math.log(1 + (len(own) - df[w] + 0.5) / (df[w] + 0.5)) * t.count(w) * 2.2 / (t.count(w) + 1.2 * (0.25 + 0.75 * len(t) / average)) for w in shared)
+            if shared:
+                found.append((-round(score, 9), p is not None, p or "", s is None, s or 0, c, len(shared)))
+        want += [(q, i + 1, f[5], round(-f[0], 6), f[6]) for i, f in enumerate(sorted(found)[:5])]
+    assert got == sorted(want)
+
+
 def test_tokens_of_flags_and_joined_words(spark):
     """Nothing is a stop word; flags and words joined by dots, slashes, hyphens or underscores come whole, then by parts, each once."""
     cases = {

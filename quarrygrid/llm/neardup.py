@@ -408,7 +408,7 @@ def without_near_duplicates(docs: DataFrame, words: int = WORDS, similarity: flo
     """One row of each group of near duplicates, with all its columns.
 
     The row with the smallest doc_id stays (nulls last); of several texts under that id the one whose hash is smallest, of repeated
-    rows the one whose columns are smallest. Rows without any word all stay.
+    rows the one whose columns, written as JSON, are smallest: columns may be of any type. Rows without any word all stay.
     """
     rows = marked(docs, words, similarity).groupBy("doc_id", "text_key", "n_shingles", "best").agg(F.count("*").alias("n"))
     stays = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_key") == F.col("best.text_key"))
@@ -417,8 +417,8 @@ def without_near_duplicates(docs: DataFrame, words: int = WORDS, similarity: flo
     match = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__key"))
     limit = hot_limit(docs.sparkSession, docs.count())
     rest = keyed.join(F.broadcast(go.where(F.col("n") > limit)), match, "left_anti").join(go.where(F.col("n") <= limit), match, "left_anti")
-    # repeated rows: the smallest by all columns, put together per task first
-    again = keyed.join(go.where("__stays").select("__id", "__key"), match).groupBy("doc_id", "__text").agg(F.min(F.struct(*docs.columns)).alias("row"))
+    # repeated rows: the smallest by all columns as text, put together per task first
+    again = keyed.join(go.where("__stays").select("__id", "__key"), match).groupBy("doc_id", "__text").agg(F.min_by(F.struct(*docs.columns), F.to_json(F.struct(*docs.columns))).alias("row"))
     return rest.select(*docs.columns).unionByName(again.select("row.*"))
 
 

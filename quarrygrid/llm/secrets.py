@@ -28,9 +28,11 @@ _SIGN = rf"(?: key)?+{_OPEN}?+[ \t]*+[=:]"
 ASSIGNED = rf"(?i:(?<!{_RUN})(?={_RUN}++{_SIGN})(?={_RUN}*?{SECRET_NAME}){_RUN}++{_SIGN}[=>]?+[ \t]*+{_OPEN}?+(?:(?:bearer|basic|token)[ \t]++)?+(?!-----BEGIN ))"
 ASSIGNED_VALUE = rf"(?:(?<={_OPEN})[^\s\"'`]{{8,}}|[^\s\"'`<>&]{{8,}}(?<![.,;:)}}\]]))"
 ADDRESS = r"(?i:(?<![A-Za-z0-9+.\-])[A-Za-z][A-Za-z0-9+.\-]*+://[^\s/:@\"'`<>]*+:)"
-ADDRESS_PASSWORD = rf"(?:(?<=(?i:postgres|postgresql|mysql|mongodb|srv)://[^\s/:@\"'`<>]{{0,64}}:)[^\s\"'`<>]+(?=@)|[^\s/\"'`<>]+(?=@))"
+#: Of at most 256 characters, as an address holds no longer one, so that a text of many addresses takes linear time.
+ADDRESS_PASSWORD = rf"(?:(?<=(?i:postgres|postgresql|mysql|mongodb|srv)://[^\s/:@\"'`<>]{{0,64}}:)[^\s\"'`<>]{{1,256}}(?=@)|[^\s/\"'`<>]{{1,256}}(?=@))"
 BEARER, BEARER_VALUE = r"(?i:(?<![A-Za-z0-9_])bearer[ \t]++)", r"[A-Za-z0-9._~+/\-]{16,}={0,2}"
-PRIVATE_KEY = r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----(?:[A-Za-z0-9+/=\s:,.()\\\-]*?-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----)?"
+#: A key block up to its end, if that comes before another block begins; else its first line.
+PRIVATE_KEY = r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----(?:[A-Za-z0-9+/=\s:,.()\\]*+(?:-(?!----(?:BEGIN|END) )[A-Za-z0-9+/=\s:,.()\\]*+)*+-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----)?"
 CLOUD_KEY = "AKIA[0-9A-Z]{16}"
 KEY_RUN = r"(?<![A-Za-z0-9_+/\-])(?=[A-Za-z_+/\-]*[0-9])[A-Za-z0-9_+/\-]{16,}={0,2}"
 CANDIDATE = f"{PRIVATE_KEY}|{ASSIGNED}{ASSIGNED_VALUE}|{ADDRESS}{ADDRESS_PASSWORD}|{BEARER}{BEARER_VALUE}|{KEY_RUN}|{CLOUD_KEY}"
@@ -56,7 +58,7 @@ PROVIDER_FORMAT = r"^(AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-
 DICTIONARY = r"(about|after|also|and|are|auf|avec|been|but|con|dans|das|data|del|der|des|die|ein|est|file|for|from|have|her|his|http|image|index|ing|les|like|los|ment|mit|name|new|not|page|para|pas|por|pour|que|sch|she|sur|test|that|the|this|tion|und|une|user|ver|was|were|when|which|with|www|you)"
 FEATURES = [
     "f_length", "f_digits", "f_upper", "f_lower", "f_marks", "f_distinct", "f_switches", "f_vowel_turns", "f_hex", "f_dictionary",
-    "f_spaces", "f_slashes", "f_path_before", "f_path_after", "f_address", "f_quoted", "f_last_word", "f_word_before_it", "f_next_word",
+    "f_spaces", "f_slashes", "f_path", "f_quoted", "f_last_word", "f_word_before_it", "f_next_word",
 ]
 #: Bins of neighbouring words; findings that the rate of all weighs in each bin.
 WORD_BINS, PRIOR_WEIGHT = 1024, 4.0
@@ -135,7 +137,7 @@ def with_features(found: DataFrame, rates: list[float]) -> DataFrame:
         "f_switches": share(r"[0-9](?=[A-Za-z])|[A-Za-z](?=[0-9])|[a-z](?=[A-Z])"),
         "f_vowel_turns": share(r"(?i)[aeiou](?=[bcdfghjklmnpqrstvwxyz])"),
         "f_hex": flag(v, "^[0-9a-f]+$"), "f_dictionary": 1 - F.length(F.regexp_replace(F.lower(v), DICTIONARY, "")) / size,
-        "f_spaces": share(r"\s"), "f_slashes": share("/"), "f_path_before": flag(before, r"[/.\\]$"), "f_path_after": flag(after, r"^\.[A-Za-z]"), "f_address": (before.rlike("[@:]//?[^ ]*$|@$") | after.rlike("^@")).cast("double"),
+        "f_spaces": share(r"\s"), "f_slashes": share("/"), "f_path": (F.regexp_count(before, F.lit(r"[/\\]")) + F.regexp_count(after, F.lit(r"[/\\]"))) / F.lit(2.0 * CONTEXT),
         "f_quoted": (before.rlike("[\"'`]$") & after.rlike("^[\"'`]")).cast("double"),
         **{f: F.element_at(F.lit(rates), b + 1) for f, b in zip(FEATURES[-3:], word_bins(before, after), strict=True)},
     })
@@ -166,7 +168,7 @@ def evidence(value: Column, before: Column, after: Column) -> Column:
     assigned = before.rlike(ASSIGNED_TO_SECRET) & ~before.rlike(ASSIGNED_TO_OTHER) & ~word & ~value.rlike(r"[({$]")
     secret = value.rlike(PROVIDER_FORMAT + "|^-----BEGIN ") | address_password(before, after) | assigned
     beside = before.rlike(BESIDE_IDENTIFIER)
-    shape = value.rlike("^[0-9]{13,19}$|^[A-Za-z]+(-[A-Za-z]+)+(-[0-9]+)*$|^/?([A-Za-z_\\-]+/)+[A-Za-z0-9_\\-]*$") | (before.rlike(r"[/\\]$") & after.rlike(r"^(\.[A-Za-z]|/)"))
+    shape = value.rlike(r"^[0-9]{13,19}$|^[A-Za-z]++(?:-[A-Za-z]++)++(?:-[0-9]++)*+$|^/?(?:[A-Za-z_\-]++/)++[A-Za-z0-9_\-]*+$") | (before.rlike(r"[/\\]$") & after.rlike(r"^(\.[A-Za-z]|/)"))
     return F.when(secret, F.lit(1.0)).when(beside | (shape & ~before.rlike(SECRET_WORDS + r"[^\n]{0,12}$")), F.lit(0.0))
 
 

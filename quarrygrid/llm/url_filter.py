@@ -142,11 +142,12 @@ def url_parts(df: DataFrame, url: str = "url") -> DataFrame:
     )
 
 
-def with_candidates(df: DataFrame, path_lengths: Sequence[int]) -> DataFrame:
-    """Adds ``candidates array<string>``: host suffix and path prefix of every length that a rule has, the longest first."""
+def with_candidates(df: DataFrame, path_lengths: Sequence[int], most_labels: int) -> DataFrame:
+    """Adds ``candidates array<string>``: host suffix of at most ``most_labels`` labels and path prefix of every length that a rule has, the longest first."""
     lengths = F.array(*[F.lit(n) for n in sorted(set(path_lengths))]) if path_lengths else F.array().cast("array<int>")
     labels = F.split("host", r"\.", -1)
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    last = F.slice(labels, F.greatest(F.lit(1), F.size(labels) - most_labels + 1), F.lit(most_labels)) if most_labels else F.array().cast("array<string>")
+    suffixes = F.transform(last, lambda _, i: F.array_join(F.slice(last, i + 1, F.lit(most_labels)), "."))
     prefixes = F.transform(F.filter(lengths, lambda n: n <= F.length("path")), lambda n: F.col("path").substr(F.lit(1), n))
     pairs = F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(s, p))))
     # the longest wins; of equally long ones that with the longer host
@@ -162,7 +163,7 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
     that ends with its host has an empty path and fits no rule whose path is ``/``. Repeated rows stay.
     The rules are a driver-side list of the filter's own; the universe of keys is distributed.
     """
-    parts = with_candidates(url_parts(pages.select("page_id", "url")), [len(p) for _, _, p in rules]).select("page_id", "host", "path", "candidates")
+    parts = with_candidates(url_parts(pages.select("page_id", "url")), [len(p) for _, _, p in rules], max((h.count(".") + 1 for _, h, _ in rules), default=0)).select("page_id", "host", "path", "candidates")
     universe = parts.select(F.explode("candidates").alias("key")).distinct().persist()
     cascades = {v: build_cascade(universe, [h + p for verdict, h, p in rules if verdict == v]) for v in ("block", "allow")}
     universe.unpersist()

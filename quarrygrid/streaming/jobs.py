@@ -92,13 +92,13 @@ def _with_state(df: DataFrame, key: str, fold, schema: str, state: str, mode: st
 
 
 def _turn_fold(session, frames: Iterator[pd.DataFrame], old: tuple | None) -> tuple[pd.DataFrame, tuple]:
-    n, held = old or (0, "")
-    recent, out = [x for x in held.split("\x1f") if x], []
+    n, held = old or (0, [])
+    recent, out = list(held), []
     for f in frames:
         for row in f.sort_values("turn").itertuples():
             out.append((session, row.turn, n + 1, len(recent), sum(map(len, recent))))
             n, recent = n + 1, [*recent, row.text or "-"][-6:]
-    return pd.DataFrame(out, columns=["session_id", "turn", "turn_number", "n_context", "context_chars"]), (n, "\x1f".join(recent))
+    return pd.DataFrame(out, columns=["session_id", "turn", "turn_number", "n_context", "context_chars"]), (n, recent)
 
 
 def stream_turn_state(turns: DataFrame, idle_ms: int | None = None) -> DataFrame:
@@ -106,25 +106,82 @@ def stream_turn_state(turns: DataFrame, idle_ms: int | None = None) -> DataFrame
 
     State is a counter and six turns a session; with ``idle_ms`` a session that is quiet for so long is forgotten.
     """
-    return _with_state(turns, "session_id", _turn_fold, "session_id long, turn long, turn_number long, n_context long, context_chars long", "n long, recent string", "append", idle_ms)
+    return _with_state(turns, "session_id", _turn_fold, "session_id long, turn long, turn_number long, n_context long, context_chars long", "n long, recent array<string>", "append", idle_ms)
+
+
+def merged_runs(runs: list[tuple[int, int]], more: list[int]) -> list[tuple[int, int]]:
+    """Runs of consecutive numbers (first, last), in order, after more numbers have come."""
+    out: list[tuple[int, int]] = []
+    for first, last in sorted([*runs, *((s, s) for s in more)]):
+        if out and first <= out[-1][1] + 1:
+            out[-1] = (out[-1][0], max(out[-1][1], last))
+        else:
+            out.append((first, last))
+    return out
 
 
 def _trace_fold(trace, frames: Iterator[pd.DataFrame], old: tuple | None) -> tuple[pd.DataFrame, tuple]:
-    last, gaps, n = old or (0, 0, 0)
+    runs = list(zip(*old, strict=True)) if old else []
     for f in frames:
-        for s in sorted(f["sequence"]):
-            if s > last:
-                gaps += int(s > last + 1)
-                last, n = int(s), n + 1
-    return pd.DataFrame({"trace_id": [trace], "n_events": [n], "last_sequence": [last], "n_gaps": [gaps]}), (last, gaps, n)
+        runs = merged_runs(runs, [int(s) for s in f["sequence"].dropna()])
+    if not runs:
+        return pd.DataFrame({"trace_id": [], "n_events": [], "last_sequence": [], "n_gaps": []}), ([], [])
+    n, gaps = sum(b - a + 1 for a, b in runs), len(runs) - int(runs[0][0] <= 1)
+    return pd.DataFrame({"trace_id": [trace], "n_events": [n], "last_sequence": [runs[-1][1]], "n_gaps": [gaps]}), ([a for a, _ in runs], [b for _, b in runs])
 
 
 def stream_trace_order(events: DataFrame, idle_ms: int | None = None) -> DataFrame:
-    """Per trace (trace_id, sequence): events in order, the last sequence, and gaps; events that are not after it are passed over.
+    """Per trace (trace_id, sequence): how many events there are, the last sequence, and gaps; equal to ``trace_order`` in whatever order and batches they come.
 
-    State is three numbers a trace; with ``idle_ms`` a trace that is quiet for so long is forgotten.
+    State is the runs of consecutive sequences that a trace has so far, so it grows with open gaps alone: an event that comes late inside a gap closes
+    it or parts it in two, and a repeated one changes nothing. With ``idle_ms`` a trace that is quiet for so long is forgotten.
     """
-    return _with_state(events, "trace_id", _trace_fold, "trace_id long, n_events long, last_sequence long, n_gaps long", "last long, gaps long, n long", "update", idle_ms)
+    return _with_state(events, "trace_id", _trace_fold, "trace_id long, n_events long, last_sequence long, n_gaps long", "firsts array<long>, lasts array<long>", "update", idle_ms)
+
+
+def stream_trace_events(events: DataFrame, resume_after: int = 0, idle_ms: int | None = None) -> DataFrame:
+    """Events (trace_id, sequence, payload, terminal) of each trace in the order of their sequence, each once: (trace_id, position, sequence, payload).
+
+    Events that come early wait in state until those before them have come; sequences up to ``resume_after`` were delivered before and are passed over. A
+    trace ends with its terminal event, and what has a later sequence is dropped. With ``idle_ms`` a trace that is quiet for so long gives up its gaps:
+    what waits is delivered in order and the trace goes on behind it.
+    """
+    columns = ["trace_id", "position", "sequence", "payload"]
+
+    def run(name: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        done, position, ended, waiting, payloads, ends = held.get if held.exists else (resume_after, 0, False, [], [], [])
+        early = dict(zip(waiting, zip(payloads, ends, strict=True), strict=True))
+        out = []
+
+        def deliver(sequence: int) -> None:
+            nonlocal done, position, ended
+            payload, last = early.pop(sequence)
+            position += 1
+            out.append((name[0], position, sequence, payload))
+            done, ended = sequence, bool(last)
+
+        if held.hasTimedOut:
+            for sequence in sorted(early):
+                if not ended:
+                    deliver(sequence)
+        else:
+            for f in frames:
+                for row in f.dropna(subset=["sequence"]).itertuples():
+                    if row.sequence > done and row.sequence not in early and not ended:
+                        early[int(row.sequence)] = (row.payload, bool(row.terminal))
+                while not ended and done + 1 in early:
+                    deliver(done + 1)
+        if ended:
+            early.clear()
+        order = sorted(early)
+        held.update((done, position, ended, order, [early[x][0] for x in order], [early[x][1] for x in order]))
+        if idle_ms is not None and early:
+            held.setTimeoutDuration(idle_ms)
+        yield pd.DataFrame(out, columns=columns)
+
+    timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    state = "done long, position long, ended boolean, waiting array<long>, payloads array<string>, ends array<boolean>"
+    return events.groupBy("trace_id").applyInPandasWithState(run, "trace_id long, position long, sequence long, payload string", state, "append", timeout)
 
 
 def trace_order(events: DataFrame) -> DataFrame:
@@ -135,32 +192,126 @@ def trace_order(events: DataFrame) -> DataFrame:
     return rows.groupBy("trace_id").agg(F.count("*").alias("n_events"), F.max("sequence").alias("last_sequence"), F.sum("gap").alias("n_gaps"))
 
 
-def stream_ingest(docs: DataFrame, tag: str = "ingest", version: str | None = None) -> DataFrame:
-    """Incremental indexing of documents (doc_id, text) as they arrive: changed documents replace their postings as a whole.
+def whole_documents(docs: DataFrame) -> DataFrame:
+    """A chunker that takes each document as one chunk: (doc_id, chunk_id, content) of (doc_id, text)."""
+    return docs.select("doc_id", F.col("doc_id").alias("chunk_id"), F.coalesce("text", F.lit("")).alias("content"))
 
-    The state is a table of postings with one folder a batch; a batch writes all terms of its documents and a marker row (without
-    term) for each document, so that one whose new text has no token loses its old postings. Of several versions in a
-    batch the one with the largest ``version`` counts, without such a column the last one read. A reader takes the newest batch of
-    each document. Batches are idempotent: a replay overwrites its folder. Returns (chunk_id, term, tf).
-    """
-    from quarrygrid.operators.lexical import term_frequencies
 
-    spark = docs.sparkSession
-    path, marks = scratch_path(spark, tag), scratch_path(spark, f"{tag}-marks")
-    shape = "chunk_id long, term string, tf long, seen long"
-    spark.createDataFrame([], shape).write.parquet(path)
+class Ingest:
+    """An index that is kept up to date by batches of documents, in tables below one folder.
 
-    def index(batch: DataFrame, batch_id: int) -> None:
+    A batch is a chain: its newest text of each document is compared with the state by digest; those that are new or changed are chunked and tokenized; their
+    postings replace the old ones as a whole, and the differences of both go to the document frequencies and the corpus statistics. Every batch writes
+    folders of its own, made from batches before it alone, so a replayed batch writes the same again. After ``compact_every``
+    batches one folder takes the place of all before it, and those go.
+
+    Tables: ``documents`` (doc_id, digest, n_chunks), ``postings`` (doc_id, chunk_id, term, tf, document_length; a document's chunk without tokens has none),
+    ``frequencies`` (term, df) and ``statistics`` (n_chunks, total_length) as signed differences.
+    """
+
+    TABLES = {
+        "documents": "doc_id long, digest string, n_chunks long", "postings": "doc_id long, chunk_id long, term string, tf long, document_length long",
+        "frequencies": "term string, df long", "statistics": "n_chunks long, total_length long",
+    }
+
+    def __init__(self, spark: SparkSession, path: str, chunker=whole_documents, compact_every: int = 8):
+        self.spark, self.path, self.chunker, self.compact_every = spark, path, chunker, compact_every
+
+    def _folders(self, kind: str) -> dict[int, str]:
+        """Finished folders by batch number: ``batch`` or ``base``."""
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{kind}")
+        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(root):
+            return {}
+        found = {int(f.getPath().getName()): f"{self.path}/{kind}/{f.getPath().getName()}" for f in fs.listStatus(root)}
+        done = self.spark._jvm.org.apache.hadoop.fs.Path
+        return {n: p for n, p in found.items() if fs.exists(done(f"{p}/done/_SUCCESS"))}
+
+    def _write(self, folder: str, tables: dict[str, DataFrame]) -> None:
+        for name, df in tables.items():
+            df.select(*[c.split(" ")[0] for c in self.TABLES[name].split(", ")]).write.mode("overwrite").parquet(f"{folder}/{name}")
+        # the mark comes last: a folder without it is none
+        self.spark.createDataFrame([], "n int").write.mode("overwrite").parquet(f"{folder}/done")
+
+    def _layers(self, before: int | None = None) -> dict[int, str]:
+        """The last base and the batches after it, up to but without ``before``."""
+        limit = before if before is not None else 1 << 62
+        bases = {n: p for n, p in self._folders("base").items() if n < limit}
+        newest = max(bases, default=-1)
+        out = {n: p for n, p in self._folders("batch").items() if newest < n < limit}
+        return out | ({newest: bases[newest]} if bases else {})
+
+    def _read(self, name: str, layers: dict[int, str]) -> DataFrame:
+        """All rows of the layers, with the number of theirs."""
+        out = self.spark.createDataFrame([], f"{self.TABLES[name]}, layer long")
+        for n, p in sorted(layers.items()):
+            out = out.unionByName(self.spark.read.schema(self.TABLES[name]).parquet(f"{p}/{name}").withColumn("layer", F.lit(n).cast("long")))
+        return out
+
+    def documents(self, layers: dict[int, str] | None = None) -> DataFrame:
+        """(doc_id, digest, n_chunks, layer) as they are now."""
+        every = self._read("documents", self._layers() if layers is None else layers)
+        return every.groupBy("doc_id").agg(F.max_by(F.struct("digest", "n_chunks"), "layer").alias("d"), F.max("layer").alias("layer")).select("doc_id", "d.*", "layer")
+
+    def postings(self, layers: dict[int, str] | None = None) -> DataFrame:
+        """(doc_id, chunk_id, term, tf, document_length) as they are now: those of each document's newest layer."""
+        layers = self._layers() if layers is None else layers
+        return self._read("postings", layers).join(self.documents(layers).select("doc_id", "layer"), ["doc_id", "layer"], "left_semi").drop("layer")
+
+    def frequencies(self) -> DataFrame:
+        """(term, df) as they are now."""
+        return self._read("frequencies", self._layers()).groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
+
+    def statistics(self) -> DataFrame:
+        """(n_chunks, total_length) of chunks with tokens, as they are now."""
+        return self._read("statistics", self._layers()).agg(F.coalesce(F.sum("n_chunks"), F.lit(0)).alias("n_chunks"), F.coalesce(F.sum("total_length"), F.lit(0)).alias("total_length"))
+
+    def apply(self, batch: DataFrame, batch_id: int, version: str | None = None) -> None:
+        """Take in a batch of (doc_id, text); a null doc_id is passed over. Of several texts of one document the one with the largest ``version`` counts, without such a column the last one read."""
+        from quarrygrid.operators.lexical import chunk_terms, postings_of
+
+        if any(n >= batch_id for n in self._folders("base")):
+            return  # a replay of what is in the base already
+        layers = self._layers(batch_id)
         order = F.struct(*([version] if version else []), F.monotonically_increasing_id().alias("__read"))
         newest = batch.where("doc_id is not null").withColumn("__order", order).groupBy("doc_id").agg(F.max_by(F.struct("text"), "__order").alias("d"))
-        newest = materialize(newest.select(F.lit("kb").alias("kb_id"), F.col("doc_id").alias("chunk_id"), F.col("d.text").alias("content")), f"{tag}-batch")
-        seen = F.lit(batch_id).cast("long").alias("seen")
-        postings = term_frequencies(newest).select("chunk_id", "term", "tf", seen)
-        markers = newest.select("chunk_id", F.lit(None).cast("string").alias("term"), F.lit(0).cast("long").alias("tf"), seen)
-        postings.unionByName(markers).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-        drop_scratch(spark, newest)
-
-    docs.writeStream.foreachBatch(index).option("checkpointLocation", marks).trigger(availableNow=True).start().awaitTermination()
-    every = spark.read.schema(shape).option("recursiveFileLookup", "true").parquet(path)
-    newest = every.where("term is null").groupBy("chunk_id").agg(F.max("seen").alias("seen"))
-    return every.where("term is not null").join(newest, ["chunk_id", "seen"]).select("chunk_id", "term", "tf")
+        newest = newest.select("doc_id", "d.text", F.sha2(F.coalesce("d.text", F.lit("")), 256).alias("digest"))
+        held = self.documents(layers).select("doc_id", F.col("digest").alias("was"))
+        changed = materialize(newest.join(held, "doc_id", "left").where("was is null or was <> digest"), "ingest-changed")
+        chunks = materialize(self.chunker(changed.select("doc_id", "text")), "ingest-chunks")
+        counted = chunk_terms(chunks.select(F.lit("kb").alias("kb_id"), "chunk_id", "content")).where("document_length > 0")
+        postings = materialize(postings_of(counted).join(chunks.select("doc_id", "chunk_id"), "chunk_id"), "ingest-postings")
+        n_chunks = chunks.groupBy("doc_id").agg(F.count("*").alias("n_chunks"))
+        replaced = self.postings(layers).join(changed.where("was is not null").select("doc_id"), "doc_id", "left_semi")
+        signed = materialize(postings.select("doc_id", "chunk_id", "term", "document_length", F.lit(1).cast("long").alias("sign")).unionByName(replaced.select("doc_id", "chunk_id", "term", "document_length", F.lit(-1).cast("long").alias("sign"))), "ingest-signed")
+        lengths = signed.select("doc_id", "chunk_id", "document_length", "sign").distinct()
+        self._write(f"{self.path}/batch/{batch_id}", {
+            "documents": changed.join(n_chunks, "doc_id", "left").withColumn("n_chunks", F.coalesce("n_chunks", F.lit(0))), "postings": postings,
+            "frequencies": signed.groupBy("term").agg(F.sum("sign").alias("df")).where("df <> 0"),
+            "statistics": lengths.agg(F.coalesce(F.sum("sign"), F.lit(0)).alias("n_chunks"), F.coalesce(F.sum(F.col("sign") * F.col("document_length")), F.lit(0)).alias("total_length")),
+        })
+        for df in (signed, postings, chunks, changed):
+            drop_scratch(self.spark, df)
+        if len([n for n in self._layers() if n >= 0]) > self.compact_every:
+            self.compact(batch_id)
+
+    def compact(self, batch_id: int) -> None:
+        """One base of all up to ``batch_id``; the folders that it replaces go once it is finished."""
+        layers = self._layers(batch_id + 1)
+        self._write(f"{self.path}/base/{batch_id}", {"documents": self.documents(layers), "postings": self.postings(layers), "frequencies": self.frequencies(), "statistics": self.statistics()})
+        for folder in [p for n, p in self._folders("batch").items() if n <= batch_id] + [p for n, p in self._folders("base").items() if n < batch_id]:
+            target = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+            target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def stream_ingest(docs: DataFrame, tag: str = "ingest", version: str | None = None, chunker=whole_documents, compact_every: int = 8) -> DataFrame:
+    """Incremental indexing of documents (doc_id, text) as they arrive; see ``Ingest``. Returns (chunk_id, term, tf) after all that is there."""
+    return run_ingest(docs, tag, version, chunker, compact_every).postings().select("chunk_id", "term", "tf")
+
+
+def run_ingest(docs: DataFrame, tag: str = "ingest", version: str | None = None, chunker=whole_documents, compact_every: int = 8) -> Ingest:
+    """Run the stream of documents over what is there and give its index."""
+    spark = docs.sparkSession
+    index, marks = Ingest(spark, scratch_path(spark, tag), chunker, compact_every), scratch_path(spark, f"{tag}-marks")
+    docs.writeStream.foreachBatch(lambda batch, n: index.apply(batch, n, version)).option("checkpointLocation", marks).trigger(availableNow=True).start().awaitTermination()
+    return index

@@ -80,13 +80,38 @@ def bounded_choice(df: DataFrame, n: int, *cols: str) -> DataFrame:
     return df.where(F.shiftrightunsigned(hashed, 1) < int(0.9 * n / total * (1 << 63))).orderBy(hashed, *cols).limit(n)
 
 
-#: Rows of a table up to which ``broadcast_if_few`` broadcasts it: some 100 MB of keys.
-FEW_ROWS = 1_000_000
+#: Rows and bytes of a table up to which ``broadcast_if_few`` broadcasts it.
+FEW_ROWS, FEW_BYTES = 1_000_000, 256 << 20
+
+
+def row_bytes(df: DataFrame) -> Column:
+    """About what a row takes: the bytes of its strings, eight for each number, nested columns by their JSON."""
+    total = F.lit(0).cast("long")
+    for field in df.schema.fields:
+        kind, c = field.dataType.simpleString(), F.col(f"`{field.name}`")
+        if kind in ("string", "binary"):
+            width = F.octet_length(c)
+        elif kind == "array<string>":
+            width = F.octet_length(F.array_join(c, "")) + 8 * F.size(c)
+        elif kind.startswith(("array<double", "array<float", "array<bigint", "array<int")):
+            width = 8 * F.size(c)
+        elif kind.startswith(("array", "map", "struct")):
+            width = F.octet_length(F.to_json(F.struct(c)))
+        else:
+            width = F.lit(0)
+        total = total + 8 + F.coalesce(width, F.lit(0))
+    return total
+
+
+def is_few(df: DataFrame, most: int = FEW_ROWS, most_bytes: int = FEW_BYTES) -> bool:
+    """Has ``df`` at most ``most`` rows and ``most_bytes`` bytes? One number a row is looked at, of at most one row more than ``most``."""
+    n, size = df.select(row_bytes(df).alias("b")).limit(most + 1).agg(F.count("*"), F.sum("b")).first()
+    return n <= most and (size or 0) <= most_bytes
 
 
 def broadcast_if_few(df: DataFrame, most: int = FEW_ROWS) -> DataFrame:
-    """``df`` marked for a broadcast if it has at most ``most`` rows; else as it is, so that a join shuffles it. Give it materialized or cheap: it is counted."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    """``df`` marked for a broadcast if it has at most ``most`` rows and ``FEW_BYTES`` bytes; else as it is, so that a join shuffles it. Give it materialized or cheap: it is read."""
+    return F.broadcast(df) if is_few(df, most) else df
 
 
 #: Rows up to which ``spread_if_small`` deals a table to all tasks.

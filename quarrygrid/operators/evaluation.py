@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarrygrid.common import broadcast_if_few, materialize, nearest_rank, shuffle_partitions, topk
+from quarrygrid.common import broadcast_if_few, is_few, materialize, nearest_rank, shuffle_partitions, topk
 from quarrygrid.operators.lexical import ascii_lower, tokens
 
 # --- gold and ranking metrics ----------------------------------------------------------------------------------------
@@ -188,13 +188,62 @@ def required_evidence(cands: DataFrame, required: DataFrame, forbidden: DataFram
 # --- spans -------------------------------------------------------------------------------------------------------------
 
 
-def merge_spans(spans: DataFrame, gap: int = 0, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """Line ranges (keys, start_line, end_line) of a document merged where at most ``gap`` lines lie between."""
+#: Start lines of spans that are merged in one task before the islands of a document meet.
+MERGE_BLOCK = 4096
+
+
+def _islands(spans: DataFrame, gap: int, keys: Sequence[str]) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy("start_line", "end_line")
     reach = F.max("end_line").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    rows = spans.select(*keys, "start_line", "end_line").withColumn("__new", F.when(F.col("start_line") > reach + 1 + gap, 1).when(reach.isNull(), 1).otherwise(0))
+    rows = spans.withColumn("__new", F.when(F.col("start_line") > reach + 1 + gap, 1).when(reach.isNull(), 1).otherwise(0))
     rows = rows.withColumn("__island", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.groupBy(*keys, "__island").agg(F.min("start_line").alias("start_line"), F.max("end_line").alias("end_line"), F.count("*").alias("n_spans")).drop("__island")
+    return rows.groupBy(*keys, "__island").agg(F.min("start_line").alias("start_line"), F.max("end_line").alias("end_line"), F.sum("n_spans").alias("n_spans")).drop("__island")
+
+
+def merge_spans(spans: DataFrame, gap: int = 0, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """Line ranges (keys, start_line, end_line) of a document merged where at most ``gap`` lines lie between.
+
+    Equal spans are counted first, then those that begin in one block of ``MERGE_BLOCK`` lines are merged; what meets in a
+    document's last step are the islands of its blocks.
+    """
+    rows = spans.groupBy(*keys, "start_line", "end_line").agg(F.count("*").alias("n_spans"))
+    rows = rows.withColumn("__block", F.floor(F.col("start_line") / MERGE_BLOCK))
+    return _islands(_islands(rows, gap, [*keys, "__block"]).drop("__block"), gap, keys)
+
+
+#: Widths of the bins of ``overlap_join``: a span belongs to the first that is as wide, so it lies in at most two of its bins.
+BIN_WIDTHS = tuple(16**i for i in range(1, 15))
+
+
+def overlap_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_span: tuple[str, str], right_span: tuple[str, str]) -> DataFrame:
+    """All pairs of rows with equal ``keys`` whose inclusive spans of whole numbers overlap; both sides' columns, keys once.
+
+    An equi-join on (keys, width, bin), so one document's spans are spread over tasks. Pairs meet at the wider one's bins: a span is put
+    into at most two bins of its own width and of each wider one that the other side has. A pair counts in the first bin
+    that both lie in. Spans that end before they begin, or with a null, overlap nothing. Both sides are read twice.
+    """
+
+    def level(span: tuple[str, str]) -> Column:
+        length = F.col(span[1]).cast("long") - F.col(span[0]).cast("long") + 1
+        return F.coalesce(*[F.when(length <= w, F.lit(w)) for w in BIN_WIDTHS], F.lit(BIN_WIDTHS[-1]))
+
+    def present(df: DataFrame, span: tuple[str, str]) -> list[int]:
+        # at most one row for each of the fourteen widths
+        return sorted(r[0] for r in df.where(F.col(span[0]) <= F.col(span[1])).select(level(span).alias("w")).distinct().collect())
+
+    def binned(df: DataFrame, span: tuple[str, str], own: str, others: list[int]) -> DataFrame:
+        wider = F.filter(F.array(*[F.lit(w).cast("long") for w in others]), lambda w: w > F.col(own)) if others else F.array().cast("array<long>")
+        rows = df.where(F.col(span[0]) <= F.col(span[1])).withColumn(own, level(span).cast("long"))
+        rows = rows.withColumn("__w", F.explode(F.array_append(wider, F.col(own))))
+        first, last = (F.floor(F.col(c).cast("long") / F.col("__w")) for c in span)
+        return rows.withColumn("__bin", F.explode(F.sequence(first, last)))
+
+    a = binned(left, left_span, "__lw", present(right, right_span))
+    b = binned(right, right_span, "__rw", present(left, left_span))
+    pairs = a.join(b, [*keys, "__w", "__bin"]).where(F.col("__w") == F.greatest("__lw", "__rw"))
+    start = F.greatest(F.col(left_span[0]).cast("long"), F.col(right_span[0]).cast("long"))
+    pairs = pairs.where((F.col("__bin") == F.floor(start / F.col("__w"))) & (F.col(left_span[0]) <= F.col(right_span[1])) & (F.col(right_span[0]) <= F.col(left_span[1])))
+    return pairs.drop("__w", "__bin", "__lw", "__rw")
 
 
 def span_coverage(gold: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -203,7 +252,7 @@ def span_coverage(gold: DataFrame, chunks: DataFrame) -> DataFrame:
     Classes: contained (in one chunk), union, partial, none; with the best share of one chunk and the number of chunks.
     """
     g = gold.select("gold_id", "doc_id", F.col("start_line").alias("gs"), F.col("end_line").alias("ge"))
-    parts = g.join(chunks.select("doc_id", "start_line", "end_line"), "doc_id").where("start_line <= ge and end_line >= gs")
+    parts = overlap_join(g, chunks.select("doc_id", "start_line", "end_line"), ["doc_id"], ("gs", "ge"), ("start_line", "end_line"))
     clipped = parts.select("gold_id", "gs", "ge", F.greatest("start_line", "gs").alias("start_line"), F.least("end_line", "ge").alias("end_line"))
     merged = merge_spans(clipped, 0, ["gold_id"]).groupBy("gold_id").agg(F.sum(F.col("end_line") - F.col("start_line") + 1).alias("covered"))
     best = clipped.groupBy("gold_id").agg(F.max(F.col("end_line") - F.col("start_line") + 1).alias("best"), F.count("*").alias("n_chunks"))
@@ -343,29 +392,40 @@ def normalized(text: Column) -> Column:
 def leakage_scan(items: DataFrame, corpus: DataFrame, threshold: float = 0.82) -> DataFrame:
     """(item_id, doc_id, kind): items equal to a document, equal when normalized, or near it (token Jaccard of ``threshold`` or more).
 
-    Near candidates share one of the item's rarest tokens: of n tokens, one of the n - ceil(threshold n) + 1 rarest has to be
-    shared, and the sizes have to fit. The documents stay where they are as long as the items are few enough to be broadcast:
-    tokens are counted and matched in the task that reads the text.
+    Two passes over the corpus: one counts the documents of each token of an item, the other looks each document's tokens and the digest of
+    its normal form up among the items' keys and verifies what it finds where the document is. An item's tokens stand in the
+    order of their frequency. A near pair has one of the first n - ceil(threshold n) + 1 in common, and its overlap is at
+    most what follows the common token, which has to be enough for both sizes. Null texts have no tokens and equal nothing.
     """
+    words = lambda norm: F.filter(F.array_distinct(F.split(norm, " ")), lambda t: t != "")
+    key = lambda norm: F.concat(F.lit("#"), F.sha2(norm, 256))
     i = items.select("item_id", "text", normalized(F.col("text")).alias("norm"))
-    i = i.withColumn("x", F.filter(F.array_distinct(F.split("norm", " ")), lambda t: t != "")).withColumn("ni", F.size("x"))
-    i = materialize(i, "leakage-items")
+    i = materialize(i.select("item_id", F.sha2("text", 256).alias("sha"), (F.col("norm") == "").alias("bare"), key(F.col("norm")).alias("key"), words(F.col("norm")).alias("x")).withColumn("ni", F.size("x")), "leakage-items")
     d = corpus.select("doc_id", F.col("text").alias("body"), normalized(F.col("text")).alias("norm_d"))
-    few = broadcast_if_few(i)
-    exact = d.join(few, F.col("body") == F.col("text")).select("item_id", "doc_id", F.lit(0).alias("o"), F.lit("exact").alias("kind"))
-    norm = d.join(few, (F.col("norm_d") == F.col("norm")) & (F.col("norm") != "")).select("item_id", "doc_id", F.lit(1).alias("o"), F.lit("normalized").alias("kind"))
-    own = d.select("doc_id", F.filter(F.array_distinct(F.split("norm_d", " ")), lambda t: t != "").alias("y")).withColumn("nd", F.size("y"))
-    single = own.select("doc_id", "nd", F.explode("y").alias("token"))
+    # every array has the digest at least, so that explode_outer makes the same rows and, unlike explode, no filter that splits the text anew
+    own = d.select("doc_id", "body", F.array_append(words(F.col("norm_d")), key(F.col("norm_d"))).alias("y")).withColumn("nd", F.size("y") - 1)
+
     asked = materialize(i.select("item_id", "ni", F.explode("x").alias("token")), "leakage-tokens")
-    df = single.join(broadcast_if_few(asked.select("token").distinct()), "token", "left_semi").groupBy("token").agg(F.count("*").alias("df"))
-    rare = asked.join(df, "token", "left").withColumn("r", F.row_number().over(Window.partitionBy("item_id").orderBy(F.coalesce("df", F.lit(0)), "token")))
-    rare = materialize(rare.where(F.col("r") <= F.col("ni") - F.ceil(F.round(threshold * F.col("ni"), 9)) + 1).select("item_id", "ni", "token"), "leakage-rare")
-    fits = F.least("ni", "nd") >= threshold * F.greatest("ni", "nd")
-    pairs = single.join(broadcast_if_few(rare), "token").where(fits).select("item_id", "doc_id").distinct()
-    pairs = materialize(pairs.join(broadcast_if_few(i.select("item_id", "x", "ni")), "item_id"), "leakage-pairs")
-    common = own.join(broadcast_if_few(pairs), "doc_id").withColumn("c", F.size(F.array_intersect("x", "y")))
-    near = common.where(F.col("c") >= threshold * (F.col("ni") + F.col("nd") - F.col("c"))).select("item_id", "doc_id", F.lit(2).alias("o"), F.lit("near").alias("kind"))
-    return exact.unionByName(norm).unionByName(near).groupBy("item_id", "doc_id").agg(F.min_by("kind", "o").alias("kind"))
+    df = own.select(F.explode_outer("y").alias("token")).join(broadcast_if_few(asked.select("token").distinct()), "token", "left_semi").groupBy("token").agg(F.count("*").alias("df"))
+    placed = asked.join(df, "token", "left").withColumn("p", F.row_number().over(Window.partitionBy("item_id").orderBy(F.coalesce("df", F.lit(0)), "token")))
+    first = placed.where(F.col("p") <= F.col("ni") - F.ceil(F.round(threshold * F.col("ni"), 9)) + 1).select("token", "item_id", "ni", "p")
+    probes = materialize(first.unionByName(i.select(F.col("key").alias("token"), "item_id", "ni", F.lit(0).alias("p"))), "leakage-probes")
+
+    fits = (F.least("ni", "nd") >= threshold * F.greatest("ni", "nd")) & ((F.col("ni") - F.col("p") + 1) * (1 + threshold) >= threshold * (F.col("ni") + F.col("nd")) - 1e-6)
+    facts = i.select("item_id", "sha", "bare", "x")
+    if is_few(probes) and is_few(facts):
+        met = own.select("doc_id", "nd", "body", "y", F.explode_outer("y").alias("token")).join(F.broadcast(probes), "token").where((F.col("p") == 0) | fits)
+        met = met.join(F.broadcast(facts), "item_id")
+    else:
+        # only keys are shuffled to find the pairs; texts and tokens follow once for each pair
+        pairs = own.select("doc_id", "nd", F.explode_outer("y").alias("token")).join(probes, "token").where((F.col("p") == 0) | fits)
+        pairs = materialize(pairs.select("item_id", "doc_id", "ni", F.least("p", F.lit(1)).alias("p")).distinct(), "leakage-pairs")
+        met = own.join(pairs, "doc_id").join(facts, "item_id")
+    c = F.size(F.array_intersect("x", "y"))
+    near = c >= threshold * (F.col("ni") + F.col("nd") - c)
+    order = F.when(F.col("p") == 0, F.when(F.sha2("body", 256) == F.col("sha"), 0).when(~F.col("bare"), 1)).when(near, 2)
+    best = met.select("item_id", "doc_id", order.alias("o")).where("o is not null").groupBy("item_id", "doc_id").agg(F.min("o").alias("o"))
+    return best.select("item_id", "doc_id", F.when(F.col("o") == 0, "exact").when(F.col("o") == 1, "normalized").otherwise("near").alias("kind"))
 
 
 def containment_scan(items: DataFrame, docs: DataFrame, min_len: int = 12, words: int = 3) -> DataFrame:
@@ -507,12 +567,24 @@ def router_scores(rows: DataFrame) -> DataFrame:
 def exact_percentiles(df: DataFrame, by: Sequence[str], value: str, shares: dict[str, float]) -> DataFrame:
     """(by, one column for each share): nearest-rank percentiles of each group, exact at any size.
 
-    Equal values are counted in each task first; running counts then find the elements, and no group's values are held together.
+    Equal values are counted in each task first. The counts, now of different keys, are dealt by ranges of (by, value) and written with the
+    number of their range, so a large group lies in many ranges of fair size. Running counts over a group's ranges, of which there
+    are at most as many as shuffle partitions, tell which range holds a percentile, and only that one is looked through.
     """
+    parts = shuffle_partitions(df.sparkSession)
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("__n"))
+    dealt = materialize(counts.repartitionByRange(parts, *by, value).withColumn("__range", F.spark_partition_id()), "percentiles")
     group = Window.partitionBy(*by)
-    placed = counts.withColumns({"__upto": F.sum("__n").over(group.orderBy(value)), "__all": F.sum("__n").over(group)})
-    return placed.groupBy(*by).agg(*[F.min(F.when(F.col("__upto") >= F.ceil(F.col("__all") * q), F.col(value))).alias(name) for name, q in shares.items()])
+    ranges = dealt.groupBy(*by, "__range").agg(F.sum("__n").alias("__in"))
+    ranges = ranges.withColumns({"__upto": F.sum("__in").over(group.orderBy("__range")), "__all": F.sum("__in").over(group)})
+    targets = {name: F.greatest(F.ceil(F.col("__all") * q), F.lit(1)) for name, q in shares.items()}
+    # the rank that is looked for in this range, null where it lies in another
+    wanted = [F.when((t > F.col("__upto") - F.col("__in")) & (t <= F.col("__upto")), t - F.col("__upto") + F.col("__in")).alias(f"__at_{name}") for name, t in targets.items()]
+    ranges = ranges.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(by)], F.col("__range").alias("__kr"), *wanted)
+    ranges = ranges.where(F.coalesce(*[F.col(f"__at_{name}") for name in shares]).isNotNull())
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(by)], F.col("__range") == F.col("__kr"))
+    inside = dealt.join(ranges, same).withColumn("__run", F.sum("__n").over(Window.partitionBy(*by, "__range").orderBy(value)))
+    return inside.groupBy(*by).agg(*[F.min(F.when(F.col("__run") >= F.col(f"__at_{name}"), F.col(value))).alias(name) for name in shares])
 
 
 def latency_summary(df: DataFrame, by: Sequence[str], value: str = "latency_ms", exact: bool = True) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarrygrid.common import broadcast_if_few, materialize, topk, with_rank
+from quarrygrid.operators.evaluation import overlap_join
 from quarrygrid.operators.lexical import tokens
 
 RRF_K = 60
@@ -319,7 +320,7 @@ def section_lane(seeds: DataFrame, sections: DataFrame, chunks: DataFrame, per_d
     """
     first = topk(sections.where("level > 1"), ["doc_id"], [F.asc("start_line"), F.asc("section_id")], per_document, "n").drop("n", "level")
     picked = seeds.select("query_id", "doc_id").distinct().join(first.withColumnsRenamed({"start_line": "s", "end_line": "e"}), "doc_id")
-    joined = picked.join(chunks.select("chunk_id", "doc_id", "start_line", "end_line"), "doc_id").where("start_line <= e and end_line >= s")
+    joined = overlap_join(picked, chunks.select("chunk_id", "doc_id", "start_line", "end_line"), ["doc_id"], ("s", "e"), ("start_line", "end_line"))
     return joined.select("query_id", "doc_id", "section_id", "chunk_id")
 
 

@@ -499,3 +499,86 @@ def test_ingest_equals_a_batch_build(spark, tmp_path):
         a, b = (sorted(map(tuple, getattr(x, name)().collect())) for x in (index, fresh))
         assert a == b and a
     assert sorted((r.doc_id, r.digest, r.n_chunks) for r in index.documents().collect()) == sorted((r.doc_id, r.digest, r.n_chunks) for r in fresh.documents().collect())
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_overlap_join_equals_brute_force(spark, seed):
+    """Spans of all widths, at the ends of bins, repeated, reversed and null; one document holds most of them."""
+    rng = random.Random(seed)
+
+    def some(n):
+        rows = []
+        for i in range(n):
+            start = rng.choice([rng.randrange(-300, 3000), 16 * rng.randrange(20), 256 * rng.randrange(4)])
+            rows.append((rng.choice([1, 1, 1, 2, None]), i, None if rng.random() < 0.05 else start, start + rng.choice([0, 1, 15, 16, 17, 255, 256, 5000, -1, 1 << 34])))
+        return [*rows, *((d, i + n, s, e) for d, i, s, e in rows[:9])]
+
+    xs, ys = some(120), some(90)
+    a = spark.createDataFrame(xs, "doc_id int, i int, s long, e long")
+    b = spark.createDataFrame(ys, "doc_id int, j int, t long, u long")
+    got = sorted((r.doc_id, r.i, r.j) for r in evaluation.overlap_join(a, b, ["doc_id"], ("s", "e"), ("t", "u")).collect())
+    fine = lambda d, s, e: d is not None and s is not None and s <= e
+    want = sorted((d, i, j) for d, i, s, e in xs if fine(d, s, e) for f, j, t, u in ys if fine(f, t, u) and d == f and s <= u and t <= e)
+    assert got == want and len(want) > 500
+    assert evaluation.overlap_join(a.limit(0), b, ["doc_id"], ("s", "e"), ("t", "u")).count() == 0
+
+
+@pytest.mark.parametrize("gap", [0, 3])
+def test_merged_spans_across_blocks(spark, monkeypatch, gap):
+    monkeypatch.setattr(evaluation, "MERGE_BLOCK", 8)
+    rng = random.Random(gap)
+    spans = [(d, s, s + rng.choice([0, 1, 4, 40])) for d in (1, 2) for s in (rng.randrange(400) for _ in range(60))]
+    want = []
+    for d, s, e in sorted(spans):
+        if want and want[-1][0] == d and s <= want[-1][2] + 1 + gap:
+            want[-1] = (d, want[-1][1], max(want[-1][2], e), want[-1][3] + 1)
+        else:
+            want.append((d, s, e, 1))
+    got = evaluation.merge_spans(spark.createDataFrame(spans, "doc_id int, start_line int, end_line int"), gap)
+    assert sorted((r.doc_id, r.start_line, r.end_line, r.n_spans) for r in got.collect()) == want
+
+
+def test_percentiles_of_one_group_lie_in_many_ranges(spark):
+    """One global group of all distinct values, groups of one row, a null group, repeated values: elements at the nearest rank."""
+    rng = random.Random(5)
+    rows = [("all", rng.random()) for _ in range(4000)] + [("one", 2.0), (None, 3.0), (None, 1.0), ("gone", None)] + [("same", float(i % 3)) for i in range(50)]
+    shares = {"p0": 0.0, "p50": 0.5, "p99": 0.99, "top": 1.0}
+    got = {r.g: tuple(r[name] for name in shares) for r in evaluation.exact_percentiles(spark.createDataFrame(rows, "g string, v double"), ["g"], "v", shares).collect()}
+    groups = {}
+    for g, v in rows:
+        if v is not None:
+            groups.setdefault(g, []).append(v)
+    assert got == {g: tuple(sorted(vs)[max(1, math.ceil(q * len(vs))) - 1] for q in shares.values()) for g, vs in groups.items()}
+    plain = evaluation.exact_percentiles(spark.createDataFrame(rows, "g string, v double"), [], "v", {"p50": 0.5}).first()
+    assert plain.p50 == sorted(v for vs in groups.values() for v in vs)[math.ceil(sum(map(len, groups.values())) * 0.5) - 1]
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_leakage_equals_brute_force(spark, monkeypatch, few):
+    """Random texts of few words, so that many pairs are near; in place and by shuffled pairs."""
+    if not few:
+        monkeypatch.setattr(evaluation, "is_few", lambda df: False)
+    rng = random.Random(9)
+    text = lambda: rng.choice([None, "", "!!", " ".join(rng.choice("abcdefgh") * 2 for _ in range(rng.randrange(1, 9)))])
+    items, docs = [(i, text()) for i in range(40)], [(i, text()) for i in range(60)]
+    docs += [(100 + i, t) for i, t in items[:20]] + [(200 + i, t and t.upper() + ".") for i, t in items[:20]]
+    got = {(r.item_id, r.doc_id, r.kind) for r in evaluation.leakage_scan(spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string"), 0.7).collect()}
+    norm = lambda t: re.sub("[^a-z0-9]+", " ", (t or "").lower()).strip(" ")
+    want = set()
+    for i, t in items:
+        for d, u in docs:
+            x, y = set(norm(t).split()), set(norm(u).split())
+            if t is not None and t == u:
+                want.add((i, d, "exact"))
+            elif norm(t) and norm(t) == norm(u):
+                want.add((i, d, "normalized"))
+            elif x and len(x & y) >= 0.7 * len(x | y):
+                want.add((i, d, "near"))
+    assert got == want and {k for _, _, k in want} == {"exact", "normalized", "near"}
+
+
+def test_few_rows_are_bounded_by_bytes(spark):
+    from quarrygrid.common import is_few
+
+    df = spark.range(10).selectExpr("id", "repeat('x', 1000) as text", "array('ab', 'c') as words", "map('k', id) as m")
+    assert is_few(df) and not is_few(df, 9) and not is_few(df, 10, 10_000) and is_few(df.limit(0))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarrygrid.common import broadcast_if_few, is_few, materialize, nearest_rank, shuffle_partitions, topk
+from quarrygrid.common import broadcast_if_few, materialize, nearest_rank, shuffle_partitions, topk
 from quarrygrid.operators.lexical import ascii_lower, tokens
 
 # --- gold and ranking metrics ----------------------------------------------------------------------------------------
@@ -392,39 +392,43 @@ def normalized(text: Column) -> Column:
 def leakage_scan(items: DataFrame, corpus: DataFrame, threshold: float = 0.82) -> DataFrame:
     """(item_id, doc_id, kind): items equal to a document, equal when normalized, or near it (token Jaccard of ``threshold`` or more).
 
-    Two passes over the corpus: one counts the documents of each token of an item, the other looks each document's tokens and the digest of
-    its normal form up among the items' keys and verifies what it finds where the document is. An item's tokens stand in the
-    order of their frequency. A near pair has one of the first n - ceil(threshold n) + 1 in common, and its overlap is at
-    most what follows the common token, which has to be enough for both sizes. Null texts have no tokens and equal nothing.
+    One pass over the corpus counts the documents of each token of an item, another looks each document's tokens and the digest of its
+    normal form up among the items' keys; only documents that may be near are read again. An item's tokens stand in the order of
+    their frequency, and the first n - ceil(threshold n) + 1 are looked up. The overlap of a pair is at most the number of
+    those in common and all that follow, and only pairs for which that is enough for both sizes are verified. Null
+    texts have no tokens and equal nothing.
     """
     words = lambda norm: F.filter(F.array_distinct(F.split(norm, " ")), lambda t: t != "")
     key = lambda norm: F.concat(F.lit("#"), F.sha2(norm, 256))
     i = items.select("item_id", "text", normalized(F.col("text")).alias("norm"))
-    i = materialize(i.select("item_id", F.sha2("text", 256).alias("sha"), (F.col("norm") == "").alias("bare"), key(F.col("norm")).alias("key"), words(F.col("norm")).alias("x")).withColumn("ni", F.size("x")), "leakage-items")
-    d = corpus.select("doc_id", F.col("text").alias("body"), normalized(F.col("text")).alias("norm_d"))
-    # every array has the digest at least, so that explode_outer makes the same rows and, unlike explode, no filter that splits the text anew
-    own = d.select("doc_id", "body", F.array_append(words(F.col("norm_d")), key(F.col("norm_d"))).alias("y")).withColumn("nd", F.size("y") - 1)
+    i = i.select("item_id", F.sha2("text", 256).alias("sha"), (F.col("norm") == "").alias("bare"), key(F.col("norm")).alias("key"), words(F.col("norm")).alias("x"))
+    i = materialize(i.withColumn("ni", F.size("x")), "leakage-items")
 
+    def keyed(docs: DataFrame) -> DataFrame:
+        # every array has the digest at least, so that explode_outer makes the same rows and, unlike explode, no filter that splits the text anew
+        d = docs.select("doc_id", F.col("text").alias("body"), normalized(F.col("text")).alias("norm_d"))
+        return d.select("doc_id", "body", F.array_append(words(F.col("norm_d")), key(F.col("norm_d"))).alias("y")).withColumn("nd", F.size("y") - 1)
+
+    own = keyed(corpus)
     asked = materialize(i.select("item_id", "ni", F.explode("x").alias("token")), "leakage-tokens")
     df = own.select(F.explode_outer("y").alias("token")).join(broadcast_if_few(asked.select("token").distinct()), "token", "left_semi").groupBy("token").agg(F.count("*").alias("df"))
     placed = asked.join(df, "token", "left").withColumn("p", F.row_number().over(Window.partitionBy("item_id").orderBy(F.coalesce("df", F.lit(0)), "token")))
-    first = placed.where(F.col("p") <= F.col("ni") - F.ceil(F.round(threshold * F.col("ni"), 9)) + 1).select("token", "item_id", "ni", "p")
-    probes = materialize(first.unionByName(i.select(F.col("key").alias("token"), "item_id", "ni", F.lit(0).alias("p"))), "leakage-probes")
-
-    fits = (F.least("ni", "nd") >= threshold * F.greatest("ni", "nd")) & ((F.col("ni") - F.col("p") + 1) * (1 + threshold) >= threshold * (F.col("ni") + F.col("nd")) - 1e-6)
-    facts = i.select("item_id", "sha", "bare", "x")
-    if is_few(probes) and is_few(facts):
-        met = own.select("doc_id", "nd", "body", "y", F.explode_outer("y").alias("token")).join(F.broadcast(probes), "token").where((F.col("p") == 0) | fits)
-        met = met.join(F.broadcast(facts), "item_id")
-    else:
-        # only keys are shuffled to find the pairs; texts and tokens follow once for each pair
-        pairs = own.select("doc_id", "nd", F.explode_outer("y").alias("token")).join(probes, "token").where((F.col("p") == 0) | fits)
-        pairs = materialize(pairs.select("item_id", "doc_id", "ni", F.least("p", F.lit(1)).alias("p")).distinct(), "leakage-pairs")
-        met = own.join(pairs, "doc_id").join(facts, "item_id")
+    first = placed.where(F.col("p") <= F.col("ni") - F.ceil(F.round(threshold * F.col("ni"), 9)) + 1).select("token", "item_id", "ni", F.lit(None).cast("string").alias("sha"), F.lit(None).cast("boolean").alias("bare"))
+    probes = materialize(first.unionByName(i.select(F.col("key").alias("token"), "item_id", "ni", F.coalesce("sha", F.lit("")).alias("sha"), "bare")), "leakage-probes")
+
+    fits = F.least("ni", "nd") >= threshold * F.greatest("ni", "nd")
+    met = own.select("doc_id", "nd", "body", F.explode_outer("y").alias("token")).join(broadcast_if_few(probes), "token").where(F.col("sha").isNotNull() | fits)
+    order = F.when(F.col("sha").isNotNull(), F.when(F.sha2("body", 256) == F.col("sha"), 0).when(~F.col("bare"), 1))
+    pairs = met.select("item_id", "doc_id", "ni", "nd", order.alias("o"), F.col("sha").isNull().cast("int").alias("shared")).groupBy("item_id", "doc_id", "ni", "nd").agg(F.min("o").alias("o"), F.sum("shared").alias("shared"))
+    most = F.col("shared") + F.ceil(F.round(threshold * F.col("ni"), 9)) - 1
+    enough = (F.col("shared") > 0) & (most * (1 + threshold) >= threshold * (F.col("ni") + F.col("nd")) - 1e-6)
+    pairs = materialize(pairs.where(F.col("o").isNotNull() | enough).select("item_id", "doc_id", "o"), "leakage-pairs")
+
+    open_pairs = pairs.where("o is null").select("item_id", "doc_id").distinct()
+    again = keyed(corpus.join(broadcast_if_few(open_pairs.select("doc_id").distinct()), "doc_id", "left_semi")).select("doc_id", "nd", "y")
     c = F.size(F.array_intersect("x", "y"))
-    near = c >= threshold * (F.col("ni") + F.col("nd") - c)
-    order = F.when(F.col("p") == 0, F.when(F.sha2("body", 256) == F.col("sha"), 0).when(~F.col("bare"), 1)).when(near, 2)
-    best = met.select("item_id", "doc_id", order.alias("o")).where("o is not null").groupBy("item_id", "doc_id").agg(F.min("o").alias("o"))
+    near = again.join(broadcast_if_few(open_pairs), "doc_id").join(broadcast_if_few(i.select("item_id", "x", "ni")), "item_id").where(c >= threshold * (F.col("ni") + F.col("nd") - c))
+    best = pairs.where("o is not null").unionByName(near.select("item_id", "doc_id", F.lit(2).alias("o"))).groupBy("item_id", "doc_id").agg(F.min("o").alias("o"))
     return best.select("item_id", "doc_id", F.when(F.col("o") == 0, "exact").when(F.col("o") == 1, "normalized").otherwise("near").alias("kind"))
 
 

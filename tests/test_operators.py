@@ -555,9 +555,9 @@ def test_percentiles_of_one_group_lie_in_many_ranges(spark):
 
 @pytest.mark.parametrize("few", [True, False])
 def test_leakage_equals_brute_force(spark, monkeypatch, few):
-    """Random texts of few words, so that many pairs are near; in place and by shuffled pairs."""
+    """Random texts of few words, so that many pairs are near; with broadcasts and without."""
     if not few:
-        monkeypatch.setattr(evaluation, "is_few", lambda df: False)
+        monkeypatch.setattr(evaluation, "broadcast_if_few", lambda df: df)
     rng = random.Random(9)
     text = lambda: rng.choice([None, "", "!!", " ".join(rng.choice("abcdefgh") * 2 for _ in range(rng.randrange(1, 9)))])
     items, docs = [(i, text()) for i in range(40)], [(i, text()) for i in range(60)]

@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarrygrid.common import broadcast_if_few, materialize, nearest_rank, shuffle_partitions, topk
+from quarrygrid.common import bound_batches, broadcast_if_few, materialize, nearest_rank, shuffle_partitions, topk
 from quarrygrid.operators.lexical import ascii_lower, tokens
 
 # --- gold and ranking metrics ----------------------------------------------------------------------------------------
@@ -514,6 +515,63 @@ def text_fidelity(reference: DataFrame, candidate: DataFrame) -> DataFrame:
     return out.select("doc_id", F.when(F.col("n_reference") > 0, F.col("kept") / F.col("n_reference")).otherwise(1.0).alias("retention"), (F.col("n_reference") - F.col("kept")).alias("n_omitted"), (F.col("n_candidate") - F.col("kept")).alias("n_added"))
 
 
+def edit_counts(a: Sequence[str], b: Sequence[str]) -> tuple[int, int, int]:
+    """(changed, omitted, added) of the tokens of ``a`` on the way to ``b``: as few as possible in all, and of such ways the one with the most changed.
+
+    What both begin and end with is left aside. Of the table of prefixes only a band about the diagonal is computed, twice as wide each time until the way
+    is shorter than the band, so time grows with the tokens by the differences and memory with the differences.
+    """
+    n = min(len(a), len(b))
+    head = next((i for i in range(n) if a[i] != b[i]), n)
+    tail = next((i for i in range(n - head) if a[-1 - i] != b[-1 - i]), n - head)
+    a, b = a[head : len(a) - tail], b[head : len(b) - tail]
+    n, m = len(a), len(b)
+    if not n or not m:
+        return 0, n, m
+    ids: dict[str, int] = {}
+    x, y = (np.fromiter((ids.setdefault(t, len(ids)) for t in s), np.int64, len(s)) for s in (a, b))
+    # an omitted or added token weighs ``unit``, a changed one a little less, which all of them together don't make up for
+    unit, never = n + m + 1, np.int64(1) << 60
+    band = abs(n - m) + 16
+    while True:
+        places = np.arange(2 * band + 1)
+        side = np.concatenate([np.full(band, -1), y, np.full(band + max(0, n - m) + 1, -1)])
+        row = np.where((places >= band) & (places <= band + m), (places - band) * unit, never)
+        for i in range(1, n + 1):
+            new = row + np.where(side[i - 1 : i + 2 * band] == x[i - 1], 0, unit - 1)
+            new[:-1] = np.minimum(new[:-1], row[1:] + unit)
+            j = places + (i - band)
+            new[(j < 0) | (j > m)] = never
+            row = np.minimum.accumulate(new - places * unit) + places * unit
+            row[(j < 0) | (j > m)] = never
+        weight = int(row[m - n + band])
+        steps = -(-weight // unit)
+        if steps <= band:
+            changed = unit * steps - weight
+            return changed, (steps - changed + n - m) // 2, (steps - changed - n + m) // 2
+        band *= 2
+
+
+def text_corruption(reference: DataFrame, candidate: DataFrame) -> DataFrame:
+    """Per document (doc_id, text on both sides): tokens changed, omitted and added on the shortest way from one text to the other, and their share of the longer one.
+
+    A text that is null or has no row is empty; two empty texts have the share 0. Ids that repeat are aligned row by row. Both sides are joined by document and
+    aligned in the task; time grows with the tokens by the differences (``edit_counts``).
+    """
+    r, c = (d.select("doc_id", tokens(F.col("text")).alias(n)) for d, n in ((reference, "r"), (candidate, "c")))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = [(d, *edit_counts(x, y), max(len(x), len(y))) for d, x, y in zip(f["doc_id"], ([] if v is None else list(v) for v in f["r"]), ([] if v is None else list(v) for v in f["c"]), strict=True)]
+            out = pd.DataFrame(rows, columns=["doc_id", "n_changed", "n_omitted", "n_added", "longer"])
+            out["corruption"] = (out["n_changed"] + out["n_omitted"] + out["n_added"]) / out.pop("longer").clip(lower=1)
+            yield out
+
+    bound_batches(reference.sparkSession)
+    kind = dict(reference.dtypes)["doc_id"]
+    return r.join(c, "doc_id", "full_outer").mapInPandas(run, f"doc_id {kind}, n_changed long, n_omitted long, n_added long, corruption double")
+
+
 def reading_order(snippets: DataFrame, texts: DataFrame) -> DataFrame:
     """Per document: the share of its snippets (doc_id, ordinal, snippet) that stand in the text in reading order.
 

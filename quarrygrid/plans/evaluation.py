@@ -206,6 +206,12 @@ def text_fidelity(spark, sf):
     return ev.text_fidelity(d, cand).withColumn("retention", F.round("retention", 6))
 
 
+def text_corruption(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    cand = d.select("doc_id", F.regexp_replace("text", "the|ou", "THE ").alias("text"))
+    return ev.text_corruption(d, cand).withColumn("corruption", F.round("corruption", 6))
+
+
 def reading_order(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "text")
     snippets = d.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "snippet")).where("snippet <> ''").select("doc_id", F.pmod(F.col("i") * 7, F.lit(5)).alias("ordinal"), "snippet")
@@ -271,7 +277,7 @@ def evidence_delta(spark, sf):
 QUERIES = {f.__name__: f for f in (
     gold_match, retrieval_metrics, slice_metrics, ndcg, ranking_auc, identity_match, loss_funnel, threshold_sweep, routing_curve, section_ambiguity, query_features, required_evidence, merge_spans, span_coverage,
     paired_transitions, complementarity, rank_buckets, budget_curve, bootstrap_ci, rank_correlation, compare_runs, failure_attribution, replicate_stability, set_jaccard, leakage_scan, containment_scan, secret_scan,
-    redact_text, text_fidelity, reading_order, answer_scores, router_scores, latency_summary, stage_profile, traffic_monitor, decision_stability, drift_gates, evidence_rounds, evidence_delta,
+    redact_text, text_fidelity, text_corruption, reading_order, answer_scores, router_scores, latency_summary, stage_profile, traffic_monitor, decision_stability, drift_gates, evidence_rounds, evidence_delta,
 )}
 
 _G = f"{base.LEX}, {base.GOLD}"

@@ -582,3 +582,43 @@ def test_few_rows_are_bounded_by_bytes(spark):
 
     df = spark.range(10).selectExpr("id", "repeat('x', 1000) as text", "array('ab', 'c') as words", "map('k', id) as m")
     assert is_few(df) and not is_few(df, 9) and not is_few(df, 10, 10_000) and is_few(df.limit(0))
+
+
+def plain_edit_counts(a, b):
+    """The whole table of prefixes: (all, -changed, changed, omitted, added), the least of each."""
+    table = {(0, 0): (0, 0, 0, 0, 0)}
+    for i in range(len(a) + 1):
+        for j in range(len(b) + 1):
+            ways = []
+            if i and j:
+                t, k, c, o, d = table[i - 1, j - 1]
+                ways.append((t, k, c, o, d) if a[i - 1] == b[j - 1] else (t + 1, k - 1, c + 1, o, d))
+            if i:
+                t, k, c, o, d = table[i - 1, j]
+                ways.append((t + 1, k, c, o + 1, d))
+            if j:
+                t, k, c, o, d = table[i, j - 1]
+                ways.append((t + 1, k, c, o, d + 1))
+            if ways:
+                table[i, j] = min(ways)
+    return table[len(a), len(b)][2:]
+
+
+def test_edit_counts_equal_the_whole_table():
+    rng = random.Random(3)
+    for _ in range(300):
+        a, b = ([rng.choice("abc") for _ in range(rng.randrange(30))] for _ in "xy")
+        assert evaluation.edit_counts(a, b) == plain_edit_counts(a, b)
+    # differences beyond the first band, and long texts with few
+    a, b = [str(i) for i in range(70)], [str(i + 35) for i in range(80)]
+    assert evaluation.edit_counts(a, b) == plain_edit_counts(a, b)
+    long = [str(i % 977) for i in range(50_000)]
+    assert evaluation.edit_counts(long, [*long[:100], "x", *long[101:40_000], *long[40_003:], "y"]) == (1, 3, 1)
+
+
+def test_text_corruption(spark):
+    a = spark.createDataFrame([(1, "one two three four"), (2, None), (3, ""), (4, "only here"), (6, "a b"), (6, "a b")], "doc_id long, text string")
+    b = spark.createDataFrame([(1, "one too three"), (2, "x"), (3, None), (5, "only there now"), (6, "a c")], "doc_id long, text string")
+    got = sorted(tuple(r) for r in evaluation.text_corruption(a, b).collect())
+    assert got == [(1, 1, 1, 0, 0.5), (2, 0, 0, 1, 1.0), (3, 0, 0, 0, 0.0), (4, 0, 2, 0, 1.0), (5, 0, 0, 3, 1.0), (6, 1, 0, 0, 0.5), (6, 1, 0, 0, 0.5)]
+    assert evaluation.text_corruption(a.limit(0), b.limit(0)).count() == 0

@@ -347,6 +347,105 @@ def test_scan_corpus(spark, tmp_path):
     assert sorted(r.relative_path for r in got) == ["a.md", "sub/b.md"]
 
 
+def test_scan_corpus_gives_failures_as_rows(spark, tmp_path):
+    import hashlib
+
+    for name in ("a.md", "deep/er/b.MD", "node_modules/x/d.md", ".git/e.md", "deep/skip/f.md", "deep/big.md", "g.txt", "ü n.md"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(name * (1000 if "big" in name else 1))
+    (tmp_path / "empty").mkdir()
+    (tmp_path / "broken.md").symlink_to(tmp_path / "nothing.md")
+    (tmp_path / "loop").symlink_to(tmp_path)
+    for root in (str(tmp_path), f"file://{tmp_path}", f"file:{tmp_path}/"):
+        got = {r.relative_path: r for r in corpus.scan_corpus(spark, root, (".md",), ignored_globs=("deep/skip",), max_bytes=5000).collect()}
+        assert {p: r.error for p, r in got.items()} == {"a.md": None, "deep/er/b.MD": None, "ü n.md": None, "deep/big.md": "too_large", "broken.md": "broken_symlink"}
+        for path in ("a.md", "deep/er/b.MD", "ü n.md"):
+            assert (got[path].size, got[path].content_hash, got[path].extension) == (len(path.encode()), hashlib.sha256(path.encode()).hexdigest(), "md")
+        assert (got["deep/big.md"].stage, got["deep/big.md"].size, got["broken.md"].stage) == ("metadata", 11000, "discover")
+    assert corpus.scan_corpus(spark, str(tmp_path / "empty")).collect() == []
+    missing = corpus.scan_corpus(spark, str(tmp_path / "gone")).collect()
+    assert [(r.stage, r.error) for r in missing] == [("discover", "FileNotFoundError")]
+
+
+def test_scan_of_the_tables_equals_brute_force(spark, sf_dir):
+    import hashlib
+    import pathlib
+
+    from quarrygrid.plans import sources
+
+    paths = [p for p in pathlib.Path(sf_dir).rglob("*.parquet") if p.is_file()]
+    want = sorted((p.relative_to(sf_dir).as_posix(), p.stat().st_size, hashlib.sha256(p.read_bytes()).hexdigest()) for p in paths)
+    assert sorted((r.relative_path, r.size, r.content_hash) for r in sources.scan_corpus(spark, sf_dir).collect()) == want
+
+
+class Shaky:
+    """A file system whose directories and files fail as they are told to."""
+
+    type_name = "shaky"
+
+    def __init__(self, files, changes=0):
+        self.files, self.changes, self.opened = files, changes, []
+
+    def get_file_info(self, path):
+        import types
+
+        if not isinstance(path, str):
+            self.opened.append(path.base_dir)
+            raise PermissionError(path.base_dir)
+        if path not in self.files:
+            raise FileNotFoundError(path)
+        self.changes -= 1
+        return types.SimpleNamespace(size=len(self.files[path]), mtime=None, mtime_ns=max(self.changes, 0))
+
+    def open_input_stream(self, path):
+        import io
+
+        if self.files[path] is None:
+            raise PermissionError(path)
+        return io.BytesIO(self.files[path])
+
+
+def test_files_that_vanish_change_or_cannot_be_read(monkeypatch):
+    import hashlib
+
+    monkeypatch.setattr(corpus, "BLOCK_BYTES", 3)
+    text = b"0123456789"
+    store = Shaky({"a": text})
+    assert corpus.digest_file(store, "a")[2:] == (hashlib.sha256(text).hexdigest(), None, None, None)
+    # changed once: read again; changed each time: an error
+    assert corpus.digest_file(Shaky({"a": text}, 3), "a")[2] == hashlib.sha256(text).hexdigest()
+    assert corpus.digest_file(Shaky({"a": text}, 9), "a")[3:5] == ("hash", "unstable_file")
+    assert corpus.digest_file(store, "b")[3:5] == ("hash", "FileNotFoundError")
+    closed = Shaky({"a": text})
+    closed.open_input_stream = lambda path: (_ for _ in ()).throw(PermissionError(path))
+    assert corpus.digest_file(closed, "a")[3:5] == ("hash", "PermissionError")
+    assert corpus.list_directory(store, "/r", "/r/x", {"globs": []}) == ([], [("x", None, None, "discover", "PermissionError", "/r/x")])
+
+
+def test_ignored_directories_are_not_listed(tmp_path, monkeypatch):
+    for name in ("a/b/c.md", "a/.hid/c.md", "node_modules/c.md", "a/out/c.md"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("x")
+    listed = []
+    whole = corpus.list_directory
+    monkeypatch.setattr(corpus, "list_directory", lambda store, base, path, rules: (listed.append(path[len(str(tmp_path)) :]), whole(store, base, path, rules))[1])
+    reader = corpus.CorpusListing(str(tmp_path), {"extensions": ["md"], "directories": ["node_modules"], "globs": ["*/out"], "most": None}, 3)
+    rows = [r for p in reader.partitions() for r in reader.read(p)]
+    assert [r[0] for r in rows] == ["a/b/c.md"] and sorted(listed) == ["", "/a", "/a/b"]
+
+
+def test_scan_of_a_store_that_only_spark_reads(spark, tmp_path, monkeypatch):
+    for name in ("a.md", "sub/b.md", "node_modules/c.md", "sub/skip.md"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(name)
+    kept = lambda: sorted((r.relative_path, r.size, r.content_hash, r.error) for r in corpus.scan_corpus(spark, f"file://{tmp_path}", ("md",), ignored_globs=("sub/sk*",)).collect())
+    want = kept()
+    monkeypatch.setattr(corpus, "open_store", lambda root: None)
+    assert len(want) == 2 and kept() == want
+    large = corpus.scan_corpus(spark, f"file://{tmp_path}", ("md",), max_bytes=5).collect()
+    assert sorted((r.relative_path, r.error) for r in large) == [("a.md", None), ("sub/b.md", "too_large"), ("sub/skip.md", "too_large")]
+
+
 def test_stream_drops_late_rows_and_replaces_documents(spark, tmp_path):
     import datetime as dt
 

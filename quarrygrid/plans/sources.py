@@ -91,6 +91,14 @@ def stream_turn_state(spark, sf):
     return jobs.run_to_table(jobs.stream_turn_state(t), "turns")
 
 
+def stream_turns(spark, sf):
+    """Each turn asked for once, every third one of a conversation twice."""
+    t = jobs.read_stream(spark, sf, "conversations").withColumn("again", F.explode(F.sequence(F.lit(0), (F.col("turn") % 3 == 0).cast("int"))))
+    asked = t.select(F.col("conv_id").alias("session_id"), F.concat(F.lit("r"), "turn").alias("client_request_id"), (F.col("turn") * 2 + F.col("again") * 3).alias("arrived"), "text", F.lit("completed").alias("status"))
+    with jobs.stored_states(spark):
+        return jobs.run_to_table(jobs.stream_turns(asked, 6, 900), "asked-turns")
+
+
 def _traces(df):
     return df.where("event_id % 17 <> 4").select(F.col("user_id").alias("trace_id"), (F.col("event_id") % 101 + 1).alias("sequence"))
 
@@ -99,7 +107,7 @@ def stream_trace_order(spark, sf):
     return jobs.run_to_table(jobs.stream_trace_order(_traces(jobs.read_stream(spark, sf, "events"))), "traces", "update", ["trace_id"])
 
 
-QUERIES = {f.__name__: f for f in (scan_corpus, corpus_manifest, corpus_digest, replace_doc_chunks, materialize_vectors, read_eval_fixture, write_eval_fixture, read_observation_log, stream_ingest, stream_monitor, stream_request_dedup, stream_sessions, stream_turn_state, stream_trace_order)}
+QUERIES = {f.__name__: f for f in (scan_corpus, corpus_manifest, corpus_digest, replace_doc_chunks, materialize_vectors, read_eval_fixture, write_eval_fixture, read_observation_log, stream_ingest, stream_monitor, stream_request_dedup, stream_sessions, stream_turn_state, stream_turns, stream_trace_order)}
 
 _MAN = "r AS (SELECT doc_id AS path, sha256(CAST(doc_id AS VARCHAR)) AS path_sha, sha256(coalesce(text, '')) AS content_sha, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n_bytes, left(sha256(CAST(doc_id AS VARCHAR)), 4) AS bucket FROM documents)"
 ORACLE_SQL = {
@@ -120,5 +128,12 @@ SELECT CASE WHEN h.vec_id IS NULL THEN 'insert' WHEN other THEN 'update' ELSE 'k
 SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 6 HOUR AS session_end, count(*) AS n_events, round(sum(value), 4) AS total_value FROM s GROUP BY user_id, k""",
     "stream_turn_state": """WITH t AS (SELECT conv_id AS s, turn, length(CASE WHEN coalesce(text, '') = '' THEN '-' ELSE text END) AS l, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations)
 SELECT s AS session_id, turn, n AS turn_number, least(n - 1, 6) AS n_context, CAST(coalesce(sum(l) OVER (PARTITION BY s ORDER BY n ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS context_chars FROM t""",
+    "stream_turns": """WITH t AS (SELECT conv_id AS s, turn, text, turn * 2 AS arrived, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations WHERE trim(text) <> ''),
+p AS (SELECT t.s, t.n, b.n AS k, row_number() OVER (PARTITION BY t.s, t.n ORDER BY b.n DESC) AS r, CASE WHEN b.n = t.n - 1 THEN left(b.text, 900) ELSE b.text END AS x FROM t JOIN t b ON b.s = t.s AND b.n BETWEEN t.n - 6 AND t.n - 1),
+u AS (SELECT *, sum(length(x)) OVER (PARTITION BY s, n ORDER BY r) AS used FROM p),
+g AS (SELECT s, n, count(*) AS c, sum(length(x)) AS l, string_agg(x, chr(10) ORDER BY k) AS txt FROM u WHERE used <= 900 GROUP BY 1, 2)
+SELECT t.s AS session_id, 'r' || turn AS client_request_id, arrived, 'created' AS outcome, t.n AS turn_number, CAST(coalesce(c, 0) AS INTEGER) AS n_context, CAST(coalesce(l, 0) AS INTEGER) AS context_chars, sha256(coalesce(txt, '')) AS context_sha FROM t LEFT JOIN g ON g.s = t.s AND g.n = t.n
+UNION ALL SELECT s, 'r' || turn, arrived + 3, 'repeated', n, NULL, NULL, NULL FROM t WHERE turn % 3 = 0
+UNION ALL SELECT conv_id, 'r' || turn, turn * 2 + a, 'refused_empty', NULL, NULL, NULL, NULL FROM conversations JOIN (SELECT unnest([0, 3]) AS a) ON a = 0 OR turn % 3 = 0 WHERE coalesce(trim(text), '') = '' AND text IS NOT NULL""",
     "stream_trace_order": "WITH r AS (SELECT DISTINCT user_id AS trace_id, event_id % 101 + 1 AS s FROM events WHERE event_id % 17 <> 4), g AS (SELECT *, CAST(s > coalesce(lag(s) OVER (PARTITION BY trace_id ORDER BY s), 0) + 1 AS INTEGER) AS gap FROM r) SELECT trace_id, count(*) AS n_events, max(s) AS last_sequence, CAST(sum(gap) AS BIGINT) AS n_gaps FROM g GROUP BY 1",
 }

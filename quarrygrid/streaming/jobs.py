@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
@@ -109,6 +112,98 @@ def stream_turn_state(turns: DataFrame, idle_ms: int | None = None) -> DataFrame
     return _with_state(turns, "session_id", _turn_fold, "session_id long, turn long, turn_number long, n_context long, context_chars long", "n long, recent array<string>", "append", idle_ms)
 
 
+#: A turn whose status is one of these is still at work, and its session takes no other (fixed values).
+ACTIVE = ("pending", "running")
+TURNS = "session_id long, client_request_id string, arrived long, outcome string, turn_number long, n_context int, context_chars int, context_sha string"
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+def turn_context(recent: list[str], budget: int, count: Callable[[str], int]) -> tuple[int, int, str]:
+    """(texts, their sum of ``count``, digest) of the newest of ``recent`` that fit the budget, up to the first that doesn't; the newest always counts, at most as the budget."""
+    kept, used = [], 0
+    for text in reversed(recent):
+        size = count(text)
+        if not kept and size > budget:
+            text, size = text[:budget] if count is len else text, budget
+        if used + size > budget:
+            break
+        kept.append(text)
+        used += size
+    return len(kept), used, hashlib.sha256("\n".join(reversed(kept)).encode()).hexdigest()
+
+
+class Turns(StatefulProcessor):
+    """One session's turns: a value (how many turns, the newest one's request and status), the turn of each request, the texts of the last ``n`` turns."""
+
+    def __init__(self, n: int, budget: int, count: Callable[[str], int], ttl_ms: int | None):
+        self.n, self.budget, self.count, self.ttl_ms = n, budget, count, ttl_ms
+
+    def init(self, handle) -> None:
+        self.newest = handle.getValueState("newest", "n long, request string, status string", self.ttl_ms)
+        self.requests = handle.getMapState("requests", "request string", "turn_number long", self.ttl_ms)
+        self.recent = handle.getListState("recent", "text string", self.ttl_ms)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        n, newest, status = self.newest.get() if self.newest.exists() else (0, None, None)
+        recent = [t for (t,) in self.recent.get()] if self.recent.exists() else []
+        out = []
+        for row in pd.concat(list(rows)).sort_values("arrived", kind="stable").itertuples():
+            request, text, told = (None if pd.isna(x) else x for x in (row.client_request_id, row.text, row.status))
+            held = self.requests.getValue((request,)) if request is not None and self.requests.containsKey((request,)) else None
+            if text is None and told is not None:
+                # news of a turn; of the newest one alone it changes what the session takes
+                if held is not None and request == newest:
+                    status = told
+                continue
+            made = (None, None, None)
+            if not (text or "").strip():
+                outcome, number = "refused_empty", None
+            elif held is not None:
+                outcome, number = "repeated", held[0]
+            elif status in ACTIVE:
+                outcome, number = "refused_active", None
+            else:
+                made = turn_context(recent, self.budget, self.count)
+                n, newest, status = n + 1, request, told or ACTIVE[0]
+                outcome, number = "created", n
+                recent = [*recent, text][-self.n :]
+                if request is not None:
+                    self.requests.updateValue((request,), (n,))
+            out.append((key[0], request, row.arrived, outcome, number, *made))
+        self.newest.update((n, newest, status))
+        if recent:
+            self.recent.put([(t,) for t in recent])
+        frame = pd.DataFrame(out, columns=[c.split(" ")[0] for c in TURNS.split(", ")])
+        yield frame.astype({"turn_number": "Int64", "n_context": "Int32", "context_chars": "Int32"})
+
+    def close(self) -> None:
+        pass
+
+
+@contextmanager
+def stored_states(spark: SparkSession):
+    """Streams that start inside keep their states in RocksDB, which named states need and which holds more than memory does."""
+    before = spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(PROVIDER, before) if before else spark.conf.unset(PROVIDER)
+
+
+def stream_turns(turns: DataFrame, n: int = 6, budget: int = 1200, count: Callable[[str], int] = len, ttl_ms: int | None = None) -> DataFrame:
+    """What becomes of each turn that is asked for, in the columns ``TURNS``; start it inside ``stored_states``.
+
+    ``turns``: session_id, client_request_id, arrived, text, status. A row with a text asks for a turn, which is ``created`` with the next number and the
+    context of the last ``n`` texts within ``budget`` (by ``count``: characters, or a token counter), ``repeated`` with the number that its request has, or refused:
+    ``refused_active`` while the newest turn is pending or running, ``refused_empty`` without a text. Its status is pending if it tells none. A row with
+    a status alone is news of the turn of its request and gives no row. A null request id repeats nothing. Within a batch a session's rows go by ``arrived``. With ``ttl_ms`` what was not
+    touched for so long is forgotten, request ids each by themselves.
+    """
+    rows = turns.select("session_id", "client_request_id", F.col("arrived").cast("long").alias("arrived"), "text", "status")
+    return rows.groupBy("session_id").transformWithStateInPandas(Turns(n, budget, count, ttl_ms), TURNS, "append", "none" if ttl_ms is None else "processingTime")
+
+
 def merged_runs(runs: list[tuple[int, int]], more: list[int]) -> list[tuple[int, int]]:
     """Runs of consecutive numbers (first, last), in order, after more numbers have come."""
     out: list[tuple[int, int]] = []

@@ -566,6 +566,71 @@ def test_traces_in_any_order_and_batches(spark, tmp_path):
     assert shown == [(1, i + 1, s, f"p{s}") for i, s in enumerate(range(3, 13))] + [(2, i + 1, s, f"p{s}") for i, s in enumerate((3, 4))] + [(3, i + 1, s, f"p{s}") for i, s in enumerate((3, 4, 5, 6))]
 
 
+def plain_turns(rows, n, budget):
+    """What ``stream_turns`` gives for rows in the order in which they arrive."""
+    import hashlib
+
+    sessions, out = {}, []
+    for session, request, arrived, text, status in rows:
+        turns = sessions.setdefault(session, [])
+        mine = [i for i, t in enumerate(turns) if request is not None and t["request"] == request]
+        if text is None and status is not None:
+            if mine and mine[0] == len(turns) - 1:
+                turns[-1]["status"] = status
+            continue
+        made = (None, None, None)
+        if not text:
+            outcome, number = "refused_empty", None
+        elif mine:
+            outcome, number = "repeated", mine[0] + 1
+        elif turns and turns[-1]["status"] in ("pending", "running"):
+            outcome, number = "refused_active", None
+        else:
+            past = [t["text"] for t in turns][-n:][::-1]
+            past = [past[0][:budget], *past[1:]] if past else []
+            fit = max(k for k in range(len(past) + 1) if sum(map(len, past[:k])) <= budget)
+            made = (fit, sum(map(len, past[:fit])), hashlib.sha256("\n".join(past[:fit][::-1]).encode()).hexdigest())
+            turns.append({"request": request, "status": status or "pending", "text": text})
+            outcome, number = "created", len(turns)
+        out.append((session, request, arrived, outcome, number, *made))
+    return out
+
+
+def test_turns_in_batches_equal_plain_rules(spark, tmp_path):
+    import time
+
+    rng = random.Random(5)
+    schema = "session_id long, client_request_id string, arrived long, text string, status string"
+    rows = []
+    for i in range(240):
+        kind = rng.random()
+        request = rng.choice([None, *(f"r{j}" for j in range(25))])
+        if kind < 0.35:
+            rows.append((rng.randrange(4), request, i, None, rng.choice(["completed", "failed", "running"])))
+        else:
+            rows.append((rng.randrange(4), request, i, rng.choice(["", "a", "bcd" * rng.randrange(1, 9)]), rng.choice([None, "running", "completed", "completed"])))
+    for at in range(0, 240, 80):
+        part = rows[at : at + 80]
+        rng.shuffle(part)
+        spark.createDataFrame(part, schema).repartition(3).coalesce(1).write.parquet(f"{tmp_path}/in/{at}")
+        time.sleep(1.1)  # files are taken in the order of their times
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in/*")
+    with jobs.stored_states(spark):
+        got = jobs.run_to_table(jobs.stream_turns(stream, 3, 30), "turns").collect()
+    want = plain_turns(rows, 3, 30)
+    assert {r[3] for r in want} == {"created", "repeated", "refused_active", "refused_empty"}
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+    assert spark.conf.get(jobs.PROVIDER, "none").count("RocksDB") == 0
+
+
+def test_turn_context_by_tokens():
+    count = lambda t: len(t.split())
+    assert jobs.turn_context(["a b c", "d", "e f"], 3, count)[:2] == (2, 3)
+    # the newest turn counts as the budget, whatever its length, and nothing fits beside it
+    assert jobs.turn_context(["a", "b c d e"], 3, count)[:2] == (1, 3)
+    assert jobs.turn_context([], 3, count)[:2] == (0, 0)
+
+
 def test_runs_of_sequences():
     assert jobs.merged_runs([(1, 2), (6, 7)], [4, 4, 3, 9]) == [(1, 4), (6, 7), (9, 9)] and jobs.merged_runs([], []) == []
 

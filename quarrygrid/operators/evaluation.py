@@ -689,6 +689,44 @@ def traffic_monitor(obs: DataFrame, release: str = "release", scope: str = "scop
     return out.withColumn("error_rate", F.col("n_errors") / F.col("n_requests"))
 
 
+def monitor_counts(obs: DataFrame, by: Sequence[str | Column], safety: Sequence[str] = ()) -> DataFrame:
+    """Requests of one terminal, by ``by``: n, fallbacks required and with success, summed latency with how many have one, and a sum of each safety counter.
+
+    ``obs``: terminal, fallback_required, fallback_success, latency_ms, and the safety counters. Every column but ``terminal`` and ``by`` is a sum, so counts of parts add up to those of the
+    whole: batches, windows of a stream and releases go through ``monitor_report`` alike. A null terminal is ``unknown``; null flags and counters are false and 0.
+    """
+    needed, done = F.coalesce("fallback_required", F.lit(False)), F.coalesce("fallback_success", F.lit(False))
+    return obs.groupBy(*by, F.coalesce("terminal", F.lit("unknown")).alias("terminal")).agg(
+        F.count("*").alias("n"), F.sum(needed.cast("long")).alias("n_required"), F.sum((needed & done).cast("long")).alias("n_success"), F.count("latency_ms").alias("n_timed"),
+        F.coalesce(F.sum(F.col("latency_ms").cast("double")), F.lit(0.0)).alias("sum_ms"), *[F.sum(F.coalesce(F.col(c).cast("long"), F.lit(0))).alias(c) for c in safety],
+    )
+
+
+def monitor_report(counts: DataFrame, by: Sequence[str], safety: Sequence[str] = ()) -> DataFrame:
+    """Per ``by`` of ``monitor_counts``: n_requests, fallbacks and their rate of success (1 where none was required), mean latency (null without any), the distribution of
+    terminals as a map in the order of their names, safety totals, and ``safe``: all of these are 0.
+
+    Counts are summed by terminal first; what a group then holds is one entry for each terminal.
+    """
+    sums = ["n", "n_required", "n_success", "n_timed", "sum_ms", *safety]
+    merged = counts.groupBy(*by, "terminal").agg(*[F.sum(c).alias(c) for c in sums])
+    entries = F.map_from_entries(F.array_sort(F.collect_list(F.struct("terminal", "n")))).alias("terminals")
+    out = merged.groupBy(*by).agg(*[F.sum(c).alias(c) for c in sums], entries)
+    rate = F.when(F.col("n_required") > 0, F.col("n_success") / F.col("n_required")).otherwise(1.0)
+    return out.select(
+        *by, F.col("n").alias("n_requests"), F.col("n_required").alias("n_fallbacks"), F.col("n_success").alias("n_fallbacks_done"), rate.alias("fallback_rate"),
+        F.when(F.col("n_timed") > 0, F.col("sum_ms") / F.col("n_timed")).alias("mean_ms"), "terminals", *safety, reduce(lambda x, y: x & y, [F.col(c) == 0 for c in safety], F.lit(True)).alias("safe"),
+    )
+
+
+def release_report(obs: DataFrame, safety: Sequence[str] = (), release: str = "release", scope: str = "scope") -> DataFrame:
+    """``monitor_report`` by release and scope, by release, and of all, the subtotals as ``*``: observations are read and shuffled once, their counts are what is rolled up."""
+    counts = monitor_counts(obs, [release, scope], safety)
+    levels = F.array(*[F.struct(r.alias("r"), s.alias("s")) for r, s in ((F.col(release), F.col(scope)), (F.col(release), F.lit("*")), (F.lit("*"), F.lit("*")))])
+    rolled = counts.withColumn("level", F.explode(levels)).withColumns({"release": F.col("level.r"), "scope": F.col("level.s")})
+    return monitor_report(rolled, ["release", "scope"], safety)
+
+
 def decision_stability(obs: DataFrame, keys: Sequence[str], signature: Sequence[str]) -> DataFrame:
     """Groups of equal input (keys) that were seen more than once, and how many different decisions (signature) they have."""
     out = obs.groupBy(*keys).agg(F.count("*").alias("n"), F.count_distinct(F.struct(*signature)).alias("n_decisions"))

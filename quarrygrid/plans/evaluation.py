@@ -250,6 +250,28 @@ def traffic_monitor(spark, sf):
     return ev.traffic_monitor(_obs(spark, sf)).select("release", "scope", "n_requests", "n_errors", "n_completed", r6("mean_value"), r6("max_value"), r6("error_rate"))
 
 
+SAFETY = ("unsafe_answers", "leaked_values")
+
+
+def requests(events):
+    """Events as requests with a terminal, a fallback and safety counters."""
+    i, kind = F.col("event_id"), F.col("event_type")
+    return events.select(
+        "ts", F.concat(F.lit("r"), F.col("user_id") % 3).alias("release"), F.when(i % 2 == 0, "search").otherwise("ask").alias("scope"), F.when(i % 19 != 5, kind).alias("terminal"), ((kind == "error") | (i % 7 == 0)).alias("fallback_required"),
+        F.when(i % 5 != 0, F.col("value") >= 20).alias("fallback_success"), F.when(i % 23 != 0, F.col("value")).alias("latency_ms"), (i % 997 == 0).cast("int").alias("unsafe_answers"), F.when(i % 3 == 0, i % 2).alias("leaked_values"),
+    )
+
+
+def shown_report(report):
+    """A report with its map of terminals as text and rounded numbers."""
+    shown = F.array_join(F.transform(F.map_entries("terminals"), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
+    return report.withColumns({"terminals": shown, "fallback_rate": F.round("fallback_rate", 6), "mean_ms": F.round("mean_ms", 4)})
+
+
+def release_report(spark, sf):
+    return shown_report(ev.release_report(requests(table(spark, sf, "events")), SAFETY))
+
+
 def decision_stability(spark, sf):
     rows = _obs(spark, sf).select("user_id", "scope", "event_type", (F.col("event_id") % 2).alias("x"))
     return ev.decision_stability(rows, ["user_id", "scope"], ["event_type", "x"])
@@ -277,7 +299,7 @@ def evidence_delta(spark, sf):
 QUERIES = {f.__name__: f for f in (
     gold_match, retrieval_metrics, slice_metrics, ndcg, ranking_auc, identity_match, loss_funnel, threshold_sweep, routing_curve, section_ambiguity, query_features, required_evidence, merge_spans, span_coverage,
     paired_transitions, complementarity, rank_buckets, budget_curve, bootstrap_ci, rank_correlation, compare_runs, failure_attribution, replicate_stability, set_jaccard, leakage_scan, containment_scan, secret_scan,
-    redact_text, text_fidelity, text_corruption, reading_order, answer_scores, router_scores, latency_summary, stage_profile, traffic_monitor, decision_stability, drift_gates, evidence_rounds, evidence_delta,
+    redact_text, text_fidelity, text_corruption, reading_order, answer_scores, router_scores, latency_summary, stage_profile, traffic_monitor, release_report, decision_stability, drift_gates, evidence_rounds, evidence_delta,
 )}
 
 _G = f"{base.LEX}, {base.GOLD}"
@@ -290,6 +312,15 @@ _MON = f"{_OBS}, mon AS (SELECT CASE WHEN grouping(release) = 1 THEN '*' ELSE re
 _EVI = "d AS (SELECT doc_id AS chunk_id, source AS doc_id, CAST(floor(doc_id / 10) AS BIGINT) AS section_id FROM documents), ea AS (SELECT query_id, chunk_id, rank, doc_id, section_id FROM bm JOIN d USING (chunk_id) WHERE rank <= 10), eb AS (SELECT query_id, chunk_id, rank, doc_id, section_id FROM ov JOIN d USING (chunk_id) WHERE rank <= 10)"
 
 
+def sql_report(by: str, groups: str, terminals: str) -> str:
+    """``shown_report`` in SQL: ``by`` gives the columns of ``groups``, which may be grouping sets; ``terminals`` are the same groups by terminal."""
+    return f"""WITH q AS (SELECT ts, 'r' || (user_id % 3) AS release, CASE WHEN event_id % 2 = 0 THEN 'search' ELSE 'ask' END AS scope, CASE WHEN event_id % 19 <> 5 THEN event_type ELSE 'unknown' END AS terminal, event_type = 'error' OR event_id % 7 = 0 AS need,
+  event_id % 5 <> 0 AND value >= 20 AS done, CASE WHEN event_id % 23 <> 0 THEN value END AS ms, CASE WHEN event_id % 997 = 0 THEN 1 ELSE 0 END AS unsafe, CASE WHEN event_id % 3 = 0 THEN event_id % 2 ELSE 0 END AS leaked FROM events),
+h AS (SELECT {by}, terminal, count(*) AS n FROM q GROUP BY {terminals}), t AS (SELECT * EXCLUDE (terminal, n), string_agg(terminal || '=' || n, ',' ORDER BY terminal) AS terminals FROM h GROUP BY ALL),
+r AS (SELECT {by}, count(*) AS n_requests, count(*) FILTER (WHERE need) AS n_fallbacks, count(*) FILTER (WHERE need AND done) AS n_fallbacks_done, round(avg(ms), 4) AS mean_ms, CAST(sum(unsafe) AS BIGINT) AS unsafe_answers, CAST(sum(leaked) AS BIGINT) AS leaked_values FROM q GROUP BY {groups})
+SELECT *, CASE WHEN n_fallbacks > 0 THEN round(n_fallbacks_done / n_fallbacks, 6) ELSE 1.0 END AS fallback_rate, unsafe_answers = 0 AND leaked_values = 0 AS safe FROM r NATURAL JOIN t"""
+
+
 def _rules(x: str) -> str:
     return "CASE " + " ".join(f"WHEN regexp_matches({x}, '{p}') THEN '{n}'" for n, p in ev.FEATURE_RULES) + " ELSE 'plain' END"
 
@@ -399,6 +430,7 @@ SELECT arm, net_gain, n_regressions, round(pr, 6) AS precision, round(re, 6) AS
 a AS (SELECT sum(total) AS al, sum(total) FILTER (WHERE total >= cut) AS sl FROM o JOIN c ON true)
 SELECT stage, CAST(quantile_disc(ms, 0.5) AS DOUBLE) AS p50, CAST(quantile_disc(ms, 0.95) AS DOUBLE) AS p95, round(CAST(sum(ms) AS DOUBLE) / any_value(al), 5) AS share, round(corr(ms, total), 5) AS corr_total, round(CAST(coalesce(sum(ms) FILTER (WHERE total >= cut), 0) AS DOUBLE) / any_value(sl), 5) AS slow_share FROM p JOIN o USING (r) JOIN c ON true JOIN a ON true GROUP BY 1""",
     "traffic_monitor": f"WITH {_MON} SELECT release, scope, n_requests, n_errors, n_completed, round(mean_value, 6) AS mean_value, round(max_value, 6) AS max_value, round(n_errors / n_requests, 6) AS error_rate FROM mon",
+    "release_report": sql_report("CASE WHEN grouping(release) = 1 THEN '*' ELSE release END AS release, CASE WHEN grouping(scope) = 1 THEN '*' ELSE scope END AS scope", "GROUPING SETS ((release, scope), (release), ())", "GROUPING SETS ((release, scope, terminal), (release, terminal), (terminal))"),
     "decision_stability": f"WITH {_OBS}, g AS (SELECT user_id, scope, count(*) AS n, count(DISTINCT event_type || event_id % 2) AS n_decisions FROM obs GROUP BY 1, 2) SELECT *, n_decisions = 1 AS stable FROM g WHERE n > 1",
     "drift_gates": f"""WITH {_MON}, f AS (SELECT release, scope, concat_ws(',', CASE WHEN n_errors / n_requests > 0.05 THEN 'error_rate' END, CASE WHEN mean_value > 50 THEN 'mean_value' END, CASE WHEN n_requests > 3000 THEN 'n_requests' END) AS drifts FROM mon)
 SELECT release, scope, drifts, CASE WHEN drifts = '' THEN 'release' WHEN NOT contains(drifts, ',') THEN 'watch' ELSE 'block' END AS decision FROM f""",

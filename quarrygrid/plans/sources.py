@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarrygrid.common import scratch_path, table
+from quarrygrid.operators.evaluation import monitor_report
 from quarrygrid.plans import base
+from quarrygrid.plans.evaluation import SAFETY, requests, shown_report, sql_report
 from quarrygrid.sources import corpus as src
 from quarrygrid.streaming import jobs
 
@@ -76,6 +78,12 @@ def stream_monitor(spark, sf):
     return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n_requests", F.round("mean_value", 6).alias("mean_value"), F.round("max_value", 6).alias("max_value"))
 
 
+def stream_report(spark, sf):
+    counts = jobs.stream_report_counts(requests(jobs.read_stream(spark, sf, "events")), SAFETY)
+    held = jobs.run_to_table(counts, "report", "update", ["window_start", "release", "scope", "terminal"])
+    return shown_report(monitor_report(held.withColumn("window_start", F.col("window_start").cast("timestamp_ntz")), ["window_start", "release"], SAFETY))
+
+
 def stream_request_dedup(spark, sf):
     e = jobs.read_stream(spark, sf, "events").select("ts", F.col("user_id").alias("session_id"), F.concat(F.lit("r"), (F.col("event_id") % 40).cast("string")).alias("client_request_id"))
     return jobs.run_to_table(jobs.stream_request_dedup(e), "dedup").select("session_id", "client_request_id")
@@ -107,7 +115,7 @@ def stream_trace_order(spark, sf):
     return jobs.run_to_table(jobs.stream_trace_order(_traces(jobs.read_stream(spark, sf, "events"))), "traces", "update", ["trace_id"])
 
 
-QUERIES = {f.__name__: f for f in (scan_corpus, corpus_manifest, corpus_digest, replace_doc_chunks, materialize_vectors, read_eval_fixture, write_eval_fixture, read_observation_log, stream_ingest, stream_monitor, stream_request_dedup, stream_sessions, stream_turn_state, stream_turns, stream_trace_order)}
+QUERIES = {f.__name__: f for f in (scan_corpus, corpus_manifest, corpus_digest, replace_doc_chunks, materialize_vectors, read_eval_fixture, write_eval_fixture, read_observation_log, stream_ingest, stream_monitor, stream_report, stream_request_dedup, stream_sessions, stream_turn_state, stream_turns, stream_trace_order)}
 
 _MAN = "r AS (SELECT doc_id AS path, sha256(CAST(doc_id AS VARCHAR)) AS path_sha, sha256(coalesce(text, '')) AS content_sha, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n_bytes, left(sha256(CAST(doc_id AS VARCHAR)), 4) AS bucket FROM documents)"
 ORACLE_SQL = {
@@ -123,6 +131,7 @@ SELECT CASE WHEN h.vec_id IS NULL THEN 'insert' WHEN other THEN 'update' ELSE 'k
     "read_observation_log": "SELECT event_id, event_type, CASE WHEN event_id % 20 = 3 THEN 'password' ELSE '' END AS sensitive FROM events WHERE event_id % 50 <> 0",
     "stream_ingest": f"WITH t AS (SELECT doc_id AS chunk_id, unnest({base.sql_tokens('text')}) AS term FROM documents) SELECT chunk_id, term, count(*) AS tf FROM t GROUP BY 1, 2",
     "stream_monitor": "SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS n_requests, round(avg(value), 6) AS mean_value, round(max(value), 6) AS max_value FROM events GROUP BY 1, 2",
+    "stream_report": sql_report("date_trunc('day', ts) AS window_start, release", "date_trunc('day', ts), release", "date_trunc('day', ts), release, terminal"),
     "stream_request_dedup": "SELECT DISTINCT user_id AS session_id, 'r' || event_id % 40 AS client_request_id FROM events",
     "stream_sessions": """WITH g AS (SELECT *, CASE WHEN ts > lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOUR OR lag(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL THEN 1 ELSE 0 END AS n FROM events), s AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g)
 SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 6 HOUR AS session_end, count(*) AS n_events, round(sum(value), 4) AS total_value FROM s GROUP BY user_id, k""",

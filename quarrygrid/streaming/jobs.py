@@ -14,7 +14,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
 from quarrygrid.common import drop_scratch, materialize, scratch_path
-from quarrygrid.operators.evaluation import monitor_aggregates
+from quarrygrid.operators.evaluation import monitor_aggregates, monitor_counts
 
 
 def read_stream(spark: SparkSession, sf_dir: str, name: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -55,6 +55,15 @@ def stream_monitor(events: DataFrame, window: str = "1 day", late: str = "2 hour
     return grouped.select(F.col("w.start").alias("window_start"), "event_type", "n_requests", "mean_value", "max_value")
 
 
+def stream_report_counts(obs: DataFrame, safety: tuple[str, ...] = (), window: str = "1 day", late: str = "2 hours") -> DataFrame:
+    """``monitor_counts`` of event-time windows (window_start, release, scope, terminal, sums); ``monitor_report`` of what comes out is the report of windows, or with other keys of whatever they add up to.
+
+    State is one row for each window, release, scope and terminal, and goes with the watermark.
+    """
+    grouped = monitor_counts(obs.withWatermark("ts", late), [F.window("ts", window).alias("w"), "release", "scope"], safety)
+    return grouped.select(F.col("w.start").alias("window_start"), *[c for c in grouped.columns if c != "w"])
+
+
 def stream_request_dedup(requests: DataFrame, late: str = "1 day") -> DataFrame:
     """One row for each (session_id, client_request_id) within the watermark."""
     return requests.withWatermark("ts", late).dropDuplicatesWithinWatermark(["session_id", "client_request_id"])

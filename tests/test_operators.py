@@ -566,6 +566,22 @@ def test_traces_in_any_order_and_batches(spark, tmp_path):
     assert shown == [(1, i + 1, s, f"p{s}") for i, s in enumerate(range(3, 13))] + [(2, i + 1, s, f"p{s}") for i, s in enumerate((3, 4))] + [(3, i + 1, s, f"p{s}") for i, s in enumerate((3, 4, 5, 6))]
 
 
+def test_report_of_parts_equals_that_of_the_whole(spark):
+    schema = "release string, scope string, terminal string, fallback_required boolean, fallback_success boolean, latency_ms double, leaks int"
+    rows = [("a", "ask", "done", True, True, 2.0, 0), ("a", "ask", None, True, None, None, None), ("a", "search", "done", None, True, 4.0, 3), (None, "ask", "lost", False, None, None, 0), ("b", "ask", "done", False, False, 1.0, 0)]
+    obs = spark.createDataFrame(rows, schema)
+    got = {(r.release, r.scope): r for r in evaluation.release_report(obs, ["leaks"]).collect()}
+    assert set(got) == {("a", "ask"), ("a", "search"), ("a", "*"), (None, "ask"), (None, "*"), ("b", "ask"), ("b", "*"), ("*", "*")}
+    whole = got["*", "*"]
+    assert (whole.n_requests, whole.n_fallbacks, whole.n_fallbacks_done, whole.fallback_rate, whole.leaks, whole.safe) == (5, 2, 1, 0.5, 3, False)
+    assert list(whole.terminals.items()) == [("done", 3), ("lost", 1), ("unknown", 1)] and abs(whole.mean_ms - 7 / 3) < 1e-12
+    assert (got["b", "*"].fallback_rate, got["b", "*"].safe, got[None, "*"].mean_ms) == (1.0, True, None)
+    parts = evaluation.monitor_counts(obs.limit(2), ["scope"], ["leaks"]).unionByName(evaluation.monitor_counts(obs.exceptAll(obs.limit(2)), ["scope"], ["leaks"]))
+    want = evaluation.monitor_report(evaluation.monitor_counts(obs, ["scope"], ["leaks"]), ["scope"], ["leaks"])
+    assert sorted(map(repr, evaluation.monitor_report(parts, ["scope"], ["leaks"]).collect())) == sorted(map(repr, want.collect()))
+    assert evaluation.release_report(obs.limit(0), ["leaks"]).collect() == []
+
+
 def plain_turns(rows, n, budget):
     """What ``stream_turns`` gives for rows in the order in which they arrive."""
     import hashlib

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarrygrid.operators import answers, chunking, evaluation, graph, lexical, ranking, structure, vectors
+from quarrygrid.operators import answers, chunking, evaluation, graph, lexical, ranking, segmentation, structure, vectors
 from quarrygrid.operators.graph_core import min_label_components
 from quarrygrid.sources import corpus
 from quarrygrid.streaming import jobs
@@ -802,3 +802,72 @@ def test_text_corruption(spark):
     got = sorted(tuple(r) for r in evaluation.text_corruption(a, b).collect())
     assert got == [(1, 1, 1, 0, 0.5), (2, 0, 0, 1, 1.0), (3, 0, 0, 0, 0.0), (4, 0, 2, 0, 1.0), (5, 0, 0, 3, 1.0), (6, 1, 0, 0, 0.5), (6, 1, 0, 0, 0.5)]
     assert evaluation.text_corruption(a.limit(0), b.limit(0)).count() == 0
+
+
+def every_cut(text):
+    for mask in range(1 << max(len(text) - 1, 0)):
+        ends = [i + 1 for i in range(len(text) - 1) if mask >> i & 1] + [len(text)]
+        yield [text[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_cheapest_cut_equals_brute_force(seed):
+    rng = random.Random(seed)
+    words = {"".join(rng.choice("abc世") for _ in range(rng.randrange(1, 5))): rng.choice([1, 1, 2, 5, 40]) for _ in range(12)}
+    lattice, total = segmentation.Lattice(words), sum(words.values())
+
+    def cost(cut):
+        known = [round(1000 * math.log(total / words[w])) if w in words else round(1000 * math.log(2 * total)) if len(w) == 1 else 1 << 40 for w in cut]
+        return sum(known)
+
+    for size in range(1, 10):
+        text = "".join(rng.choice("abc世d") for _ in range(size))
+        # among equally cheap cuts the last words are the longest
+        assert lattice.cut(text) == min(every_cut(text), key=lambda c: (cost(c), [-len(w) for w in reversed(c)]))
+    assert lattice.cut("") == [] and segmentation.Lattice({}).cut("xy") == ["x", "y"]
+
+
+def test_cut_of_a_million_characters():
+    import time
+
+    lattice = segmentation.Lattice({"a" * n: n for n in range(1, 9)} | {"世界": 5, "世": 1})
+    for text in ("a" * 1_000_000, "世界x" * 333_334):
+        began = time.time()
+        cut = lattice.cut(text)
+        assert "".join(cut) == text and time.time() - began < 30
+
+
+def test_lexicon_of_text_without_spaces(spark):
+    rng = random.Random(2)
+    real = ["数据", "处理", "平台", "学习机", "语言"]
+    texts = ["".join(rng.choice([*real, *"天地人和"]) for _ in range(40)) for _ in range(60)] + [None, "", "plain words 12"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    words = segmentation.cohesive_words(docs, longest=3, least=60, cohesion=4.0)
+    found = {r.word: r.n for r in words.collect()}
+    assert {w for w in found if len(w) > 1} == {*real, "学习", "习机"} and found["数据"] == sum((t or "").count("数据") for t in texts)
+    hook = segmentation.lattice_segmenter(words)
+    got = {r.doc_id: r.tokens for r in lexical.tokenize_text(docs, segmenter=hook).collect()}
+    assert all("".join(got[i]) == "".join(c for c in texts[i] if c not in lexical.STOP_WORDS) for i in range(60))
+    assert {w for i in range(60) for w in got[i]} <= {*real, *"天地人"} and got[60] == got[61] == [] and got[62] == ["plain", "words", "12"]
+    queries = spark.createDataFrame([(1, "kb", "学习机")], "query_id long, kb_id string, text string")
+    chunks = docs.select(F.lit("kb").alias("kb_id"), F.col("doc_id").alias("chunk_id"), F.lit("p").alias("path"), F.lit(None).cast("int").alias("start_line"), F.col("text").alias("content"))
+    best = lexical.bm25_topk(queries, chunks, 3, segmenter=hook).collect()
+    assert len(best) == 3 and all(r.matched_terms == ["学习机"] for r in best)
+
+
+def test_segmented_documents_are_cut_at_least_as_well_as_they_were(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    words = segmentation.spaced_words(docs)
+    held = {r.word: r.n for r in words.collect()}
+    texts = {r.doc_id: (r.text or "").translate(segmentation._LOWER) for r in docs.collect()}
+    counted = {}
+    for t in texts.values():
+        for w in segmentation.RUN.findall(t):
+            counted[w] = counted.get(w, 0) + 1
+    assert held == counted
+    total = sum(held.values())
+    cost = lambda ws: sum(round(1000 * math.log(total / held[w])) if w in held else round(1000 * math.log(2 * total)) for w in ws)
+    joined = docs.select("doc_id", F.regexp_replace("text", r"\s+", "").alias("text"))
+    for r in segmentation.segment_text(joined, words).collect():
+        own = segmentation.RUN.findall(texts[r.doc_id])
+        assert "".join(r.words) == "".join(own) and cost(r.words) <= cost(own)

@@ -7,13 +7,14 @@ import re
 from array import array
 from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrygrid.common import bound_batches, drop_scratch, materialize
+from quarrygrid.common import bound_batches, drop_scratch, materialize, spread_if_small
 from quarrygrid.operators.lexical import LOWER, UPPER
 
 RUN = re.compile(r"[^\W\d_]+")
@@ -40,14 +41,15 @@ def _counted(docs: DataFrame, text: Column, pieces: Callable[[str], Iterator[str
 
         for batch in batches:
             for t in batch.column(0):
-                for piece in pieces((t.as_py() or "").translate(_LOWER)):
-                    held[piece] += 1
+                found = pieces((t.as_py() or "").translate(_LOWER))
+                while some := list(islice(found, 50_000)):
+                    held.update(some)
                     if len(held) >= HELD_PIECES:
                         yield flush()
         yield flush()
 
     bound_batches(docs.sparkSession)
-    return docs.select(text.alias("t")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return spread_if_small(docs.select(text.alias("t"))).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def spaced_words(docs: DataFrame, col: str = "text") -> DataFrame:
@@ -111,22 +113,21 @@ class Lattice:
 
     def cut(self, text: str) -> list[str]:
         """The words of the cheapest cut, in time of the length by the longest word; of equal ones that whose last word is longest, and so on from the end."""
-        size, step, costs = len(text), self.step, self.costs
+        size, step, costs, unknown = len(text), self.step.get, self.costs, self.unknown
         codes = [ord(c) for c in text]
-        best, start = array("q", [1 << 62]) * (size + 1), array("q", [0]) * (size + 1)
+        best, start = [1 << 62] * (size + 1), [0] * (size + 1)
         best[0] = 0
         for i in range(size):
-            base, state, j = best[i], 0, i
-            if base + self.unknown < best[i + 1]:
-                best[i + 1], start[i + 1] = base + self.unknown, i
-            while j < size:
-                state = step.get(state << 21 | codes[j])
+            base, state = best[i], 0
+            if base + unknown < best[i + 1]:
+                best[i + 1], start[i + 1] = base + unknown, i
+            for j in range(i, size):
+                state = step(state << 21 | codes[j])
                 if state is None:
                     break
-                j += 1
                 cost = costs[state]
-                if cost >= 0 and base + cost < best[j]:
-                    best[j], start[j] = base + cost, i
+                if cost >= 0 and base + cost < best[j + 1]:
+                    best[j + 1], start[j + 1] = base + cost, i
         out, end = [], size
         while end:
             out.append(text[start[end] : end])
@@ -162,4 +163,4 @@ def segment_text(df: DataFrame, words: DataFrame, col: str = "text", out: str =
     def cut(column: pd.Series) -> pd.Series:
         return hook(column.map(lambda t: (t or "").translate(_LOWER)))
 
-    return df.withColumn(out, cut(F.coalesce(F.col(col), F.lit(""))))
+    return spread_if_small(df).withColumn(out, cut(F.coalesce(F.col(col), F.lit(""))))

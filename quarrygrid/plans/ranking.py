@@ -249,6 +249,32 @@ SELECT query_id, r - 1 AS variant, kind, text FROM r WHERE r <= 3""",
   LEFT JOIN bm a ON a.query_id = j.query_id AND a.chunk_id = j.chunk_id LEFT JOIN ov b ON b.query_id = j.query_id AND b.chunk_id = j.chunk_id)
 SELECT query_id, chunk_id, least(x, y) AS best_rank, round(best_score, 4) AS best_score, concat_ws(',', CASE WHEN x IS NOT NULL THEN '0' END, CASE WHEN y IS NOT NULL THEN '1' END) AS variants, round(z, 6) AS score,
   row_number() OVER (PARTITION BY query_id ORDER BY z DESC, least(x, y), chunk_id) AS rank FROM s""",
+    "dedup_candidates": f"""WITH RECURSIVE {base.LEX}, {_CAND},
+s AS (SELECT cu.query_id, cu.chunk_id, cu.rank, d.source, d.text, d.doc_id % 40 AS a, d.doc_id % 40 + d.n_chars % 17 AS b FROM cu JOIN documents d ON d.doc_id = cu.chunk_id),
+p AS (SELECT x.query_id, x.rank, list(y.rank) AS prior FROM s x JOIN s y ON y.query_id = x.query_id AND y.rank < x.rank AND y.source = x.source
+  WHERE y.text IS NOT DISTINCT FROM x.text OR (least(x.b, y.b) - greatest(x.a, y.a) + 1) / least(x.b - x.a + 1, y.b - y.a + 1) >= 0.8 GROUP BY 1, 2),
+k AS (
+  SELECT query_id, CAST(0 AS BIGINT) AS rank, CAST([] AS BIGINT[]) AS kept, CAST(NULL AS BIGINT) AS chunk_id FROM s GROUP BY 1
+  UNION ALL
+  SELECT k.query_id, s.rank, CASE WHEN list_has_any(k.kept, coalesce(p.prior, [])) THEN k.kept ELSE list_append(k.kept, s.rank) END, s.chunk_id
+  FROM k JOIN s ON s.query_id = k.query_id AND s.rank = k.rank + 1 LEFT JOIN p ON p.query_id = s.query_id AND p.rank = s.rank
+)
+SELECT query_id, chunk_id, CAST(rank AS INTEGER) AS rank, CAST(len(kept) AS INTEGER) AS dedup_rank FROM k WHERE rank > 0 AND kept[len(kept)] = rank""",
+    "evidence_compose": f"""WITH {base.LEX}, {_LANE},
+e AS (SELECT l.query_id, l.chunk_id, l.lane, d.source AS doc, d.doc_id // 10 AS sec, row_number() OVER (PARTITION BY l.query_id ORDER BY l.rank, l.chunk_id) AS i FROM lanes l JOIN documents d ON d.doc_id = l.chunk_id),
+hd AS (SELECT query_id, doc, count(*) AS n FROM e WHERE i <= 3 GROUP BY 1, 2), hl AS (SELECT query_id FROM e WHERE i <= 3 GROUP BY 1 HAVING NOT bool_or(lane = 'late')),
+lt AS (SELECT e.query_id, e.i, coalesce(hd.n, 0) >= 2 AS crowded FROM e JOIN hl USING (query_id) LEFT JOIN hd ON hd.query_id = e.query_id AND hd.doc = e.doc WHERE e.i > 3 AND e.lane = 'late'),
+sd AS (SELECT query_id, min(i) AS i FROM lt WHERE NOT crowded GROUP BY 1),
+f AS (SELECT e.*, CASE WHEN e.i <= 3 THEN 'selected_head' WHEN e.i = sd.i THEN 'selected_protected' WHEN lt.crowded AND (sd.i IS NULL OR e.i < sd.i) THEN 'rejected_displacement' END AS r
+  FROM e LEFT JOIN lt ON lt.query_id = e.query_id AND lt.i = e.i LEFT JOIN sd ON sd.query_id = e.query_id),
+tk AS (SELECT DISTINCT query_id, doc, sec FROM f WHERE r LIKE 'selected%'), c AS (SELECT query_id, count(*) AS n FROM f WHERE r LIKE 'selected%' GROUP BY 1),
+rest AS (SELECT f.query_id, f.chunk_id, f.doc, f.sec, f.i, tk.doc IS NOT NULL AS known, row_number() OVER (PARTITION BY f.query_id, f.doc, f.sec ORDER BY f.i) AS nth
+  FROM f LEFT JOIN tk ON tk.query_id = f.query_id AND tk.doc = f.doc AND tk.sec = f.sec WHERE f.r IS NULL),
+fresh AS (SELECT query_id, doc, sec, row_number() OVER (PARTITION BY query_id ORDER BY i) AS o FROM rest WHERE NOT known AND nth = 1),
+q AS (SELECT r.query_id, r.chunk_id, CASE WHEN r.known OR (r.nth > 1 AND o <= 5 - c.n) THEN 'rejected_redundant' WHEN r.nth = 1 AND o <= 5 - c.n THEN 'selected_rank' ELSE 'rejected_budget' END AS reason
+  FROM rest r JOIN c ON c.query_id = r.query_id LEFT JOIN fresh h ON h.query_id = r.query_id AND h.doc = r.doc AND h.sec = r.sec),
+u AS (SELECT query_id, chunk_id, r AS reason FROM f WHERE r IS NOT NULL UNION ALL SELECT * FROM q)
+SELECT query_id, chunk_id, reason LIKE 'selected%' AS selected, reason FROM u""",
     "context_budget": f"""WITH RECURSIVE {base.LEX}, {_CAND},
 c AS (SELECT cu.query_id, cu.chunk_id, cu.rank, d.source, CAST(ceil(d.n_chars / 4) AS INTEGER) AS n FROM cu JOIN documents d ON d.doc_id = cu.chunk_id),
 w AS (

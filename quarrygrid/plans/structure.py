@@ -162,6 +162,8 @@ _any = lambda p: f"len([z FOR z IN string_split(text, chr(10)) IF regexp_matches
 _FIRSTLINE = "split_part(trim(text), chr(10), 1)"
 ORACLE_SQL = {
     "md_sections": f"WITH RECURSIVE {_SEC} SELECT doc_id, CAST(section_no AS BIGINT) AS section_no, path, CAST(level AS INTEGER) AS level, start_line, end_line, sha256(content) AS content_sha FROM sx",
+    "md_frontmatter": """SELECT doc_id, CASE WHEN k = 0 THEN '{"title": "t' || doc_id || '"}' END AS frontmatter_json, CAST(CASE WHEN k IN (0, 2) THEN 4 ELSE 1 END AS BIGINT) AS body_start, CASE k WHEN 1 THEN 'unclosed' WHEN 2 THEN 'not_a_mapping' END AS error
+FROM (SELECT doc_id, CASE WHEN text IS NOT NULL THEN doc_id % 5 END AS k FROM documents)""",
     "doc_title": f"WITH RECURSIVE {_SEC}, f AS (SELECT doc_id, min_by(deepest, section_no) AS heading FROM sx WHERE path <> '' GROUP BY 1) SELECT d.doc_id, CASE WHEN d.doc_id % 5 = 0 THEN 't' || d.doc_id ELSE heading END AS title FROM documents d LEFT JOIN f USING (doc_id)",
     "block_types": f"""WITH RECURSIVE {_BLK} SELECT doc_id, CAST(block_no AS BIGINT) AS block_no, CASE WHEN regexp_matches({_FIRSTLINE}, '^#{{1,6}} ') THEN 'heading' WHEN regexp_matches({_FIRSTLINE}, '^(```|~~~)') THEN 'code' WHEN regexp_matches({_FIRSTLINE}, '^([-*+]|[0-9]+[.)]) ') THEN 'list'
   WHEN {_any("^[^|]*[|][^|]*[|]")} THEN 'table' ELSE 'paragraph' END AS block_type,

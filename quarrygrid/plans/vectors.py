@@ -59,6 +59,10 @@ WITH r AS (SELECT doc_id AS chunk_id, {_C} AS c, source || ' > ' || lang || chr(
 n AS (SELECT *, CAST(len(string_split(replace(t, chr(10), ' '), ' ')) AS INTEGER) AS n_tokens FROM r),
 j AS (SELECT *, CASE WHEN c = '' THEN 'empty' WHEN n_tokens > 512 THEN 'too_long' END AS reject FROM n)
 SELECT chunk_id, n_tokens, CASE WHEN reject IS NULL THEN sha256('heading|default|512|' || t) END AS input_hash, reject FROM j""",
+    "embed_pending": f"""
+WITH r AS (SELECT doc_id, {_C} AS c, source || ' ' || {_C} AS t FROM documents),
+g AS (SELECT doc_id, CASE WHEN c <> '' AND len(string_split(t, ' ')) <= 4096 THEN 1 ELSE 0 END AS ok FROM r)
+SELECT doc_id, count(*) AS n_chunks, CAST(sum(ok) AS BIGINT) AS n_embedded, sum(ok) = count(*) AS complete FROM g GROUP BY 1""",
     "query_inputs": f"""
 WITH r AS (SELECT item_id AS query_id, {_Q} AS q FROM benchmark),
 n AS (SELECT *, CASE WHEN q = '' THEN 0 ELSE CAST(len(string_split(q, ' ')) AS INTEGER) END AS n_tokens FROM r),

@@ -871,3 +871,10 @@ def test_segmented_documents_are_cut_at_least_as_well_as_they_were(spark, sf_dir
     for r in segmentation.segment_text(joined, words).collect():
         own = segmentation.RUN.findall(texts[r.doc_id])
         assert "".join(r.words) == "".join(own) and cost(r.words) <= cost(own)
+
+
+def test_lsh_recall_on_the_tables(spark, sf_dir):
+    from quarrygrid.plans.registry import QUERIES
+
+    exact, near = ({(r.query_id, r.vec_id) for r in QUERIES[name](spark, sf_dir).collect()} for name in ("vector_topk", "vector_topk_lsh"))
+    assert len(exact & near) / len(exact) >= 0.9

@@ -9,25 +9,32 @@ the probability of a byte after four bytes and fewer comes from continuation cou
 A gram's log ratio is a number of the model. A text is compared by its length-normalised log ratio as a whole and by that of its most
 toxic passage of ``PASSAGE`` bytes, since a few words make a long text toxic; a logistic function of both, fitted on labelled rows that
 the class counts leave out, gives the score.
+
+Tasks hold the log ratios of what most labelled texts have. Where there are more, the texts are dealt in blocks, and the other log ratios that
+a block asks for come to it by a join, so every text is measured by the whole model.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarrygrid.common import bound_batches, bounded_choice, broadcast_if_few, drop_scratch, materialize, table
+from quarrygrid.common import bound_batches, bounded_choice, broadcast_if_few, drop_scratch, materialize, shuffle_partitions, table
 from quarrygrid.llm import textkernel as tk
 
 ORDER, PASSAGE = 6, 32
-#: Grams, and contexts, with their log ratios that the broadcast model holds at most (12 bytes each); the most frequent ones. Others back off.
+#: Grams, and contexts, with their log ratios that the broadcast model holds at most (12 bytes each); the most frequent ones. Others stay in a table.
 MODEL_GRAMS = 4_000_000
+#: Bytes of rows from which a block asks for log ratios that the model does not hold, and bits of its number that count the blocks of a task.
+ASKING_BYTES, BLOCK_BITS = 16 << 20, 33
 #: One labelled row of so many is left out of the class counts and calibrates; at most so many rows do.
 CALIBRATE_ONE_OF, CALIBRATION_ROWS = 6, 20_000
 #: Distinct grams that a task holds before it passes them on.
@@ -205,18 +212,20 @@ def log_ratios(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return found, contexts.select(F.col("context").alias("key"), (F.col("all_toxic") + F.col("all_ordinary")).alias("seen"), F.log(left["toxic"] / left["ordinary"]).cast("float").alias("ratio"))
 
 
-def most_seen(rows: DataFrame, most: int = MODEL_GRAMS) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and ratios of at most ``most`` rows: all, or those seen more often than a count that a histogram of the counts gives."""
-    rows = materialize(rows, "toxicity-ratios")
+def most_seen(rows: DataFrame, most: int = MODEL_GRAMS) -> tuple[tuple[np.ndarray, np.ndarray], DataFrame | None]:
+    """Keys and ratios of at most ``most`` rows, and a table of all others: none, or those seen no more often than a count that a histogram of the counts gives."""
+    rows = materialize(rows.select("key", F.least("seen", F.lit(100_000)).alias("seen"), "ratio"), "toxicity-ratios")
     least, total = 1, 0
-    for seen, n in rows.groupBy(F.least("seen", F.lit(100_000)).alias("seen")).agg(F.count("*").alias("n")).orderBy(F.desc("seen")).collect():
+    for seen, n in rows.groupBy("seen").agg(F.count("*").alias("n")).orderBy(F.desc("seen")).collect():
         total += n
         if total > most:
             least = seen + 1
             break
     found = rows.where(F.col("seen") >= least).select("key", "ratio").toArrow()
-    drop_scratch(rows.sparkSession, rows)
-    return found["key"].to_numpy(), found["ratio"].to_numpy()
+    rest = rows.where(F.col("seen") < least).select("key", "ratio") if total > most else None
+    if rest is None:
+        drop_scratch(rows.sparkSession, rows)
+    return (found["key"].to_numpy(), found["ratio"].to_numpy()), rest
 
 
 class Lookup:
@@ -263,18 +272,32 @@ def logistic(x: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """Log ratios of grams and contexts, and the logistic function of a text's measures."""
+    """Log ratios of grams and contexts, all or the most frequent ones, and the logistic function of a text's measures."""
 
-    def __init__(self, grams: tuple[np.ndarray, np.ndarray], contexts: tuple[np.ndarray, np.ndarray]):
-        self.grams, self.contexts = Lookup(*grams), Lookup(*contexts)
+    def __init__(self, grams: tuple[np.ndarray, np.ndarray], contexts: tuple[np.ndarray, np.ndarray], all_contexts: bool = True):
+        self.grams, self.contexts, self.all_contexts = Lookup(*grams), Lookup(*contexts), all_contexts
         self.weights = np.zeros(4)
 
-    def measures(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Of each row the mean log ratio, that of its most toxic passage, and the logarithm of its length; 0 for a row without grams."""
+    def asked(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """The grams and contexts of the rows that are not held and may be known, once each. No gram is known without its context."""
+        keys = np.unique(grams(data, offsets)[0])
+        keys = keys[np.isnan(self.grams(keys))]
+        unheld = np.isnan(self.contexts(keys >> 8))
+        return keys[~unheld] if self.all_contexts else np.concatenate((keys, np.unique(keys[unheld] >> 8)))
+
+    def measures(self, data: np.ndarray, offsets: np.ndarray, answers: Lookup | None = None) -> np.ndarray:
+        """Of each row the mean log ratio, that of its most toxic passage, and the logarithm of its length; 0 for a row without grams.
+
+        ``answers``: log ratios of what the rows ask for. A gram's first byte is 32 at least, so no context has the number of a gram.
+        """
         keys, places = grams(data, offsets)
         ratio = self.grams(keys)
+        sources = [(self.contexts, 8)] if answers is None else [(answers, 0), (self.contexts, 8), (answers, 8)]
         missing = np.flatnonzero(np.isnan(ratio))
-        ratio[missing] = np.nan_to_num(self.contexts(keys[missing] >> 8))
+        for source, bits in sources:
+            ratio[missing] = source(keys[missing] >> bits)
+            missing = missing[np.isnan(ratio[missing])]
+        ratio[missing] = 0
         run = np.concatenate(([0.0], np.cumsum(ratio, dtype=np.float64)))
         size = np.diff(places)
         out = np.zeros((len(size), 3))
@@ -307,20 +330,70 @@ class Model:
         slopes = w[:3] / self.scale
         self.weights = np.append(slopes, w[3] - slopes @ self.centre)
 
-    def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        return logistic(self.measures(data, offsets) @ self.weights[:3] + self.weights[3])
-
 
 def held_out(doc_id: Column | str = "doc_id") -> Column:
     """Rows whose labels no model learns: crc32(doc_id as text) mod 5 = 0."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic") -> Model:
-    """The model of all labelled texts that are not held out and of the whole corpus' shared counts.
+def measured(docs: DataFrame, model: Model, rest: DataFrame | None) -> DataFrame:
+    """(doc_id, a, b, c): the measures of every row (doc_id, text) by the model's log ratios and those of ``rest`` (key, ratio).
+
+    Without a rest each task measures the rows that it reads. Else runs of Arrow batches are blocks (block, rows, asked), which ask once for
+    each gram that the model does not hold; they are written, as both their requests and their rows, compressed, are read again.
+    """
+    spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
+    schema, shared = f"doc_id {kind}, a double, b double, c double", spark.sparkContext.broadcast(model)
+
+    def measure(ids: pa.Array, texts: pa.Array | pa.ChunkedArray, answers: Lookup | None = None) -> Iterator[pa.RecordBatch]:
+        for lo, hi, data, offsets in tk.blocks(*tk.buffers(texts)):
+            m = shared.value.measures(data, offsets, answers)
+            yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), *(pa.array(c) for c in m.T)], ["doc_id", "a", "b", "c"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from measure(batch.column(0), batch.column(1))
+        tk.release()
+
+    if rest is None:
+        return docs.select("doc_id", "text").mapInArrow(run, schema)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, held, size = TaskContext.get().partitionId() << BLOCK_BITS, [], 0
+        for i, batch in enumerate(chain(batches, (None,))):
+            if held and (batch is None or size >= ASKING_BYTES):
+                sink, parts = pa.BufferOutputStream(), [np.zeros(0, np.int64)]
+                with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    for one in held:
+                        out.write_batch(one)
+                        parts += [shared.value.asked(data, offsets) for _, _, data, offsets in tk.blocks(*tk.buffers(one.column(1)))]
+                yield pa.RecordBatch.from_pylist([{"block": first + i, "rows": sink.getvalue().to_pybytes(), "asked": np.unique(np.concatenate(parts))}], asking)
+                held, size = [], 0
+            if batch is not None and batch.num_rows:
+                held.append(batch)
+                size += batch.nbytes
+        tk.release()
+
+    def answer(blocks: pa.Table, found: pa.Table) -> pa.Table:
+        answers = Lookup(found.column("key").to_numpy(), found.column("ratio").to_numpy())
+        rows = (batch for block in blocks.column("rows") for batch in pa.ipc.open_stream(block.as_buffer()))
+        return pa.Table.from_batches(m for batch in rows for m in measure(batch.column(0), batch.column(1), answers))
+
+    asking = pa.schema([("block", pa.int64()), ("rows", pa.binary()), ("asked", pa.list_(pa.int64()))])
+    blocks = materialize(docs.select("doc_id", "text").mapInArrow(ask, "block long, rows binary, asked array<long>"), "toxicity-blocks", "snappy")
+    found = blocks.select(F.col("block").alias("by"), F.explode("asked").alias("key")).join(rest, "key").select("by", "key", "ratio")
+    texts, found = (df.repartition(shuffle_partitions(spark), c).groupBy(c) for df, c in ((blocks.select("block", "rows"), "block"), (found, "by")))
+    out = materialize(texts.cogroup(found).applyInArrow(answer, schema), "toxicity-measures")
+    drop_scratch(spark, blocks)
+    return out
+
+
+def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", most: int = MODEL_GRAMS) -> tuple[Model, DataFrame | None]:
+    """The model of all labelled texts that are not held out and of the whole corpus' shared counts, and the table (key, ratio) of the log ratios
+    beyond ``most`` grams and as many contexts, which ``measured`` adds; none if the model holds all.
 
     Of contradicting labels of one doc_id the larger holds; rows that repeat a labelled doc_id all have its label. To the driver come only
-    ``MODEL_GRAMS`` ratios and the measures of ``CALIBRATION_ROWS`` rows at most.
+    the ratios that the model holds and the measures of ``CALIBRATION_ROWS`` rows at most.
     """
     spark = docs.sparkSession
     bound_batches(spark)
@@ -329,43 +402,32 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic") -> Model:
     joined = docs.select("doc_id", "text").join(broadcast_if_few(known.where("not calibrates").select("doc_id", "label")), "doc_id", "left")
     counts = materialize(gram_counts(joined.select("text", F.coalesce("label", F.lit(UNKNOWN)).cast("int").alias("label"))), "toxicity-counts")
     found, contexts = log_ratios(counts)
-    model = Model(most_seen(found), most_seen(contexts))
+    (held, more), (held_contexts, more_contexts) = most_seen(found, most), most_seen(contexts, most)
+    model = Model(held, held_contexts, more_contexts is None)
+    rest = reduce(DataFrame.unionAll, tables) if (tables := [df for df in (more, more_contexts) if df is not None]) else None
     drop_scratch(spark, counts)
     chosen = bounded_choice(known.where("calibrates").select("doc_id", "label"), CALIBRATION_ROWS, "doc_id")
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
-    shared = spark.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi, data, offsets in tk.blocks(*tk.buffers(batch.column(2))):
-                m = shared.value.measures(data, offsets)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), *(pa.array(c) for c in m.T)], ["doc_id", "label", "a", "b", "c"])
-
+    rows = measured(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id", "left_semi"), model, rest)
     # one row for each doc_id, so that the bound holds whatever repeats
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    measured = rows.mapInArrow(run, f"doc_id {kind}, label int, a double, b double, c double").groupBy("doc_id").agg(F.max("label").alias("label"), F.max(F.struct("a", "b", "c")).alias("m"))
-    measured = measured.select("doc_id", "label", "m.*").toArrow().to_pandas().sort_values("doc_id")
-    model.calibrate(measured[["a", "b", "c"]].to_numpy(np.float64), measured["label"].to_numpy(np.float64))
-    return model
+    rows = rows.groupBy("doc_id").agg(F.max(F.struct("a", "b", "c")).alias("m")).join(F.broadcast(chosen), "doc_id")
+    rows = rows.select("doc_id", "label", "m.*").toArrow().to_pandas().sort_values("doc_id")
+    model.calibrate(rows[["a", "b", "c"]].to_numpy(np.float64), rows["label"].to_numpy(np.float64))
+    return model, rest
 
 
-def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every row of ``docs``.
+def classify(docs: DataFrame, labels: DataFrame, most: int = MODEL_GRAMS) -> DataFrame:
+    """(doc_id, held_out, score, predicted) of every row of ``docs``; ``most``: log ratios that tasks hold, which changes no score.
 
     Null and empty texts, and those without letter or digit, have all measures 0 and thereby one score. Repeated rows have equal scores.
     Without any labels, or with those of one class only, scores follow the share of label 1 (one half if there is none). Other columns are ignored.
     """
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi, data, offsets in tk.blocks(*tk.buffers(batch.column(1))):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(model.value.scores(data, offsets))], ["doc_id", "score"])
-        tk.release()
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
-    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    model, rest = fit(docs, labels, most=most)
+    rows = measured(docs, model, rest)
+    if rest is not None:
+        drop_scratch(docs.sparkSession, rest)
+    weights = [float(w) for w in model.weights]
+    z = sum((F.lit(w) * F.col(c) for w, c in zip(weights[:3], "abc", strict=True)), F.lit(weights[3]))
+    return rows.select("doc_id", held_out().alias("held_out"), (1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(500.0)), F.lit(-500.0))))).alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def op11_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

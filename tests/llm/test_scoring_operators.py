@@ -155,6 +155,29 @@ def test_toxicity_edge_cases(spark):
     assert {r["score"] for r in toxicity.classify(frame(spark, ["a b", "c"]), labels.limit(0)).collect()} == {0.5}
 
 
+def test_ratios_that_tasks_do_not_hold_count_too(spark):
+    """Whatever part of the log ratios tasks hold (none, some, all contexts but not all grams), every row is measured by all of them."""
+    texts, truth, labels = toxic_corpus(spark, 300)
+    texts += ["unlabelled wordings qxj", "tie tie tie", *ODD]
+    docs = frame(spark, texts).unionByName(frame(spark, ["tie tie tie"], 5)).withColumn("doc_id", F.when(F.col("doc_id") != 300, F.col("doc_id")))
+    found, contexts = toxicity.log_ratios(toxicity.gram_counts(docs.join(labels, "doc_id").select("text", F.col("toxic").alias("label"))))
+    assert contexts.count() < found.count() - 1
+    model, rest = toxicity.fit(docs, labels)
+    assert rest is None
+    measures = lambda df: sorted((r["doc_id"] or -1, r["a"], r["b"], r["c"]) for r in df.collect())
+    want = measures(toxicity.measured(docs, model, rest))
+    assert len(want) == docs.count()
+    for most in (0, contexts.count()):
+        part, rest = toxicity.fit(docs, labels, most=most)
+        assert sum((own >= 0).sum() for _, own, _ in part.grams.levels) <= most and rest.count() > 0
+        got = measures(toxicity.measured(docs, part, rest))
+        assert [r[0] for r in got] == [r[0] for r in want]
+        assert np.allclose([r[1:] for r in got], [r[1:] for r in want], rtol=0, atol=1e-9) and np.allclose(part.weights, model.weights)
+    scores = sorted((r["doc_id"] or -1, r["score"]) for r in toxicity.classify(docs, labels, 100).collect())
+    # repeated ids: in the order of their measures there, of their scores here
+    assert sorted(s for _, s in scores) == pytest.approx(sorted(toxicity.logistic(np.array([r[1:] for r in want]) @ model.weights[:3] + model.weights[3])), abs=1e-9)
+
+
 # --- whitening ------------------------------------------------------------------------------------------------------
 
 

@@ -15,7 +15,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarrygrid.common import nearest_rank
 from quarrygrid.operators.structure import blocks_of, fence_states
 
 TARGET, MAXIMUM = 1200, 1800
@@ -335,9 +334,17 @@ def hierarchy_index(chunks: DataFrame) -> DataFrame:
 
 
 def chunk_inventory(chunks: DataFrame) -> DataFrame:
-    """One row for each variant (variant, doc_id, content): counts, lengths, chunks per document, share of repeated texts."""
-    n = F.length("content")
+    """One row for each variant (variant, doc_id, content): counts, lengths, chunks per document, share of repeated texts.
+
+    Texts are told apart by length and SHA-256 and counted in each task first, so a digest is shuffled for each, not the text; percentiles
+    are looked up in the counts of the different lengths.
+    """
     per = chunks.groupBy("variant", "doc_id").agg(F.count("*").alias("k")).groupBy("variant").agg(F.count("*").alias("n_documents"), F.avg("k").alias("mean_per_document"), F.max("k").alias("max_per_document"), F.avg((F.col("k") == 1).cast("int")).alias("single_share"))
-    out = chunks.withColumn("n", n).groupBy("variant").agg(
-        F.count("*").alias("n_chunks"), F.avg("n").alias("mean_length"), nearest_rank("n", 0.5).alias("p50_length"), nearest_rank("n", 0.95).alias("p95_length"), F.max("n").alias("max_length"), (1 - F.count_distinct("content") / F.count("*")).alias("repeated_share"))
+    texts = chunks.groupBy("variant", F.length("content").alias("n"), F.unhex(F.sha2("content", 256)).alias("digest")).agg(F.count("*").alias("k"))
+    lengths = texts.groupBy("variant", "n").agg(F.sum("k").alias("k"), F.count("digest").alias("different"))
+    known, w = F.when(F.col("n").isNotNull(), F.col("k")).otherwise(0), Window.partitionBy("variant")
+    ranked = lengths.withColumns({"upto": F.sum(known).over(w.orderBy("n")), "all": F.sum(known).over(w)})
+    at = lambda q: F.min(F.when(F.col("upto") >= F.greatest(F.ceil(F.col("all") * q), F.lit(1)), F.col("n")))
+    out = ranked.groupBy("variant").agg(
+        F.sum("k").alias("n_chunks"), F.when(F.max("all") > 0, F.sum(F.col("n") * F.col("k")) / F.max("all")).alias("mean_length"), at(0.5).alias("p50_length"), at(0.95).alias("p95_length"), F.max("n").alias("max_length"), (1 - F.sum("different") / F.sum("k")).alias("repeated_share"))
     return out.join(per, "variant")

@@ -558,6 +558,23 @@ def test_embed_pending_counts_row_by_row(spark, tmp_path):
     assert sorted(got, key=str) == sorted(con.execute(ORACLE_SQL["embed_pending"]).fetchall(), key=str)
 
 
+def test_chunk_inventory_counts_texts_once(spark):
+    """No buffer of all lengths for each text, which the job before had; null texts count as chunks, but neither as lengths nor as texts."""
+    rng = random.Random(4)
+    rows = [(v, d, None if rng.random() < 0.1 else "x" * rng.randrange(9) + rng.choice("ab")) for v in ("p", "q") for d in range(30) for _ in range(rng.randrange(1, 5))] + [("r", 1, None)]
+    out = chunking.chunk_inventory(spark.createDataFrame(rows, "variant string, doc_id long, content string"))
+    assert "percentile_approx" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.variant: r for r in out.collect()}
+    for v in "pqr":
+        texts = [t for w, _, t in rows if w == v]
+        n = sorted(len(t) for t in texts if t is not None)
+        nearest = lambda q, n=n: n[max(math.ceil(len(n) * q), 1) - 1] if n else None
+        r = got[v]
+        assert (r.n_chunks, r.p50_length, r.p95_length, r.max_length) == (len(texts), nearest(0.5), nearest(0.95), max(n, default=None))
+        assert r.mean_length == (pytest.approx(sum(n) / len(n)) if n else None)
+        assert r.repeated_share == pytest.approx(1 - len({t for t in texts if t is not None}) / len(texts))
+
+
 def test_vector_topk_passes_over_bad_vectors(spark):
     rows = [(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, None), (4, [1.0]), (5, [1.0, None]), (6, [float("nan"), 1.0]), (7, [])]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")

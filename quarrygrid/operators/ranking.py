@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -303,14 +304,26 @@ def centroids(vectors: DataFrame, parent: str, vector: str = "embedding") -> Dat
 
 
 def parent_child_topk(queries: DataFrame, vectors: DataFrame, parent: str, n_parents: int = 2, k: int = 10, key: str = "vec_id") -> DataFrame:
-    """Parents by the cosine of their centroid, then the best parents' children by their own."""
-    from quarrygrid.operators.vectors import cosine, vector_topk
-
-    groups = centroids(vectors, parent).select(F.col(parent).cast("long").alias("parent_id"), "centroid")
-    best = vector_topk(queries, groups, n_parents, key="parent_id", vector="centroid").select("query_id", F.col("parent_id").alias(parent))
-    inside = queries.select("query_id", "query_vector").join(best, "query_id").join(vectors, parent)
-    scored = inside.select("query_id", parent, key, F.round(cosine(F.col("query_vector"), F.col("embedding")), 6).alias("similarity"))
-    return topk(scored, ["query_id"], [F.desc("similarity"), F.asc(key)], k)
+    """Parents by the cosine of their centroid, then the best parents' children by their own.
+
+    Children meet the queries of their parent in the tasks that read them (``best_in_tasks``), so a parent's children don't come together.
+    """
+    from quarrygrid.operators.vectors import best_in_tasks, vector_topk
+
+    groups = materialize(centroids(vectors, parent).select(F.col(parent).cast("long").alias("parent_id"), "centroid"), "centroids")
+    best = vector_topk(queries, groups, n_parents, key="parent_id", vector="centroid").groupBy("query_id").agg(F.collect_list("parent_id").alias("parents"))
+    asked = materialize(queries.select("query_id", "query_vector").join(best, "query_id"), "parent-queries")
+
+    def chooser(q: np.ndarray, parents: list) -> Callable:
+        of: dict[int, list[int]] = {}
+        for i, own in enumerate(parents):
+            for p in own:
+                of.setdefault(p, []).append(i)
+        positions = {p: np.array(i) for p, i in of.items()}
+        return lambda part, x: [(positions[p], at, None) for p, at in part.groupby(parent).indices.items() if p in positions]
+
+    scored = best_in_tasks(asked, vectors.where(F.col(parent).isNotNull()), k, key, "embedding", chooser, parent, "parents")
+    return topk(scored.select("query_id", parent, key, "similarity"), ["query_id"], [F.desc("similarity"), F.asc(key)], k)
 
 
 def section_lane(seeds: DataFrame, sections: DataFrame, chunks: DataFrame, per_document: int = 2) -> DataFrame:

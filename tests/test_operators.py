@@ -596,6 +596,24 @@ def test_lsh_pairs_are_those_of_common_buckets(spark, monkeypatch):
     assert got == want
 
 
+def test_parent_child_topk_without_a_join_by_parent(spark, monkeypatch):
+    """Equal to cosines written out, with several blocks of queries; children aren't joined by their parent, where all of one came together."""
+    rng = np.random.default_rng(8)
+    x, label = rng.standard_normal((240, 6)), rng.integers(0, 5, 240)
+    monkeypatch.setattr(vectors, "QUERY_BLOCK", 5)
+    table = spark.createDataFrame([(i, v.tolist(), int(p)) for i, (v, p) in enumerate(zip(x, label, strict=True))], "vec_id long, embedding array<double>, label int")
+    queries = table.where("vec_id % 20 = 0").selectExpr("vec_id as query_id", "embedding as query_vector")
+    out = ranking.parent_child_topk(queries, table, "label", k=4)
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    means, want = unit(np.array([x[label == p].mean(0) for p in range(5)])), []
+    for i in range(0, 240, 20):
+        near = sorted((-round(float(unit(x[i]) @ m), 6), p) for p, m in enumerate(means))[:2]
+        inside = sorted((-round(float(unit(x[i]) @ unit(x[j])), 6), j) for j in range(240) if label[j] in {p for _, p in near})[:4]
+        want += [(i, n, j, int(label[j]), pytest.approx(-s, abs=1e-9)) for n, (s, j) in enumerate(inside, 1)]
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.label, r.similarity) for r in out.collect()) == want
+
+
 def test_vector_topk_passes_over_bad_vectors(spark):
     rows = [(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, None), (4, [1.0]), (5, [1.0, None]), (6, [float("nan"), 1.0]), (7, [])]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")

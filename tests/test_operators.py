@@ -872,6 +872,31 @@ def test_edit_counts_equal_the_whole_table():
     assert evaluation.edit_counts(long, [*long[:100], "x", *long[101:40_000], *long[40_003:], "y"]) == (1, 3, 1)
 
 
+def many_edit_counts(pairs):
+    ids = {}
+    x, y = (np.array([ids.setdefault(t, len(ids)) for p in pairs for t in p[i]], np.int64) for i in (0, 1))
+    return list(zip(*(v.tolist() for v in evaluation.edit_counts_of_many(x, np.array([len(a) for a, _ in pairs]), y, np.array([len(b) for _, b in pairs]))), strict=True))
+
+
+def test_edit_counts_in_step_equal_the_whole_table(monkeypatch):
+    """Pairs with and without steps back, with many of them (which go through the band), empty and equal ones, and both orders of lengths."""
+    rng = random.Random(6)
+    pairs = [([rng.choice(letters) for _ in range(rng.randrange(30))], [rng.choice(letters) for _ in range(rng.randrange(30))]) for letters in ("ab", "abcde") for _ in range(150)]
+    pairs += [([], []), (["a"] * 40, ["a"] * 40), (list("abcdefgh") * 5, list("bcdefgha") * 5), ([str(i) for i in range(70)], [str(i + 35) for i in range(80)])]
+    shifted = [f"u{i}" for i in range(20)] + [f"c{i}" for i in range(100)] + [f"v{i}" for i in range(20)]
+    pairs.append((shifted[:120], shifted[20:]))
+    banded, calls = evaluation.edit_counts, []
+    monkeypatch.setattr(evaluation, "edit_counts", lambda a, b: calls.append(1) or banded(a, b))
+    want = [plain_edit_counts(a, b) for a, b in pairs]
+    assert sum(min(w[1:]) > 0 for w in want) > 20 and any(min(w[1:]) > 1 for w in want)
+    assert many_edit_counts(pairs) == want and calls
+    # no fold over the tokens for texts of many words that are broken up, as it was before
+    monkeypatch.setattr(evaluation, "edit_counts", lambda a, b: pytest.fail("token by token"))
+    long = [str(i % 977) for i in range(20_000)]
+    broken = [t for i, x in enumerate(long) for t in ([f"{x}a", f"b{i}"] if i % 50 == 7 else [x])]
+    assert many_edit_counts([(long, broken), (broken, long), (long, long[3:])]) == [(400, 0, 400), (400, 400, 0), (0, 3, 0)]
+
+
 def test_text_corruption(spark):
     a = spark.createDataFrame([(1, "one two three four"), (2, None), (3, ""), (4, "only here"), (6, "a b"), (6, "a b")], "doc_id long, text string")
     b = spark.createDataFrame([(1, "one too three"), (2, "x"), (3, None), (5, "only there now"), (6, "a c")], "doc_id long, text string")
